@@ -8,7 +8,6 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from almoner.model import TABLES, Tables, TableSpec
-from almoner.operators.lookup import lookup
 
 
 def _row_rules(spec: TableSpec, df: DataFrame) -> DataFrame:
@@ -34,16 +33,17 @@ def _repeated_key(spec: TableSpec, df: DataFrame) -> DataFrame:
 
 
 def _unknown_parent(column: str, df: DataFrame, parent: DataFrame, key: str) -> DataFrame:
-    """Rows that refer to a missing parent, counted per value before the join."""
+    """Rows that refer to a missing parent. They are counted per value first, so the
+    join sees each value once however often it occurs."""
     used = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("rows"))
-    missing = lookup(used, parent.select(F.col(key).alias(column)), column, "left_anti")
+    missing = used.join(parent.select(F.col(key).alias(column)), column, "left_anti")
     return missing.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("n")).select(
         F.lit(f"{column} unknown").alias("rule"), "n"
     )
 
 
 def validate_tables(tables: Tables) -> DataFrame:
-    """table, rule, n of every broken rule; no rows when all is well. Runs jobs."""
+    """table, rule, n of every broken rule; no rows when all is well."""
     found = []
     for name, spec in TABLES.items():
         df = tables[name]
