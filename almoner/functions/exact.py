@@ -1,34 +1,42 @@
-"""Rounding on whole numbers: the same digits in every engine and row order."""
+"""Rounding on whole numbers: the same digits in every engine and row order.
+
+All functions take SQL texts of whole-number expressions.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
 
-def whole(numerator: Column, denominator: Column) -> Column:
+def _whole(numerator: str, denominator: str) -> str:
     """numerator / denominator to the nearest whole number, halves away from zero.
 
-    NULL when either side is NULL; a zero denominator is an error (ANSI mode),
-    so callers that want NULL pass ``F.nullif(denominator, F.lit(0))``.
+    NULL when either side is NULL; a zero denominator is an error (ANSI mode).
     """
-    size, by = F.abs(numerator), F.abs(denominator)
-    quotient = F.call_function("div", size * 2 + by, by * 2)
-    return F.when((numerator < 0) != (denominator < 0), -quotient).otherwise(quotient)
+    size, by = f"abs({numerator})", f"abs({denominator})"
+    quotient = f"((2 * {size} + {by}) div (2 * {by}))"
+    opposed = f"({numerator} < 0) <> ({denominator} < 0)"
+    return f"CASE WHEN {opposed} THEN -{quotient} ELSE {quotient} END"
 
 
-def percent(part: Column, total: Column) -> Column:
+def percent(part: str, total: str) -> Column:
     """100 * part / total with one digit after the point, as a double.
 
-    Decimals hold 2000 * part for every bigint; used on aggregated rows only.
+    Decimals hold 2000 * part for every bigint; used on aggregated rows only. A total
+    of zero is an error.
     """
-    part, total = part.cast("decimal(20,0)"), total.cast("decimal(20,0)")
-    return whole(part * 1000, total).cast("double") / 10
+    tenths = _whole(f"1000 * CAST({part} AS DECIMAL(20, 0))", f"CAST({total} AS DECIMAL(20, 0))")
+    return F.expr(f"CAST({tenths} AS DOUBLE) / 10")
+
+
+def percent_or_null(part: str, total: str) -> Column:
+    return percent(part, f"nullif({total}, 0)")
 
 
-def percent_or_null(part: Column, total: Column) -> Column:
-    return percent(part, F.nullif(total, F.lit(0)))
+def mean(total: str, n: str) -> Column:
+    """total / n as a whole number, NULL when there is nothing to average."""
+    return F.expr(_whole(total, f"nullif({n}, 0)"))
 
 
-def mean_or_zero(total: Column, n: Column) -> Column:
-    """total / n as a whole number, 0 when there is nothing to average."""
-    return F.coalesce(whole(total, F.nullif(n, F.lit(0))), F.lit(0)).cast("bigint")
+def mean_or_zero(total: str, n: str) -> Column:
+    return F.coalesce(mean(total, n), F.lit(0).cast("bigint"))

@@ -1,16 +1,15 @@
-"""Text forms used by the reports."""
+"""Text forms used by the reports, from SQL texts of whole numbers."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
 
-def month_name(month: Column) -> Column:
+def month_name(month: str) -> Column:
     """'Jan' .. 'Dec' of a month number; applied after grouping, not per row."""
-    return F.date_format(F.make_date(F.lit(2000), month, F.lit(1)), "MMM")
+    return F.expr(f"date_format(make_date(2000, {month}, 1), 'MMM')").alias("month_name")
 
 
-def minutes_seconds(seconds: Column) -> Column:
+def minutes_seconds(seconds: str) -> Column:
     """75 -> '1:15', 4500 -> '75:00'."""
-    minutes = F.call_function("div", seconds, F.lit(60)).cast("string")
-    return F.concat(minutes, F.lit(":"), F.lpad((seconds % 60).cast("string"), 2, "0"))
+    return F.expr(f"concat({seconds} div 60, ':', lpad({seconds} % 60, 2, '0'))")

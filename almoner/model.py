@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from collections.abc import Callable
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
 # Month partition column of stored donations and calls; reports never need it,
@@ -92,9 +93,9 @@ _SPECS = (
 TABLES: dict[str, TableSpec] = {spec.name: spec for spec in _SPECS}
 
 
-@dataclass(frozen=True)
 class Tables:
-    """The input of every report."""
+    """The input of every report. A table is opened when first asked for, so a report
+    does not list the files of tables it never reads."""
 
     segments: DataFrame
     campaigns: DataFrame
@@ -103,17 +104,31 @@ class Tables:
     donors: DataFrame
     donations: DataFrame
     calls: DataFrame
-    # Completed gifts per donor, when shared between reports (plans.donors.shared).
-    by_donor: DataFrame | None = None
+
+    def __init__(self, load: Callable[[str], DataFrame], by_donor: DataFrame | None = None):
+        self._load = load
+        # Completed gifts per donor, when shared between reports (plans.donors.shared).
+        self.by_donor = by_donor
+
+    def __getattr__(self, table: str) -> DataFrame:
+        if table not in TABLES:
+            raise AttributeError(table)
+        df = self._load(table)
+        setattr(self, table, df)
+        return df
 
     def __getitem__(self, table: str) -> DataFrame:
-        return getattr(self, TABLES[table].name)
+        return getattr(self, table)
 
     def with_(self, **changed: DataFrame) -> Tables:
         """A copy with some tables changed; a shared aggregate no longer fits then."""
-        return replace(self, by_donor=None, **changed)
+        return Tables(lambda table: changed[table] if table in changed else self[table])
+
+    def sharing(self, by_donor: DataFrame) -> Tables:
+        return Tables(self.__getitem__, by_donor)
 
 
 def conform(df: DataFrame, table: str) -> DataFrame:
     """The table's own columns in their own order and types."""
-    return df.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in TABLES[table].schema))
+    fields = TABLES[table].schema
+    return df.selectExpr(*(f"CAST({f.name} AS {f.dataType.simpleString()})" for f in fields))

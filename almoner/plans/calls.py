@@ -2,75 +2,69 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from almoner.functions.exact import percent_or_null, whole
+from almoner.functions.exact import mean, percent_or_null
 from almoner.functions.labels import minutes_seconds, month_name
+from almoner.functions.order import sorted_few
 from almoner.model import Tables
 from almoner.plans.donations import DEFAULT_LIMIT, check_limit
 
-ANSWERED = "answered"
-
-
-def _answered() -> Column:
-    return F.count_if(F.col("outcome") == ANSWERED)
-
-
-def _pledged() -> Column:
-    return F.count_if(F.col("pledge") > 0)
+PLACED = "count(1)"
+CONNECTED = "count_if(outcome = 'answered')"
+PLEDGED = "count_if(pledge > 0)"
 
 
 def call_summary(tables: Tables) -> DataFrame:
     """One row; rates and mean are NULL when there is nothing to divide by."""
-    talked = F.when(F.col("outcome") == ANSWERED, F.col("duration_sec"))
-    placed, connected = F.col("calls_placed"), F.col("calls_connected")
-    seconds = whole(F.col("seconds"), F.nullif(F.col("timed"), F.lit(0)))
+    talked = "CASE WHEN outcome = 'answered' THEN duration_sec END"
     return tables.calls.agg(
-        F.count(F.lit(1)).alias("calls_placed"),
-        _answered().alias("calls_connected"),
-        _pledged().alias("pledged_calls"),
-        F.sum(talked).alias("seconds"),
-        F.count(talked).alias("timed"),
+        F.expr(f"{PLACED} AS calls_placed"),
+        F.expr(f"{CONNECTED} AS calls_connected"),
+        F.expr(f"{PLEDGED} AS pledged_calls"),
+        F.expr(f"sum({talked}) AS seconds"),
+        F.expr(f"count({talked}) AS timed"),
     ).select(
         "calls_placed",
         "calls_connected",
-        percent_or_null(connected, placed).alias("connect_rate_pct"),
+        percent_or_null("calls_connected", "calls_placed").alias("connect_rate_pct"),
         "pledged_calls",
-        percent_or_null(F.col("pledged_calls"), connected).alias("pledge_conv_pct"),
-        seconds.alias("avg_duration_sec"),
+        percent_or_null("pledged_calls", "calls_connected").alias("pledge_conv_pct"),
+        mean("seconds", "timed").alias("avg_duration_sec"),
     )
 
 
 def call_outcomes(tables: Tables) -> DataFrame:
-    everything = Window.partitionBy()
-    return (
+    # One row per outcome: the unpartitioned window sees a handful of rows.
+    shares = (
         tables.calls.groupBy("outcome")
-        .agg(F.count(F.lit(1)).alias("count"))
-        .withColumn("pct", percent_or_null(F.col("count"), F.sum("count").over(everything)))
-        .orderBy(F.desc("count"), "outcome")
+        .agg(F.expr(f"{PLACED} AS count"))
+        .selectExpr("*", "sum(count) OVER () AS total")
+        .select("outcome", "count", percent_or_null("count", "total").alias("pct"))
     )
+    return shares.orderBy(F.desc("count"), "outcome")
 
 
 def _by_caller(tables: Tables) -> DataFrame:
-    return tables.calls.groupBy(F.col("caller_name").alias("name")).agg(
-        F.count(F.lit(1)).alias("calls_placed"),
-        _answered().alias("connected"),
-        _pledged().alias("pledges"),
-        F.sum("pledge").alias("total_pledged"),
+    return tables.calls.groupBy(F.expr("caller_name AS name")).agg(
+        F.expr(f"{PLACED} AS calls_placed"),
+        F.expr(f"{CONNECTED} AS connected"),
+        F.expr(f"{PLEDGED} AS pledges"),
+        F.expr("sum(pledge) AS total_pledged"),
     )
 
 
 def caller_leaderboard(tables: Tables) -> DataFrame:
     """Every caller; rates are NULL for those without calls."""
-    counts = [
-        F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
-        for c in ("calls_placed", "connected", "pledges", "total_pledged")
-    ]
+    counts = ("calls_placed", "connected", "pledges", "total_pledged")
     return (
         tables.callers.join(_by_caller(tables), "name", "left")
-        .select("name", "role", "tenure", *counts)
-        .withColumn("connect_rate_pct", percent_or_null(F.col("connected"), F.col("calls_placed")))
-        .withColumn("conv_rate_pct", percent_or_null(F.col("pledges"), F.col("connected")))
+        .selectExpr("name", "role", "tenure", *(f"coalesce({c}, 0) AS {c}" for c in counts))
+        .select(
+            "*",
+            percent_or_null("connected", "calls_placed").alias("connect_rate_pct"),
+            percent_or_null("pledges", "connected").alias("conv_rate_pct"),
+        )
         .orderBy(F.desc("total_pledged"), "name")
     )
 
@@ -80,59 +74,48 @@ def caller_totals(tables: Tables) -> DataFrame:
     return (
         _by_caller(tables)
         .withColumnRenamed("name", "caller_name")
-        .withColumn("connect_rate_pct", percent_or_null(F.col("connected"), F.col("calls_placed")))
+        .withColumn("connect_rate_pct", percent_or_null("connected", "calls_placed"))
         .orderBy(F.desc("total_pledged"), "caller_name")
     )
 
 
-def _call_columns(time_format: str) -> list[Column]:
-    return [
+def _listed(calls: DataFrame, time_format: str) -> DataFrame:
+    return calls.select(
         F.date_format("call_time", time_format).alias("call_time"),
-        F.col("caller_name"),
-        F.col("contact"),
-        minutes_seconds(F.col("duration_sec")).alias("duration_label"),
-        F.col("outcome"),
-        F.col("pledge"),
-        F.col("note_text"),
-    ]
+        "caller_name",
+        "contact",
+        minutes_seconds("duration_sec").alias("duration_label"),
+        "outcome",
+        "pledge",
+        "note_text",
+    )
 
 
 def call_rows(tables: Tables, limit: int = DEFAULT_LIMIT) -> DataFrame:
     """The newest calls."""
-    return (
-        tables.calls.orderBy(F.desc("call_time"), F.desc("id"))
-        .limit(check_limit(limit))
-        .select(*_call_columns("dd MMM HH:mm"))
-    )
+    newest = tables.calls.orderBy(F.desc("call_time"), F.desc("id")).limit(check_limit(limit))
+    return _listed(newest, "dd MMM HH:mm")
 
 
 def calls_export(tables: Tables) -> DataFrame:
-    """All calls, newest first."""
-    return tables.calls.orderBy(F.desc("call_time"), F.desc("id")).select(
-        *_call_columns("yyyy-MM-dd HH:mm")
-    )
+    """All calls, newest first. Sorted on (time, id): a busy minute spans many tasks."""
+    return _listed(tables.calls.orderBy(F.desc("call_time"), F.desc("id")), "yyyy-MM-dd HH:mm")
 
 
 def monthly_calls(tables: Tables) -> DataFrame:
-    return (
-        tables.calls.groupBy(F.month("call_time").alias("month"))
-        .agg(F.count(F.lit(1)).alias("placed"), _answered().alias("connected"))
-        .select(
-            "month",
-            month_name(F.col("month")).alias("month_name"),
-            "placed",
-            "connected",
-            percent_or_null(F.col("connected"), F.col("placed")).alias("connect_rate"),
-        )
-        .orderBy("month")
+    by_month = tables.calls.groupBy(F.expr("month(call_time) AS month")).agg(
+        F.expr(f"{PLACED} AS placed"), F.expr(f"{CONNECTED} AS connected")
+    )
+    rate = percent_or_null("connected", "placed").alias("connect_rate")
+    return sorted_few(
+        by_month.select("month", month_name("month"), "placed", "connected", rate), "month"
     )
 
 
 def hour_heatmap(tables: Tables) -> DataFrame:
     """Hours of the day that have calls."""
-    return (
-        tables.calls.groupBy(F.hour("call_time").alias("hour"))
-        .agg(F.count(F.lit(1)).alias("total"), _answered().alias("connected"))
-        .withColumn("connect_rate", percent_or_null(F.col("connected"), F.col("total")))
-        .orderBy("hour")
+    by_hour = tables.calls.groupBy(F.expr("hour(call_time) AS hour")).agg(
+        F.expr(f"{PLACED} AS total"), F.expr(f"{CONNECTED} AS connected")
     )
+    rate = percent_or_null("connected", "total").alias("connect_rate")
+    return sorted_few(by_hour.select("*", rate), "hour")

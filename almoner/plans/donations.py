@@ -5,10 +5,11 @@ from __future__ import annotations
 from datetime import date
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from almoner.functions.exact import mean_or_zero, percent, percent_or_null
+from almoner.functions.exact import mean, mean_or_zero, percent, percent_or_null
 from almoner.functions.labels import month_name
+from almoner.functions.order import sorted_few
 from almoner.model import Tables
 from almoner.operators import lookup as joins
 from almoner.operators.periods import since
@@ -34,25 +35,28 @@ def check_limit(limit: int) -> int:
     return limit
 
 
-def _sum_or_zero(column: str) -> Column:
-    return F.coalesce(F.sum(column), F.lit(0)).cast("bigint")
+def _raised(name: str) -> Column:
+    return F.expr("coalesce(sum(amount), 0)").alias(name)
+
+
+def _gifts() -> Column:
+    return F.expr("count(1)").alias("gifts")
 
 
 def overview(tables: Tables) -> DataFrame:
     """One row of headline numbers. Pledges count on calls of any outcome."""
     gifts = completed(tables).agg(
-        _sum_or_zero("amount").alias("total_raised"),
-        F.count_distinct("donor_name").alias("donor_count"),
+        _raised("total_raised"), F.count_distinct("donor_name").alias("donor_count")
     )
     calls = tables.calls.agg(
-        F.count(F.lit(1)).alias("calls_placed"),
-        F.count_if(F.col("pledge") > 0).alias("pledged"),
-        F.count_if(F.col("outcome") == "answered").alias("answered"),
+        F.expr("count(1) AS calls_placed"),
+        F.expr("count_if(pledge > 0) AS pledged"),
+        F.expr("count_if(outcome = 'answered') AS answered"),
     )
     # Two one-row aggregates laid side by side: each column is set in one of them.
     both = gifts.unionByName(calls, allowMissingColumns=True)
-    row = both.agg(*(F.max(c).alias(c) for c in both.columns))
-    conversion = F.coalesce(percent_or_null(F.col("pledged"), F.col("answered")), F.lit(0.0))
+    row = both.agg(*(F.expr(f"max({c}) AS {c}") for c in both.columns))
+    conversion = F.coalesce(percent_or_null("pledged", "answered"), F.lit(0.0))
     return row.select(
         "total_raised", "donor_count", "calls_placed", conversion.alias("pledge_conversion_pct")
     )
@@ -62,34 +66,33 @@ def donation_summary(tables: Tables) -> DataFrame:
     return (
         completed(tables)
         .agg(
-            _sum_or_zero("amount").alias("total_raised"),
-            F.count(F.lit(1)).alias("total_gifts"),
+            _raised("total_raised"),
+            F.expr("count(1) AS total_gifts"),
             F.count_distinct("donor_name").alias("unique_donors"),
         )
-        .withColumn("avg_gift_size", mean_or_zero(F.col("total_raised"), F.col("total_gifts")))
+        .withColumn("avg_gift_size", mean_or_zero("total_raised", "total_gifts"))
     )
 
 
 def raised_totals(tables: Tables) -> DataFrame:
     """Sum, donors and mean of completed gifts; NULL, not 0, without gifts."""
-    sums = donation_summary(tables)
-    none = F.col("total_gifts") == 0
-    return sums.select(
-        F.when(~none, F.col("total_raised")).alias("total_raised"),
-        F.col("unique_donors").alias("active_donors"),
-        F.when(~none, F.col("avg_gift_size")).alias("avg_gift"),
+    return (
+        completed(tables)
+        .agg(
+            F.expr("sum(amount) AS total_raised"),
+            F.count_distinct("donor_name").alias("active_donors"),
+            _gifts(),
+        )
+        .select("total_raised", "active_donors", mean("total_raised", "gifts").alias("avg_gift"))
     )
 
 
 def monthly_donations(tables: Tables) -> DataFrame:
     """By calendar month; the same month of several years is one row."""
-    return (
-        completed(tables)
-        .groupBy(F.month("gift_date").alias("month"))
-        .agg(_sum_or_zero("amount").alias("revenue"), F.count(F.lit(1)).alias("gifts"))
-        .select("month", month_name(F.col("month")).alias("month_name"), "revenue", "gifts")
-        .orderBy("month")
+    by_month = (
+        completed(tables).groupBy(F.expr("month(gift_date) AS month")).agg(_raised("revenue"), _gifts())
     )
+    return sorted_few(by_month.select("month", month_name("month"), "revenue", "gifts"), "month")
 
 
 def monthly_trend(
@@ -100,74 +103,58 @@ def monthly_trend(
     Gifts are summed to one row per donor with twelve columns, so the shuffle to
     the donors carries partial sums, and a donor with very many gifts is one row.
     """
-    month = F.month("gift_date")
-    amount = F.coalesce(F.col("amount"), F.lit(0))
     per_donor = (
         completed(tables)
+        .selectExpr("donor_name", "month(gift_date) AS month", "coalesce(amount, 0) AS amount")
         .groupBy("donor_name")
-        .agg(*(F.sum(F.when(month == m, amount)).alias(f"m{m}") for m in MONTHS))
+        .agg(*(F.expr(f"sum(CASE WHEN month = {m} THEN amount END) AS m{m}") for m in MONTHS))
     )
-    givers = tables.donors.select(F.col("name").alias("donor_name"), "segment_id")
-    is_recurring = F.col("segment_id") == recurring
-    totals = per_donor.join(givers, "donor_name").agg(
-        *(F.sum(F.when(~is_recurring, F.col(f"m{m}"))).alias(f"one_time{m}") for m in MONTHS),
-        *(F.sum(F.when(is_recurring, F.col(f"m{m}"))).alias(f"recurring{m}") for m in MONTHS),
-        *(F.sum(f"m{m}").alias(f"total{m}") for m in MONTHS),
+    givers = tables.donors.select(
+        F.col("name").alias("donor_name"), (F.col("segment_id") == recurring).alias("recurs")
     )
-    by_month = F.array(
-        *(
-            F.struct(
-                F.lit(m).alias("month"),
-                F.coalesce(f"one_time{m}", F.lit(0)).alias("one_time"),
-                F.coalesce(f"recurring{m}", F.lit(0)).alias("recurring"),
-                F.col(f"total{m}").alias("total"),
-            )
-            for m in MONTHS
-        )
+    totals = per_donor.join(givers, "donor_name").agg(
+        *(F.expr(f"sum(CASE WHEN NOT recurs THEN m{m} END) AS one_time{m}") for m in MONTHS),
+        *(F.expr(f"sum(CASE WHEN recurs THEN m{m} END) AS recurring{m}") for m in MONTHS),
+        *(F.expr(f"sum(m{m}) AS total{m}") for m in MONTHS),
     )
-    pledges = (F.col("total") * F.lit(pledge_factor)).cast("decimal(28,2)")
-    return (
-        totals.select(F.inline(by_month))
-        .where(F.col("total").isNotNull())
+    months = ", ".join(f"{m}, one_time{m}, recurring{m}, total{m}" for m in MONTHS)
+    pledges = (F.col("total") * F.lit(pledge_factor)).cast("decimal(28,2)").cast("double")
+    by_month = (
+        totals.selectExpr(f"stack(12, {months}) AS (month, one_time, recurring, total)")
+        .where("total IS NOT NULL")
         .select(
             "month",
-            month_name(F.col("month")).alias("month_name"),
-            "one_time",
-            "recurring",
-            pledges.cast("double").alias("pledges"),
+            month_name("month"),
+            F.expr("coalesce(one_time, 0) AS one_time"),
+            F.expr("coalesce(recurring, 0) AS recurring"),
+            pledges.alias("pledges"),
         )
-        .orderBy("month")
     )
+    return sorted_few(by_month, "month")
 
 
 def daily_trend(tables: Tables, as_of: date | None = None, days: int = TREND_DAYS) -> DataFrame:
     """Days with completed gifts from ``days`` before ``as_of`` on, later days too."""
     today = F.current_date() if as_of is None else F.lit(as_of)
-    return (
-        since(completed(tables), "gift_date", F.date_sub(today, days))
-        .groupBy(F.col("gift_date").alias("date"))
-        .agg(_sum_or_zero("amount").alias("revenue"), F.count(F.lit(1)).alias("gifts"))
-        .orderBy("date")
-    )
+    recent = since(completed(tables), "gift_date", F.date_sub(today, days))
+    by_day = recent.groupBy(F.expr("gift_date AS date")).agg(_raised("revenue"), _gifts())
+    return sorted_few(by_day, "date")
 
 
 def _raised_by(tables: Tables, key: str) -> DataFrame:
     return (
         completed(tables)
         .groupBy(F.col(key).alias("id"))
-        .agg(F.sum("amount").alias("raised"), F.count(F.lit(1)).alias("gifts"))
+        .agg(F.expr("sum(amount) AS raised"), _gifts())
     )
 
 
 def campaign_breakdown(tables: Tables) -> DataFrame:
     """Every campaign against its goal. A goal of 0 is an error."""
-    raised = F.coalesce("raised", F.lit(0)).cast("bigint")
     return (
         tables.campaigns.join(_raised_by(tables, "campaign_id"), "id", "left")
-        .select(
-            F.col("id").alias("campaign_id"), "label", "color", "goal", raised.alias("raised")
-        )
-        .withColumn("pct_of_goal", percent(F.col("raised"), F.col("goal")))
+        .selectExpr("id AS campaign_id", "label", "color", "goal", "coalesce(raised, 0) AS raised")
+        .withColumn("pct_of_goal", percent("raised", "goal"))
         .orderBy(F.desc("raised"), "campaign_id")
     )
 
@@ -176,8 +163,8 @@ def campaign_vs_goal(tables: Tables) -> DataFrame:
     """As the breakdown, without campaigns that have no completed gift."""
     return (
         tables.campaigns.join(_raised_by(tables, "campaign_id"), "id")
-        .select(F.col("id").alias("campaign_id"), "label", "goal", "raised")
-        .withColumn("pct_of_goal", percent(F.col("raised"), F.col("goal")))
+        .selectExpr("id AS campaign_id", "label", "goal", "raised")
+        .withColumn("pct_of_goal", percent("raised", "goal"))
         .orderBy(F.desc("raised"), "campaign_id")
     )
 
@@ -185,19 +172,18 @@ def campaign_vs_goal(tables: Tables) -> DataFrame:
 def channel_breakdown(tables: Tables) -> DataFrame:
     """Every channel with its share of all revenue, NULL when there is none."""
     # One row per channel: the unpartitioned window sees a handful of rows.
-    everything = Window.partitionBy()
     return (
         tables.channels.join(_raised_by(tables, "channel_id"), "id", "left")
-        .withColumn("total", F.sum("raised").over(everything))
-        .withColumn("revenue", F.coalesce("raised", F.lit(0)).cast("bigint"))
-        .select(
-            F.col("id").alias("channel_id"),
+        .selectExpr(
+            "id AS channel_id",
             "label",
             "color",
-            "revenue",
-            F.coalesce("gifts", F.lit(0)).alias("gifts"),
-            percent_or_null(F.col("revenue"), F.col("total")).alias("pct_of_total"),
+            "coalesce(raised, 0) AS revenue",
+            "coalesce(gifts, 0) AS gifts",
+            "sum(raised) OVER () AS total",
         )
+        .withColumn("pct_of_total", percent_or_null("revenue", "total"))
+        .drop("total")
         .orderBy(F.desc("revenue"), "channel_id")
     )
 
@@ -206,19 +192,15 @@ def channel_totals(tables: Tables) -> DataFrame:
     """Channels that have gifts, from the gifts alone."""
     return (
         _raised_by(tables, "channel_id")
-        .select(F.col("id").alias("channel_id"), F.col("raised").alias("revenue"), "gifts")
+        .selectExpr("id AS channel_id", "raised AS revenue", "gifts")
         .orderBy(F.desc("revenue"), "channel_id")
     )
 
 
 def _labelled(tables: Tables) -> DataFrame:
     """Gifts with campaign and channel labels; gifts without either are left out."""
-    campaigns = tables.campaigns.select(
-        F.col("id").alias("campaign_id"), F.col("label").alias("campaign")
-    )
-    channels = tables.channels.select(
-        F.col("id").alias("channel_id"), F.col("label").alias("channel")
-    )
+    campaigns = tables.campaigns.selectExpr("id AS campaign_id", "label AS campaign")
+    channels = tables.channels.selectExpr("id AS channel_id", "label AS channel")
     with_campaign = joins.lookup(tables.donations, campaigns, "campaign_id")
     return joins.lookup(with_campaign, channels, "channel_id")
 
@@ -230,7 +212,7 @@ def donation_rows(tables: Tables, limit: int = DEFAULT_LIMIT) -> DataFrame:
     gifts = _labelled(tables).select(
         "id", "gift_date", "donor_name", "campaign", "channel", "amount", "status"
     )
-    givers = tables.donors.select(F.col("name").alias("donor_name"), "segment_id")
+    givers = tables.donors.selectExpr("name AS donor_name", "segment_id")
     return (
         _newest_with_donor(gifts, givers, newest, limit)
         .orderBy(*newest)

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
-from dataclasses import replace
 
 from pyspark.sql import DataFrame, functions as F
 
 from almoner.functions.exact import mean_or_zero
+from almoner.functions.order import sorted_few
 from almoner.model import Tables
 from almoner.operators.lookup import lookup
 from almoner.plans.donations import check_limit, completed
@@ -27,8 +27,8 @@ def gifts_by_donor(tables: Tables) -> DataFrame:
         return tables.by_donor
     return (
         completed(tables)
-        .groupBy(F.col("donor_name").alias("name"))
-        .agg(F.sum("amount").cast("bigint").alias("total"), F.count(F.lit(1)).alias("gifts"))
+        .groupBy(F.expr("donor_name AS name"))
+        .agg(F.expr("coalesce(sum(amount), 0) AS total"), F.expr("count(1) AS gifts"))
     )
 
 
@@ -37,54 +37,48 @@ def shared(tables: Tables) -> Iterator[Tables]:
     """Keeps the sums per donor while several reports use them."""
     by_donor = gifts_by_donor(tables).persist()
     try:
-        yield replace(tables, by_donor=by_donor)
+        yield tables.sharing(by_donor)
     finally:
         by_donor.unpersist()
 
 
-def _segment_labels(tables: Tables) -> DataFrame:
-    return tables.segments.select(
-        F.col("id").alias("segment_id"), F.col("label").alias("segment_label")
-    )
+def _with_label(tables: Tables, donors: DataFrame) -> DataFrame:
+    """Donors with their segment's label; donors of an unknown segment are left out."""
+    labels = tables.segments.selectExpr("id AS segment_id", "label AS segment_label")
+    return lookup(donors, labels, "segment_id")
 
 
 def donor_segments(tables: Tables) -> DataFrame:
     """Every segment: donors that gave, what they gave and the mean gift."""
     givers = tables.donors.select("name", "segment_id").join(gifts_by_donor(tables), "name")
-    per_segment = givers.groupBy(F.col("segment_id").alias("id")).agg(
-        F.count(F.lit(1)).alias("donors"),
-        F.sum("total").alias("total"),
-        F.sum("gifts").alias("gifts"),
+    per_segment = givers.groupBy(F.expr("segment_id AS id")).agg(
+        F.expr("count(1) AS donors"), F.expr("sum(total) AS total"), F.expr("sum(gifts) AS gifts")
     )
     return (
         tables.segments.join(per_segment, "id", "left")
         .select(
-            F.col("id").alias("segment_id"),
+            F.expr("id AS segment_id"),
             "label",
             "color",
-            F.coalesce("donors", F.lit(0)).alias("donors"),
-            F.coalesce("total", F.lit(0)).alias("total_raised"),
-            mean_or_zero(F.col("total"), F.col("gifts")).alias("avg_gift"),
+            F.expr("coalesce(donors, 0) AS donors"),
+            F.expr("coalesce(total, 0) AS total_raised"),
+            mean_or_zero("total", "gifts").alias("avg_gift"),
         )
         .orderBy(F.desc("total_raised"), "segment_id")
     )
 
 
 def donor_lifecycle(tables: Tables) -> DataFrame:
-    return (
-        tables.donors.groupBy("lifecycle")
-        .agg(F.count(F.lit(1)).alias("count"))
-        .orderBy(F.desc("count"), "lifecycle")
-    )
+    counts = tables.donors.groupBy("lifecycle").agg(F.expr("count(1) AS count"))
+    return sorted_few(counts, F.desc("count"), "lifecycle")
 
 
 def donor_roster(tables: Tables) -> DataFrame:
     """Donors with at least one completed gift, largest total first."""
-    givers = tables.donors.select("name", "segment_id", "first_gift", "lifecycle").join(
-        gifts_by_donor(tables), "name"
-    )
+    donors = tables.donors.select("name", "segment_id", "first_gift", "lifecycle")
     return (
-        lookup(givers, _segment_labels(tables), "segment_id")
+        _with_label(tables, donors)
+        .join(gifts_by_donor(tables), "name")
         .select(
             "name",
             "segment_id",
@@ -92,8 +86,8 @@ def donor_roster(tables: Tables) -> DataFrame:
             "first_gift",
             "lifecycle",
             "gifts",
-            F.coalesce("total", F.lit(0)).alias("total"),
-            mean_or_zero(F.col("total"), F.col("gifts")).alias("avg_gift"),
+            "total",
+            mean_or_zero("total", "gifts").alias("avg_gift"),
         )
         .orderBy(F.desc("total"), "name")
     )
@@ -101,18 +95,16 @@ def donor_roster(tables: Tables) -> DataFrame:
 
 def at_risk_donors(tables: Tables) -> DataFrame:
     """Lapsed donors by lifetime value, those without gifts included."""
-    lapsed = tables.donors.where(F.col("lifecycle") == LAPSED).select(
-        "name", "segment_id", "first_gift"
-    )
+    lapsed = tables.donors.where(F.col("lifecycle") == LAPSED)
     return (
-        lookup(lapsed, _segment_labels(tables), "segment_id")
+        _with_label(tables, lapsed.select("name", "segment_id", "first_gift"))
         .join(gifts_by_donor(tables), "name", "left")
-        .select(
+        .selectExpr(
             "name",
             "segment_label",
             "first_gift",
-            F.coalesce("total", F.lit(0)).alias("lifetime_value"),
-            F.coalesce("gifts", F.lit(0)).alias("gift_count"),
+            "coalesce(total, 0) AS lifetime_value",
+            "coalesce(gifts, 0) AS gift_count",
         )
         .orderBy(F.desc("lifetime_value"), "name")
     )
@@ -123,12 +115,12 @@ def lapsed_by_segment_id(tables: Tables) -> DataFrame:
     return (
         tables.donors.where(F.col("lifecycle") == LAPSED)
         .join(gifts_by_donor(tables), "name", "left")
-        .select(
+        .selectExpr(
             "name",
             "segment_id",
             "first_gift",
             "lifecycle",
-            F.coalesce("total", F.lit(0)).alias("lifetime_value"),
+            "coalesce(total, 0) AS lifetime_value",
         )
         .orderBy(F.desc("lifetime_value"), "name")
     )
@@ -137,7 +129,7 @@ def lapsed_by_segment_id(tables: Tables) -> DataFrame:
 def top_donors(tables: Tables, limit: int = TOP_DONORS) -> DataFrame:
     return (
         gifts_by_donor(tables)
-        .select(F.col("name").alias("donor_name"), "total", "gifts")
+        .selectExpr("name AS donor_name", "total", "gifts")
         .orderBy(F.desc("total"), "donor_name")
         .limit(check_limit(limit))
     )

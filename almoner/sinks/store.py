@@ -73,7 +73,7 @@ class Store:
         return self.spark.read.schema(schema).parquet(current)
 
     def tables(self) -> Tables:
-        return Tables(**{t: self.read(t) for t in TABLES})
+        return Tables(self.read)
 
     def replace(self, table: str, df: DataFrame) -> None:
         """A new version with exactly these rows; ``df`` may read the current one."""

@@ -5,9 +5,9 @@ Customers play donors, orders gifts, suppliers callers and events calls.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from almoner.model import Tables, conform
+from almoner.model import Tables
 
 # The last order day of the test tables, "today" for the daily trend.
 LAST_DAY = "2001-08-01"
@@ -41,86 +41,103 @@ _CHANNELS = """
 """
 
 
-def customer_name(key: Column) -> Column:
-    """c_name of a customer key, so that facts need no join to customer."""
-    return _numbered("Customer#", key)
+# Columns read of the test tables; naming them spares a look into the files.
+_CUSTOMER = (
+    "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
+)
+_ORDERS = (
+    "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double,"
+    " o_orderdate timestamp_ntz, o_orderpriority string"
+)
+_SUPPLIER = "s_suppkey bigint, s_name string"
+_EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double"
 
 
-def _numbered(prefix: str, key: Column) -> Column:
-    digits = key.cast("string")
-    return F.concat(F.lit(prefix), F.lpad(digits, F.greatest(F.lit(9), F.length(digits)), F.lit("0")))
+def _numbered(prefix: str, key: str) -> str:
+    """The name of a customer or supplier key, so that facts need no join for it."""
+    return f"concat('{prefix}#', lpad({key}, greatest(9, length({key})), '0'))"
 
 
-def _pick(number: Column, *values: str) -> Column:
+def _pick(number: str, *values: str) -> str:
     """The value at ``number`` modulo their count."""
-    return F.element_at(F.array(*map(F.lit, values)), (number % len(values)).cast("int") + 1)
-
-
-def _values(spark: SparkSession, rows: str, columns: str) -> DataFrame:
-    return spark.sql(f"SELECT * FROM VALUES {rows} AS t({columns})")
+    listed = ", ".join(f"'{v}'" for v in values)
+    return f"elt(CAST({number} % {len(values)} AS INT) + 1, {listed})"
 
 
 def sample_tables(spark: SparkSession, folder: str) -> Tables:
-    def table(name: str) -> DataFrame:
-        return spark.read.parquet(f"{folder}/{name}.parquet")
+    def read(name: str, schema: str) -> DataFrame:
+        return spark.read.schema(schema).parquet(f"{folder}/{name}.parquet")
+
+    def lookup_rows(rows: str, columns: str) -> DataFrame:
+        return spark.sql(f"SELECT * FROM VALUES {rows} AS t({columns})")
+
+    def donors() -> DataFrame:
+        first_order = (
+            read("orders", _ORDERS)
+            .groupBy(F.col("o_custkey").alias("c_custkey"))
+            .agg(F.expr("min(o_orderdate) AS first_order"))
+        )
+        return (
+            read("customer", _CUSTOMER)
+            .join(first_order, "c_custkey", "left")
+            .selectExpr(
+                "c_name AS name",
+                "c_mktsegment AS segment_id",
+                "CAST(round(c_acctbal) AS INT) AS max_gift",
+                "coalesce(date_format(first_order, 'MMM yyyy'), 'Jan 1995') AS first_gift",
+                f"{_pick('c_nationkey', 'active', 'new', 'lapsed', 'reactivated')} AS lifecycle",
+            )
+        )
+
+    def donations() -> DataFrame:
+        return read("orders", _ORDERS).selectExpr(
+            "o_orderkey AS id",
+            "CAST(o_orderdate AS DATE) AS gift_date",
+            f"{_numbered('Customer', 'o_custkey')} AS donor_name",
+            "o_orderpriority AS campaign_id",
+            f"{_pick('o_orderkey', 'online', 'phone', 'mail', 'event')} AS channel_id",
+            "CAST(round(o_totalprice) AS INT) AS amount",
+            "CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'pending'"
+            " ELSE 'failed' END AS status",
+        )
+
+    def callers() -> DataFrame:
+        return read("supplier", _SUPPLIER).selectExpr(
+            "s_name AS name",
+            f"{_pick('s_suppkey', 'Senior caller', 'Caller II', 'Caller I', 'Trainee')} AS role",
+            f"{_pick('s_suppkey', '4y', '10mo', '3mo')} AS tenure",
+            "CAST(1 AS DECIMAL(4, 2)) AS conv_boost",
+        )
+
+    def calls() -> DataFrame:
+        return read("events", _EVENTS).selectExpr(
+            "event_id AS id",
+            "ts AS call_time",
+            f"{_numbered('Supplier', '(user_id % 9)')} AS caller_name",
+            f"{_numbered('Customer', 'user_id')} AS contact",
+            "CAST(floor(value) AS INT) AS duration_sec",
+            "CASE event_type WHEN 'error' THEN 'missed' WHEN 'signup' THEN 'voicemail'"
+            " ELSE 'answered' END AS outcome",
+            "CASE event_type WHEN 'purchase' THEN CAST(round(value) AS INT) ELSE 0 END AS pledge",
+            "CASE WHEN event_id % 5 = 0 THEN concat('note ', event_id) END AS note_text",
+            "CAST(NULL AS STRING) AS note_context",
+        )
+
+    tables = {
+        "segments": lambda: lookup_rows(
+            _SEGMENTS, "id, label, avg_gift, donor_count, color, icon"
+        ),
+        "campaigns": lambda: lookup_rows(_CAMPAIGNS, "id, label, color, goal"),
+        "channels": lambda: lookup_rows(_CHANNELS, "id, label, color, base_pct"),
+        "callers": callers,
+        "donors": donors,
+        "donations": donations,
+        "calls": calls,
+    }
+    return Tables(lambda table: tables[table]())
 
-    customer, orders = table("customer"), table("orders")
-    supplier, events = table("supplier"), table("events")
 
-    first_order = orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(
-        F.min("o_orderdate").alias("first_order")
-    )
-    donors = customer.join(first_order, "c_custkey", "left").select(
-        F.col("c_name").alias("name"),
-        F.col("c_mktsegment").alias("segment_id"),
-        F.round("c_acctbal").cast("int").alias("max_gift"),
-        F.coalesce(F.date_format("first_order", "MMM yyyy"), F.lit("Jan 1995")).alias("first_gift"),
-        _pick(F.col("c_nationkey"), "active", "new", "lapsed", "reactivated").alias("lifecycle"),
-    )
-    donations = orders.select(
-        F.col("o_orderkey").alias("id"),
-        F.col("o_orderdate").cast("date").alias("gift_date"),
-        customer_name(F.col("o_custkey")).alias("donor_name"),
-        F.col("o_orderpriority").alias("campaign_id"),
-        _pick(F.col("o_orderkey"), "online", "phone", "mail", "event").alias("channel_id"),
-        F.round("o_totalprice").cast("int").alias("amount"),
-        F.when(F.col("o_orderstatus") == "F", "completed")
-        .when(F.col("o_orderstatus") == "O", "pending")
-        .otherwise("failed")
-        .alias("status"),
-    )
-    callers = supplier.select(
-        F.col("s_name").alias("name"),
-        _pick(F.col("s_suppkey"), "Senior caller", "Caller II", "Caller I", "Trainee").alias("role"),
-        _pick(F.col("s_suppkey"), "4y", "10mo", "3mo").alias("tenure"),
-        F.lit(1.0).cast("decimal(4,2)").alias("conv_boost"),
-    )
-    kind, value = F.col("event_type"), F.col("value")
-    calls = events.select(
-        F.col("event_id").alias("id"),
-        F.col("ts").alias("call_time"),
-        _numbered("Supplier#", F.col("user_id") % 9).alias("caller_name"),
-        customer_name(F.col("user_id")).alias("contact"),
-        F.floor(value).cast("int").alias("duration_sec"),
-        F.when(kind == "error", "missed")
-        .when(kind == "signup", "voicemail")
-        .otherwise("answered")
-        .alias("outcome"),
-        F.when(kind == "purchase", F.round(value).cast("int")).otherwise(0).alias("pledge"),
-        F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("note "), F.col("event_id"))).alias(
-            "note_text"
-        ),
-        F.lit(None).cast("string").alias("note_context"),
-    )
-    return Tables(
-        segments=_values(spark, _SEGMENTS, "id, label, avg_gift, donor_count, color, icon"),
-        campaigns=_values(spark, _CAMPAIGNS, "id, label, color, goal"),
-        channels=_values(spark, _CHANNELS, "id, label, color, base_pct"),
-        callers=callers,
-        donors=donors,
-        donations=conform(donations, "donations"),
-        calls=conform(calls, "calls"),
-    )
+PAGE_SIZE = 50
 
 
 def _pages(items: DataFrame, collection: str) -> DataFrame:
@@ -131,70 +148,61 @@ def _pages(items: DataFrame, collection: str) -> DataFrame:
     return items.groupBy("number").agg(page.alias("page")).select(path.alias("path"), "page")
 
 
-PAGE_SIZE = 50
-
-
 def donor_pages(spark: SparkSession, folder: str) -> DataFrame:
     """Customers as CRM pages, with every way a name may be given or missing.
 
     The first ten customers of each hundred come again, named in full, on a later
     page.
     """
-    customer = spark.read.parquet(f"{folder}/customer.parquet")
-    key, name = F.col("c_custkey"), F.col("c_name")
-    case = key % 8
-    full = lambda value: F.to_json(F.struct(value.alias("FullName")))
-    json = (
-        F.when(case == 0, full(name))
-        .when(case == 1, F.to_json(F.struct(F.lit("Cust").alias("FirstName"), name.alias("LastName"))))
-        .when(case == 2, F.to_json(F.struct(name.alias("LastName"))))
-        .when(case == 3, full(F.lit("")))
-        .when(case == 4, F.to_json(F.struct(key.alias("FullName"), name.alias("FirstName"))))
-        .when(case == 5, F.lit("{}"))
-        .when(case == 6, F.concat(F.lit('{"FullName":null,"FirstName":"'), name, F.lit('"}')))
-        .otherwise(full(F.concat(F.lit(" "), name, F.lit(" "))))
-    )
-    size = F.lit(PAGE_SIZE)
-    once = customer.select(
-        F.call_function("div", key, size).alias("number"), (key % size).alias("pos"), json.alias("json")
-    )
-    again = customer.where(key % 100 < 10).select(
-        (F.call_function("div", key, size) + 1_000_000_000).alias("number"),
-        (key % size).alias("pos"),
-        full(name).alias("json"),
+    customer = spark.read.schema(_CUSTOMER).parquet(f"{folder}/customer.parquet")
+    item = """
+        CASE c_custkey % 8
+            WHEN 1 THEN to_json(struct('Cust' AS FirstName, c_name AS LastName))
+            WHEN 2 THEN to_json(struct(c_name AS LastName))
+            WHEN 3 THEN '{"FullName":""}'
+            WHEN 4 THEN to_json(struct(c_custkey AS FullName, c_name AS FirstName))
+            WHEN 5 THEN '{}'
+            WHEN 6 THEN concat('{"FullName":null,"FirstName":"', c_name, '"}')
+            WHEN 7 THEN to_json(struct(concat(' ', c_name, ' ') AS FullName))
+            ELSE to_json(struct(c_name AS FullName))
+        END AS json"""
+    number, pos = f"c_custkey div {PAGE_SIZE}", f"c_custkey % {PAGE_SIZE} AS pos"
+    once = customer.selectExpr(f"{number} AS number", pos, item)
+    again = customer.where("c_custkey % 100 < 10").selectExpr(
+        f"{number} + 1000000000 AS number", pos, "to_json(struct(c_name AS FullName)) AS json"
     )
     return _pages(once.unionByName(again), "constituents")
 
 
 def gift_pages(spark: SparkSession, folder: str) -> DataFrame:
     """Orders as CRM pages, with every kind of id, amount, date and donor."""
-    orders = spark.read.parquet(f"{folder}/orders.parquet")
-    key = F.col("o_orderkey")
-    ident = F.when(key % 7 == 6, key.cast("string")).otherwise(
-        F.concat(F.lit('"'), key, F.lit('"'))
-    )
-    whole = F.round("o_totalprice").cast("int").cast("string")
-    amount = (
-        F.when(key % 11 == 0, F.concat(F.lit(',"Amount":'), whole, F.lit(".5")))
-        .when(key % 11 == 1, F.lit(',"Amount":null'))
-        .when(key % 11 == 2, F.concat(F.lit(',"Amount":"'), whole, F.lit('"')))
-        .when(key % 11 == 3, F.lit(""))
-        .otherwise(F.concat(F.lit(',"Amount":'), whole))
-    )
-    day = F.date_format("o_orderdate", "yyyy-MM-dd")
-    when = (
-        F.when(key % 13 == 0, F.lit(',"Date":"soon"'))
-        .when(key % 13 == 1, F.lit(""))
-        .when(key % 13 == 2, F.concat(F.lit(',"Date":"'), day, F.lit('T10:30:00Z"')))
-        .otherwise(F.concat(F.lit(',"Date":"'), day, F.lit('"')))
-    )
-    donor = F.when(key % 17 == 0, F.lit("")).otherwise(
-        F.concat(F.lit(',"ConstituentName":"'), customer_name(F.col("o_custkey")), F.lit('"'))
-    )
-    size = F.lit(PAGE_SIZE)
-    items = orders.select(
-        F.call_function("div", key, size).alias("number"),
-        (key % size).alias("pos"),
-        F.concat(F.lit('{"Id":'), ident, amount, when, donor, F.lit("}")).alias("json"),
+    orders = spark.read.schema(_ORDERS).parquet(f"{folder}/orders.parquet")
+    ident = """CASE WHEN o_orderkey % 7 = 6 THEN CAST(o_orderkey AS STRING) ELSE concat('"', o_orderkey, '"') END"""
+    whole = "CAST(round(o_totalprice) AS INT)"
+    amount = f"""
+        CASE o_orderkey % 11
+            WHEN 0 THEN concat(',"Amount":', {whole}, '.5')
+            WHEN 1 THEN ',"Amount":null'
+            WHEN 2 THEN concat(',"Amount":"', {whole}, '"')
+            WHEN 3 THEN ''
+            ELSE concat(',"Amount":', {whole})
+        END"""
+    day = "date_format(o_orderdate, 'yyyy-MM-dd')"
+    gift_date = f"""
+        CASE o_orderkey % 13
+            WHEN 0 THEN ',"Date":"soon"'
+            WHEN 1 THEN ''
+            WHEN 2 THEN concat(',"Date":"', {day}, 'T10:30:00Z"')
+            ELSE concat(',"Date":"', {day}, '"')
+        END"""
+    name = _numbered("Customer", "o_custkey")
+    donor = f"""
+        CASE WHEN o_orderkey % 17 = 0 THEN ''
+             ELSE concat(',"ConstituentName":"', {name}, '"') END"""
+    fields = f"""'{{"Id":', {ident}, {amount}, {gift_date}, {donor}, '}}'"""
+    items = orders.selectExpr(
+        f"o_orderkey div {PAGE_SIZE} AS number",
+        f"o_orderkey % {PAGE_SIZE} AS pos",
+        f"concat({fields}) AS json",
     )
     return _pages(items, "transactions")

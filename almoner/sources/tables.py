@@ -54,4 +54,4 @@ def load_tables(
     fmt: str = "parquet",
     options: Mapping[str, str] | None = None,
 ) -> Tables:
-    return Tables(**{t: load_table(spark, t, location, fmt, options) for t in TABLES})
+    return Tables(lambda table: load_table(spark, table, location, fmt, options))
