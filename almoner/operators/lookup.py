@@ -7,8 +7,6 @@ broadcast (at most ``HOT_KEYS`` rows), so no task gets such a group.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, functions as F
 
 BROADCAST_ROWS = 200_000
@@ -26,11 +24,9 @@ def fits_broadcast(
     """
     max_rows = BROADCAST_ROWS if max_rows is None else max_rows
     max_bytes = BROADCAST_BYTES if max_bytes is None else max_bytes
-    texts = [F.coalesce(F.octet_length(c), F.lit(0)) for c, t in df.dtypes if t == "string"]
-    width = reduce(lambda a, b: a + b, texts, F.lit(16 * len(df.columns)))
-    n, n_bytes = df.agg(
-        F.count(F.lit(1)), F.coalesce(F.sum(width.cast("bigint")), F.lit(0))
-    ).first()
+    texts = [f"coalesce(octet_length({c}), 0)" for c, t in df.dtypes if t == "string"]
+    width = " + ".join([str(16 * len(df.columns)), *texts])
+    n, n_bytes = df.agg(F.expr("count(1)"), F.expr(f"coalesce(sum({width}), 0)")).first()
     return n <= max_rows and n_bytes <= max_bytes
 
 
@@ -69,14 +65,17 @@ def lookup(fact: DataFrame, dim: DataFrame, key: str, how: str = "inner") -> Dat
     )
 
 
-def without(rows: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows whose keys are not in ``existing``. Runs a job to measure ``rows``.
+def without(
+    rows: DataFrame, existing: DataFrame, keys: list[str], wanted: DataFrame | None = None
+) -> DataFrame:
+    """The rows whose keys are not in ``existing``. Runs a job to measure the keys.
 
-    A small ``rows`` is broadcast to ``existing``, which is then scanned but not
-    shuffled. Either way each key of ``existing`` leaves a task at most once.
+    When the keys are few they are broadcast to ``existing``, which is then scanned but
+    not shuffled. Either way each key of ``existing`` leaves a task at most once.
+    ``wanted`` may give rows that hold all keys of ``rows`` and cost less to read.
     """
     known = existing.select(*keys)
-    wanted = rows.select(*keys)
+    wanted = (rows if wanted is None else wanted).select(*keys)
     if fits_broadcast(wanted):
         known = known.join(F.broadcast(wanted), keys, "left_semi")
     return rows.join(known.distinct(), keys, "left_anti")

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from almoner.model import TABLES, Tables
 from almoner.operators.ids import assign_ids
@@ -24,25 +24,26 @@ class Merge(NamedTuple):
     accepted: DataFrame
 
 
-def _broken_rule(table: str, skip: tuple[str, ...] = ()) -> Column:
-    """The first NOT NULL or length rule a row breaks, else NULL."""
+def _broken_rule(table: str, skip: tuple[str, ...] = ()) -> str:
+    """SQL text: the first NOT NULL or length rule a row breaks, else NULL."""
     spec = TABLES[table]
-    rules = [F.when(F.col(c).isNull(), f"{c} missing") for c in spec.required if c not in skip]
-    rules += [F.when(F.length(c) > n, f"{c} too long") for c, n in spec.lengths.items() if c not in skip]
-    return F.coalesce(*rules)
+    rules = [f"WHEN {c} IS NULL THEN '{c} missing'" for c in spec.required if c not in skip]
+    rules += [f"WHEN length({c}) > {n} THEN '{c} too long'" for c, n in spec.lengths.items()]
+    return f"CASE {' '.join(rules)} END"
 
 
-def _with_reason(rows: DataFrame, table: str, parents: Tables, skip: tuple[str, ...] = ()) -> DataFrame:
+def _with_reason(
+    rows: DataFrame, table: str, parents: Tables, skip: tuple[str, ...] = ()
+) -> DataFrame:
     """``rows`` plus ``reason``: the broken rule or the parent that is missing."""
-    rows = rows.withColumn("reason", _broken_rule(table, skip))
+    columns = rows.columns
+    reasons = [_broken_rule(table, skip)]
     for column, parent in TABLES[table].references.items():
-        known = parents[parent].select(
-            F.col(TABLES[parent].key).alias(column), F.lit(True).alias("_known")
-        )
+        found = f"_known_{column}"
+        known = parents[parent].selectExpr(f"{TABLES[parent].key} AS {column}", f"true AS {found}")
         rows = lookup(rows, known, column, "left")
-        unknown = F.when(F.col("_known").isNull(), f"{column} unknown")
-        rows = rows.withColumn("reason", F.coalesce("reason", unknown)).drop("_known")
-    return rows
+        reasons.append(f"CASE WHEN {found} IS NULL THEN '{column} unknown' END")
+    return rows.selectExpr(*columns, f"coalesce({', '.join(reasons)}) AS reason")
 
 
 def first_per_key(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -61,13 +62,15 @@ def upsert_donors(tables: Tables, batch: DataFrame) -> Merge:
     target = tables.donors
     checked = checkpointed(_with_reason(batch, "donors", tables))
     accepted = checked.where(F.col("reason").isNull()).drop("reason")
-    incoming = accepted.groupBy("name").agg(
-        F.max_by("segment_id", "seq").alias("new_segment_id"),
-        F.max("max_gift").alias("new_max_gift"),
-        F.min_by("first_gift", "seq").alias("new_first_gift"),
-        F.max_by("lifecycle", "seq").alias("new_lifecycle"),
+    last, first = "max_by({0}, seq) AS new_{0}", "min_by({0}, seq) AS new_{0}"
+    incoming = checkpointed(
+        accepted.groupBy("name").agg(
+            F.expr(last.format("segment_id")),
+            F.expr("max(max_gift) AS new_max_gift"),
+            F.expr(first.format("first_gift")),
+            F.expr(last.format("lifecycle")),
+        )
     )
-    incoming = checkpointed(incoming)
     if fits_broadcast(incoming):
         # The target is scanned twice but not shuffled.
         added = without(incoming, target, ["name"])
@@ -76,12 +79,12 @@ def upsert_donors(tables: Tables, batch: DataFrame) -> Merge:
         )
     else:
         merged = target.join(incoming, "name", "full_outer")
-    rows = merged.select(
+    rows = merged.selectExpr(
         "name",
-        F.coalesce("new_segment_id", "segment_id").alias("segment_id"),
-        F.greatest("max_gift", "new_max_gift").alias("max_gift"),
-        F.coalesce("first_gift", "new_first_gift").alias("first_gift"),
-        F.coalesce("new_lifecycle", "lifecycle").alias("lifecycle"),
+        "coalesce(new_segment_id, segment_id) AS segment_id",
+        "greatest(max_gift, new_max_gift) AS max_gift",
+        "coalesce(first_gift, new_first_gift) AS first_gift",
+        "coalesce(new_lifecycle, lifecycle) AS lifecycle",
     )
     return Merge(rows, checked.where(F.col("reason").isNotNull()), accepted)
 
@@ -102,14 +105,14 @@ def insert_new_donations(
     # Ids come last, so they cannot be missing yet.
     checked = checkpointed(_with_reason(whole, "donations", tables, skip=("id",)))
     accepted = checked.where(F.col("reason").isNull()).drop("reason")
-    fresh = checkpointed(first_per_key(accepted, keys))
+    fresh = first_per_key(accepted, keys)
     existing = target
     if "gift_date" in keys:
-        first, last = fresh.agg(F.min("gift_date"), F.max("gift_date")).first()
+        first, last = accepted.agg(F.min("gift_date"), F.max("gift_date")).first()
         existing = until(since(target, "gift_date", F.lit(first)), "gift_date", F.lit(last))
     stored = [c for c in TABLES["donations"].schema.names if c != "id"]
     extra = ["source_ref"] if "source_ref" in target.columns else []
-    new = without(fresh, existing, keys).select(*stored, *extra)
+    new = without(fresh, existing, keys, wanted=accepted).select(*stored, *extra)
     rows = assign_ids(new, target)
     return Merge(rows, checked.where(F.col("reason").isNotNull()), accepted)
 
@@ -117,6 +120,6 @@ def insert_new_donations(
 def insert_ignore(target: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
     """``target`` plus the rows of ``batch`` (which has ``seq``) with a new key: rows
     already there win, then the first of the batch. Runs jobs."""
-    first = checkpointed(first_per_key(batch, keys))
-    added = without(first, target, keys).drop("seq")
+    batch = checkpointed(batch)
+    added = without(first_per_key(batch, keys), target, keys, wanted=batch)
     return target.unionByName(added.select(*target.columns))

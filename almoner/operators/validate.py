@@ -12,34 +12,30 @@ from almoner.model import TABLES, Tables, TableSpec
 
 def _row_rules(spec: TableSpec, df: DataFrame) -> DataFrame:
     """All rules that look at one row, counted in one scan."""
-    rules = {f"{c} missing": F.col(c).isNull() for c in spec.required}
-    rules |= {f"{c} too long": F.length(c) > n for c, n in spec.lengths.items()}
-    rules |= {f"{c} not allowed": ~F.col(c).isin(*v) for c, v in spec.domains.items()}
-    names = list(rules)
-    counts = df.agg(*(F.count_if(rules[r]).alias(f"r{i}") for i, r in enumerate(names)))
-    pairs = F.array(
-        *(F.struct(F.lit(r).alias("rule"), F.col(f"r{i}").alias("n")) for i, r in enumerate(names))
+    rules = {f"{c} missing": f"{c} IS NULL" for c in spec.required}
+    rules |= {f"{c} too long": f"length({c}) > {n}" for c, n in spec.lengths.items()}
+    rules |= {f"{c} not allowed": f"{c} NOT IN {values}" for c, values in spec.domains.items()}
+    counts = df.agg(
+        *(F.expr(f"count_if({broken}) AS r{i}") for i, broken in enumerate(rules.values()))
     )
-    return counts.select(F.inline(pairs))
+    pairs = ", ".join(f"'{rule}', r{i}" for i, rule in enumerate(rules))
+    return counts.selectExpr(f"stack({len(rules)}, {pairs}) AS (rule, n)")
 
 
 def _repeated_key(spec: TableSpec, df: DataFrame) -> DataFrame:
     """Rows beyond the first of each key."""
-    per_key = df.groupBy(spec.key).agg(F.count(F.lit(1)).alias("rows"))
-    extra = per_key.where(F.col(spec.key).isNotNull()).agg(
-        F.coalesce(F.sum(F.col("rows") - 1), F.lit(0)).alias("n")
+    per_key = df.where(f"{spec.key} IS NOT NULL").groupBy(spec.key).agg(F.expr("count(1) AS held"))
+    return per_key.agg(F.expr("sum(held - 1) AS n")).selectExpr(
+        f"'{spec.key} repeated' AS rule", "n"
     )
-    return extra.select(F.lit(f"{spec.key} repeated").alias("rule"), "n")
 
 
 def _unknown_parent(column: str, df: DataFrame, parent: DataFrame, key: str) -> DataFrame:
     """Rows that refer to a missing parent. They are counted per value first, so the
     join sees each value once however often it occurs."""
-    used = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("rows"))
-    missing = used.join(parent.select(F.col(key).alias(column)), column, "left_anti")
-    return missing.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("n")).select(
-        F.lit(f"{column} unknown").alias("rule"), "n"
-    )
+    used = df.where(f"{column} IS NOT NULL").groupBy(column).agg(F.expr("count(1) AS held"))
+    missing = used.join(parent.selectExpr(f"{key} AS {column}"), column, "left_anti")
+    return missing.agg(F.expr("sum(held) AS n")).selectExpr(f"'{column} unknown' AS rule", "n")
 
 
 def validate_tables(tables: Tables) -> DataFrame:
@@ -52,5 +48,5 @@ def validate_tables(tables: Tables) -> DataFrame:
             _unknown_parent(column, df, tables[parent], TABLES[parent].key)
             for column, parent in spec.references.items()
         ]
-        found += [c.select(F.lit(name).alias("table"), "rule", "n") for c in checks]
-    return reduce(DataFrame.unionByName, found).where(F.col("n") > 0)
+        found += [check.selectExpr(f"'{name}' AS `table`", "rule", "n") for check in checks]
+    return reduce(DataFrame.unionByName, found).where("n > 0")

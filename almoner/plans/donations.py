@@ -112,25 +112,27 @@ def monthly_trend(
     givers = tables.donors.select(
         F.col("name").alias("donor_name"), (F.col("segment_id") == recurring).alias("recurs")
     )
-    totals = per_donor.join(givers, "donor_name").agg(
-        *(F.expr(f"sum(CASE WHEN NOT recurs THEN m{m} END) AS one_time{m}") for m in MONTHS),
-        *(F.expr(f"sum(CASE WHEN recurs THEN m{m} END) AS recurring{m}") for m in MONTHS),
-        *(F.expr(f"sum(m{m}) AS total{m}") for m in MONTHS),
+    per_kind = (
+        per_donor.join(givers, "donor_name")
+        .groupBy("recurs")
+        .agg(*(F.expr(f"sum(m{m}) AS m{m}") for m in MONTHS))
     )
-    months = ", ".join(f"{m}, one_time{m}, recurring{m}, total{m}" for m in MONTHS)
-    pledges = (F.col("total") * F.lit(pledge_factor)).cast("decimal(28,2)").cast("double")
+    columns = ", ".join(f"{m}, m{m}" for m in MONTHS)
     by_month = (
-        totals.selectExpr(f"stack(12, {months}) AS (month, one_time, recurring, total)")
-        .where("total IS NOT NULL")
-        .select(
-            "month",
-            month_name("month"),
-            F.expr("coalesce(one_time, 0) AS one_time"),
-            F.expr("coalesce(recurring, 0) AS recurring"),
-            pledges.alias("pledges"),
+        per_kind.selectExpr("recurs", f"stack({len(MONTHS)}, {columns}) AS (month, amount)")
+        .where("amount IS NOT NULL")
+        .coalesce(1)  # at most a row per kind and month
+        .groupBy("month")
+        .agg(
+            F.expr("coalesce(sum(CASE WHEN NOT recurs THEN amount END), 0) AS one_time"),
+            F.expr("coalesce(sum(CASE WHEN recurs THEN amount END), 0) AS recurring"),
+            F.sum("amount").alias("total"),
         )
     )
-    return sorted_few(by_month, "month")
+    pledges = (F.col("total") * F.lit(pledge_factor)).cast("decimal(28,2)").cast("double")
+    return by_month.select(
+        "month", month_name("month"), "one_time", "recurring", pledges.alias("pledges")
+    ).orderBy("month")
 
 
 def daily_trend(tables: Tables, as_of: date | None = None, days: int = TREND_DAYS) -> DataFrame:
