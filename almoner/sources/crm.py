@@ -29,12 +29,8 @@ _BLANKS = r"\p{IsWhite_Space}"
 
 def read_pages(spark: SparkSession, location: str) -> DataFrame:
     """path, page: one row per landed file, many files per task."""
-    return (
-        spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", True)
-        .text(location)
-        .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("page"))
-    )
+    pages = spark.read.text(location, wholetext=True, recursiveFileLookup=True)
+    return pages.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("page"))
 
 
 def page_items(pages: DataFrame) -> DataFrame:

@@ -1,0 +1,130 @@
+from __future__ import annotations
+
+import json
+import shutil
+from datetime import date
+
+import pytest
+from hand_made import ROWS, TODAY
+
+from almoner.sinks.store import Store, copy_tables
+from almoner.streaming.sync import Source, sync, sync_stream
+
+DONOR_VALUES = {"segment_id": "S1"}
+GIFT_VALUES = {"campaign_id": "C1", "channel_id": "H1"}
+
+
+@pytest.fixture
+def store(spark, tmp_path, make_tables):
+    store = Store(spark, str(tmp_path / "store"))
+    copy_tables(make_tables(**ROWS), store)
+    return store
+
+
+class Landing:
+    def __init__(self, root):
+        self.root = root
+        for kind in ("constituents", "transactions"):
+            (root / kind).mkdir(parents=True)
+
+    def page(self, kind, number, *items):
+        path = self.root / kind / f"page-{number}.json"
+        path.write_text(json.dumps({"Results": list(items)}))
+
+
+@pytest.fixture
+def landing(tmp_path):
+    landing = Landing(tmp_path / "landing")
+    landing.page("constituents", 1, {"FullName": "N1"}, {"FullName": "D2"})
+    landing.page("constituents", 2, {"FullName": "N1"}, {"FirstName": " "})
+    landing.page("transactions", 1, gift("a", "N1", 5), gift("b", "N1", 5), gift("c", "D1", 100))
+    landing.page("transactions", 2, gift("d", "Nobody", 5), gift("e", "D1", 7.5), {"Id": 4, "Amount": 1})
+    return landing
+
+
+def gift(id, donor, amount, day="2025-06-10"):
+    return {"Id": id, "ConstituentName": donor, "Amount": amount, "Date": day}
+
+
+def source(landing, name="crm"):
+    return Source(
+        name, str(landing.root), donor_values=DONOR_VALUES, gift_values=GIFT_VALUES
+    )
+
+
+def gifts(store):
+    found = store.read("donations").where("id > 5").collect()
+    return sorted((g.donor_name, g.amount) for g in found)
+
+
+def names(store):
+    return sorted(d.name for d in store.read("donors").collect())
+
+
+def test_sync_counts_upserts_and_real_inserts(store, landing):
+    result = [tuple(r) for r in sync(store, [source(landing)], TODAY).collect()]
+    # N1 twice and D2; gifts: a (b is its copy, c known), e rounded; d rejected.
+    assert result == [("crm", 3, 2, 1, None)]
+    assert names(store) == ["D1", "D2", "D3", "N1"]
+    assert gifts(store) == [("D1", 8), ("N1", 5)]
+    d2 = store.read("donors").where("name = 'D2'").first()
+    assert (d2.segment_id, d2.lifecycle, d2.max_gift, d2.first_gift) == ("S1", "active", 20, "Feb 2021")
+    again = [tuple(r) for r in sync(store, [source(landing)], TODAY).collect()]
+    assert again == [("crm", 3, 0, 1, None)]
+    assert gifts(store) == [("D1", 8), ("N1", 5)]
+
+
+def test_a_failing_source_does_not_stop_the_others(store, landing, tmp_path):
+    bad = Landing(tmp_path / "bad")
+    bad.page("constituents", 1, {"FullName": "N9"})
+    (bad.root / "transactions" / "page-1.json").write_text("<html>")
+    off = Source("off", "/nowhere", enabled=False)
+    results = sync(store, [source(bad, "bad"), off, source(landing)], TODAY).collect()
+    assert [(r.source, r.donors, r.donations) for r in results] == [("bad", 1, 0), ("crm", 3, 2)]
+    assert results[0].error and results[1].error is None
+    # What was written before the failure stays.
+    assert "N9" in names(store)
+
+
+def run(store, landing, tmp_path, **options):
+    query = sync_stream(store, source(landing), str(tmp_path / "progress"), TODAY, **options)
+    query.awaitTermination()
+    assert query.exception() is None
+
+
+def test_stream_takes_each_file_once(store, landing, tmp_path):
+    run(store, landing, tmp_path)
+    assert names(store) == ["D1", "D2", "D3", "N1"]
+    assert gifts(store) == [("D1", 8), ("N1", 5)]
+    versions = store.versions("donors").numbers()
+    run(store, landing, tmp_path)
+    assert store.versions("donors").numbers() == versions
+    # The donor of a waiting gift lands later.
+    landing.page("constituents", 3, {"FullName": "Nobody"})
+    run(store, landing, tmp_path)
+    assert gifts(store) == [("D1", 8), ("N1", 5), ("Nobody", 5)]
+
+
+def test_stream_in_small_batches_ends_the_same(store, landing, tmp_path):
+    run(store, landing, tmp_path, max_files=1)
+    assert names(store) == ["D1", "D2", "D3", "N1"]
+    assert gifts(store) == [("D1", 8), ("N1", 5)]
+
+
+def test_a_repeated_batch_changes_nothing(store, landing, tmp_path):
+    run(store, landing, tmp_path)
+    before = gifts(store), names(store)
+    # As after a crash between the writes and the end of the batch.
+    shutil.rmtree(tmp_path / "progress")
+    run(store, landing, tmp_path)
+    assert (gifts(store), names(store)) == before
+    ids = [r.id for r in store.read("donations").collect()]
+    assert len(ids) == len(set(ids))
+
+
+def test_dates_in_the_batch_limit_what_is_compared(store, landing):
+    landing.page("transactions", 3, gift("f", "D1", 50, "2026-06-10"), gift("g", "D2", 1, "1999-01-01"))
+    sync(store, [source(landing)], TODAY)
+    # f is on another channel than the known gift, so both are new.
+    assert gifts(store) == [("D1", 8), ("D1", 50), ("D2", 1), ("N1", 5)]
+    assert store.read("donations").where("gift_date < '2000-01-01'").first().gift_date == date(1999, 1, 1)
