@@ -15,7 +15,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 import oracles  # noqa: E402
 from almoner.model import TABLES, Tables, conform  # noqa: E402
-from almoner.operators.ids import assign_ids as _assign_ids  # noqa: E402
+from almoner.operators.ids import assign_ids as _assign_ids, largest_id  # noqa: E402
 from almoner.operators.layers import replace_live_layer as _replace_live_layer  # noqa: E402
 from almoner.operators.merge import (  # noqa: E402
     insert_ignore as _insert_ignore,
@@ -105,11 +105,8 @@ def _with_all_donors(spark: SparkSession, sf: str) -> Tables:
 
 
 def _land(pages: DataFrame, folder: str) -> None:
-    """Writes each page as a file of its own."""
-    number = F.regexp_extract("path", r"(\d+)\.json$", 1)
-    pages.select("page", number.alias("number")).repartition("number").write.partitionBy(
-        "number"
-    ).text(folder)
+    """Writes the pages as lines, so that their number does not become one of files."""
+    pages.select("page").write.text(folder)
 
 
 def _landed_store(spark: SparkSession, sf: str) -> tuple[Store, Source]:
@@ -121,7 +118,7 @@ def _landed_store(spark: SparkSession, sf: str) -> tuple[Store, Source]:
     landing = fresh_dir(spark, "landing")
     _land(donor_pages(spark, sf), f"{landing}/{DONOR_PAGES}")
     _land(gift_pages(spark, sf), f"{landing}/{GIFT_PAGES}")
-    source = Source("crm", landing, donor_values=DONOR_VALUES, gift_values=GIFT_VALUES)
+    source = Source("crm", landing, lines=True, donor_values=DONOR_VALUES, gift_values=GIFT_VALUES)
     return store, source
 
 
@@ -141,7 +138,7 @@ def crm_items(spark: SparkSession, sf: str) -> DataFrame:
     """Kinds of the fields of landed items, read back from files."""
     landing = fresh_dir(spark, "landing")
     _land(gift_pages(spark, sf), landing)
-    items = crm.page_items(crm.read_pages(spark, landing))
+    items = crm.page_items(crm.read_pages(spark, landing, lines=True))
 
     def kind(name: str):
         value = F.try_variant_get("item", f"$.{name}", "variant")
@@ -182,7 +179,8 @@ def insert_new_donations_by_source_ref(spark: SparkSession, sf: str) -> DataFram
 def assign_ids(spark: SparkSession, sf: str) -> DataFrame:
     gifts = sample_tables(spark, sf).donations
     done = F.col("status") == "completed"
-    return _assign_ids(gifts.where(~done), gifts.where(done)).select("id")
+    last_id = largest_id(gifts.where(done))
+    return _assign_ids(gifts.where(~done), last_id).select("id")
 
 
 def replace_live_layer(spark: SparkSession, sf: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 
 
 def sorted_few(rows: DataFrame, *order: str | Column) -> DataFrame:
-    """For one row per month, day, hour, outcome or lifecycle: a single task merges the
-    partial sums and sorts, which spares the sampling job and shuffle of a full sort.
+    """For one row per month, day, hour or lifecycle. The finished rows go to one task,
+    which sorts them; a full sort would first sample its input by running it.
     """
-    return rows.coalesce(1).orderBy(*order)
+    return rows.repartition(1).orderBy(*order)

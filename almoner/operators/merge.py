@@ -8,9 +8,9 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, functions as F
 
 from almoner.model import TABLES, Tables
-from almoner.operators.ids import assign_ids
+from almoner.operators.ids import assign_ids, largest_id
 from almoner.operators.lookup import fits_broadcast, lookup, without
-from almoner.operators.periods import since, until
+from almoner.operators.periods import on_days_of
 from almoner.session import checkpointed
 
 NATURAL_KEY = ("donor_name", "gift_date", "amount", "campaign_id", "channel_id")
@@ -90,14 +90,17 @@ def upsert_donors(tables: Tables, batch: DataFrame) -> Merge:
 
 
 def insert_new_donations(
-    tables: Tables, batch: DataFrame, key: tuple[str, ...] = NATURAL_KEY
+    tables: Tables,
+    batch: DataFrame,
+    key: tuple[str, ...] = NATURAL_KEY,
+    last_id: int | None = None,
 ) -> Merge:
     """The gifts of the batch to append, with ids: those whose key is neither in the
     donations nor earlier in the batch. The status is not part of the key.
 
     Amounts become whole before keys are compared. With ``key=('source_ref',)`` the
     donations must carry that column; it then keeps real repeated gifts apart.
-    Rows with an unknown donor, campaign or channel are rejected. Runs jobs.
+    ``last_id`` spares the scan for the largest id. Rows with an unknown donor, campaign or channel are rejected. Runs jobs.
     """
     keys = list(key)
     target = tables.donations
@@ -106,14 +109,11 @@ def insert_new_donations(
     checked = checkpointed(_with_reason(whole, "donations", tables, skip=("id",)))
     accepted = checked.where(F.col("reason").isNull()).drop("reason")
     fresh = first_per_key(accepted, keys)
-    existing = target
-    if "gift_date" in keys:
-        first, last = accepted.agg(F.min("gift_date"), F.max("gift_date")).first()
-        existing = until(since(target, "gift_date", F.lit(first)), "gift_date", F.lit(last))
+    existing = on_days_of(target, accepted, "gift_date") if "gift_date" in keys else target
     stored = [c for c in TABLES["donations"].schema.names if c != "id"]
     extra = ["source_ref"] if "source_ref" in target.columns else []
     new = without(fresh, existing, keys, wanted=accepted).select(*stored, *extra)
-    rows = assign_ids(new, target)
+    rows = assign_ids(new, largest_id(target) if last_id is None else last_id)
     return Merge(rows, checked.where(F.col("reason").isNotNull()), accepted)
 
 

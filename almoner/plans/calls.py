@@ -8,6 +8,7 @@ from almoner.functions.exact import mean, percent_or_null
 from almoner.functions.labels import minutes_seconds, month_name
 from almoner.functions.order import sorted_few
 from almoner.model import Tables
+from almoner.operators.periods import newest_months
 from almoner.plans.donations import DEFAULT_LIMIT, check_limit
 
 PLACED = "count(1)"
@@ -92,8 +93,9 @@ def _listed(calls: DataFrame, time_format: str) -> DataFrame:
 
 
 def call_rows(tables: Tables, limit: int = DEFAULT_LIMIT) -> DataFrame:
-    """The newest calls."""
-    newest = tables.calls.orderBy(F.desc("call_time"), F.desc("id")).limit(check_limit(limit))
+    """The newest calls. On a stored table a job counts the calls of each month."""
+    recent = newest_months(tables.calls, check_limit(limit))
+    newest = recent.orderBy(F.desc("call_time"), F.desc("id")).limit(limit)
     return _listed(newest, "dd MMM HH:mm")
 
 

@@ -12,7 +12,7 @@ from almoner.functions.labels import month_name
 from almoner.functions.order import sorted_few
 from almoner.model import Tables
 from almoner.operators import lookup as joins
-from almoner.operators.periods import since
+from almoner.operators.periods import newest_months, since
 from almoner.session import checkpointed
 
 # Fixed values of the reports.
@@ -121,7 +121,7 @@ def monthly_trend(
     by_month = (
         per_kind.selectExpr("recurs", f"stack({len(MONTHS)}, {columns}) AS (month, amount)")
         .where("amount IS NOT NULL")
-        .coalesce(1)  # at most a row per kind and month
+        .repartition(1)  # at most a row per kind and month
         .groupBy("month")
         .agg(
             F.expr("coalesce(sum(CASE WHEN NOT recurs THEN amount END), 0) AS one_time"),
@@ -211,9 +211,7 @@ def donation_rows(tables: Tables, limit: int = DEFAULT_LIMIT) -> DataFrame:
     """The newest gifts of any status. Runs jobs to choose the join to the donors."""
     check_limit(limit)
     newest = [F.desc("gift_date"), F.desc("id")]
-    gifts = _labelled(tables).select(
-        "id", "gift_date", "donor_name", "campaign", "channel", "amount", "status"
-    )
+    gifts = _labelled(tables)
     givers = tables.donors.selectExpr("name AS donor_name", "segment_id")
     return (
         _newest_with_donor(gifts, givers, newest, limit)
@@ -244,7 +242,8 @@ def _newest_with_donor(
         return gifts.join(F.broadcast(givers), "donor_name")
     take = max(limit, 1)
     while take <= joins.BROADCAST_ROWS:
-        candidates = checkpointed(gifts.orderBy(*newest).limit(take))
+        recent = newest_months(gifts, take).orderBy(*newest).limit(take)
+        candidates = checkpointed(recent)
         matched = givers.join(F.broadcast(candidates), "donor_name")
         if matched.count() >= limit or candidates.count() < take:
             return matched

@@ -19,6 +19,7 @@ def local_session(cpus: int = 4, checkpoint_dir: str | None = None) -> SparkSess
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     if checkpoint_dir:
         builder = builder.config(CHECKPOINT_CONF, checkpoint_dir)

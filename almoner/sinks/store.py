@@ -13,9 +13,14 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from almoner.model import PERIOD_COLUMN, TABLES, Tables, conform
+from almoner.operators.ids import largest_id
 from almoner.operators.layers import replace_live_layer
 
 
+# Spark does not read files below a name with a leading underscore.
+_LAST_ID = "_last_id"
+
+
 class Versions:
     """The versions of one folder."""
 
@@ -80,12 +85,32 @@ class Store:
         self._write(table, df, self.versions(table).next(), "overwrite", "static")
 
     def append(self, table: str, df: DataFrame) -> None:
-        """Adds rows to the current version, in new files of their months."""
+        """Adds gifts or calls to the current version, in new files of their months."""
         current = self.versions(table).current()
         if current is None:
             self.replace(table, df)
-        else:
-            self._write(table, df, current, "append")
+            return
+        # First, so that an append that dies leaves a gap and never a reused id.
+        self._note_last_id(current, max(self.last_id(table), largest_id(df)))
+        self._write(table, df, current, "append")
+
+    def last_id(self, table: str) -> int:
+        """The largest id given so far. Noted beside the data, so that an append does
+        not read all ids again; the first call after a replacement does."""
+        current = self.versions(table).current()
+        if current is None:
+            return 0
+        noted = Versions(self.spark, f"{current}/{_LAST_ID}").current()
+        if noted:
+            return self.spark.read.parquet(noted).first()[0]
+        last = largest_id(self.read(table))
+        self._note_last_id(current, last)
+        return last
+
+    def _note_last_id(self, current: str, last: int) -> None:
+        notes = Versions(self.spark, f"{current}/{_LAST_ID}")
+        self.spark.range(last, last + 1).write.mode("overwrite").parquet(notes.next())
+        notes.expire()
 
     def replace_since(self, table: str, layer: DataFrame, since: date) -> None:
         """Replaces the rows from ``since`` on. Only folders from its month on are
@@ -105,6 +130,7 @@ class Store:
         month = F.trunc(F.col(time_column).cast("date"), "month")
         kept = {str(r[0]) for r in rows.select(month).distinct().collect()}
         self._write(table, rows, current, "overwrite", "dynamic")
+        versions.delete(f"{current}/{_LAST_ID}")
         # The write leaves folders alone that get no row.
         for folder in versions.glob(f"{current.rsplit('/', 1)[-1]}/{PERIOD_COLUMN}=*"):
             name = folder.rsplit("=", 1)[-1]

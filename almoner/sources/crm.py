@@ -27,30 +27,44 @@ DATE_FORMATS = ("M/d/yyyy", "M/d/yyyy H:mm:ss", "yyyy/M/d", "d MMM yyyy", "MMM d
 _BLANKS = r"\p{IsWhite_Space}"
 
 
-def read_pages(spark: SparkSession, location: str) -> DataFrame:
-    """path, page: one row per landed file, many files per task."""
-    pages = spark.read.text(location, wholetext=True, recursiveFileLookup=True)
-    return pages.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("page"))
+def read_pages(spark: SparkSession, location: str, lines: bool = False) -> DataFrame:
+    """path, page and the place in the file: block, line.
+
+    A file is one page or, with ``lines``, holds a page on each line, which suits
+    very many pages.
+    """
+    files = spark.read.text(location, wholetext=not lines, recursiveFileLookup=True)
+    return number_lines(files.selectExpr(*PAGE_COLUMNS))
+
+
+# What a page needs of a text source, batch or stream.
+PAGE_COLUMNS = (
+    "_metadata.file_path AS path", "_metadata.file_block_start AS block", "value AS page"
+)
+
+
+def number_lines(pages: DataFrame) -> DataFrame:
+    """Adds ``line``, which rises within a block: a block is read by one task in file
+    order. Only for rows as they come from the scan."""
+    return pages.withColumn("line", F.monotonically_increasing_id())
 
 
 def page_items(pages: DataFrame) -> DataFrame:
     """seq, item: the elements of every page's Results; none without such an array.
 
-    ``seq`` sorts items as they were pulled: by folder, then by the last number in
-    the file name, then by position. A page that is not JSON fails the job.
+    ``seq`` sorts items as they were pulled: by folder, then by the last number in the
+    file name, then by place in the file and in the page. A page that is not JSON fails
+    the job.
     """
-    file_name = F.element_at(F.split("path", "/"), -1)
-    number = F.try_to_number(F.regexp_extract(file_name, r"(\d+)\D*$", 1), F.lit("9" * 18))
+    place = ["block", "line"] if "line" in pages.columns else ["0L AS block", "0L AS line"]
     results = F.try_variant_get(F.parse_json("page"), "$.Results", "array<variant>")
-    return pages.select(
-        "path", number.cast("bigint").alias("number"), F.posexplode(results).alias("pos", "item")
-    ).select(
-        F.struct(
-            F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("folder"),
-            F.coalesce("number", F.lit(0)).alias("number"),
-            "path",
-            "pos",
-        ).alias("seq"),
+    items = pages.select(
+        "path", *map(F.expr, place), F.posexplode(results).alias("pos", "item")
+    )
+    number = r"coalesce(try_cast(regexp_extract(path, '(\\d+)[^/\\d]*$', 1) AS BIGINT), 0)"
+    return items.selectExpr(
+        r"struct(regexp_extract(path, '^(.*)/[^/]*$', 1) AS folder,"
+        f" {number} AS number, path, block, line, pos) AS seq",
         "item",
     )
 

@@ -15,7 +15,13 @@ from pyspark.sql.streaming import StreamingQuery
 
 from almoner.operators.merge import Merge, first_per_key, insert_new_donations, upsert_donors
 from almoner.sinks.store import Store, Versions
-from almoner.sources.crm import normalise_donations, normalise_donors, read_pages
+from almoner.sources.crm import (
+    PAGE_COLUMNS,
+    normalise_donations,
+    normalise_donors,
+    number_lines,
+    read_pages,
+)
 
 # Folders of a landing place.
 DONOR_PAGES = "constituents"
@@ -26,11 +32,13 @@ RESULT = "source string, donors bigint, donations bigint, rejected bigint, error
 
 @dataclass(frozen=True)
 class Source:
-    """A landing place: <landing>/constituents and <landing>/transactions."""
+    """A landing place: <landing>/constituents and <landing>/transactions, with files of
+    one page or, with ``lines``, of a page on each line."""
 
     name: str
     landing: str
     enabled: bool = True
+    lines: bool = False
     donor_values: dict = field(default_factory=dict)
     gift_values: dict = field(default_factory=dict)
 
@@ -47,7 +55,7 @@ def apply_donors(store: Store, donors: DataFrame) -> tuple[Merge, int]:
 def apply_gifts(store: Store, gifts: DataFrame) -> tuple[Merge, int]:
     """Only rows really added count. Appending is safe to repeat: gifts written by
     an attempt that died are known to the next one."""
-    merge = insert_new_donations(store.tables(), gifts)
+    merge = insert_new_donations(store.tables(), gifts, last_id=store.last_id("donations"))
     count = merge.rows.count()
     if count:
         store.append("donations", merge.rows)
@@ -71,13 +79,14 @@ def sync(store: Store, sources: Iterable[Source], as_of: date | None = None) ->
         error = None
         try:
             people = normalise_donors(
-                read_pages(spark, f"{source.landing}/{DONOR_PAGES}"), **source.donor_values
+                read_pages(spark, f"{source.landing}/{DONOR_PAGES}", source.lines),
+                **source.donor_values,
             )
             merge, donors = apply_donors(store, people)
             merge.rejected.write.mode("overwrite").parquet(_quarantine(store, source, "donors"))
             rejected += merge.rejected.count()
             given = normalise_donations(
-                read_pages(spark, f"{source.landing}/{GIFT_PAGES}"),
+                read_pages(spark, f"{source.landing}/{GIFT_PAGES}", source.lines),
                 source.name,
                 as_of,
                 **source.gift_values,
@@ -104,19 +113,19 @@ def sync_stream(
     twice. Rejected gifts therefore wait in the quarantine and join the next batch.
     A repeated batch changes nothing.
     """
-    options = {"wholetext": "true", "recursiveFileLookup": "true"}
+    options = {"wholetext": str(not source.lines).lower(), "recursiveFileLookup": "true"}
     if max_files:
         options["maxFilesPerTrigger"] = str(max_files)
     landed = (
         store.spark.readStream.format("text")
         .options(**options)
         .load(source.landing)
-        .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("page"))
+        .selectExpr(*PAGE_COLUMNS)
     )
     waiting = Versions(store.spark, _quarantine(store, source, "waiting"))
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
+        batch = number_lines(batch).persist()
         try:
             people = batch.where(F.col("path").contains(f"/{DONOR_PAGES}/"))
             apply_donors(store, normalise_donors(people, **source.donor_values))

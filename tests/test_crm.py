@@ -104,6 +104,21 @@ def test_pages_without_results_give_nothing(pages):
         crm.page_items(pages(a="<html>")).collect()
 
 
+def test_pages_on_lines_keep_their_order(spark, tmp_path, monkeypatch):
+    # Small blocks, so that a file is read by several tasks.
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    try:
+        text = [page([{"FullName": f"{i:04}"}, {"FullName": f"{i:04}b"}]) for i in range(200)]
+        (tmp_path / "pull-1.jsonl").write_text("\n".join(text[:120]))
+        (tmp_path / "pull-2.jsonl").write_text("\n".join(text[120:]))
+        pages = crm.read_pages(spark, str(tmp_path), lines=True)
+        assert pages.rdd.getNumPartitions() > 4
+        names = in_order(crm.normalise_donors(pages), "name")
+        assert len(names) == 400 and names == sorted(names)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_items_are_ordered_by_folder_page_and_position(spark, tmp_path):
     for folder, number, names in (
         ("pull=2", 1, ["e"]),

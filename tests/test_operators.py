@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from almoner.model import TABLES
 from almoner.operators import lookup as joins
-from almoner.operators.ids import assign_ids
+from almoner.operators.ids import assign_ids, largest_id
 from almoner.operators.layers import replace_live_layer
 from almoner.operators.merge import insert_ignore, insert_new_donations, upsert_donors
 from almoner.operators.validate import validate_tables
@@ -78,14 +78,15 @@ def test_without(skewed, bound, monkeypatch):
 
 def test_ids_follow_the_largest_without_gaps(spark):
     target = spark.createDataFrame([(7,), (41,)], "id bigint")
+    assert (largest_id(target), largest_id(target.where("false"))) == (41, 0)
     new = spark.range(1000).selectExpr("id * 3 AS payload").repartition(7)
     # Empty partitions in between.
     new = new.where("payload % 2 = 0")
-    done = assign_ids(new, target)
+    done = assign_ids(new, 41)
     assert sorted(r.id for r in done.collect()) == list(range(42, 42 + new.count()))
     assert rows(done.select("payload")) == rows(new)
     assert rows(done) == rows(done)
-    assert sorted(r.id for r in assign_ids(new, target.where("false")).collect())[0] == 1
+    assert min(r.id for r in assign_ids(new, 0).collect()) == 1
 
 
 # -- upserts ------------------------------------------------------------------

@@ -9,7 +9,7 @@ from hand_made import ROWS, call, gift
 from pyspark.sql import functions as F
 
 from almoner.model import TABLES, conform
-from almoner.operators.periods import since, until
+from almoner.operators.periods import newest_months, on_days_of, since
 from almoner.plans import REPORTS
 from almoner.plans.donors import shared
 from almoner.sinks import files
@@ -82,12 +82,48 @@ def test_period_filters_prune_months(store):
     gifts = store.read("donations")
     late = since(gifts, "gift_date", F.lit(date(2026, 6, 1)))
     assert sorted(r.id for r in late.collect()) == [2, 5]
-    early = until(gifts, "gift_date", F.lit(date(2026, 5, 30)))
-    assert sorted(r.id for r in early.collect()) == [1, 4]
-    plan = late._jdf.queryExecution().executedPlan().toString()
-    assert "period_month" in plan.split("PartitionFilters: [")[1].split("]")[0]
-    day = until(store.read("calls"), "call_time", F.lit(date(2026, 6, 1)))
-    assert [r.id for r in day.collect()] == [1]
+    assert "period_month" in partition_filters(late)
+    # 2025-06-10 and 2026-05-31: the months between are not opened.
+    same = on_days_of(gifts, gifts.where("id IN (1, 3)"), "gift_date")
+    assert sorted(r.id for r in same.collect()) == [1, 3, 4]
+    assert "period_month" in partition_filters(same)
+    none = on_days_of(gifts, gifts.where("false"), "gift_date")
+    assert none.count() == 0
+
+
+def partition_filters(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_newest_months(store, monkeypatch):
+    gifts = store.read("donations")
+    kept = lambda n: sorted(r.id for r in newest_months(gifts, n).collect())
+    assert kept(0) == kept(2) == [2, 5]
+    assert kept(3) == kept(4) == [2, 3, 4, 5]
+    assert kept(5) == kept(99) == [1, 2, 3, 4, 5]
+    assert "period_month" in partition_filters(REPORTS["call_rows"](store.tables(), limit=1))
+    # Many donors: gifts without a donor make the search go on to older months.
+    from almoner.operators import lookup
+
+    monkeypatch.setattr(lookup, "fits_broadcast", lambda df, *a: "label" in str(df.columns) or "campaign" in df.columns or "channel" in df.columns)
+    tables = store.tables().with_(donors=store.read("donors").where("name = 'D1'"))
+    assert [r.amount for r in REPORTS["donation_rows"](tables, limit=2).collect()] == [50, 100]
+
+
+def test_last_id(store, spark, tmp_path, make_tables):
+    assert Store(spark, str(tmp_path / "none")).last_id("donations") == 0
+    assert store.last_id("donations") == 5
+    more = make_tables(donations=[gift(70, "2026-06-11", "D1", "C1", "H1", 3)]).donations
+    store.append("donations", more)
+    assert store.last_id("donations") == 70
+    store.append("donations", more.withColumn("id", F.lit(8).cast("bigint")))
+    assert store.last_id("donations") == 70
+    assert store.read("donations").count() == 7
+    store.replace_since("donations", more, date(2026, 6, 1))
+    assert store.last_id("donations") == 70
+    store.replace("donations", store.read("donations").where("id < 4"))
+    assert store.last_id("donations") == 3
 
 
 def test_reports_read_a_store(store, make_tables):

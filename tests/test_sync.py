@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import json
 import shutil
+from dataclasses import replace
 from datetime import date
 
 import pytest
@@ -105,6 +106,18 @@ def test_stream_takes_each_file_once(store, landing, tmp_path):
     assert gifts(store) == [("D1", 8), ("N1", 5), ("Nobody", 5)]
 
 
+def test_stream_of_pages_on_lines(store, landing, tmp_path):
+    for kind in ("constituents", "transactions"):
+        pages = sorted((landing.root / kind).glob("*.json"))
+        text = "\n".join(p.read_text() for p in pages)
+        (tmp_path / "lines" / kind).mkdir(parents=True)
+        (tmp_path / "lines" / kind / "pull-1.jsonl").write_text(text)
+    on_lines = replace(source(landing), landing=str(tmp_path / "lines"), lines=True)
+    query = sync_stream(store, on_lines, str(tmp_path / "progress"), TODAY)
+    query.awaitTermination()
+    assert (gifts(store), names(store)) == ([("D1", 8), ("N1", 5)], ["D1", "D2", "D3", "N1"])
+
+
 def test_stream_in_small_batches_ends_the_same(store, landing, tmp_path):
     run(store, landing, tmp_path, max_files=1)
     assert names(store) == ["D1", "D2", "D3", "N1"]
