@@ -11,22 +11,29 @@ from pyspark.sql import DataFrame, functions as F
 
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 * 1024 * 1024
+PROBE_ROWS = 1000
 HOT_KEYS = 128
 
 
 def fits_broadcast(
     df: DataFrame, max_rows: int | None = None, max_bytes: int | None = None
 ) -> bool:
-    """Runs one aggregate over ``df`` to see if it is small.
+    """Measures ``df`` to see if it is small.
 
-    Counting all of it moves one row per task. A limit would not be cheaper: each
+    The widths of a few rows settle it for the usual lookup table. A larger one is
+    counted whole, which moves one row per task; a limit would not be cheaper, as each
     task would ship up to ``max_rows`` rows to a single one.
     """
     max_rows = BROADCAST_ROWS if max_rows is None else max_rows
     max_bytes = BROADCAST_BYTES if max_bytes is None else max_bytes
     texts = [f"coalesce(octet_length({c}), 0)" for c, t in df.dtypes if t == "string"]
     width = " + ".join([str(16 * len(df.columns)), *texts])
-    n, n_bytes = df.agg(F.expr("count(1)"), F.expr(f"coalesce(sum({width}), 0)")).first()
+    widths = df.selectExpr(f"{width} AS width")
+    few = [row.width for row in widths.head(PROBE_ROWS + 1)]
+    if len(few) <= PROBE_ROWS:
+        n, n_bytes = len(few), sum(few)
+    else:
+        n, n_bytes = widths.agg(F.expr("count(1)"), F.expr("sum(width)")).first()
     return n <= max_rows and n_bytes <= max_bytes
 
 

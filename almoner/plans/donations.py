@@ -199,22 +199,18 @@ def channel_totals(tables: Tables) -> DataFrame:
     )
 
 
-def _labelled(tables: Tables) -> DataFrame:
+def _labelled(tables: Tables, gifts: DataFrame) -> DataFrame:
     """Gifts with campaign and channel labels; gifts without either are left out."""
     campaigns = tables.campaigns.selectExpr("id AS campaign_id", "label AS campaign")
     channels = tables.channels.selectExpr("id AS channel_id", "label AS channel")
-    with_campaign = joins.lookup(tables.donations, campaigns, "campaign_id")
-    return joins.lookup(with_campaign, channels, "channel_id")
+    return joins.lookup(joins.lookup(gifts, campaigns, "campaign_id"), channels, "channel_id")
 
 
 def donation_rows(tables: Tables, limit: int = DEFAULT_LIMIT) -> DataFrame:
-    """The newest gifts of any status. Runs jobs to choose the join to the donors."""
-    check_limit(limit)
+    """The newest gifts of any status. Runs jobs to find them."""
     newest = [F.desc("gift_date"), F.desc("id")]
-    gifts = _labelled(tables)
-    givers = tables.donors.selectExpr("name AS donor_name", "segment_id")
     return (
-        _newest_with_donor(gifts, givers, newest, limit)
+        _newest_with_parents(tables, newest, check_limit(limit))
         .orderBy(*newest)
         .limit(limit)
         .select(
@@ -229,32 +225,30 @@ def donation_rows(tables: Tables, limit: int = DEFAULT_LIMIT) -> DataFrame:
     )
 
 
-def _newest_with_donor(
-    gifts: DataFrame, givers: DataFrame, newest: list[Column], limit: int
-) -> DataFrame:
-    """Gifts joined to their donors, holding at least the ``limit`` newest matches.
+def _newest_with_parents(tables: Tables, newest: list[Column], limit: int) -> DataFrame:
+    """Gifts joined to donor, campaign and channel, with at least the ``limit`` newest.
 
-    With many donors the newest gifts are taken first and only those are joined.
-    Gifts of unknown donors drop out, so more are taken until enough match; past
-    the broadcast bound all gifts are joined.
+    The newest gifts are taken first and only those are joined. Gifts without a parent
+    drop out, so more are taken until enough are left; past the broadcast bound all
+    gifts are joined.
     """
-    if joins.fits_broadcast(givers):
-        return gifts.join(F.broadcast(givers), "donor_name")
+    givers = tables.donors.selectExpr("name AS donor_name", "segment_id")
     take = max(limit, 1)
     while take <= joins.BROADCAST_ROWS:
-        recent = newest_months(gifts, take).orderBy(*newest).limit(take)
+        recent = newest_months(tables.donations, take).orderBy(*newest).limit(take)
         candidates = checkpointed(recent)
-        matched = givers.join(F.broadcast(candidates), "donor_name")
+        labelled = _labelled(tables, candidates)
+        matched = checkpointed(givers.join(F.broadcast(labelled), "donor_name"))
         if matched.count() >= limit or candidates.count() < take:
             return matched
         take *= 10
-    return joins.lookup(gifts, givers, "donor_name")
+    return joins.lookup(_labelled(tables, tables.donations), givers, "donor_name")
 
 
 def donations_export(tables: Tables) -> DataFrame:
     """All gifts, newest first. Sorted on (date, id): a busy day spans many tasks."""
     return (
-        _labelled(tables)
+        _labelled(tables, tables.donations)
         .orderBy(F.desc("gift_date"), F.desc("id"))
         .select(
             F.date_format("gift_date", "yyyy-MM-dd").alias("gift_date"),

@@ -34,10 +34,3 @@ def make_tables(spark):
 
     return make
 
-
-@pytest.fixture
-def no_broadcast(monkeypatch):
-    """Makes every side too large to broadcast by its measured size."""
-    from almoner.operators import lookup
-
-    monkeypatch.setattr(lookup, "BROADCAST_ROWS", -1)

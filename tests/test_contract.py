@@ -53,6 +53,7 @@ def test_plans_stay_in_the_engine(spark, name):
 def test_scans_are_narrow_and_filtered(spark):
     plan = plan_of(QUERIES["monthly_donations"](spark, SF))
     assert "ReadSchema: struct<o_orderstatus:string,o_totalprice:double,o_orderdate:timestamp_ntz>" in plan
+    assert "PushedFilters: [EqualNullSafe(o_orderstatus,F)]" in plan
     plan = plan_of(QUERIES["donor_lifecycle"](spark, SF))
     assert "ReadSchema: struct<c_nationkey:int>" in plan
     # Donors without their first gift do not read the orders for it.

@@ -62,6 +62,10 @@ def test_fits_broadcast_counts_rows_and_bytes(spark):
     assert not joins.fits_broadcast(df, max_rows=99)
     assert not joins.fits_broadcast(df, max_bytes=100_000)
     assert joins.fits_broadcast(df.where("false"), max_rows=0, max_bytes=0)
+    many = spark.range(5000).selectExpr("id", "'x' AS text")
+    assert joins.fits_broadcast(many, max_rows=5000)
+    assert not joins.fits_broadcast(many, max_rows=4999)
+    assert not joins.fits_broadcast(many, max_bytes=5000 * 33 - 1)
 
 
 @pytest.mark.parametrize("bound", [None, -1])

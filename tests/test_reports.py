@@ -205,18 +205,22 @@ def test_ties_are_ordered_by_key(make_tables):
     assert [r[4] for r in rows(REPORTS["donation_rows"](tied))] == [f"Label H{i}" for i in (3, 2, 1)]
 
 
-def test_donation_rows_with_many_donors(tables, make_tables, no_broadcast, monkeypatch):
+def test_donation_rows_looks_past_gifts_without_a_donor(make_tables, monkeypatch):
     from almoner.operators import lookup
 
-    assert rows(REPORTS["donation_rows"](tables)) == EXPECTED["donation_rows"]
-    # Takes 1, 10, 100 newest gifts until enough of them have a known donor.
-    monkeypatch.setattr(lookup, "BROADCAST_ROWS", 1000)
-    monkeypatch.setattr(lookup, "fits_broadcast", lambda df, *a: False)
-    gifts = [gift(100 - i, "2026-06-10", "D1" if i % 40 == 39 else "X", "C1", "H1", i) for i in range(100)]
+    gifts = [
+        gift(100 - i, "2026-06-10", "D1" if i % 40 == 39 else "X", "C1", "H1", i)
+        for i in range(100)
+    ]
     many = make_tables(**ROWS | {"donations": gifts})
-    assert [r[5] for r in rows(REPORTS["donation_rows"](many, limit=1))] == [39]
-    assert [r[5] for r in rows(REPORTS["donation_rows"](many, limit=2))] == [39, 79]
-    assert [r[5] for r in rows(REPORTS["donation_rows"](many, limit=50))] == [39, 79]
+    amounts = lambda limit: [r[5] for r in rows(REPORTS["donation_rows"](many, limit))]
+    # Takes 1, 10, 100 gifts in turn.
+    assert (amounts(1), amounts(2), amounts(50)) == ([39], [39, 79], [39, 79])
+    # Beyond the bound all gifts are joined.
+    monkeypatch.setattr(lookup, "BROADCAST_ROWS", 15)
+    assert (amounts(1), amounts(2), amounts(50)) == ([39], [39, 79], [39, 79])
+    monkeypatch.setattr(lookup, "BROADCAST_ROWS", -1)
+    assert rows(REPORTS["donation_rows"](make_tables(**ROWS))) == EXPECTED["donation_rows"]
 
 
 def test_shared_sums_change_nothing(tables):
