@@ -17,9 +17,11 @@ NATURAL_KEY = ("donor_name", "gift_date", "amount", "campaign_id", "channel_id")
 
 
 class Merge(NamedTuple):
-    """``rows`` is the new table (or the rows to add); ``rejected`` carries a reason."""
+    """``rows`` is the new table (or the rows to add), ``changed`` what of it differs
+    from the old one; ``rejected`` carries a reason."""
 
     rows: DataFrame
+    changed: DataFrame
     rejected: DataFrame
     accepted: DataFrame
 
@@ -79,14 +81,19 @@ def upsert_donors(tables: Tables, batch: DataFrame) -> Merge:
         )
     else:
         merged = target.join(incoming, "name", "full_outer")
-    rows = merged.selectExpr(
+    result = (
         "name",
         "coalesce(new_segment_id, segment_id) AS segment_id",
         "greatest(max_gift, new_max_gift) AS max_gift",
         "coalesce(first_gift, new_first_gift) AS first_gift",
         "coalesce(new_lifecycle, lifecycle) AS lifecycle",
     )
-    return Merge(rows, checked.where(F.col("reason").isNotNull()), accepted)
+    changed = merged.where(
+        "new_segment_id <> segment_id OR new_lifecycle <> lifecycle OR new_max_gift > max_gift"
+        " OR segment_id IS NULL"
+    )
+    rejected = checked.where(F.col("reason").isNotNull())
+    return Merge(merged.selectExpr(*result), changed.selectExpr(*result), rejected, accepted)
 
 
 def insert_new_donations(
@@ -114,7 +121,7 @@ def insert_new_donations(
     extra = ["source_ref"] if "source_ref" in target.columns else []
     new = without(fresh, existing, keys, wanted=accepted).select(*stored, *extra)
     rows = assign_ids(new, largest_id(target) if last_id is None else last_id)
-    return Merge(rows, checked.where(F.col("reason").isNotNull()), accepted)
+    return Merge(rows, rows, checked.where(F.col("reason").isNotNull()), accepted)
 
 
 def insert_ignore(target: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:

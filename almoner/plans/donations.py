@@ -238,7 +238,8 @@ def _newest_with_parents(tables: Tables, newest: list[Column], limit: int) -> Da
         recent = newest_months(tables.donations, take).orderBy(*newest).limit(take)
         candidates = checkpointed(recent)
         labelled = _labelled(tables, candidates)
-        matched = checkpointed(givers.join(F.broadcast(labelled), "donor_name"))
+        few = F.broadcast(labelled) if joins.fits_broadcast(labelled) else labelled
+        matched = checkpointed(givers.join(few, "donor_name"))
         if matched.count() >= limit or candidates.count() < take:
             return matched
         take *= 10

@@ -44,12 +44,13 @@ class Source:
 
 
 def apply_donors(store: Store, donors: DataFrame) -> tuple[Merge, int]:
-    """Every accepted row counts as one upsert."""
+    """Every accepted row counts as one upsert. The table is written again only when a
+    donor changes, and the version before stays for those who still read it."""
     merge = upsert_donors(store.tables(), donors)
-    count = merge.accepted.count()
-    if count:
+    if merge.changed.head(1):
         store.replace("donors", merge.rows)
-    return merge, count
+        store.versions("donors").expire()
+    return merge, merge.accepted.count()
 
 
 def apply_gifts(store: Store, gifts: DataFrame) -> tuple[Merge, int]:

@@ -138,6 +138,9 @@ def test_upsert_is_row_by_row(spark, make_tables, seed, bound, monkeypatch):
     assert merged.rejected.count() == 0 and merged.accepted.count() == 60
     again = upsert_donors(tables.with_(donors=merged.rows), frame)
     assert rows(again.rows) == rows(merged.rows)
+    before = set(ROWS["donors"])
+    assert rows(merged.changed) == [d for d in rows(merged.rows) if d not in before]
+    assert (again.changed.count() == 0) == (rows(again.rows) == rows(merged.rows))
 
 
 def test_upsert_in_two_halves(spark, make_tables):
