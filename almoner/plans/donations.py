@@ -22,8 +22,6 @@ DEFAULT_LIMIT = 100
 TREND_DAYS = 30
 PLEDGE_FACTOR = Decimal("0.22")
 
-MONTHS = range(1, 13)
-
 
 def completed(tables: Tables) -> DataFrame:
     return tables.donations.where(F.col("status") == COMPLETED)
@@ -100,39 +98,33 @@ def monthly_trend(
 ) -> DataFrame:
     """One-time against recurring givers by calendar month, plus a pledge estimate.
 
-    Gifts are summed to one row per donor with twelve columns, so the shuffle to
-    the donors carries partial sums, and a donor with very many gifts is one row.
+    Gifts are summed per donor and month before they meet the donors, so a donor with
+    very many gifts is at most twelve rows of that join.
     """
     per_donor = (
         completed(tables)
-        .selectExpr("donor_name", "month(gift_date) AS month", "coalesce(amount, 0) AS amount")
-        .groupBy("donor_name")
-        .agg(*(F.expr(f"sum(CASE WHEN month = {m} THEN amount END) AS m{m}") for m in MONTHS))
+        .groupBy("donor_name", F.expr("month(gift_date) AS month"))
+        .agg(_raised("raised"))
     )
     givers = tables.donors.select(
         F.col("name").alias("donor_name"), (F.col("segment_id") == recurring).alias("recurs")
     )
-    per_kind = (
-        per_donor.join(givers, "donor_name")
-        .groupBy("recurs")
-        .agg(*(F.expr(f"sum(m{m}) AS m{m}") for m in MONTHS))
-    )
-    columns = ", ".join(f"{m}, m{m}" for m in MONTHS)
     by_month = (
-        per_kind.selectExpr("recurs", f"stack({len(MONTHS)}, {columns}) AS (month, amount)")
-        .where("amount IS NOT NULL")
-        .repartition(1)  # at most a row per kind and month
+        per_donor.join(givers, "donor_name")
         .groupBy("month")
         .agg(
-            F.expr("coalesce(sum(CASE WHEN NOT recurs THEN amount END), 0) AS one_time"),
-            F.expr("coalesce(sum(CASE WHEN recurs THEN amount END), 0) AS recurring"),
-            F.sum("amount").alias("total"),
+            F.expr("coalesce(sum(CASE WHEN NOT recurs THEN raised END), 0) AS one_time"),
+            F.expr("coalesce(sum(CASE WHEN recurs THEN raised END), 0) AS recurring"),
+            F.sum("raised").alias("total"),
         )
     )
     pledges = (F.col("total") * F.lit(pledge_factor)).cast("decimal(28,2)").cast("double")
-    return by_month.select(
-        "month", month_name("month"), "one_time", "recurring", pledges.alias("pledges")
-    ).orderBy("month")
+    return sorted_few(
+        by_month.select(
+            "month", month_name("month"), "one_time", "recurring", pledges.alias("pledges")
+        ),
+        "month",
+    )
 
 
 def daily_trend(tables: Tables, as_of: date | None = None, days: int = TREND_DAYS) -> DataFrame:
