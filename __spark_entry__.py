@@ -7,6 +7,8 @@ import sys
 from collections.abc import Callable
 from datetime import date
 from functools import partial
+from importlib import import_module
+from importlib.util import find_spec
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -320,8 +322,30 @@ def queries() -> dict[str, Query]:
         "donations_csv": partial(_csv, "donations_export", files.DONATION_HEADER),
         "calls_csv": partial(_csv, "calls_export", files.CALL_HEADER),
     }
-    return reports | scoped_reports | {job.__name__: job for job in jobs} | exports
+    return reports | scoped_reports | {job.__name__: job for job in jobs} | exports | _corpus()[0]
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.all_sql()
+    return oracles.all_sql() | _corpus()[1]
+
+
+def _there(module: str) -> bool:
+    try:
+        return find_spec(module) is not None
+    except ModuleNotFoundError:  # the folder itself is gone
+        return False
+
+
+def _corpus() -> tuple[dict[str, Query], dict[str, str]]:
+    """Queries and SQL on text corpora, as far as that optional part is installed."""
+    found: dict[str, Query] = {}
+    sql: dict[str, str] = {}
+    if _there("almoner.llm.queries"):
+        part = import_module("almoner.llm.queries")
+        found, sql = found | part.queries(), sql | part.oracle_sql()
+    if _there("corpus_pipeline"):
+        pipeline = import_module("corpus_pipeline")
+        found["pipeline"] = pipeline.run
+        if pipeline.ORACLE_SQL:
+            sql["pipeline"] = pipeline.ORACLE_SQL
+    return found, sql

@@ -14,8 +14,10 @@ from conftest import SF
 import __spark_entry__ as contract
 import oracles
 
-QUERIES = contract.queries()
-ORACLES = contract.oracle_sql()
+# What the optional corpus part adds has its own tests.
+CORPUS_QUERIES, CORPUS_ORACLES = contract._corpus()
+QUERIES = {name: query for name, query in contract.queries().items() if name not in CORPUS_QUERIES}
+ORACLES = {name: sql for name, sql in contract.oracle_sql().items() if name not in CORPUS_ORACLES}
 
 
 @pytest.fixture(scope="module")
