@@ -1,8 +1,9 @@
 """Benchmark decontamination by spaced-seed hashing.
 
 A mask is laid over every run of ``SPAN`` tokens; the tokens at its 1s are hashed, those at its 0s may be anything. The
-three masks leave out every third place each, so a run is found whenever its changed tokens share a place modulo 3, as a single
-one always does. Hashes of documents are joined to those of the benchmark's items; every hit names an item and a shift.
+first mask leaves out every third place; as it is laid at each place, changed tokens whose distances are multiples of
+three, so any single one, do not hide a run. The second leaves out three places in a row, so a phrase may be exchanged.
+Hashes of documents are joined to those of the benchmark's items; every hit names an item and a shift.
 Along each shift document and item are laid over each other, and the hit counts when some
 ``OVERLAP`` neighbouring tokens (the whole item, if it is shorter) agree but for the share ``SUBSTITUTED``.
 
@@ -23,7 +24,7 @@ from almoner.llm.common import staged, text_key
 from almoner.operators.lookup import fits_broadcast
 
 SPAN = 9
-MASKS = ("110110110", "101101101", "011011011")
+MASKS = ("110110110", "111000111")
 OVERLAP = 13
 SUBSTITUTED = 0.2
 
@@ -38,7 +39,7 @@ def _hashed(text: Column) -> Column:
 
 
 def _seeds(hashed: str) -> Column:
-    """The seeds of a column of token hashes, mask after mask for each place. The column is named twice, so
+    """The seeds of a column of token hashes, mask after mask for each place. The column is named often, so
     the optimiser keeps it out of the lambda."""
     masked = (
         "xxhash64(" + ", ".join([str(m), *(f"get({hashed}, i + {k})" for k, c in enumerate(mask) if c == "1")]) + ")"
