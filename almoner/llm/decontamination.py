@@ -85,10 +85,10 @@ def _verified(texts: DataFrame, hits: DataFrame, items: DataFrame) -> DataFrame:
     kept = chosen.groupBy("doc_id", "text_key").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
     doc = F.transform(tokens(F.col("text")), lambda t: F.xxhash64(t))
     kept = kept.select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"), "copies", doc.alias("doc"))
-    small = items.select("item_id", "item_key", "item")
+    small = items.select(F.col("item_id").alias("known_id"), F.col("item_key").alias("known_key"), "item")
     small = F.broadcast(small) if fits_broadcast(small) else small
     laid = hits.join(kept, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("text_key"))).join(
-        small, ["item_id", "item_key"]
+        small, (F.col("known_key") == F.col("item_key")) & F.col("known_id").eqNullSafe(F.col("item_id"))
     )
     low, high = "greatest(0, shift)", "least(size(doc), shift + size(item)) - 1"
     equal = F.expr(
