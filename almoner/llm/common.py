@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import os
-import re
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -17,7 +17,6 @@ from almoner.session import fresh_dir
 
 # White space of a text: blank, tab, line feed, vertical tab, form feed, carriage return.
 SPACE_CHARS = " \t\n\x0b\x0c\r"
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def held_out(doc_id: Column, folds: int) -> Column:
@@ -109,3 +108,63 @@ class Remembered(dict):
             value = self.make(key)
         self[key] = value
         return value
+
+
+_ODD = 0x9E3779B97F4A7C15
+_INVERSE = pow(_ODD, -1, 1 << 64)
+_SPACE = np.zeros(256, bool)
+_SPACE[[ord(c) for c in SPACE_CHARS]] = True
+_VALUES = np.random.default_rng(17).integers(0, 1 << 64, 256, dtype=np.uint64)
+_LOWER_VALUES = _VALUES.copy()
+_LOWER_VALUES[65:91] = _VALUES[97:123]
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+PIECE_BYTES = 1 << 20
+
+
+def mixed(values: np.ndarray) -> np.ndarray:
+    """Spreads every bit of 64-bit values over all bits."""
+    for _ in range(2):
+        values = (values ^ (values >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return values ^ (values >> np.uint64(32))
+
+
+def _power_tables(n: int) -> list[np.ndarray]:
+    if len(_powers[0]) < n:
+        for i, base in enumerate((_ODD, _INVERSE)):
+            steps = np.full(n, base, np.uint64)
+            steps[0] = 1
+            _powers[i] = np.multiply.accumulate(steps)
+    return _powers
+
+
+def word_hashes(texts: list[str | None], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit hash of every word of the texts in turn, and how many words each text has.
+
+    A hash is a polynomial over random values of the word's bytes, so all words of a piece come from one running
+    sum. ``lower`` makes A-Z equal to a-z."""
+    encoded = [(text or "").encode() for text in texts]
+    data = np.frombuffer(b" ".join(encoded) + b" ", np.uint8)
+    values = _LOWER_VALUES if lower else _VALUES
+    hashes, places, at = [], [], 0
+    while at < len(data):
+        end = min(at + PIECE_BYTES, len(data))
+        space = _SPACE[data[at:end]]
+        while not space[-1]:  # cut behind a space; a longer word is taken whole
+            last = np.flatnonzero(space)
+            if len(last):
+                space = space[: last[-1] + 1]
+            else:
+                end = min(end + PIECE_BYTES, len(data))
+                space = _SPACE[data[at:end]]
+        n = len(space)
+        power, inverse = _power_tables(max(n, PIECE_BYTES))
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum(values[data[at : at + n]] * power[:n], out=total[1:])
+        change = np.flatnonzero(np.diff(space, prepend=True))
+        starts, ends = change[::2], change[1::2]
+        hashes.append(mixed((total[ends] - total[starts]) * inverse[starts]))
+        places.append(starts + at)
+        at += n
+    ends = np.cumsum([len(e) + 1 for e in encoded])
+    counts = np.diff(np.searchsorted(np.concatenate(places), ends), prepend=0) if texts else np.zeros(0, np.int64)
+    return np.concatenate(hashes), counts

@@ -32,7 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from almoner.llm.common import WORD, Remembered, map_batches, slices, staged, text_key, unused
+from almoner.llm.common import map_batches, slices, staged, text_key, unused, word_hashes
 from almoner.operators.lookup import fits_broadcast
 
 SHINGLE = 5
@@ -44,7 +44,6 @@ TOLERANCE = 1e-4
 SMALL = 64
 TILE = 512
 
-_hashes = Remembered(xxhash.xxh3_64_intdigest, 200_000)
 _draw = np.random.default_rng(5)
 _MULTIPLY = _draw.integers(1, 1 << 62, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _draw.integers(0, 1 << 63, VALUES, dtype=np.uint64)
@@ -53,8 +52,7 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 def shingles(text: str | None) -> np.ndarray:
     """The distinct shingle hashes of a text, sorted."""
-    found = WORD.findall(text or "")
-    words = np.fromiter((_hashes[w] for w in found), np.uint64, len(found))
+    words, _ = word_hashes([text])
     width = min(SHINGLE, len(words))
     if not width:
         return words

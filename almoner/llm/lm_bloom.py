@@ -26,21 +26,19 @@ nothing to learn from, N = V = 0 and each token has the probability 1. Only ``do
 from __future__ import annotations
 
 import math
-import string
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from almoner.llm.common import WORD, Remembered, held_out, learnt, map_batches, slices, staged
+from almoner.llm.common import held_out, learnt, map_batches, mixed, slices, staged, word_hashes
 
 SMOOTHING = 0.1
 MIX = 0.7
 FILTER_BYTES = 1 << 25
-PROBES = 5
+PROBES = 3
 BITS_PER_ENTRY = 9
 SMALLEST_BIGRAM = 2
 LEVELS = 48
@@ -48,27 +46,9 @@ HEAD = 200_000
 TOKENS_PER_SEGMENT = 1 << 21
 MOST_SEGMENTS = 1 << 20
 TOKENS_COUNTED_AT_ONCE = 2_000_000
+BLOCK = 1 << 15
 END, START = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC3A5C85C97CB3127)
-_LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
-_UP, _MIX1, _MIX2 = np.uint64(32), np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-
-_hashes = Remembered(xxhash.xxh3_64_intdigest, 300_000)
-
-
-def token_hashes(text: str | None) -> np.ndarray:
-    """The hash of each token of a text, the end included."""
-    words = WORD.findall((text or "").translate(_LOWER))
-    out = np.empty(len(words) + 1, np.uint64)
-    out[:-1] = np.fromiter((_hashes[w] for w in words), np.uint64, len(words))
-    out[-1] = END
-    return out
-
-
-def mixed(values: np.ndarray) -> np.ndarray:
-    values = (values ^ (values >> _UP)) * _MIX2
-    values = (values ^ (values >> _UP)) * _MIX2
-    return values ^ (values >> _UP)
-
+_UP, _MIX1 = np.uint64(32), np.uint64(0x9E3779B97F4A7C15)
 
 def bigram_hashes(tokens: np.ndarray, starts: np.ndarray | None = None) -> np.ndarray:
     """The hash of each token with the one before it; ``starts`` are the places where texts begin."""
@@ -84,6 +64,8 @@ def levels(counts: np.ndarray) -> np.ndarray:
 
 _SALTS = [np.uint64(int(_MIX1) * q % (1 << 64)) for q in range(LEVELS + 1)]
 
+_BITS = np.left_shift(1, np.arange(8)).astype(np.uint8)
+
 # The geometric middle of the counts of a level; 0 for none.
 LEVEL_COUNT = np.concatenate([[0.0, 1.0], 2.0 ** (np.arange(2, LEVELS + 1) - 0.5)])
 
@@ -93,27 +75,42 @@ class Filter:
 
     def __init__(self, segments: int, segment_bytes: int, data: np.ndarray):
         self.shift = np.uint64(64 - (segments.bit_length() - 1))
-        self.segments, self.bits, self.data = segments, np.uint64(segment_bytes * 8), data
+        self.segments, self.data = segments, data
+        # Both are powers of two.
+        self.bits, self.within = np.uint64(segment_bytes * 8), np.uint64(segment_bytes * 8 - 1)
 
     def segment(self, hashes: np.ndarray) -> np.ndarray:
         return hashes >> self.shift if self.segments > 1 else np.zeros(len(hashes), np.uint64)
 
-    def places(self, hashes: np.ndarray, level: int, probe: int) -> np.ndarray:
-        """The bit that a probe of (n-gram, level) looks at."""
-        salted = mixed(hashes + _SALTS[level])
-        step = (salted >> _UP) | np.uint64(1)
-        return self.segment(hashes) * self.bits + (salted + step * np.uint64(probe)) % self.bits
+    def salted(self, hashes: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where the probes of (n-gram, level) begin, and how far they are apart."""
+        mix = mixed(hashes + _SALTS[level])
+        return mix, (mix >> _UP) | np.uint64(1)
 
     def read(self, hashes: np.ndarray) -> np.ndarray:
-        """The level of each n-gram: probes go on until one misses."""
-        level = np.zeros(len(hashes), np.int64)
-        left = np.arange(len(hashes))
+        """The level of each n-gram: probes go on until one misses.
+
+        The n-grams are read in the order of their hashes, which is the order of the segments, a block at a time."""
+        order = np.argsort(hashes)
+        level = np.zeros(len(hashes), np.uint8)
+        for at in range(0, len(order), BLOCK):
+            block = order[at : at + BLOCK]
+            level[block] = self._read_block(hashes[block])
+        return level
+
+    def _read_block(self, hashes: np.ndarray) -> np.ndarray:
+        level = np.zeros(len(hashes), np.uint8)
+        left, first = np.arange(len(hashes)), self.segment(hashes) * self.bits
         for q in range(1, LEVELS + 1):
-            for probe in range(PROBES):
-                bit = self.places(hashes[left], q, probe)
-                left = left[(self.data[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1]
-                if not len(left):
-                    return level
+            start, step = self.salted(hashes, q)
+            hit = np.ones(len(hashes), bool)
+            for _ in range(PROBES):
+                bit = first + (start & self.within)
+                hit &= (self.data[bit >> np.uint64(3)] & _BITS[bit & np.uint64(7)]) != 0
+                start += step
+            left, hashes, first = left[hit], hashes[hit], first[hit]
+            if not len(left):
+                break
             level[left] = q
         return level
 
@@ -123,9 +120,9 @@ def filter_segment(hashes: np.ndarray, level: np.ndarray, segments: int, segment
     own = Filter(segments, segment_bytes, np.zeros(0, np.uint8))
     data = np.zeros(segment_bytes, np.uint8)
     for q in range(1, int(level.max(initial=0)) + 1):
-        reached = hashes[level >= q]
+        start, step = own.salted(hashes[level >= q], q)
         for probe in range(PROBES):
-            bit = own.places(reached, q, probe) % own.bits
+            bit = (start + step * np.uint64(probe)) & own.within
             np.bitwise_or.at(data, bit >> np.uint64(3), np.left_shift(1, bit & np.uint64(7)).astype(np.uint8))
     return data.tobytes()
 
@@ -147,28 +144,22 @@ class Model:
         return self.tokens + SMOOTHING * (self.distinct + 1) if self.tokens else SMOOTHING
 
 
-def _counted(texts: list[str | None], kinds: dict) -> int:
-    """Counts the n-grams of the texts; gives the number of tokens."""
-    tokens, starts = _concatenated(texts)
-    kinds["unigram"].append(np.unique(tokens, return_counts=True))
-    kinds["bigram"].append(np.unique(bigram_hashes(tokens, starts), return_counts=True))
-    return len(tokens)
-
+def token_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all texts' tokens and the place where each text begins; a text has one token at least, its end."""
+    hashes, counts = word_hashes(texts, lower=True)
+    tokens = np.full(len(hashes) + len(texts), END, np.uint64)
+    tokens[np.arange(len(hashes)) + np.repeat(np.arange(len(texts)), counts)] = hashes
+    return tokens, np.concatenate([[0], np.cumsum(counts + 1)[:-1]])
 
-def _concatenated(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """The tokens of all texts and the place where each text begins; a text has one at least."""
-    tokens = [token_hashes(text) for text in texts]
-    return np.concatenate(tokens), np.cumsum([0, *map(len, tokens[:-1])])
 
-
-def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+def _summed(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Counts of the same hashes added up."""
-    if not parts:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    hashes, place = np.unique(np.concatenate([h for h, _ in parts]), return_inverse=True)
-    total = np.zeros(len(hashes), np.int64)
-    np.add.at(total, place, np.concatenate([n for _, n in parts]))
-    return hashes, total
+    order = np.argsort(hashes)
+    hashes, counts = hashes[order], counts[order]
+    fresh = np.ones(len(hashes), bool)
+    fresh[1:] = hashes[1:] != hashes[:-1]
+    first = np.flatnonzero(fresh)
+    return hashes[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
 _NGRAMS = "segment int, bigram boolean, h array<bigint>, n array<bigint>"
@@ -182,9 +173,9 @@ def _ngram_counts(documents: DataFrame, folds: int, segments: int) -> DataFrame:
     ``TOKENS_COUNTED_AT_ONCE`` tokens."""
     shift = np.uint64(64 - (segments.bit_length() - 1))
 
-    def sent(kinds: dict) -> Iterator[pa.RecordBatch]:
+    def sent(kinds: dict[str, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
         for kind, parts in kinds.items():
-            hashes, counts = _summed(parts)
+            hashes, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *parts]), return_counts=True)
             parts.clear()
             segment = hashes >> shift if segments > 1 else np.zeros(len(hashes), np.uint64)
             used, starts = np.unique(segment, return_index=True)  # hashes are sorted, so segments are too
@@ -200,11 +191,14 @@ def _ngram_counts(documents: DataFrame, folds: int, segments: int) -> DataFrame:
             )
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds: dict = {"unigram": [], "bigram": []}
+        kinds: dict[str, list[np.ndarray]] = {"unigram": [], "bigram": []}
         pending = 0
         for batch in batches:
             for part in slices(batch):
-                pending += _counted(part.column(0).to_pylist(), kinds)
+                tokens, starts = token_hashes(part.column(0).to_pylist())
+                kinds["unigram"].append(tokens)
+                kinds["bigram"].append(bigram_hashes(tokens, starts))
+                pending += len(tokens)
                 if pending >= TOKENS_COUNTED_AT_ONCE:
                     yield from sent(kinds)
                     pending = 0
@@ -212,7 +206,7 @@ def _ngram_counts(documents: DataFrame, folds: int, segments: int) -> DataFrame:
 
     def add(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         h, n = ([x.combine_chunks().flatten() for x in (group.column("h"), group.column("n"))])
-        hashes, counts = _summed([(h.to_numpy().view(np.uint64), n.to_numpy())])
+        hashes, counts = _summed(h.to_numpy().view(np.uint64), n.to_numpy())
         one = pa.array([0, len(hashes)], pa.int32())
         return pa.table(
             {
@@ -279,22 +273,38 @@ def train(documents: DataFrame, folds: int = 10) -> Model:
 
     data = np.zeros(FILTER_BYTES, np.uint8)
     made = staged(counts.groupBy("segment").applyInArrow(build, "segment int, data binary"), "bloom-filter")
-    for segment, part in made.collect():  # FILTER_BYTES in all
+    filled = made.toArrow()  # FILTER_BYTES in all
+    for segment, part in zip(filled.column("segment").to_pylist(), filled.column("data").to_pylist()):
         data[segment * segment_bytes : (segment + 1) * segment_bytes] = np.frombuffer(part, np.uint8)
-    top = gram_counts.orderBy(F.desc("n"), "h").limit(HEAD).collect()
-    head = np.array([h for h, _ in top], np.int64).view(np.uint64), np.array([n for _, n in top], np.int64)
-    order = np.argsort(head[0])
+    head = _head(gram_counts)
     context = spark.sparkContext
     return Model(
         segments,
         context.broadcast(data),
-        context.broadcast((head[0][order], head[1][order])),
+        context.broadcast(head),
         total or 0,
         distinct,
         gram_counts,
     )
 
 
+def _head(gram_counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and counts of the most frequent tokens, sorted by hash: all from the smallest eighth of an octave
+    down to which they are at most ``HEAD``."""
+    step = F.floor(8 * F.log2("n"))
+    sizes = gram_counts.groupBy(step.alias("step")).agg(F.count("*").alias("tokens")).collect()
+    room, cutoff = HEAD, None
+    for r in sorted(sizes, key=lambda r: -r["step"]):
+        room -= r["tokens"]
+        if room < 0:
+            break
+        cutoff = r["step"]
+    top = gram_counts.where(step >= (1 << 20 if cutoff is None else cutoff)).toArrow()
+    hashes = top.column("h").to_numpy().view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], top.column("n").to_numpy()[order]
+
+
 def h_numpy(values: pa.Array) -> np.ndarray:
     return values.to_numpy(zero_copy_only=False)
 
@@ -308,12 +318,9 @@ def _head_counts(head: tuple[np.ndarray, np.ndarray], tokens: np.ndarray) -> np.
     return np.where(hashes[at] == tokens, counts[at], -1)
 
 
-def _log_probability(table: Filter, tokens: np.ndarray, starts: np.ndarray, total: float) -> np.ndarray:
-    """log10 of the model's probability of each token."""
-    used, place = np.unique(tokens, return_inverse=True)
-    count = LEVEL_COUNT[table.read(used)][place]
+def _log_probability(count: np.ndarray, pair: np.ndarray, starts: np.ndarray, total: float) -> np.ndarray:
+    """log10 of the model's probability of each token, from the filter's counts of tokens and bigrams."""
     unigram = np.minimum(1.0, (count + SMOOTHING) / total)
-    pair = LEVEL_COUNT[table.read(bigram_hashes(tokens, starts))]
     before = np.empty_like(count)
     before[1:] = count[:-1]
     before[starts] = 0  # what follows the start of a text is not conditioned on a count
@@ -343,12 +350,14 @@ def score_documents(documents: DataFrame, model: Model, folds: int = 10) -> Data
         table = Filter(segments, FILTER_BYTES // segments, data.value)
         for batch in batches:
             for part in slices(batch, rows=256, chars=2_000_000):
-                tokens, starts = _concatenated(part.column(1).to_pylist())
+                tokens, starts = token_hashes(part.column(1).to_pylist())
                 lengths = np.diff([*starts, len(tokens)])
-                count = _head_counts(head.value, tokens)
+                used, place = np.unique(tokens, return_inverse=True)
+                count = _head_counts(head.value, used)[place]
                 known = count >= 0
                 base = np.where(known, np.log10((np.maximum(count, 0) + SMOOTHING) / total), 0.0)
-                score = _log_probability(table, tokens, starts, total)
+                pair = LEVEL_COUNT[table.read(bigram_hashes(tokens, starts))]
+                score = _log_probability(LEVEL_COUNT[table.read(used)][place], pair, starts, total)
                 owner = np.repeat(np.arange(part.num_rows), lengths)
                 sums = (lengths, np.add.reduceat(known.astype(np.int64), starts), np.add.reduceat(base, starts), np.add.reduceat(score, starts))
                 columns = [*map(pa.array, sums), *_rare(tokens[~known], owner[~known], part.num_rows)]

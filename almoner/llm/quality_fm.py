@@ -29,10 +29,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from almoner.llm.common import Remembered, held_out, learnt, map_batches, slices, staged
+from almoner.llm.common import held_out, learnt, map_batches, slices, staged, word_hashes
 
 WORD_BUCKETS = 1 << 15
 RANK = 8
@@ -53,13 +52,6 @@ STATISTICS = 10
 SIZE = WORD_BUCKETS + STATISTICS * BINS
 
 
-def _bucket(word: str) -> int:
-    return xxhash.xxh3_64_intdigest(word) % WORD_BUCKETS
-
-
-_buckets = Remembered(_bucket, 200_000)
-
-
 def _repeated(codes: np.ndarray, n: int) -> float:
     """Share of runs of ``n`` words that were there before."""
     if len(codes) < n + 1:
@@ -74,10 +66,10 @@ def features(text: str, n_chars: int | None) -> tuple[np.ndarray, np.ndarray]:
     """Indices (each once) and values of the features of a text."""
     words = text.split()
     n, size = len(words), max(1, len(text))
-    codes = np.fromiter((_buckets[w] for w in words), np.int64, n)
+    codes = (word_hashes([text])[0] % np.uint64(WORD_BUCKETS)).astype(np.int64)
     used, counts = np.unique(codes, return_counts=True)
     weights = np.sqrt(counts)
-    if n:
+    if len(codes):
         weights /= math.sqrt(counts.sum())
     lines = [x for x in text.split("\n") if x and not x.isspace()]
     shares = (
