@@ -23,11 +23,18 @@ class TableSpec:
     domains: dict[str, tuple[str, ...]] = field(default_factory=dict)
     nullable: frozenset[str] = frozenset()
     time_column: str | None = None
+    # Columns a store keeps when rows have them; reports never need them.
+    optional: str = ""
 
     @property
     def schema(self) -> StructType:
         return StructType.fromDDL(self.ddl)
 
+    @property
+    def stored(self) -> StructType:
+        """What a store keeps."""
+        return StructType.fromDDL(", ".join(x for x in (self.ddl, self.optional) if x))
+
     @property
     def required(self) -> list[str]:
         return [c for c in self.schema.names if c not in self.nullable]
@@ -75,6 +82,7 @@ _SPECS = (
         references={"donor_name": "donors", "campaign_id": "campaigns", "channel_id": "channels"},
         domains={"status": ("completed", "pending", "failed")},
         time_column="gift_date",
+        optional="source_ref string",
     ),
     TableSpec(
         "calls",
@@ -132,3 +140,14 @@ def conform(df: DataFrame, table: str) -> DataFrame:
     """The table's own columns in their own order and types."""
     fields = TABLES[table].schema
     return df.selectExpr(*(f"CAST({f.name} AS {f.dataType.simpleString()})" for f in fields))
+
+
+def conform_stored(df: DataFrame, table: str) -> DataFrame:
+    """As ``conform``, with the optional columns; NULL where ``df`` lacks them."""
+    fields = TABLES[table].stored
+    return df.selectExpr(
+        *(
+            f"CAST({f.name if f.name in df.columns else 'NULL'} AS {f.dataType.simpleString()}) AS {f.name}"
+            for f in fields
+        )
+    )

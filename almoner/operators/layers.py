@@ -12,8 +12,9 @@ def replace_live_layer(
 ) -> DataFrame:
     """``target`` before ``since`` as it is, and from then on only ``layer``.
 
-    Every row of ``target`` from that day on goes, wherever it came from.
+    Every row of ``target`` from that day on goes, wherever it came from. Rows of ``target`` without a
+    time stay: they are not known to be that late.
     """
     day = F.lit(since)
-    history = target.where(F.col(time_column) < day)
+    history = target.where((F.col(time_column) < day) | F.col(time_column).isNull())
     return history.unionByName(layer.where(F.col(time_column) >= day).select(*target.columns))

@@ -1,8 +1,7 @@
 """Joins that stay fast when one side is tiny and whole when one key is hot.
 
 A side is broadcast only after its size was measured. Beyond the bound the
-join is a shuffle, with the keys that hold many rows taken out and joined by
-broadcast (at most ``HOT_KEYS`` rows), so no task gets such a group.
+join is a shuffle whose hot keys adaptive execution splits, however many they are.
 """
 
 from __future__ import annotations
@@ -12,7 +11,6 @@ from pyspark.sql import DataFrame, functions as F
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 PROBE_ROWS = 1000
-HOT_KEYS = 128
 
 
 def fits_broadcast(
@@ -37,39 +35,14 @@ def fits_broadcast(
     return n <= max_rows and n_bytes <= max_bytes
 
 
-def hot_keys(df: DataFrame, key: str) -> list:
-    """Runs a one-column scan: the values of ``key`` that would fill more than an
-    average shuffle partition, at most ``HOT_KEYS`` of them.
-
-    The sketch may miss or add a key near the bound. That moves rows between two
-    joins with the same result, so it never changes an answer.
-    """
-    top, n = df.agg(
-        F.expr(f"approx_top_k({key}, {HOT_KEYS})"), F.count(F.col(key))
-    ).first()
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return [t["item"] for t in top or [] if t["count"] * max(partitions, 2) > n]
-
-
 def lookup(fact: DataFrame, dim: DataFrame, key: str, how: str = "inner") -> DataFrame:
     """``fact`` joined to a table that is unique on ``key`` (same name on both sides).
 
-    ``how``: inner, left, left_semi or left_anti. Runs jobs to measure sizes.
+    ``how``: inner, left, left_semi or left_anti. Runs jobs to measure sizes. Beyond the bound it is one
+    shuffle join; adaptive execution splits the partition of a hot key and repeats the one row
+    of the table that it needs.
     """
-    if fits_broadcast(dim):
-        return fact.join(F.broadcast(dim), key, how)
-    hot = hot_keys(fact, key)
-    if not hot:
-        return fact.join(dim, key, how)
-    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
-    hot_dim = dim.where(is_hot)
-    if fits_broadcast(hot_dim):
-        hot_dim = F.broadcast(hot_dim)
-    return (
-        fact.where(~is_hot)
-        .join(dim.where(~is_hot), key, how)
-        .unionByName(fact.where(is_hot).join(hot_dim, key, how))
-    )
+    return fact.join(F.broadcast(dim) if fits_broadcast(dim) else dim, key, how)
 
 
 def without(

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from almoner.model import TABLES, Tables
 from almoner.operators.ids import assign_ids, largest_id
@@ -48,6 +48,11 @@ def _with_reason(
     return rows.selectExpr(*columns, f"coalesce({', '.join(reasons)}) AS reason")
 
 
+def curable() -> Column:
+    """True for rows whose missing parent may still come; other faults stay."""
+    return F.col("reason").endswith(" unknown")
+
+
 def first_per_key(rows: DataFrame, keys: list[str]) -> DataFrame:
     """The row with the lowest seq of each key; copies collapse before the shuffle."""
     others = [c for c in rows.columns if c not in keys]
@@ -107,21 +112,23 @@ def insert_new_donations(
 
     Amounts become whole before keys are compared. With ``key=('source_ref',)`` the
     donations must carry that column; it then keeps real repeated gifts apart.
-    ``last_id`` spares the scan for the largest id. Rows with an unknown donor, campaign or channel are rejected. Runs jobs.
+    ``last_id`` spares the scan for the largest id. Rows with an unknown donor, campaign or
+    channel are rejected, with the amount that came in. Runs jobs.
     """
     keys = list(key)
     target = tables.donations
-    whole = batch.withColumn("amount", F.round("amount").try_cast("int"))
+    whole = batch.withColumns({"_given": F.col("amount"), "amount": F.round("amount").try_cast("int")})
     # Ids come last, so they cannot be missing yet.
     checked = checkpointed(_with_reason(whole, "donations", tables, skip=("id",)))
-    accepted = checked.where(F.col("reason").isNull()).drop("reason")
+    accepted = checked.where(F.col("reason").isNull()).drop("reason", "_given")
     fresh = first_per_key(accepted, keys)
     existing = on_days_of(target, accepted, "gift_date") if "gift_date" in keys else target
     stored = [c for c in TABLES["donations"].schema.names if c != "id"]
     extra = ["source_ref"] if "source_ref" in target.columns else []
     new = without(fresh, existing, keys, wanted=accepted).select(*stored, *extra)
     rows = assign_ids(new, largest_id(target) if last_id is None else last_id)
-    return Merge(rows, rows, checked.where(F.col("reason").isNotNull()), accepted)
+    rejected = checked.where(F.col("reason").isNotNull()).withColumn("amount", F.col("_given")).drop("_given")
+    return Merge(rows, rows, rejected, accepted)
 
 
 def insert_ignore(target: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:

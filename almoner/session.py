@@ -45,15 +45,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_dir(spark: SparkSession, purpose: str) -> str:
-    """A new folder name below the shared folder."""
-    return f"{shared_dir(spark)}/{purpose}-{uuid.uuid4().hex}"
+    """A new folder name below the shared folder; what is written there is deleted when the
+    application ends."""
+    folder = f"{shared_dir(spark)}/{purpose}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Runs ``df`` once into the shared folder: later reads see the same rows in
+    """Runs ``df`` once into Parquet below the shared folder: later reads see the same rows in
     the same partitions, also after an executor is lost."""
-    spark = df.sparkSession
-    folder = shared_dir(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
+    folder = fresh_dir(df.sparkSession, "staged")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

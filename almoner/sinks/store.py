@@ -1,24 +1,32 @@
 """The seven tables as Parquet folders that can be replaced while being read.
 
-``<root>/<table>/v=<n>`` holds a version; the largest one with Spark's _SUCCESS
-marker is current, so a write that dies leaves the old version in place. Gifts and
-calls have one folder per month inside the version, which appends and cut-offs
-touch alone. One writer at a time.
+``<root>/<table>/v=<n>`` holds what was written as version n. The file ``<table>/_versions/<n>`` is put there
+last, by a rename; it lists the folders that the version is made of, and the table is what the
+largest one lists. So a write that dies leaves the table as it was, whatever marks the
+cluster's committer sets. Gifts and calls have one folder per month inside a version; a cut-off
+writes the months it touches anew and lists the other ones where they are. Rows without a
+date have a folder of their own, which no cut-off touches. One writer at a time.
 """
 
 from __future__ import annotations
 
-from datetime import date
+import time
+import uuid
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from almoner.model import PERIOD_COLUMN, TABLES, Tables, conform
+from almoner.model import PERIOD_COLUMN, TABLES, Tables, conform_stored
 from almoner.operators.ids import largest_id
 from almoner.operators.layers import replace_live_layer
 
-
 # Spark does not read files below a name with a leading underscore.
 _LAST_ID = "_last_id"
+_VERSIONS = "_versions"
+_FIRST_COLUMN = "v"
+
+# A version that was replaced stays this long for those who still read it.
+KEPT = timedelta(hours=6)
 
 
 class Versions:
@@ -33,31 +41,85 @@ class Versions:
         return jvm_path.getFileSystem(self.spark._jsc.hadoopConfiguration()), jvm_path
 
     def glob(self, pattern: str) -> list[str]:
+        """Names below the folder."""
         fs, path = self._fs(f"{self.folder}/{pattern}")
-        return [status.getPath().toString() for status in fs.globStatus(path) or []]
-
-    def delete(self, path: str) -> None:
-        fs, jvm_path = self._fs(path)
-        fs.delete(jvm_path, True)
+        depth = pattern.count("/") + 1
+        found = [status.getPath().toString() for status in fs.globStatus(path) or []]
+        return ["/".join(name.rsplit("/", depth)[-depth:]) for name in found]
+
+    def delete(self, name: str) -> None:
+        fs, path = self._fs(f"{self.folder}/{name}")
+        fs.delete(path, True)
+
+    def put(self, name: str, text: str) -> None:
+        """A small file that is there whole or not at all."""
+        fs, part = self._fs(f"{self.folder}/{name.rsplit('/', 1)[0]}/.{uuid.uuid4().hex}")
+        stream = fs.create(part, True)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+        _, place = self._fs(f"{self.folder}/{name}")
+        if not fs.rename(part, place):
+            fs.delete(part, False)
+            raise FileExistsError(f"{self.folder}/{name}: another writer was faster")
+
+    def get(self, name: str) -> str:
+        fs, path = self._fs(f"{self.folder}/{name}")
+        stream = fs.open(path)
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
 
     def numbers(self) -> list[int]:
-        marks = self.glob("v=*/_SUCCESS")
-        return sorted(int(m.rsplit("/", 2)[-2].removeprefix("v=")) for m in marks)
+        names = (name.rsplit("/", 1)[-1] for name in self.glob(f"{_VERSIONS}/[0-9]*"))
+        return sorted(int(name) for name in names)
 
     def path(self, number: int) -> str:
-        return f"{self.folder}/v={number}"
+        return f"{self.folder}/{_FIRST_COLUMN}={number}"
+
+    def listed(self, number: int) -> list[str]:
+        return self.get(f"{_VERSIONS}/{number}").split("\n")
+
+    def folders(self) -> list[str]:
+        """The folders of the table as it is; none if it was never written."""
+        numbers = self.numbers()
+        return self.listed(numbers[-1]) if numbers else []
 
     def current(self) -> str | None:
+        """Where the newest version was written."""
         numbers = self.numbers()
         return self.path(numbers[-1]) if numbers else None
 
-    def next(self) -> str:
-        return self.path(max(self.numbers(), default=0) + 1)
+    def next(self) -> int:
+        return max(self.numbers(), default=0) + 1
 
-    def expire(self, keep: int = 2) -> None:
-        """Deletes all but the last ``keep`` versions, once no reader needs them."""
-        for number in self.numbers()[:-keep]:
-            self.delete(self.path(number))
+    def commit(self, number: int, others: list[str] | None = None) -> None:
+        """Makes what was written as version ``number``, and ``others``, the table."""
+        fs, path = self._fs(self.path(number))
+        fs.mkdirs(path)
+        self.put(f"{_VERSIONS}/{number}", "\n".join([f"{_FIRST_COLUMN}={number}", *(others or [])]))
+
+    def expire(self, keep: int = 2, kept: timedelta = KEPT) -> None:
+        """Forgets versions that were replaced longer than ``kept`` ago, but for the last ``keep``, and deletes
+        folders that no version lists any more."""
+        numbers = self.numbers()
+        limit = time.time() - kept.total_seconds()
+        for number, after in zip(numbers[: -keep or None], numbers[1:]):
+            fs, mark = self._fs(f"{self.folder}/{_VERSIONS}/{after}")
+            if fs.getFileStatus(mark).getModificationTime() / 1000 <= limit:
+                self.delete(f"{_VERSIONS}/{number}")
+        left = self.numbers()
+        if not left or left == numbers:
+            return
+        listed = {name for number in left for name in self.listed(number)}
+        for root in self.glob(f"{_FIRST_COLUMN}=*"):
+            if root in listed or int(root.split("=")[1]) > left[-1]:
+                continue
+            months = self.glob(f"{root}/{PERIOD_COLUMN}=*")
+            if not listed.intersection(months):
+                self.delete(root)
+            for month in set(months) - listed if listed.intersection(months) else ():
+                self.delete(month)
 
 
 class Store:
@@ -68,79 +130,98 @@ class Store:
     def versions(self, table: str) -> Versions:
         return Versions(self.spark, f"{self.root}/{table}")
 
+    def create(self) -> None:
+        """Empty tables where none were written yet."""
+        for table, spec in TABLES.items():
+            if not self.versions(table).numbers():
+                self.replace(table, self.spark.createDataFrame([], spec.schema))
+
     def read(self, table: str) -> DataFrame:
-        """The current version; gifts and calls also carry their month."""
+        """The table as it is; gifts and calls also carry their month. It is an error if the
+        table was never written: a mistyped root must not look like an empty store."""
+        versions = self.versions(table)
+        folders = versions.folders()
+        if not folders:
+            raise FileNotFoundError(f"no table {table} in the store {self.root}")
         spec = TABLES[table]
-        schema = spec.schema.add(PERIOD_COLUMN, "date") if spec.time_column else spec.schema
-        current = self.versions(table).current()
-        if current is None:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(current)
+        schema = spec.stored.add(PERIOD_COLUMN, "date") if spec.time_column else spec.stored
+        reader = self.spark.read.schema(schema.add(_FIRST_COLUMN, "integer"))
+        paths = [f"{versions.folder}/{name}" for name in folders]
+        return reader.option("basePath", versions.folder).parquet(*paths).drop(_FIRST_COLUMN)
 
     def tables(self) -> Tables:
         return Tables(self.read)
 
     def replace(self, table: str, df: DataFrame) -> None:
         """A new version with exactly these rows; ``df`` may read the current one."""
-        self._write(table, df, self.versions(table).next(), "overwrite", "static")
+        versions = self.versions(table)
+        number = versions.next()
+        self._write(table, df, versions.path(number), "overwrite")
+        versions.commit(number)
 
     def append(self, table: str, df: DataFrame) -> None:
         """Adds gifts or calls to the current version, in new files of their months."""
-        current = self.versions(table).current()
+        versions = self.versions(table)
+        current = versions.current()
         if current is None:
             self.replace(table, df)
             return
         # First, so that an append that dies leaves a gap and never a reused id.
-        self._note_last_id(current, max(self.last_id(table), largest_id(df)))
+        self._note_last_id(versions, max(self.last_id(table), largest_id(df)))
         self._write(table, df, current, "append")
 
     def last_id(self, table: str) -> int:
         """The largest id given so far. Noted beside the data, so that an append does
         not read all ids again; the first call after a replacement does."""
-        current = self.versions(table).current()
-        if current is None:
+        versions = self.versions(table)
+        if not versions.numbers():
             return 0
-        noted = Versions(self.spark, f"{current}/{_LAST_ID}").current()
-        if noted:
-            return self.spark.read.parquet(noted).first()[0]
+        notes = [int(name.rsplit("/", 1)[-1]) for name in versions.glob(f"{self._notes(versions)}/[0-9]*")]
+        if notes:
+            return max(notes)
         last = largest_id(self.read(table))
-        self._note_last_id(current, last)
+        self._note_last_id(versions, last)
         return last
 
-    def _note_last_id(self, current: str, last: int) -> None:
-        notes = Versions(self.spark, f"{current}/{_LAST_ID}")
-        self.spark.range(last, last + 1).write.mode("overwrite").parquet(notes.next())
-        notes.expire()
+    def _notes(self, versions: Versions) -> str:
+        return f"{_LAST_ID}/{versions.numbers()[-1]}"
+
+    def _note_last_id(self, versions: Versions, last: int) -> None:
+        """A file named by the id; the largest counts."""
+        notes = self._notes(versions)
+        if f"{notes}/{last}" in versions.glob(f"{notes}/[0-9]*"):
+            return
+        fs, folder = versions._fs(f"{versions.folder}/{notes}")
+        fs.mkdirs(folder)
+        versions.put(f"{notes}/{last}", "")
+        for name in versions.glob(f"{notes}/[0-9]*"):
+            if int(name.rsplit("/", 1)[-1]) < last:
+                versions.delete(name)
 
     def replace_since(self, table: str, layer: DataFrame, since: date) -> None:
-        """Replaces the rows from ``since`` on. Only folders from its month on are
-        read and written. Not atomic for readers; running it again ends the same.
-        """
+        """Replaces the rows from ``since`` on. Only folders from its month on are read and written, to new
+        places; the change is seen at once, or not at all if the job dies. Rows without a date stay."""
         versions = self.versions(table)
-        current = versions.current()
         time_column = TABLES[table].time_column
+        if not versions.numbers():
+            day = F.lit(since)
+            self.replace(table, layer.where(F.col(time_column) >= day))
+            return
         first_month = since.replace(day=1)
         touched = self.read(table).where(F.col(PERIOD_COLUMN) >= F.lit(first_month))
         rows = replace_live_layer(
-            conform(touched, table), conform(layer, table), time_column, since
+            conform_stored(touched, table), conform_stored(layer, table), time_column, since
         )
-        if current is None:
-            self.replace(table, rows)
-            return
-        month = F.trunc(F.col(time_column).cast("date"), "month")
-        kept = {str(r[0]) for r in rows.select(month).distinct().collect()}
-        self._write(table, rows, current, "overwrite", "dynamic")
-        versions.delete(f"{current}/{_LAST_ID}")
-        # The write leaves folders alone that get no row.
-        for folder in versions.glob(f"{current.rsplit('/', 1)[-1]}/{PERIOD_COLUMN}=*"):
-            name = folder.rsplit("=", 1)[-1]
-            if name >= str(first_month) and name not in kept:
-                versions.delete(folder)
-
-    def _write(
-        self, table: str, df: DataFrame, path: str, mode: str, overwrite: str = "static"
-    ) -> None:
-        rows = conform(df, table)
+        months = []
+        for name in versions.folders():
+            months += [name] if PERIOD_COLUMN in name else versions.glob(f"{name}/{PERIOD_COLUMN}=*")
+        kept = [m for m in months if not _dated(m) or m.rsplit("=", 1)[-1] < str(first_month)]
+        number = versions.next()
+        self._write(table, rows, versions.path(number), "overwrite")
+        versions.commit(number, kept)
+
+    def _write(self, table: str, df: DataFrame, path: str, mode: str) -> None:
+        rows = conform_stored(df, table)
         time_column = TABLES[table].time_column
         if time_column is None:
             rows.write.mode(mode).parquet(path)
@@ -150,7 +231,11 @@ class Store:
         # that is too large for one task.
         by_month = rows.withColumn(PERIOD_COLUMN, month).hint("rebalance", F.col(PERIOD_COLUMN))
         writer = by_month.write.mode(mode).partitionBy(PERIOD_COLUMN)
-        writer.option("partitionOverwriteMode", overwrite).parquet(path)
+        writer.option("partitionOverwriteMode", "static").parquet(path)
+
+
+def _dated(month_folder: str) -> bool:
+    return month_folder.rsplit("=", 1)[-1][:1].isdigit()
 
 
 def copy_tables(source: Tables, store: Store) -> DataFrame:

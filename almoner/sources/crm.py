@@ -22,7 +22,9 @@ STATUS = "completed"
 UNKNOWN_DONOR = "Unknown"
 
 # Date texts accepted next to ISO 8601.
-DATE_FORMATS = ("M/d/yyyy", "M/d/yyyy H:mm:ss", "yyyy/M/d", "d MMM yyyy", "MMM d, yyyy")
+DATE_FORMATS = (
+    "M/d/yyyy", "M/d/yyyy H:mm:ss", "M/d/yyyy h:mm a", "M/d/yyyy h:mm:ss a", "yyyy/M/d", "d MMM yyyy", "MMM d, yyyy"
+)
 
 _BLANKS = r"\p{IsWhite_Space}"
 
@@ -49,21 +51,35 @@ def number_lines(pages: DataFrame) -> DataFrame:
     return pages.withColumn("line", F.monotonically_increasing_id())
 
 
+def _parsed(pages: DataFrame) -> Column:
+    """The page as a variant; null if it is not JSON. Of a key given twice the last value counts,
+    which Spark allows by a setting that is read while the plan is made."""
+    pages.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    return F.try_parse_json("page")
+
+
+def bad_pages(pages: DataFrame) -> DataFrame:
+    """The pages that are not JSON, as they came."""
+    return pages.where(_parsed(pages).isNull())
+
+
 def page_items(pages: DataFrame) -> DataFrame:
     """seq, item: the elements of every page's Results; none without such an array.
 
     ``seq`` sorts items as they were pulled: by folder, then by the last number in the
-    file name, then by place in the file and in the page. A page that is not JSON fails
-    the job.
+    file name, then by place in the file and in the page; numbers in folder names count as
+    numbers. A page that is not JSON has no items (see ``bad_pages``).
     """
     place = ["block", "line"] if "line" in pages.columns else ["0L AS block", "0L AS line"]
-    results = F.try_variant_get(F.parse_json("page"), "$.Results", "array<variant>")
+    results = F.try_variant_get(_parsed(pages), "$.Results", "array<variant>")
     items = pages.select(
         "path", *map(F.expr, place), F.posexplode(results).alias("pos", "item")
     )
     number = r"coalesce(try_cast(regexp_extract(path, '(\\d+)[^/\\d]*$', 1) AS BIGINT), 0)"
     return items.selectExpr(
-        r"struct(regexp_extract(path, '^(.*)/[^/]*$', 1) AS folder,"
+        # Numbers are brought to twenty digits, so that 9 comes before 10.
+        r"struct(regexp_replace(regexp_replace(regexp_extract(path, '^(.*)/[^/]*$', 1),"
+        r" '(\\d+)', '00000000000000000000$1'), '\\d*(\\d{20})', '$1') AS folder,"
         f" {number} AS number, path, block, line, pos) AS seq",
         "item",
     )

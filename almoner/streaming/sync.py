@@ -8,15 +8,23 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass, field
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from almoner.operators.merge import Merge, first_per_key, insert_new_donations, upsert_donors
+from almoner.operators.merge import (
+    NATURAL_KEY,
+    Merge,
+    curable,
+    first_per_key,
+    insert_new_donations,
+    upsert_donors,
+)
 from almoner.sinks.store import Store, Versions
 from almoner.sources.crm import (
     PAGE_COLUMNS,
+    bad_pages,
     normalise_donations,
     normalise_donors,
     number_lines,
@@ -33,7 +41,7 @@ RESULT = "source string, donors bigint, donations bigint, rejected bigint, error
 @dataclass(frozen=True)
 class Source:
     """A landing place: <landing>/constituents and <landing>/transactions, with files of
-    one page or, with ``lines``, of a page on each line."""
+    one page or, with ``lines``, of a page on each line. ``key``: what makes a gift a known one."""
 
     name: str
     landing: str
@@ -41,6 +49,8 @@ class Source:
     lines: bool = False
     donor_values: dict = field(default_factory=dict)
     gift_values: dict = field(default_factory=dict)
+    # ("source_ref",) tells real repeated gifts apart; gifts without a date then come in once.
+    key: tuple[str, ...] = NATURAL_KEY
 
 
 def apply_donors(store: Store, donors: DataFrame) -> tuple[Merge, int]:
@@ -49,14 +59,15 @@ def apply_donors(store: Store, donors: DataFrame) -> tuple[Merge, int]:
     merge = upsert_donors(store.tables(), donors)
     if merge.changed.head(1):
         store.replace("donors", merge.rows)
-        store.versions("donors").expire()
     return merge, merge.accepted.count()
 
 
-def apply_gifts(store: Store, gifts: DataFrame) -> tuple[Merge, int]:
+def apply_gifts(
+    store: Store, gifts: DataFrame, key: tuple[str, ...] = NATURAL_KEY
+) -> tuple[Merge, int]:
     """Only rows really added count. Appending is safe to repeat: gifts written by
     an attempt that died are known to the next one."""
-    merge = insert_new_donations(store.tables(), gifts, last_id=store.last_id("donations"))
+    merge = insert_new_donations(store.tables(), gifts, key, last_id=store.last_id("donations"))
     count = merge.rows.count()
     if count:
         store.append("donations", merge.rows)
@@ -69,8 +80,8 @@ def _quarantine(store: Store, source: Source, kind: str) -> str:
 
 def sync(store: Store, sources: Iterable[Source], as_of: date | None = None) -> DataFrame:
     """One run over all enabled sources, donors before gifts. A source that fails
-    shows its error and does not stop the others. Rejected rows are kept under
-    <store>/quarantine/<source>."""
+    shows its error and does not stop the others. Rejected rows, and pages that are not
+    JSON, are kept under <store>/quarantine/<source>."""
     spark = store.spark
     results = []
     for source in sources:
@@ -79,41 +90,70 @@ def sync(store: Store, sources: Iterable[Source], as_of: date | None = None) ->
         donors = gifts = rejected = 0
         error = None
         try:
-            people = normalise_donors(
-                read_pages(spark, f"{source.landing}/{DONOR_PAGES}", source.lines),
-                **source.donor_values,
-            )
-            merge, donors = apply_donors(store, people)
-            merge.rejected.write.mode("overwrite").parquet(_quarantine(store, source, "donors"))
-            rejected += merge.rejected.count()
-            given = normalise_donations(
-                read_pages(spark, f"{source.landing}/{GIFT_PAGES}", source.lines),
-                source.name,
-                as_of,
-                **source.gift_values,
-            )
-            merge, gifts = apply_gifts(store, given)
-            merge.rejected.write.mode("overwrite").parquet(_quarantine(store, source, "donations"))
-            rejected += merge.rejected.count()
+            for kind, folder in (("donors", DONOR_PAGES), ("donations", GIFT_PAGES)):
+                pages = read_pages(spark, f"{source.landing}/{folder}", source.lines)
+                rejected += _kept(bad_pages(pages), _quarantine(store, source, f"{kind}-pages"))
+                if kind == "donors":
+                    merge, donors = apply_donors(store, normalise_donors(pages, **source.donor_values))
+                else:
+                    given = normalise_donations(pages, source.name, as_of, **source.gift_values)
+                    merge, gifts = apply_gifts(store, given, source.key)
+                rejected += _kept(merge.rejected, _quarantine(store, source, kind))
         except Exception as failure:  # noqa: BLE001 - one source must not stop the rest
-            error = f"{type(failure).__name__}: {failure}"[:500]
+            error = f"{type(failure).__name__}: {failure}"
         results.append((source.name, donors, gifts, rejected, error))
+    store.versions("donors").expire()
     return spark.createDataFrame(results, RESULT)
 
 
+def _kept(rows: DataFrame, folder: str) -> int:
+    """Writes rows to the quarantine and counts them there."""
+    rows.write.mode("overwrite").parquet(folder)
+    return rows.sparkSession.read.schema(rows.schema).parquet(folder).count()
+
+
+class _Waiting:
+    """Rows of one kind that were rejected in a stream. Those whose parent may still come wait and
+    join the next batch; the others are put aside once, by the batch they came with."""
+
+    def __init__(self, store: Store, source: Source, kind: str):
+        self.versions = Versions(store.spark, _quarantine(store, source, f"{kind}-waiting"))
+        self.aside = _quarantine(store, source, f"{kind}-refused")
+
+    def joined(self, rows: DataFrame) -> DataFrame:
+        current = self.versions.current()
+        if current is None:
+            return rows
+        earlier = rows.sparkSession.read.parquet(current).drop("reason")
+        return rows.unionByName(earlier)
+
+    def keep(self, rejected: DataFrame, batch_id: int) -> int:
+        copies = [c for c in rejected.columns if c != "seq"]
+        once = first_per_key(rejected, copies)
+        number = self.versions.next()
+        once.where(curable()).write.mode("overwrite").parquet(self.versions.path(number))
+        self.versions.commit(number)
+        self.versions.expire(kept=timedelta(0))
+        return _kept(once.where(~curable()), f"{self.aside}/batch={batch_id}")
+
+
 def sync_stream(
     store: Store,
     source: Source,
     checkpoint: str,
     as_of: date | None = None,
     max_files: int | None = None,
-) -> StreamingQuery:
-    """Starts a run over the files that landed since the last one, then stops.
-
-    A batch may hold gifts whose donor page lands later, and a file is not read
-    twice. Rejected gifts therefore wait in the quarantine and join the next batch.
-    A repeated batch changes nothing.
+) -> StreamingQuery | None:
+    """Starts a run over the files that landed since the last one, then stops; nothing is
+    started for a source that is not enabled.
+
+    A batch may hold rows whose segment, donor, campaign or channel comes later, and a file is not
+    read twice. Such donors and gifts wait in the quarantine and join the next batch, also
+    when no new page of their kind landed. Rows that can never pass, and pages that are
+    not JSON, are put aside there. A repeated batch changes nothing.
     """
+    if not source.enabled:
+        return None
     options = {"wholetext": str(not source.lines).lower(), "recursiveFileLookup": "true"}
     if max_files:
         options["maxFilesPerTrigger"] = str(max_files)
@@ -123,26 +163,25 @@ def sync_stream(
         .load(source.landing)
         .selectExpr(*PAGE_COLUMNS)
     )
-    waiting = Versions(store.spark, _quarantine(store, source, "waiting"))
+    waiting = {kind: _Waiting(store, source, kind) for kind in ("donors", "donations")}
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         batch = number_lines(batch).persist()
         try:
+            _kept(bad_pages(batch), f"{_quarantine(store, source, 'pages')}/batch={batch_id}")
             people = batch.where(F.col("path").contains(f"/{DONOR_PAGES}/"))
-            apply_donors(store, normalise_donors(people, **source.donor_values))
+            given = normalise_donors(people, **source.donor_values)
+            merge, _ = apply_donors(store, waiting["donors"].joined(given))
+            waiting["donors"].keep(merge.rejected, batch_id)
             given = normalise_donations(
                 batch.where(F.col("path").contains(f"/{GIFT_PAGES}/")),
                 source.name,
                 as_of,
                 **source.gift_values,
             )
-            if waiting.current():
-                earlier = store.spark.read.parquet(waiting.current()).drop("reason")
-                given = given.unionByName(earlier)
-            merge, _ = apply_gifts(store, given)
-            copies = [c for c in merge.rejected.columns if c != "seq"]
-            first_per_key(merge.rejected, copies).write.mode("overwrite").parquet(waiting.next())
-            waiting.expire()
+            merge, _ = apply_gifts(store, waiting["donations"].joined(given), source.key)
+            waiting["donations"].keep(merge.rejected, batch_id)
+            store.versions("donors").expire()
         finally:
             batch.unpersist()
 

@@ -69,6 +69,7 @@ GIFTS = [
     {"Id": "h", "Amount": -3.25},
     {"Id": "i", "Amount": 12.495},
     {"Id": "j", "Amount": 1e30},
+    {"Id": "k", "Amount": 1, "Date": "05/31/2026 11:30 PM"},
 ]
 
 
@@ -86,6 +87,7 @@ def test_gifts(pages):
         ("crm:h", TODAY, "Unknown", Decimal("-3.25")),
         ("crm:i", TODAY, "Unknown", Decimal("12.495")),
         ("crm:j", TODAY, "Unknown", None),
+        ("crm:k", day, "Unknown", Decimal(1)),
     ]
     assert {(g.campaign_id, g.channel_id, g.status) for g in gifts} == {
         ("spring", "online", "completed")
@@ -100,8 +102,18 @@ def test_numeric_ids_on_request(pages):
 def test_pages_without_results_give_nothing(pages):
     none = pages(a='{"Results":[]}', b="{}", c='{"Results":"x"}', d='{"Results":null}')
     assert crm.page_items(none).count() == 0
-    with pytest.raises(Exception, match="MALFORMED"):
-        crm.page_items(pages(a="<html>")).collect()
+
+
+def test_a_bad_page_stands_alone(pages):
+    given = pages(a="<html>", b=page([{"FullName": "Ann"}]), c='{"Results":[{"FullName":"x","FullName":"Bo"}]}')
+    assert in_order(crm.normalise_donors(given), "name") == ["Ann", "Bo"]
+    assert [r.page for r in crm.bad_pages(given).collect()] == ["<html>"]
+
+
+def test_later_pulls_come_later(spark):
+    paths = [f"/landing/pull-{n}/people-1.json" for n in (10, 9, 100)]
+    given = spark.createDataFrame([(p, page([{"FullName": p}])) for p in paths], "path string, page string")
+    assert in_order(crm.normalise_donors(given), "name") == [paths[1], paths[0], paths[2]]
 
 
 def test_pages_on_lines_keep_their_order(spark, tmp_path, monkeypatch):

@@ -43,9 +43,6 @@ def test_lookup_is_the_same_join_however_it_runs(skewed, how, monkeypatch):
     expected = rows(fact.join(dim, "key", how))
     assert rows(joins.lookup(fact, dim, "key", how)) == expected
     monkeypatch.setattr(joins, "BROADCAST_ROWS", 10)
-    assert joins.hot_keys(fact, "key") == ["hot"]
-    assert rows(joins.lookup(fact, dim, "key", how)) == expected
-    monkeypatch.setattr(joins, "hot_keys", lambda *_: [])
     assert rows(joins.lookup(fact, dim, "key", how)) == expected
 
 

@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 import shutil
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 from decimal import Decimal
 
 import pytest
@@ -13,7 +13,7 @@ from almoner.operators.periods import newest_months, on_days_of, since
 from almoner.plans import REPORTS
 from almoner.plans.donors import shared
 from almoner.sinks import files
-from almoner.sinks.store import Store, copy_tables
+from almoner.sinks.store import Store, Versions, copy_tables
 from almoner.sources.tables import load_tables
 
 
@@ -36,20 +36,75 @@ def test_copy_counts_and_keeps_every_row(store, make_tables):
         assert rows(conform(store.read(table), table)) == rows(source[table])
 
 
-def test_a_missing_table_is_empty(spark, tmp_path):
+def test_a_missing_table_is_refused(spark, tmp_path):
+    with pytest.raises(FileNotFoundError):
+        Store(spark, str(tmp_path)).read("calls")
+    Store(spark, str(tmp_path)).create()
     assert Store(spark, str(tmp_path)).read("calls").count() == 0
 
 
+def test_a_store_is_not_read_as_plain_files(store, spark):
+    with pytest.raises(ValueError, match="store"):
+        load_tables(spark, store.root).donors
+
+
 def test_a_version_that_was_not_finished_is_not_read(store, tmp_path):
     done = tmp_path / "store" / "donors" / "v=1"
-    shutil.copytree(done, done.with_name("v=2"), ignore=shutil.ignore_patterns("_SUCCESS"))
+    # Spark's own mark does not make it one.
+    shutil.copytree(done, done.with_name("v=2"))
     assert store.versions("donors").numbers() == [1]
     # The table may be replaced by rows read from itself.
     store.replace("donors", store.read("donors").where("name = 'D1'"))
     assert store.versions("donors").numbers() == [1, 2]
     assert [r.name for r in store.read("donors").collect()] == ["D1"]
     store.versions("donors").expire(keep=1)
+    assert store.versions("donors").numbers() == [1, 2]
+    store.versions("donors").expire(keep=1, kept=timedelta(0))
     assert store.versions("donors").numbers() == [2]
+    assert not done.exists() and [r.name for r in store.read("donors").collect()] == ["D1"]
+
+
+def test_no_marks_of_the_committer_are_needed(spark, tmp_path, make_tables):
+    setting = "mapreduce.fileoutputcommitter.marksuccessfuljobs"
+    conf = spark._jsc.hadoopConfiguration()
+    conf.set(setting, "false")
+    try:
+        store = Store(spark, str(tmp_path / "unmarked"))
+        copy_tables(make_tables(**ROWS), store)
+        store.replace("donors", store.read("donors"))
+    finally:
+        conf.unset(setting)
+    assert store.versions("donors").numbers() == [1, 2]
+    assert store.read("donors").count() == 3 and store.read("donations").count() == 5
+
+
+def test_rows_without_a_date_stay(store, make_tables):
+    undated = make_tables(donations=[gift(77, "2026-06-11", "D1", "C1", "H1", 3)]).donations
+    undated = undated.withColumn("gift_date", F.lit(None).cast("date"))
+    store.append("donations", undated)
+    store.replace_since("donations", undated.limit(0), date(2026, 1, 1))
+    assert sorted(r.id for r in store.read("donations").collect()) == [1, 77]
+
+
+def test_a_cut_off_that_dies_changes_nothing(store, make_tables, monkeypatch):
+    before = rows(store.read("donations"))
+    with monkeypatch.context() as broken:
+        broken.setattr(Versions, "commit", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            store.replace_since("donations", store.read("donations").limit(0), date(2026, 5, 31))
+    assert rows(store.read("donations")) == before
+    store.replace_since("donations", store.read("donations").limit(0), date(2026, 5, 31))
+    assert sorted(r.id for r in store.read("donations").collect()) == [1, 4]
+    # Months before the cut-off are listed where they were written, and survive an expiry.
+    store.versions("donations").expire(keep=1, kept=timedelta(0))
+    assert sorted(r.id for r in store.read("donations").collect()) == [1, 4]
+
+
+def test_source_refs_are_kept(store, make_tables):
+    more = make_tables(donations=[gift(6, "2026-06-11", "D1", "C1", "H1", 3)]).donations
+    store.append("donations", more.withColumn("source_ref", F.lit("crm:6")))
+    store.replace("donations", store.read("donations"))
+    assert {r.id: r.source_ref for r in store.read("donations").collect()}[6] == "crm:6"
 
 
 def test_append(store, make_tables):
@@ -119,6 +174,7 @@ def test_last_id(store, spark, tmp_path, make_tables):
     assert store.read("donations").count() == 7
     store.replace_since("donations", more, date(2026, 6, 1))
     assert store.last_id("donations") == 70
+    assert store.last_id("donations") == 70
     store.replace("donations", store.read("donations").where("id < 4"))
     assert store.last_id("donations") == 3
 
