@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Callable
+from dataclasses import replace
 from datetime import date
 from functools import partial
 from importlib import import_module
@@ -241,6 +242,45 @@ def sync_stream(spark: SparkSession, sf: str) -> DataFrame:
     return conform(store.read("donations"), "donations").drop("id")
 
 
+def sync_stream_donors(spark: SparkSession, sf: str) -> DataFrame:
+    """Donors after a stream in which their segment came after their pages."""
+    store, source = _landed_store(spark, sf)
+    segments, checkpoint = sample_tables(spark, sf).segments, fresh_dir(spark, "stream")
+    store.replace("segments", segments.where(F.col("id") != DONOR_VALUES["segment_id"]))
+    _sync_stream(store, source, checkpoint, AS_OF).awaitTermination()
+    store.replace("segments", segments)
+    _land(spark.sql("""SELECT '{"Results":[]}' AS page"""), f"{source.landing}/{DONOR_PAGES}/more")
+    _sync_stream(store, source, checkpoint, AS_OF).awaitTermination()
+    return conform(store.read("donors"), "donors")
+
+
+def sync_by_source_ref(spark: SparkSession, sf: str) -> DataFrame:
+    """Gifts after two runs on two days that go by the reference; undated gifts come in once."""
+    store, source = _landed_store(spark, sf)
+    for as_of in (AS_OF, date(2031, 1, 1)):
+        _sync(store, [replace(source, key=("source_ref",))], as_of)
+    return store.read("donations").drop("id", "period_month")
+
+
+def crm_bad_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Gifts of the pages that are JSON; every fifth page was cut short."""
+    cut = F.regexp_extract("path", r"(\d+)", 1).cast("bigint") % 5 == 0
+    pages = gift_pages(spark, sf).withColumn("page", F.when(cut, F.left("page", F.lit(20))).otherwise(F.col("page")))
+    gifts = crm.normalise_donations(pages, "crm", AS_OF, **GIFT_VALUES)
+    bad = crm.bad_pages(pages).select(F.concat(F.lit("bad "), F.regexp_extract("path", r"(\d+)", 1)).alias("found"))
+    return gifts.select(F.col("source_ref").alias("found")).unionByName(bad)
+
+
+def replace_live_layer_undated(spark: SparkSession, sf: str) -> DataFrame:
+    """A stored cut-off on gifts of which some have no date."""
+    gifts = sample_tables(spark, sf).donations
+    store = Store(spark, fresh_dir(spark, "store"))
+    undated = F.when(F.col("id") % 9 != 0, F.col("gift_date"))
+    store.replace("donations", gifts.withColumn("gift_date", undated))
+    store.replace_since("donations", gifts.withColumn("amount", F.col("amount") * 2), date(2001, 1, 15))
+    return conform(store.read("donations"), "donations")
+
+
 def _reloaded(fmt: str, spark: SparkSession, sf: str) -> Tables:
     folder = fresh_dir(spark, "tables")
     tables = sample_tables(spark, sf)
@@ -309,10 +349,14 @@ def queries() -> dict[str, Query]:
         assign_ids,
         replace_live_layer,
         replace_live_layer_stored,
+        replace_live_layer_undated,
+        crm_bad_pages,
         copy_tables,
         validate_tables,
         sync,
         sync_stream,
+        sync_stream_donors,
+        sync_by_source_ref,
         load_parquet,
         load_csv,
         load_json,

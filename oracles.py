@@ -388,6 +388,27 @@ JOBS: dict[str, str] = {
     SELECT gift_date, donor_name, campaign_id, channel_id, amount, status FROM known_donations
     UNION ALL
     SELECT gift_date, donor_name, campaign_id, channel_id, amount, status FROM new_gifts""",
+    "sync_stream_donors": BASE + _DONOR_ITEMS + """
+    SELECT coalesce(d.name, i.name) AS name, coalesce(i.segment_id, d.segment_id) AS segment_id,
+           CAST(greatest(coalesce(d.max_gift, 0), coalesce(i.max_gift, d.max_gift)) AS INT) AS max_gift,
+           coalesce(d.first_gift, 'Jan 2024') AS first_gift, coalesce(i.lifecycle, d.lifecycle) AS lifecycle
+    FROM donors AS d FULL JOIN (
+        SELECT DISTINCT name, 'BUILDING' AS segment_id, 0 AS max_gift, 'active' AS lifecycle FROM donor_items) AS i
+      ON i.name = d.name""",
+    "sync_by_source_ref": BASE + _GIFT_ITEMS + """
+    SELECT gift_date, donor_name, campaign_id, channel_id, amount, status, NULL AS source_ref FROM known_donations
+    UNION ALL
+    SELECT gift_date, donor_name, campaign_id, channel_id, CAST(floor(amount + 0.5) AS INT), status, source_ref
+    FROM gift_items WHERE donor_name IN (SELECT name FROM donors)""",
+    "crm_bad_pages": BASE + _GIFT_ITEMS + """
+    SELECT source_ref AS found FROM gift_items WHERE number % 5 <> 0
+    UNION ALL SELECT DISTINCT 'bad ' || (o_orderkey // 50) FROM orders WHERE o_orderkey // 50 % 5 = 0""",
+    "replace_live_layer_undated": BASE + """
+    SELECT id, CASE WHEN id % 9 <> 0 THEN gift_date END AS gift_date, donor_name, campaign_id, channel_id, amount, status
+    FROM donations WHERE id % 9 = 0 OR gift_date < DATE '2001-01-15'
+    UNION ALL
+    SELECT id, gift_date, donor_name, campaign_id, channel_id, amount * 2, status FROM donations
+    WHERE gift_date >= DATE '2001-01-15'""",
     "load_parquet": BASE + "SELECT * FROM donations",
     "load_csv": BASE + _CALLS_EXPORT,
     "load_json": BASE + "SELECT * FROM donors",
