@@ -301,6 +301,28 @@ def load_json(spark: SparkSession, sf: str) -> DataFrame:
     return _reloaded("json", spark, sf).donors
 
 
+def _all_rows(tables: Tables) -> DataFrame:
+    """Every row of the seven tables as text."""
+    found = None
+    for table, columns in oracles.CONTENT.items():
+        texts = (f"coalesce(CAST({c} AS string), '-')" for c in columns)
+        if table == "calls":
+            texts = ("date_format(call_time, 'yyyy-MM-dd HH:mm')", *texts)
+        rows = tables[table].selectExpr(f"'{table}' AS `table`", f"concat_ws('|', {', '.join(texts)}) AS content")
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
+def _load_all(fmt: str, spark: SparkSession, sf: str) -> DataFrame:
+    return _all_rows(_reloaded(fmt, spark, sf))
+
+
+def copy_tables_content(spark: SparkSession, sf: str) -> DataFrame:
+    store = Store(spark, fresh_dir(spark, "store"))
+    _copy_tables(sample_tables(spark, sf), store)
+    return _all_rows(store.tables())
+
+
 def _csv(report: str, header: dict[str, str], spark: SparkSession, sf: str) -> DataFrame:
     folder = fresh_dir(spark, "csv")
     files.write_csv(REPORTS[report](sample_tables(spark, sf)), header, folder)
@@ -352,6 +374,7 @@ def queries() -> dict[str, Query]:
         replace_live_layer_undated,
         crm_bad_pages,
         copy_tables,
+        copy_tables_content,
         validate_tables,
         sync,
         sync_stream,
@@ -362,11 +385,14 @@ def queries() -> dict[str, Query]:
         load_json,
         publish,
     )
+    loads: dict[str, Query] = {
+        f"load_all_{fmt}": partial(_load_all, fmt) for fmt in ("parquet", "csv", "json", "orc")
+    }
     exports: dict[str, Query] = {
         "donations_csv": partial(_csv, "donations_export", files.DONATION_HEADER),
         "calls_csv": partial(_csv, "calls_export", files.CALL_HEADER),
     }
-    return reports | scoped_reports | {job.__name__: job for job in jobs} | exports | _corpus()[0]
+    return reports | scoped_reports | {job.__name__: job for job in jobs} | loads | exports | _corpus()[0]
 
 
 def oracle_sql() -> dict[str, str]:

@@ -429,6 +429,32 @@ JOBS["validate_tables"] = JOBS["validate_tables"].replace(
 ) + ') AS found GROUP BY "table", rule'
 
 
+# The columns that ``BASE`` states of each table; the minute of a call comes first.
+CONTENT = {
+    "segments": ("id", "label", "color"),
+    "campaigns": ("id", "label", "color", "goal"),
+    "channels": ("id", "label", "color"),
+    "callers": ("name", "role", "tenure"),
+    "donors": ("name", "segment_id", "max_gift", "first_gift", "lifecycle"),
+    "donations": ("id", "gift_date", "donor_name", "campaign_id", "channel_id", "amount", "status"),
+    "calls": ("id", "caller_name", "contact", "duration_sec", "outcome", "pledge", "note_text"),
+}
+
+
+def _content() -> str:
+    parts = []
+    for table, columns in CONTENT.items():
+        texts = [f"coalesce(CAST({c} AS VARCHAR), '-')" for c in columns]
+        if table == "calls":
+            texts = ["strftime(call_time, '%Y-%m-%d %H:%M')", *texts]
+        parts.append(f"SELECT '{table}' AS \"table\", concat_ws('|', {', '.join(texts)}) AS content FROM {table}")
+    return BASE + " UNION ALL ".join(parts)
+
+
+for _row in ("load_all_parquet", "load_all_csv", "load_all_json", "load_all_orc", "copy_tables_content"):
+    JOBS[_row] = _content()
+
+
 def all_sql() -> dict[str, str]:
     reports = {name: BASE + body for name, body in (REPORTS | SCOPED).items()}
     return reports | JOBS

@@ -8,7 +8,7 @@ import pytest
 from hand_made import ROWS, gift
 from pyspark.sql import functions as F
 
-from almoner.model import TABLES
+from almoner.model import TABLES, Tables
 from almoner.operators import lookup as joins
 from almoner.operators.ids import assign_ids, largest_id
 from almoner.operators.layers import replace_live_layer
@@ -326,3 +326,24 @@ def test_validation(make_tables):
         ("donors", "name repeated", 1),
         ("donors", "segment_id missing", 1),
     ]
+
+
+def test_validation_scans_each_table_once(make_tables):
+    opened = []
+    tables = make_tables(**ROWS)
+
+    def load(table):
+        opened.append(table)
+        return tables[table]
+
+    plan = validate_tables(Tables(load))._jdf.queryExecution().executedPlan().toString()
+    assert sorted(opened) == sorted(TABLES)
+    # By value, then by rule; no join.
+    assert plan.count("Exchange hashpartitioning") == 2 and "Join" not in plan
+
+
+def test_validation_of_a_hot_value(make_tables):
+    gifts = [gift(i, "2026-06-10", "Nobody" if i % 3 else "D1", "C1", "H1", 1) for i in range(300)]
+    assert rows(validate_tables(make_tables(**ROWS | {"donations": gifts}))) == [
+        ("donations", "donor_name unknown", 200)
+    ]

@@ -6,6 +6,7 @@ import pytest
 from hand_made import ROWS, TODAY, call, gift
 from pyspark.sql import functions as F
 
+from almoner.model import Tables
 from almoner.operators.scope import scoped
 from almoner.plans import AD_HOC, REPORTS
 from almoner.plans.donors import shared
@@ -244,6 +245,17 @@ def test_scopes(tables):
     assert rows(REPORTS["overview"](scoped(tables))) == EXPECTED["overview"]
 
 
+def test_scopes_open_what_a_report_reads(tables):
+    opened = []
+
+    def load(table):
+        opened.append(table)
+        return tables[table]
+
+    rows(REPORTS["channel_breakdown"](scoped(Tables(load), segment="S1")))
+    assert "calls" not in opened and opened.count("donors") == 1
+
+
 def test_totals_agree(spark):
     from conftest import SF
 
