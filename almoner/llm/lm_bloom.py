@@ -3,19 +3,21 @@
 Unigram and bigram counts of all training texts are quantised to levels 1 + floor(log2 c); an
 n-gram of level q is put into the filter as (n-gram, 1) ... (n-gram, q). To read a count back
 the filter is probed with (n-gram, 1), (n-gram, 2), ... until a probe misses. The filter is
-cut into segments by the hash of the n-gram, so each segment is made by one group of rows. Its
-size is ``FILTER_BYTES`` at any input, which is what may be broadcast; when the counts would
-need more than that, the rarest bigrams are left out, by a cutoff that is read from the histogram of all counts.
-Bigrams seen once are never stored.
+cut into segments by the hash of the n-gram. Each segment is made from one group of rows, has ``BITS_PER_ENTRY`` bits or more for
+each of its entries, and answers the probes that are sent to it there. So every counted n-gram is in the filter, it
+grows with the input, and it is never in one place.
 
     p(w | v) = L * min(1, c(v w) / c(v)) + (1 - L) * p(w),  p(w) = (c(w) + 0.1) / (N + 0.1 (V + 1))
 
 with quantised counts (the geometric middle of the level) and L = 0 where the filter has no c(v w).
 The first token's v is the start of the text.
 
-Beside it stands the exact unigram base of the contract. The counts of the ``HEAD`` most frequent
-tokens, a bounded table, go to every task; the tokens of each text that are not among
-them are counted within their text and joined to the counts by their hash.
+Beside it stands the exact unigram base of the contract. The exact counts come back with the answers.
+
+1. Texts are turned into chunks of about ``TOKENS_AT_ONCE`` tokens, which are staged.
+2. Each chunk sends its distinct n-grams, with their counts in its training texts, to their segments.
+3. Each segment adds the counts up, builds its part of the filter and answers every chunk with the levels (and counts) in the order they came.
+4. Each chunk puts the answers together and scores its texts.
 
 Tokens are the words of a text with A-Z lower-cased, and one end token. Tokens and n-grams are
 counted by 64-bit hashes. Rows: null texts count as empty, so they have one token, the end. Rows
@@ -27,25 +29,23 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from almoner.llm.common import held_out, learnt, map_batches, mixed, slices, staged, word_hashes
 
 SMOOTHING = 0.1
 MIX = 0.7
-FILTER_BYTES = 1 << 25
 PROBES = 3
 BITS_PER_ENTRY = 9
-SMALLEST_BIGRAM = 2
+LEAST_BYTES = 1 << 12
 LEVELS = 48
-HEAD = 200_000
 TOKENS_PER_SEGMENT = 1 << 21
 MOST_SEGMENTS = 1 << 20
-TOKENS_COUNTED_AT_ONCE = 2_000_000
+TOKENS_AT_ONCE = 2_000_000
 BLOCK = 1 << 15
 END, START = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC3A5C85C97CB3127)
 _UP, _MIX1 = np.uint64(32), np.uint64(0x9E3779B97F4A7C15)
@@ -88,14 +88,10 @@ class Filter:
         return mix, (mix >> _UP) | np.uint64(1)
 
     def read(self, hashes: np.ndarray) -> np.ndarray:
-        """The level of each n-gram: probes go on until one misses.
-
-        The n-grams are read in the order of their hashes, which is the order of the segments, a block at a time."""
-        order = np.argsort(hashes)
+        """The level of each n-gram: probes go on until one misses. A block is read at a time."""
         level = np.zeros(len(hashes), np.uint8)
-        for at in range(0, len(order), BLOCK):
-            block = order[at : at + BLOCK]
-            level[block] = self._read_block(hashes[block])
+        for at in range(0, len(hashes), BLOCK):
+            level[at : at + BLOCK] = self._read_block(hashes[at : at + BLOCK])
         return level
 
     def _read_block(self, hashes: np.ndarray) -> np.ndarray:
@@ -127,23 +123,6 @@ def filter_segment(hashes: np.ndarray, level: np.ndarray, segments: int, segment
     return data.tobytes()
 
 
-@dataclass(frozen=True)
-class Model:
-    """The filter, the exact counts of the most frequent tokens, and the corpus' size."""
-
-    segments: int
-    data: object  # a broadcast of the filter's bytes
-    head: object  # a broadcast of (hashes, counts), sorted by hash
-    tokens: int
-    distinct: int
-    counts: DataFrame  # h, n of every token
-
-    @property
-    def total(self) -> float:
-        """The denominator of a unigram probability."""
-        return self.tokens + SMOOTHING * (self.distinct + 1) if self.tokens else SMOOTHING
-
-
 def token_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of all texts' tokens and the place where each text begins; a text has one token at least, its end."""
     hashes, counts = word_hashes(texts, lower=True)
@@ -162,160 +141,140 @@ def _summed(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndar
     return hashes[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
-_NGRAMS = "segment int, bigram boolean, h array<bigint>, n array<bigint>"
+def _one(values: np.ndarray | pa.Array) -> pa.ListArray:
+    """A list column of one row."""
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values))
 
 
-def _ngram_counts(documents: DataFrame, folds: int, segments: int) -> DataFrame:
-    """One row for each segment and order: all n-grams of the training texts with their counts.
+def _numpy(values: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return values.to_numpy() if isinstance(values, pa.ChunkedArray) else values.to_numpy(zero_copy_only=False)
 
-    Tasks count what they read first; what they send is grouped by segment, of which there are so
-    many that one holds about ``TOKENS_PER_SEGMENT`` tokens. Frequent n-grams leave a task once per
-    ``TOKENS_COUNTED_AT_ONCE`` tokens."""
-    shift = np.uint64(64 - (segments.bit_length() - 1))
 
-    def sent(kinds: dict[str, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        for kind, parts in kinds.items():
-            hashes, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *parts]), return_counts=True)
-            parts.clear()
-            segment = hashes >> shift if segments > 1 else np.zeros(len(hashes), np.uint64)
-            used, starts = np.unique(segment, return_index=True)  # hashes are sorted, so segments are too
-            ends = pa.array([*starts, len(hashes)], pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(used.astype(np.int32)),
-                    pa.array(np.full(len(used), kind == "bigram")),
-                    pa.ListArray.from_arrays(ends, pa.array(hashes.view(np.int64))),
-                    pa.ListArray.from_arrays(ends, pa.array(counts)),
-                ],
-                ["segment", "bigram", "h", "n"],
-            )
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds: dict[str, list[np.ndarray]] = {"unigram": [], "bigram": []}
-        pending = 0
+_CHUNK = "chunk bigint, doc_id array<bigint>, held_out array<boolean>, learnt array<boolean>, size array<bigint>, words array<bigint>, token array<int>"
+
+
+def _chunks(documents: DataFrame, folds: int) -> DataFrame:
+    """One row for each chunk: its rows in turn, its distinct tokens in the order of their hashes, and the place among them of every token."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, pending = TaskContext.get().partitionId() << 32, 0
+        rows: list[pa.RecordBatch] = []
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def made() -> pa.RecordBatch:
+            words, token = np.unique(np.concatenate([t for t, _ in found]), return_inverse=True)
+            size = np.concatenate([n for _, n in found])
+            own = [pa.concat_arrays([r.column(i) for r in rows]) for i in range(3)]
+            columns = [pa.array([chunk]), *map(_one, [*own, size, words.view(np.int64), token.astype(np.int32)])]
+            return pa.RecordBatch.from_arrays(columns, ["chunk", "doc_id", "held_out", "learnt", "size", "words", "token"])
+
         for batch in batches:
             for part in slices(batch):
                 tokens, starts = token_hashes(part.column(0).to_pylist())
-                kinds["unigram"].append(tokens)
-                kinds["bigram"].append(bigram_hashes(tokens, starts))
+                rows.append(part.select([1, 2, 3]))
+                found.append((tokens, np.diff([*starts, len(tokens)])))
                 pending += len(tokens)
-                if pending >= TOKENS_COUNTED_AT_ONCE:
-                    yield from sent(kinds)
-                    pending = 0
-        yield from sent(kinds)
-
-    def add(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        h, n = ([x.combine_chunks().flatten() for x in (group.column("h"), group.column("n"))])
-        hashes, counts = _summed(h.to_numpy().view(np.uint64), n.to_numpy())
-        one = pa.array([0, len(hashes)], pa.int32())
-        return pa.table(
-            {
-                "segment": pa.array([key[0].as_py()], pa.int32()),
-                "bigram": pa.array([key[1].as_py()]),
-                "h": pa.ListArray.from_arrays(one, pa.array(hashes.view(np.int64))),
-                "n": pa.ListArray.from_arrays(one, pa.array(counts)),
-            }
-        )
-
-    texts = documents.where(learnt(F.col("doc_id"), folds)).select("text")
-    partial = map_batches(texts, count, _NGRAMS)
-    summed = partial.groupBy("segment", "bigram").applyInArrow(add, _NGRAMS)
-    # Bigrams that can never be stored stay out of the staged table.
-    stored = summed.selectExpr("segment", "bigram", "arrays_zip(h, n) AS g").selectExpr(
-        "segment", "bigram", f"IF(bigram, filter(g, x -> x.n >= {SMALLEST_BIGRAM}), g) AS g"
+                if pending >= TOKENS_AT_ONCE:
+                    yield made()
+                    chunk, pending = chunk + 1, 0
+                    rows.clear()
+                    found.clear()
+        if rows:
+            yield made()
+
+    doc_id = F.col("doc_id")
+    given = documents.select(
+        "text", doc_id.cast("bigint").alias("doc_id"), held_out(doc_id, folds).alias("held_out"), learnt(doc_id, folds).alias("learnt")
     )
-    return staged(stored.selectExpr("segment", "bigram", "g.h AS h", "g.n AS n"), "ngram-counts")
+    return staged(map_batches(given, run, _CHUNK), "lm-chunks")
 
 
-def _cutoff(counts: DataFrame) -> int:
-    """The smallest level of bigrams at which all that is stored fits into the filter."""
-    sizes = (
-        counts.select("bigram", F.explode("n").alias("n"))
-        .groupBy("bigram", F.least(F.floor(F.log2("n")) + 1, F.lit(LEVELS)).cast("int").alias("level"))
-        .agg(F.count("*").alias("grams"))
-        .collect()
-    )
-    room = FILTER_BYTES * 8 // BITS_PER_ENTRY
-    room -= sum(r["level"] * r["grams"] for r in sizes if not r["bigram"])
-    cutoff = LEVELS + 1
-    for r in sorted((r for r in sizes if r["bigram"]), key=lambda r: -r["level"]):
-        room -= r["level"] * r["grams"]
-        if room < 0:
-            break
-        cutoff = r["level"]
-    return cutoff
-
-
-def train(documents: DataFrame, folds: int = 10) -> Model:
-    """Counts all training texts and builds the filter."""
-    spark = documents.sparkSession
-    # Words are at least one character and a blank apart; texts hold about six characters for each.
-    chars = documents.agg(F.sum(F.char_length("text"))).first()[0] or 0
-    segments = 16
-    while segments < MOST_SEGMENTS and segments * TOKENS_PER_SEGMENT < chars // 6:
-        segments *= 2
-    segment_bytes = FILTER_BYTES // segments
-    counts = _ngram_counts(documents, folds, segments)
-    cutoff = _cutoff(counts)
-    gram_counts = counts.where("NOT bigram").select(F.explode(F.arrays_zip("h", "n")).alias("g")).select("g.h", "g.n")
-    total, distinct = gram_counts.agg(F.sum("n"), F.count("*")).first()
-
-    def build(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        hashes, level = [], []
-        for h, n, bigram in zip(group.column("h").chunks or [], group.column("n").chunks, group.column("bigram").chunks):
-            for i in range(len(h)):
-                q = levels(h_numpy(n[i].values))
-                keep = q >= cutoff if bigram[i].as_py() else q >= 1
-                hashes.append(h_numpy(h[i].values).view(np.uint64)[keep])
-                level.append(q[keep])
-        data = filter_segment(np.concatenate(hashes), np.concatenate(level), segments, segment_bytes)
-        return pa.table({"segment": pa.array([key[0].as_py()], pa.int32()), "data": pa.array([data], pa.binary())})
-
-    data = np.zeros(FILTER_BYTES, np.uint8)
-    made = staged(counts.groupBy("segment").applyInArrow(build, "segment int, data binary"), "bloom-filter")
-    filled = made.toArrow()  # FILTER_BYTES in all
-    for segment, part in zip(filled.column("segment").to_pylist(), filled.column("data").to_pylist()):
-        data[segment * segment_bytes : (segment + 1) * segment_bytes] = np.frombuffer(part, np.uint8)
-    head = _head(gram_counts)
-    context = spark.sparkContext
-    return Model(
-        segments,
-        context.broadcast(data),
-        context.broadcast(head),
-        total or 0,
-        distinct,
-        gram_counts,
-    )
+def _tokens(chunk: dict[str, pa.Array]) -> tuple[np.ndarray, np.ndarray]:
+    """The token hashes of a chunk and the places where its texts begin."""
+    tokens = _numpy(chunk["words"]).view(np.uint64)[_numpy(chunk["token"])]
+    return tokens, np.concatenate([[0], np.cumsum(_numpy(chunk["size"]))[:-1]])
 
 
-def _head(gram_counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and counts of the most frequent tokens, sorted by hash: all from the smallest eighth of an octave
-    down to which they are at most ``HEAD``."""
-    step = F.floor(8 * F.log2("n"))
-    sizes = gram_counts.groupBy(step.alias("step")).agg(F.count("*").alias("tokens")).collect()
-    room, cutoff = HEAD, None
-    for r in sorted(sizes, key=lambda r: -r["step"]):
-        room -= r["tokens"]
-        if room < 0:
-            break
-        cutoff = r["step"]
-    top = gram_counts.where(step >= (1 << 20 if cutoff is None else cutoff)).toArrow()
-    hashes = top.column("h").to_numpy().view(np.uint64)
-    order = np.argsort(hashes)
-    return hashes[order], top.column("n").to_numpy()[order]
+def _row(table: pa.RecordBatch | pa.Table, i: int) -> dict[str, pa.Array]:
+    return {name: table.column(name)[i].values for name in ("doc_id", "held_out", "learnt", "size", "words", "token")}
 
 
-def h_numpy(values: pa.Array) -> np.ndarray:
-    return values.to_numpy(zero_copy_only=False)
+def _ngrams(chunks: DataFrame, segments: int) -> DataFrame:
+    """The distinct n-grams of each chunk with their counts in its training texts: a row for each segment and order.
 
+    There are so many segments that one holds about ``TOKENS_PER_SEGMENT`` tokens. Frequent n-grams leave a chunk once."""
+    shift = np.uint64(64 - (segments.bit_length() - 1))
 
-def _head_counts(head: tuple[np.ndarray, np.ndarray], tokens: np.ndarray) -> np.ndarray:
-    """The counts of tokens; -1 for those that are not among the most frequent."""
-    hashes, counts = head
-    if not len(hashes):
-        return np.full(len(tokens), -1)
-    at = np.minimum(np.searchsorted(hashes, tokens), len(hashes) - 1)
-    return np.where(hashes[at] == tokens, counts[at], -1)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                chunk = _row(batch, i)
+                tokens, starts = _tokens(chunk)
+                counted = np.repeat(_numpy(chunk["learnt"]).astype(np.int64), _numpy(chunk["size"]))
+                for bigram in (False, True):
+                    hashes, counts = _summed(bigram_hashes(tokens, starts) if bigram else tokens, counted)
+                    used, first = np.unique(hashes >> shift, return_index=True)  # hashes are sorted, so segments are too
+                    ends = pa.array([*first, len(hashes)], pa.int32())
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(np.full(len(used), batch.column(0)[i].as_py())),
+                            pa.array(used.astype(np.int32)),
+                            pa.array(np.full(len(used), bigram)),
+                            pa.ListArray.from_arrays(ends, pa.array(hashes.view(np.int64))),
+                            pa.ListArray.from_arrays(ends, pa.array(counts.astype(np.int32))),
+                        ],
+                        ["chunk", "segment", "bigram", "h", "n"],
+                    )
+
+    return map_batches(chunks, run, "chunk bigint, segment int, bigram boolean, h array<bigint>, n array<int>")
+
+
+def answers(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Level by the filter and exact count of each n-gram of a segment, and how many were counted.
+
+    An n-gram comes once for each chunk; its counts are added up, and it is put into the filter however rare it is."""
+    stored, total = _summed(hashes, counts)
+    stored, total = stored[total > 0], total[total > 0]
+    level = levels(total)
+    size = LEAST_BYTES
+    while size * 8 < int(level.sum()) * BITS_PER_ENTRY:
+        size *= 2
+    data = np.frombuffer(filter_segment(stored, level, 1, size), np.uint8)
+    at = np.minimum(np.searchsorted(stored, hashes), max(0, len(stored) - 1))
+    exact = np.where(stored[at] == hashes, total[at], 0) if len(stored) else np.zeros(len(hashes), np.int64)
+    return Filter(1, size, data).read(hashes), exact, len(stored)
+
+
+_ANSWERS = "chunk bigint, segment int, bigram boolean, level array<tinyint>, n array<bigint>, tokens bigint, distinct bigint"
+
+
+def _answers(ngrams: DataFrame) -> DataFrame:
+    """For each row of ``ngrams`` the levels, and for tokens the exact counts. The segment's sums stand in one of its rows."""
+
+    def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        h, n = (group.column(c).combine_chunks() for c in ("h", "n"))
+        ends = np.concatenate([[0], np.cumsum(_numpy(h.value_lengths()))])
+        counts = _numpy(n.flatten()).astype(np.int64)
+        level, exact, distinct = answers(_numpy(h.flatten()).view(np.uint64), counts)
+        bigram, sums = key[1].as_py(), np.zeros((2, len(h)), np.int64)
+        if not bigram:
+            sums[:, 0] = counts.sum(), distinct
+        ends = pa.array(ends, pa.int32())
+        none = pa.array(np.zeros(len(h) + 1), pa.int32())
+        exact_lists = pa.ListArray.from_arrays(none, pa.array([], pa.int64())) if bigram else pa.ListArray.from_arrays(ends, pa.array(exact))
+        return pa.table(
+            {
+                "chunk": group.column("chunk"),
+                "segment": group.column("segment"),
+                "bigram": group.column("bigram"),
+                "level": pa.ListArray.from_arrays(ends, pa.array(level.astype(np.int8))),
+                "n": exact_lists,
+                "tokens": pa.array(sums[0]),
+                "distinct": pa.array(sums[1]),
+            }
+        )
+
+    return staged(ngrams.groupBy("segment", "bigram").applyInArrow(run, _ANSWERS), "lm-answers")
 
 
 def _log_probability(count: np.ndarray, pair: np.ndarray, starts: np.ndarray, total: float) -> np.ndarray:
@@ -329,72 +288,46 @@ def _log_probability(count: np.ndarray, pair: np.ndarray, starts: np.ndarray, to
     return np.log10(np.where(known, MIX * bigram + (1 - MIX) * unigram, unigram))
 
 
-def _rare(tokens: np.ndarray, owner: np.ndarray, n: int) -> tuple[pa.Array, pa.Array]:
-    """For each of ``n`` texts the distinct tokens and how often each is there."""
-    order = np.lexsort((tokens, owner))
-    tokens, owner = tokens[order], owner[order]
-    fresh = np.ones(len(tokens), bool)
-    fresh[1:] = (tokens[1:] != tokens[:-1]) | (owner[1:] != owner[:-1])
-    first = np.flatnonzero(fresh)
-    times = np.diff([*first, len(tokens)])
-    ends = pa.array(np.searchsorted(owner[first], np.arange(n + 1)), pa.int32())
-    hashes = pa.array(tokens[first].view(np.int64))
-    return pa.ListArray.from_arrays(ends, hashes), pa.ListArray.from_arrays(ends, pa.array(times, pa.int32()))
+_SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
 
-def score_documents(documents: DataFrame, model: Model, folds: int = 10) -> DataFrame:
+def score_corpus(documents: DataFrame, folds: int = 10) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row."""
-    segments, data, head, total = model.segments, model.data, model.head, model.total
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = Filter(segments, FILTER_BYTES // segments, data.value)
-        for batch in batches:
-            for part in slices(batch, rows=256, chars=2_000_000):
-                tokens, starts = token_hashes(part.column(1).to_pylist())
-                lengths = np.diff([*starts, len(tokens)])
-                used, place = np.unique(tokens, return_inverse=True)
-                count = _head_counts(head.value, used)[place]
-                known = count >= 0
-                base = np.where(known, np.log10((np.maximum(count, 0) + SMOOTHING) / total), 0.0)
-                pair = LEVEL_COUNT[table.read(bigram_hashes(tokens, starts))]
-                score = _log_probability(LEVEL_COUNT[table.read(used)][place], pair, starts, total)
-                owner = np.repeat(np.arange(part.num_rows), lengths)
-                sums = (lengths, np.add.reduceat(known.astype(np.int64), starts), np.add.reduceat(base, starts), np.add.reduceat(score, starts))
-                columns = [*map(pa.array, sums), *_rare(tokens[~known], owner[~known], part.num_rows)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(2), *columns],
-                    ["doc_id", "held_out", "n_tokens", "n_head", "head_base", "score", "h", "times"],
-                )
-
-    rows = documents.select(
-        F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text"), held_out(F.col("doc_id"), folds).alias("held_out")
-    )
-    schema = (
-        "doc_id bigint, held_out boolean, n_tokens bigint, n_head bigint, head_base double, score double,"
-        " h array<bigint>, times array<int>"
-    )
-    # The row number is written, so it is the same in both branches below.
-    first = staged(map_batches(rows, run, schema).withColumn("row", F.monotonically_increasing_id()), "lm-scores")
-    rare = first.select("row", F.explode(F.arrays_zip("h", "times")).alias("t")).select("row", "t.h", "t.times")
-    probability = (F.coalesce("n", F.lit(0)) + SMOOTHING) / F.lit(total)
-    rest = (
-        rare.join(model.counts, "h", "left")
-        .groupBy("row")
-        .agg(
-            F.sum(F.col("times") * F.log10(probability)).alias("base"),
-            F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("known"),
+    # Words are at least one character and a blank apart; texts hold about six characters for each.
+    chars = documents.agg(F.sum(F.char_length("text"))).first()[0] or 0
+    segments = 16
+    while segments < MOST_SEGMENTS and segments * TOKENS_PER_SEGMENT < chars // 6:
+        segments *= 2
+    chunks = _chunks(documents, folds)
+    found = _answers(_ngrams(chunks, segments))
+    learnt_tokens, distinct = (x or 0 for x in found.agg(F.sum("tokens"), F.sum("distinct")).first())
+    # The denominator of a unigram probability.
+    total = learnt_tokens + SMOOTHING * (distinct + 1) if learnt_tokens else SMOOTHING
+
+    def run(own: pa.Table, parts: pa.Table) -> pa.Table:
+        chunk = _row(own, 0)
+        tokens, starts = _tokens(chunk)
+        place = _numpy(chunk["token"])
+        # Segments in turn hold the n-grams of a chunk in the order of their hashes.
+        order = np.lexsort((_numpy(parts.column("segment")), _numpy(parts.column("bigram"))))
+        parts = parts.take(pa.array(order))
+        level = np.concatenate([_numpy(c.flatten()) for c in parts.column("level").chunks])
+        exact = np.concatenate([_numpy(c.flatten()) for c in parts.column("n").chunks])
+        of_token, of_pair = level[: len(exact)], level[len(exact) :]
+        count = exact[place]
+        pair = LEVEL_COUNT[of_pair[np.unique(bigram_hashes(tokens, starts), return_inverse=True)[1]]]
+        base = np.log10((count + SMOOTHING) / total)
+        score = _log_probability(LEVEL_COUNT[of_token][place], pair, starts, total)
+        return pa.table(
+            {
+                "doc_id": chunk["doc_id"],
+                "held_out": chunk["held_out"],
+                "n_tokens": chunk["size"],
+                "n_known": pa.array(np.add.reduceat((count > 0).astype(np.int64), starts)),
+                "train_tokens": pa.array(np.full(len(starts), learnt_tokens, np.int64)),
+                "base_score": pa.array(np.add.reduceat(base, starts)),
+                "score": pa.array(np.add.reduceat(score, starts)),
+            }
         )
-    )
-    return first.join(rest, "row", "left").select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("n_head") + F.coalesce("known", F.lit(0))).alias("n_known"),
-        F.lit(model.tokens).cast("bigint").alias("train_tokens"),
-        (F.col("head_base") + F.coalesce("base", F.lit(0.0))).alias("base_score"),
-        "score",
-    )
-
 
-def score_corpus(documents: DataFrame, folds: int = 10) -> DataFrame:
-    return score_documents(documents, train(documents, folds), folds)
+    return chunks.groupBy("chunk").cogroup(found.select("chunk", "segment", "bigram", "level", "n").groupBy("chunk")).applyInArrow(run, _SCORES)

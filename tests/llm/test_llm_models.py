@@ -275,6 +275,36 @@ def test_scores_of_the_language_model(spark, texts):
     assert sums["score"] > sums["base"]
 
 
+def test_bigrams_seen_once_are_scored(spark, monkeypatch):
+    monkeypatch.setattr(lm_bloom, "TOKENS_AT_ONCE", 5)  # many chunks
+    texts = {1: "a b a b c", 2: "a b d", 3: "c d a", 4: "never seen", 5: "b c"}
+    tokens = {i: [*t.split(), 0] for i, t in texts.items()}
+    assert all(fold(i, 10) for i in texts)
+    counts = Counter(w for t in tokens.values() for w in t)
+    pairs = Counter(p for t in tokens.values() for p in zip([None, *t], t))
+    n, v = sum(counts.values()), len(counts)
+    stored = lambda c: lm_bloom.LEVEL_COUNT[lm_bloom.levels(np.array([c]))[0]]
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").coalesce(1)
+    for row in lm_bloom.score_corpus(df).collect():
+        expected = 0
+        for before, w in zip([None, *tokens[row["doc_id"]]], tokens[row["doc_id"]]):
+            p = (stored(counts[w]) + 0.1) / (n + 0.1 * (v + 1))
+            if before is not None:
+                p = 0.7 * min(1, stored(pairs[before, w]) / stored(counts[before])) + 0.3 * p
+            expected += math.log10(p)
+        assert math.isclose(row["score"], expected, rel_tol=1e-9)
+
+
+def test_the_filter_grows_with_its_ngrams():
+    draw = np.random.default_rng(3)
+    hashes = np.unique(draw.integers(0, 1 << 64, 300_000, dtype=np.uint64))
+    level, exact, distinct = lm_bloom.answers(np.concatenate([hashes, hashes[:9]]), np.concatenate([np.ones(len(hashes)), np.zeros(9)]).astype(int))
+    assert distinct == len(hashes) and (level >= 1).all() and (exact == 1).all()
+    unseen = draw.integers(0, 1 << 64, 20_000, dtype=np.uint64)
+    level, exact, _ = lm_bloom.answers(np.concatenate([hashes, unseen]), np.repeat([1, 0], [len(hashes), len(unseen)]))
+    assert (level[len(hashes) :] == 0).mean() > 0.95 and not exact[len(hashes) :].any()
+
+
 def test_filter_reads_back_levels():
     draw = np.random.default_rng(1)
     hashes = draw.integers(0, 1 << 64, 5000, dtype=np.uint64)
