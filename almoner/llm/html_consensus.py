@@ -8,6 +8,11 @@
 3. Each page is read again with the winning path of its host: all containers on that path that are not in one another give
    the text, without the boilerplate in them. A page that has no such container falls back to its own best one.
 
+A word of a class or id marks boilerplate when the whole name says so (``cookie-notice``, ``sidebar-left``), never with a word like
+``has`` or ``no`` beside it. A mark does not count round the page's ``main``, nor round its largest ``article`` when every one is
+marked, nor when most of the page's unlinked text has it: names with other words in them (``search-page``) then mark nothing at all,
+whole ones nothing on pages without an unmarked ``main`` or ``article``. Only comments may be longer than the text.
+
 In the text character references are decoded, white space in a block becomes one space, blocks are trimmed
 and joined by a line feed, empty ones left out. ``br`` is white space. Nothing is cut off.
 
@@ -21,7 +26,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -33,7 +38,7 @@ from almoner.operators.lookup import fits_broadcast
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style noscript template iframe textarea xmp noembed noframes".split())
 SKIPPED = RAW | set(
-    "head title nav header footer aside form button select option menu menuitem dialog svg canvas object audio video map math".split()
+    "head title nav header footer aside form button select option menu menuitem dialog svg canvas object audio video map".split()
 )
 CONTAINERS = set("body main article section div td center blockquote".split())
 BLOCKS = CONTAINERS | set(
@@ -60,25 +65,59 @@ BOILERPLATE = set(
     " disqus share sharing social related recommended widget pagination pager complementary contentinfo search hidden".split()
 )
 CONTENT = set("article content post entry story main body text".split())
+# They do not change what a name says; those of NEGATING do.
+NEUTRAL = CONTENT | set(
+    "area bar block bottom box button buttons col column container first form group heading holder icon inner item items last left"
+    " link links list outer panel posts primary region right row secondary section site slot title top unit wrap wrapper".split()
+)
+NEGATING = set("has no non not with without print xs sm md lg xl".split())
+DISCUSSION = set("comment comments commentlist respond reply replies discussion disqus".split())
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>"']++|"[^"<]*+"|'[^'<]*+'|["'])*+)>|<!--.*?(?:-->|\Z)|<[!?][^>]*>""", re.S)
 ATTRIBUTE = re.compile(r"""(?i)\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 PASSED_ON = 0.8
 ALSO_VOTED = 0.5
 
 
+def mark(names: list[str]) -> tuple[bool, set[str]] | None:
+    """Whether a whole name marks boilerplate, and the words that do; nothing if none does."""
+    whole: set[str] = set()
+    partly: set[str] = set()
+    for name in names:
+        words = set(re.findall("[a-z]+", name))
+        if words & BOILERPLATE and not words & NEGATING:
+            (whole if words <= BOILERPLATE | NEUTRAL else partly).update(words & BOILERPLATE)
+    return (True, whole) if whole else (False, partly) if partly else None
+
+
 class Page:
     """The containers and text blocks of a page."""
 
     def __init__(self, html: str):
+        self._wide: set[int] = set()  # marked elements of a line that hold blocks
+        self._start()
+        self._read(html)
+        if self._wide:
+            self._start()
+            self._read(html)
+        self._marked()
+        self.scores = self._scored()
+        if not self.scores and self._lines - self._wide:  # the page may be in one of them
+            self._wide |= self._lines
+            self._start()
+            self._read(html)
+            self._marked()
+            self.scores = self._scored()
+
+    def _start(self) -> None:
         self.tags, self.parents, self.paths, self.skipped = ["html"], [-1], [""], [False]
         self.plus = [1.0]
         self.blocks: list[tuple[int, str, int]] = []  # node, text, characters in links
+        self.marks: dict[int, tuple[bool, set[str]]] = {}  # whether a whole name says so, and the words
+        self._lines: set[int] = set()  # marked elements within a line
         self._pieces: list[str] = []
         self._linked = 0
         self._links = 0
         self._muted: int | None = None  # the open element within a line that is left out
-        self._read(html)
-        self.scores = self._scored()
 
     def _read(self, html: str) -> None:
         stack, at = [0], 0
@@ -103,6 +142,10 @@ class Page:
             if name in SEPARATE:
                 self._implied(stack, name)
                 self._flush(stack[-1])
+                if self._lines:
+                    self._wide.update(self._lines.intersection(stack))
+            elif len(self.tags) in self._wide:
+                self._flush(stack[-1])
             self._open(stack, name, match[3])
             if name in RAW:
                 end = re.compile(f"</{name}(?=[\\s/>])", re.I).search(html, at)
@@ -132,25 +175,32 @@ class Page:
         words = set(re.findall("[a-z]+", " ".join([*classes, given.get("id", "").lower()])))
         hidden = "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in given.get("style", "").replace(" ", "")
         role = given.get("role", "").lower()
-        marked = bool(words & BOILERPLATE) and name not in ("html", "body", "main", "article")
+        found = words & BOILERPLATE and name not in ("html", "body", "main", "article") and mark([*classes, given.get("id", "").lower()])
         roles = ("navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog", "menu", "form")
-        skipped = self.skipped[parent] or name in SKIPPED or marked or hidden or role in roles
+        skipped = self.skipped[parent] or name in SKIPPED or hidden or role in roles
+        node = len(self.tags)
+        if found and not skipped:
+            self.marks[node] = found
+            if name not in SEPARATE and node not in self._wide:
+                self._lines.add(node)
+                if self._muted is None:
+                    self._muted = node
         self.tags.append(name)
         self.parents.append(parent)
         step = ".".join([name, *sorted(re.sub(r"\d+", "#", c) for c in set(classes))])
         self.paths.append(self.paths[parent] if name in ("html", "body") else f"{self.paths[parent]}/{step}")
         self.skipped.append(skipped)
         self.plus.append((1.5 if name in ("article", "main") else 1.0) * (1.25 if words & CONTENT else 1.0))
-        if skipped and not self.skipped[parent] and name not in SEPARATE:
-            self._muted = len(self.tags) - 1
-        stack.append(len(self.tags) - 1)
+        if skipped and not self.skipped[parent] and name not in SEPARATE and self._muted is None:
+            self._muted = node
+        stack.append(node)
         self._links += name == "a"
 
     def _close(self, stack: list[int], name: str) -> None:
         for place in range(len(stack) - 1, 0, -1):
             tag = self.tags[stack[place]]
             if tag == name:
-                if name in SEPARATE:
+                if name in SEPARATE or self._wide and self._wide.intersection(stack[place:]):
                     self._flush(stack[-1])
                 self._pop(stack, place)
                 return
@@ -177,6 +227,68 @@ class Page:
             self._pieces.clear()
         self._linked = 0
 
+    def _sums(self, skipped: list[bool]) -> list[int]:
+        """The unlinked text in each node."""
+        sums = [0] * len(self.tags)
+        for node, text, linked in self.blocks:
+            if not skipped[node]:
+                sums[node] += max(0, len(text) - 2 * linked)
+        for node in range(len(sums) - 1, 0, -1):
+            sums[self.parents[node]] += sums[node]
+        return sums
+
+    def _below(self, tops: Iterable[int]) -> list[bool]:
+        """What is left out: all that was already, and what is in ``tops``."""
+        out = list(self.skipped)
+        for node in tops:
+            out[node] = True
+        for node in range(1, len(out)):
+            out[node] = out[node] or out[self.parents[node]]
+        return out
+
+    def _marked(self) -> None:
+        """Leaves out what is marked, where the mark counts."""
+        marks = {node: m for node, m in self.marks.items() if node not in self._lines or node in self._wide}
+        lines = self.marks.keys() - marks.keys()
+        if marks:
+            everything = self._sums(self.skipped)
+
+            def free(node: int) -> None:
+                while node > 0:
+                    marks.pop(node, None)
+                    node = self.parents[node]
+
+            mains = [n for n, tag in enumerate(self.tags) if tag in ("main", "article") and everything[n]]
+            for node in mains:
+                if self.tags[node] == "main":
+                    free(node)
+            left = self._sums(self._below(marks))
+            if mains and not any(left[n] for n in mains):
+                free(max(mains, key=lambda n: (everything[n], n)))
+                left = self._sums(self._below(marks))
+            # Words that most of the text has, each element counted in the outermost of its kind.
+            most = everything[0] / 2
+            loose: dict[str, int] = defaultdict(int)
+            inside: dict[int, set[str]] = {}
+            for node in range(len(self.tags)):
+                seen = inside.get(self.parents[node], set())
+                whole, words = marks.get(node, (True, set()))
+                if not whole:
+                    for word in words - seen:
+                        loose[word] += everything[node]
+                    seen = seen | words
+                if seen:
+                    inside[node] = seen
+            article = any(left[n] for n in mains)
+            for node, (whole, words) in list(marks.items()):
+                if whole:
+                    freed = everything[node] > most and not article and not words & DISCUSSION
+                else:
+                    freed = all(loose[word] > most for word in words)
+                if freed:
+                    del marks[node]
+        self.skipped = self._below([*marks, *lines])
+
     def _scored(self) -> dict[int, float]:
         earned: dict[int, float] = defaultdict(float)
         for node, text, linked in self.blocks:

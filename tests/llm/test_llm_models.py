@@ -186,6 +186,43 @@ def test_boilerplate(html, text):
     assert html_consensus.Page(html).text(None) == text
 
 
+LONG = "A longer text of a page. " * 9
+
+
+@pytest.mark.parametrize(
+    "around",
+    [
+        "<div class='has-sidebar'>{}</div>",
+        "<div class='no-comments'>{}</div>",
+        "<div class='content-hidden-print'>{}</div>",
+        "<div class='layout with-widget'>{}</div>",
+        "<div id='search-page'>{}</div>",
+        "<div class='sidebar'>{}</div>",
+        "<span class='widget'>{}</span>",
+        "<div class='comments'><article>short</article></div><div id='search-page'>{}</div>",
+    ],
+)
+def test_a_mark_does_not_lose_the_page(around):
+    for inner in (f"<article><p>{LONG}</p></article>", f"<main><p>{LONG}</p></main>"):
+        html = around.format(inner + "<div class='site-footer'><p>f</p></div>")
+        assert html_consensus.Page(html).text(None) == LONG.strip(), html
+
+
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        (f"<div id='search-page'><p>{LONG}</p><div class='cookie-notice'>n</div></div>", LONG.strip()),
+        (f"<div class='e-widget-x'><p>{LONG}</p></div><div class='e-widget-x'><p>{LONG}</p></div>", f"{LONG.strip()}\n{LONG.strip()}"),
+        (f"<p><span class='widget'>{LONG}</span></p>", LONG.strip()),
+        (f"<article><p>short</p></article><div class='cookie-consent'><p>{LONG}</p></div>", "short"),
+        (f"<div class='post'><p>short</p></div><div class='comment-list'><p>{LONG}</p></div>", "short"),
+        ("<article><p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p></article>", "so x=1 holds"),
+    ],
+)
+def test_marks_of_plain_pages(html, text):
+    assert html_consensus.Page(html).text(None) == text
+
+
 def test_the_path_of_the_host_wins(spark):
     usual = "<div class='post-{}'><p>{}</p></div><div class=teaser><p>{}</p></div>"
     pages = [(i, "http://h.org/", usual.format(i, "long text " * 9, "short")) for i in range(5)]
