@@ -4,7 +4,8 @@
    part of what the containers in it earn. Boilerplate (menus, headers, footers, sidebars, notices, adverts, forms, scripts,
    comments) earns nothing.
 2. A container's path is generalised: tags and classes from the body down, digits as ``#``, ids left out. Each page votes for
-   the paths of its best containers; votes are added up per host.
+   the paths of its best containers; votes are added up per host. For a container in a ``main`` or ``article`` the nearest of these
+   stands, and for one with unlinked text beside it that is in no other container (a title, an introduction) the one round both.
 3. Each page is read again with the winning path of its host: all containers on that path that are not in one another give
    the text, without the boilerplate in them. A page that has no such container falls back to its own best one.
 
@@ -289,38 +290,66 @@ class Page:
                     del marks[node]
         self.skipped = self._below([*marks, *lines])
 
+    def _container(self, node: int) -> int:
+        while node > 0 and self.tags[node] not in CONTAINERS:
+            node = self.parents[node]
+        return node
+
     def _scored(self) -> dict[int, float]:
         earned: dict[int, float] = defaultdict(float)
         for node, text, linked in self.blocks:
             worth = len(text) - 2 * linked
-            while node > 0 and self.tags[node] not in CONTAINERS:
-                node = self.parents[node]
             if worth > 0 and not self.skipped[node]:
-                earned[node] += worth
+                earned[self._container(node)] += worth
+        self.direct = set(earned)  # containers with unlinked text of their own
         for node in range(len(self.tags) - 1, 0, -1):  # children come after their parents
             if node in earned:
-                parent = self.parents[node]
-                while parent > 0 and self.tags[parent] not in CONTAINERS:
-                    parent = self.parents[parent]
-                earned[parent] += PASSED_ON * earned[node]
+                earned[self._container(self.parents[node])] += PASSED_ON * earned[node]
+        self.holding: dict[int, int] = defaultdict(int)  # containers with unlinked text right below
+        for node in earned:
+            if node:
+                self.holding[self._container(self.parents[node])] += 1
         return {node: score * self.plus[node] for node, score in earned.items()}
 
+    def _whole(self, node: int) -> int:
+        """The container that holds all of what ``node`` is a part of."""
+        up = node
+        while up > 0 and self.tags[up] not in ("main", "article"):
+            up = self.parents[up]
+        marked = up > 0
+        node = up or node
+        while node > 0 and self.tags[node] != "main":
+            up = self._container(self.parents[node])
+            # Containers that hold nothing else are passed over.
+            while up > 0 and up not in self.direct and self.holding[up] == 1:
+                up = self._container(self.parents[up])
+            if up not in self.direct or marked and self.tags[up] in ("html", "body"):
+                break
+            node = up
+        return node
+
     def best(self) -> int | None:
-        return max(self.scores, key=lambda n: (self.scores[n], -n), default=None)
+        best = max(self.scores, key=lambda n: (self.scores[n], -n), default=None)
+        return None if best is None else self._whole(best)
 
     def votes(self) -> dict[str, float]:
         """A page's vote for each path: its score as a share of the best."""
-        best = self.best()
+        most = max(self.scores.values(), default=0)
         found: dict[str, float] = {}
         for node, score in self.scores.items():
-            share = score / self.scores[best]
+            share = score / most
             if share >= ALSO_VOTED:
-                found[self.paths[node]] = max(share, found.get(self.paths[node], 0))
+                path = self.paths[self._whole(node)]
+                found[path] = max(share, found.get(path, 0))
         return found
 
     def text(self, path: str | None) -> str:
         """The text of the containers on ``path``, or of the best container."""
-        chosen = {n for n in self.scores if self.paths[n] == path} if path is not None else set()
+        chosen: set[int] = set()
+        if path is not None:
+            for node, own in enumerate(self.paths):
+                if own == path and not self.skipped[node] and (node == 0 or self.tags[node] in CONTAINERS):
+                    chosen.add(node)
         if not chosen:
             best = self.best()
             chosen = set() if best is None else {best}

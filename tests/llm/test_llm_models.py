@@ -223,6 +223,29 @@ def test_marks_of_plain_pages(html, text):
     assert html_consensus.Page(html).text(None) == text
 
 
+@pytest.mark.parametrize(
+    "html, lines",
+    [
+        ("<article><h1>T</h1><div class='entry-content'>{}</div></article>", ["T"]),
+        ("<div><div class='x'><p>Introduction</p><div class='entry'>{}</div></div><div class=teaser><p>not this</p></div></div>", ["Introduction"]),
+        ("<div class='x'><h1>T</h1><div><div class='entry'>{}</div></div></div><div class=teaser><p>not this</p></div>", ["T"]),
+        ("<p>stray</p><article><header>h</header><section><div>{}</div></section></article>", []),
+        ("<main><h1>T</h1><article><div class='text'>{}</div></article></main><div><p>not this</p></div>", ["T"]),
+        ("<body><div class=teaser><p>not this</p></div><div class='post'><p>{}</p></div></body>", []),
+    ],
+)
+def test_what_stands_beside_the_body_is_kept(spark, html, lines):
+    page = html_consensus.Page(html.format(f"<p>{LONG * 9}</p>"))
+    expected = "\n".join([*lines, (LONG * 9).strip()])
+    votes = page.votes()
+    assert page.text(None) == page.text(max(votes, key=votes.get)) == expected
+
+
+def test_all_containers_on_the_path_are_chosen():
+    html = "<div class=part><p>text</p></div><div class=part><ul><li><a href=x>linked</a></li></ul></div>"
+    assert html_consensus.Page(html).text("/div.part") == "text\nlinked"
+
+
 def test_the_path_of_the_host_wins(spark):
     usual = "<div class='post-{}'><p>{}</p></div><div class=teaser><p>{}</p></div>"
     pages = [(i, "http://h.org/", usual.format(i, "long text " * 9, "short")) for i in range(5)]
