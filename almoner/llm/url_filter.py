@@ -4,6 +4,10 @@ Host names run words together, so their letter runs are split by the most likely
 model's counts come from the titles of all pages, plus a short list of words that tell something about a
 site. A multinomial naive Bayes over the words of host and path then says allow or block.
 
+The ``LEXICON`` most frequent title words and the ``VOCABULARY`` most frequent url words go to every task. The others stay tables,
+and are joined to what needs them: title words to the distinct letter runs that hold them, url words to the urls. So results do
+not hang on either number, and no word is left out.
+
 No url is labelled. The listed words stand in: a url that holds one of ``RISKY`` counts as an example to block, any other
 as one to allow, over all rows. So the classifier also learns what comes along with them.
 
@@ -18,13 +22,14 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from almoner.llm.common import Remembered, map_batches, slices
+from almoner.llm.common import Remembered, map_batches, slices, staged
 from almoner.llm.html_consensus import host
+from almoner.operators.lookup import lookup
 
 # The rules in force: (host, path, verdict).
 RULES = (
@@ -69,24 +74,38 @@ def rule_of(host_column: Column, path_column: Column, rules: Sequence[tuple[str,
 
 
 class Segmenter:
-    """Splits a run of letters into its most likely words."""
+    """Splits a run of letters into its most likely words.
+
+    ``total`` is the sum of all counts when ``counts`` holds only the most frequent words. Words of more than ``LONGEST_WORD`` letters
+    must be known ones."""
 
-    def __init__(self, counts: dict[str, int]):
-        total = max(1, sum(counts.values()))
-        self.log = {word: math.log(n / total) for word, n in counts.items()}
-        self.unknown = math.log(0.1 / total)
-        self.split = Remembered(self._split, 50_000)
+    def __init__(self, counts: dict[str, int], total: int | None = None):
+        self.total = max(1, sum(counts.values()) if total is None else total)
+        self.log = {word: math.log(n / self.total) for word, n in counts.items()}
+        self.long = {len(word) for word in counts if len(word) > LONGEST_WORD}
+        self.unknown = math.log(0.1 / self.total)
+        self.split = Remembered(self.divided, 50_000)
 
     def _cost(self, word: str) -> float:
         """Unknown words cost more the longer they are."""
         known = self.log.get(word)
         return self.unknown - 2.5 * len(word) if known is None else known
 
-    def _split(self, run: str) -> tuple[str, ...]:
+    def divided(self, run: str, more: dict[str, int] | None = None) -> tuple[str, ...]:
+        """The words of ``run``; ``more`` are counts of words in it that are not among the most frequent."""
+        rare = {word: math.log(n / self.total) for word, n in (more or {}).items()}
+        long = sorted(self.long | {len(word) for word in rare if len(word) > LONGEST_WORD}, reverse=True)
         best: list[tuple[float, int]] = [(0.0, 0)]
         for end in range(1, len(run) + 1):
-            starts = range(max(0, end - LONGEST_WORD), end)
-            best.append(max((best[s][0] + self._cost(run[s:end]), s) for s in starts))
+            options = []
+            for s in range(max(0, end - LONGEST_WORD), end):
+                word = run[s:end]
+                options.append((best[s][0] + (rare[word] if word in rare else self._cost(word)), s))
+            for length in long:
+                word = run[max(0, end - length) : end]
+                if length <= end and (word in rare or word in self.log):
+                    options.append((best[end - length][0] + (rare[word] if word in rare else self.log[word]), end - length))
+            best.append(max(options))
         out, end = [], len(run)
         while end:
             start = best[end][1]
@@ -98,50 +117,160 @@ class Segmenter:
 _RUNS = re.compile(r"[a-z]+|[0-9]+|[^\x00-\x7f]+")
 
 
-def url_words(host_text: str, path_text: str, segmenter: Segmenter) -> list[str]:
+def _texts(host_text: str, path_text: str) -> tuple[tuple[str, str], ...]:
+    return ("h:", host_text.rpartition(".")[0]), ("p:", path_text.lower())
+
+
+def url_words(host_text: str, path_text: str, segmenter: Segmenter, known: dict[str, Sequence[str]] | None = None) -> list[str]:
     """Words of host (without its last label) and path; numbers count as ``#``. A word of the
-    host is marked, as it weighs otherwise than one of the path."""
+    host is marked, as it weighs otherwise than one of the path. ``known`` are runs that were divided before."""
     out = []
-    for mark, text in (("h:", host_text.rpartition(".")[0]), ("p:", path_text.lower())):
+    for mark, text in _texts(host_text, path_text):
         for run in _RUNS.findall(text):
-            parts = ("#",) if run[0].isdigit() else segmenter.split[run]
+            parts = ("#",) if run[0].isdigit() else known[run] if known and run in known else segmenter.split[run]
             out += [mark + word for word in parts]
     return out
 
 
-def lexicon(pages: DataFrame) -> dict[str, int]:
-    """The most frequent words of all titles, ``LEXICON`` at most, and the listed words."""
+@dataclass(frozen=True)
+class Lexicon:
+    """Counts of the words of all titles and of the listed words."""
+
+    words: dict[str, int]  # the most frequent
+    total: int  # of all
+    rest: DataFrame | None  # word, n of the others
+    long: tuple[int, ...]  # lengths over LONGEST_WORD among the others
+
+
+def lexicon(pages: DataFrame) -> Lexicon:
     title = F.regexp_extract(F.lower(F.coalesce("html", F.lit(""))), r"(?s)<title[^>]*>([^<]*)", 1)
     word = F.explode(F.split(title, "[^a-z]+")).alias("word")
-    counts = pages.select(word).where(f"length(word) BETWEEN 2 AND {LONGEST_WORD}").groupBy("word").agg(F.count("*").alias("n"))
-    rows = counts.orderBy(F.desc("n"), "word").limit(LEXICON).collect()
-    found = {r["word"]: r["n"] for r in rows}
-    for listed in (*RISKY, *ORDINARY):
-        found[listed] = found.get(listed, 0) + LISTED_COUNT
-    return found
+    counts = staged(pages.select(word).where("length(word) >= 2").groupBy("word").agg(F.count("*").alias("n")), "title-words")
+    listed = sorted({*RISKY, *ORDINARY})
+    found = {r["word"]: r["n"] for r in counts.orderBy(F.desc("n"), "word").limit(LEXICON).collect()}
+    below = _below(counts, F.col("n"), list(found.items()), LEXICON)
+    rest, long = None, ()
+    if below is not None:
+        found |= {r["word"]: r["n"] for r in below.where(F.col("word").isin(listed)).collect()}
+        rest = below.where(~F.col("word").isin(listed))
+        long = tuple(r[0] for r in rest.select(F.length("word")).where(f"length(word) > {LONGEST_WORD}").distinct().collect())
+    total = (counts.agg(F.sum("n")).first()[0] or 0) + LISTED_COUNT * len([*RISKY, *ORDINARY])
+    for word in (*RISKY, *ORDINARY):
+        found[word] = found.get(word, 0) + LISTED_COUNT
+    return Lexicon(found, total, rest, long)
+
+
+def _below(counts: DataFrame, n: Column, top: list[tuple[str, int]], most: int) -> DataFrame | None:
+    """The rows of ``counts`` after its ``top`` ones, which come by ``n`` and then by word; nothing if those may be all."""
+    if len(top) < most:
+        return None
+    word, least = top[-1]
+    return counts.where((n < least) | (n == least) & (F.col("word") > word))
 
 
 @dataclass(frozen=True)
 class Model:
     words: dict[str, int]
     prior: float  # log odds of block
-    odds: dict[str, float]  # log odds of block for each word
+    odds: dict[str, float]  # log odds of block for each word, the most frequent ones
     unseen: float
+    lexicon: Lexicon | None = None
+    sums: tuple[int, int, int] = (0, 0, 0)  # words to block, words to allow, distinct words
+    rest: DataFrame | None = field(default=None)  # word, block, allow of the others
+
+
+def _log_odds(sums: tuple[int, int, int], blocked: int, allowed: int) -> float:
+    share = sums[0] / (sums[0] + sums[1])  # smoothing counts follow the classes' sizes, so a word that
+    distinct = sums[2] + 1  # was never seen speaks for neither verdict
+    block, allow = 2 * ALPHA * share, 2 * ALPHA * (1 - share)
+    return math.log((blocked + block) / (sums[0] + block * distinct)) - math.log((allowed + allow) / (sums[1] + allow * distinct))
+
 
-    def log_odds(self, found: list[str]) -> float:
-        return self.prior + sum(self.odds.get(w, self.unseen) for w in found)
+_URLS = "page_id bigint, host string, path string, words array<string>"
 
 
-def _parts(pages: DataFrame) -> DataFrame:
+def _urls(pages: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """``page_id, host, path, words`` of every row."""
     url = F.col("url")
-    return pages.select(F.col("page_id").cast("bigint").alias("page_id"), host(url).alias("host"), path(url).alias("path"))
+    parts = pages.select(host(url).alias("host"), path(url).alias("path"), F.col("page_id").cast("bigint").alias("page_id"))
+    words, total = lexicon.words, lexicon.total
+    if lexicon.rest is None:
+        known = F.lit(None).cast("array<struct<run: string, parts: array<string>>>")
+        rows = parts.select("host", "path", "page_id", known.alias("known"))
+    else:
+        parts = staged(parts.withColumn("row", F.monotonically_increasing_id()), "urls")
+        divided = _divided(parts, lexicon)
+        rows = parts.join(divided, "row", "left").select("host", "path", "page_id", "known")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        segmenter = Segmenter(words, total)
+        for batch in batches:
+            for part in slices(batch):
+                out = []
+                for site, rest, known in zip(*(part.column(i).to_pylist() for i in (0, 1, 3))):
+                    out.append(url_words(site, rest, segmenter, {k["run"]: k["parts"] for k in known or ()}))
+                columns = [part.column(2), part.column(0), part.column(1), pa.array(out, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(columns, ["page_id", "host", "path", "words"])
+
+    return map_batches(rows, run, _URLS)
+
+
+def _divided(parts: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """For each row the words of its letter runs that hold a word which is not among the most frequent: ``row, known``."""
+    words, total, long = lexicon.words, lexicon.total, lexicon.long
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                rows, out = [], []
+                for row, *texts in zip(*(part.column(i).to_pylist() for i in (2, 0, 1))):
+                    found = {r for _, text in _texts(*texts) for r in _RUNS.findall(text) if not r[0].isdigit()}
+                    rows += [row] * len(found)
+                    out += sorted(found)
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(out, pa.string())], ["row", "run"])
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owners: list[str] = []
+        out: list[str] = []
+
+        def sent() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(owners, pa.string()), pa.array(out, pa.string())], ["run", "word"])
+
+        lengths = [*range(2, LONGEST_WORD + 1), *long]
+        for batch in batches:
+            for run in batch.column(0).to_pylist():
+                found = {run[s : s + n] for n in lengths if n <= len(run) for s in range(len(run) - n + 1)}
+                found = [w for w in found if w not in words]
+                owners += [run] * len(found)
+                out += found
+                if len(out) >= 20_000:
+                    yield sent()
+                    owners.clear()
+                    out.clear()
+        yield sent()
+
+    def divide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        segmenter = Segmenter(words, total)
+        for batch in batches:
+            known = batch.column(0).to_pylist()
+            out = [segmenter.divided(r, {m["word"]: m["n"] for m in more}) for r, more in zip(known, batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.string()))], ["run", "parts"])
+
+    uses = map_batches(parts.select("host", "path", "row"), runs, "row bigint, run string")
+    held = map_batches(uses.select("run").distinct(), pieces, "run string, word string").join(lexicon.rest, "word")
+    held = held.groupBy("run").agg(F.collect_list(F.struct("word", "n")).alias("more"))
+    divided = staged(map_batches(held, divide, "run string, parts array<string>"), "divided-runs")
+    found = lookup(uses, divided, "run")
+    return found.groupBy("row").agg(F.collect_list(F.struct("run", "parts")).alias("known"))
 
 
 def train(pages: DataFrame) -> Model:
-    words = lexicon(pages)
+    found = lexicon(pages)
+    return _train(_urls(pages, found), found)
+
 
+def _train(urls: DataFrame, found: Lexicon) -> Model:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segmenter = Segmenter(words)
         counts: Counter = Counter()
 
         def sent() -> pa.RecordBatch:
@@ -156,10 +285,9 @@ def train(pages: DataFrame) -> Model:
             )
 
         for batch in batches:
-            for site, rest in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = url_words(site, rest, segmenter)
-                block = any(w[2:] in risky for w in found)
-                counts.update((w, block) for w in found)
+            for words in batch.column(0).to_pylist():
+                block = any(w[2:] in risky for w in words)
+                counts.update((w, block) for w in words)
                 counts[None, block] += 1  # a url
             if len(counts) > 100_000:
                 yield sent()
@@ -168,44 +296,57 @@ def train(pages: DataFrame) -> Model:
             yield sent()
 
     risky = frozenset(RISKY)
-    partial = map_batches(_parts(pages).select("host", "path"), run, "word string, block boolean, n bigint")
+    partial = map_batches(urls.select("words"), run, "word string, block boolean, n bigint")
     block, allow = F.when(F.col("block"), F.col("n")).otherwise(0), F.when(F.col("block"), 0).otherwise(F.col("n"))
-    counts = partial.groupBy("word").agg(F.sum(block).alias("block"), F.sum(allow).alias("allow")).persist()
-    try:
-        sums = counts.groupBy(F.col("word").isNull().alias("urls")).agg(F.sum("block"), F.sum("allow"), F.count("*")).collect()
-        top = counts.where("word IS NOT NULL").orderBy(F.desc(F.col("block") + F.col("allow")), "word").limit(VOCABULARY).collect()
-    finally:
-        counts.unpersist()
-    of = {r[0]: r[1:] for r in sums}
-    urls, total = of.get(True, (0, 0, 0)), of.get(False, (0, 0, 0))
-    if not urls[0] or not urls[1]:  # one verdict only, or none
-        return Model(words, 1.0 if urls[0] else -1.0, {}, 0.0)
-    share = total[0] / (total[0] + total[1])  # smoothing counts follow the classes' sizes, so a word that
-    distinct = total[2] + 1  # was never seen speaks for neither verdict
-
-    def odds(blocked: int, allowed: int) -> float:
-        block, allow = 2 * ALPHA * share, 2 * ALPHA * (1 - share)
-        return math.log((blocked + block) / (total[0] + block * distinct)) - math.log((allowed + allow) / (total[1] + allow * distinct))
-
-    return Model(words, math.log(urls[0] / urls[1]), {w: odds(b, a) for w, b, a in top}, odds(0, 0))
+    counts = staged(partial.groupBy("word").agg(F.sum(block).alias("block"), F.sum(allow).alias("allow")), "url-words")
+    sums = counts.groupBy(F.col("word").isNull().alias("urls")).agg(F.sum("block"), F.sum("allow"), F.count("*")).collect()
+    words, n = counts.where("word IS NOT NULL"), F.col("block") + F.col("allow")
+    top = words.orderBy(F.desc(n), "word").limit(VOCABULARY).collect()
+    of = {r[0]: tuple(r[1:]) for r in sums}
+    seen, total = of.get(True, (0, 0, 0)), of.get(False, (0, 0, 0))
+    if not seen[0] or not seen[1] or not total[2]:  # one verdict only, or none
+        return Model(found.words, 1.0 if seen[0] else -1.0, {}, 0.0, found)
+    odds = {w: _log_odds(total, b, a) for w, b, a in top}
+    rest = _below(words, n, [(w, b + a) for w, b, a in top], VOCABULARY)
+    return Model(found.words, math.log(seen[0] / seen[1]), odds, _log_odds(total, 0, 0), found, total, rest)
 
 
 def judge(pages: DataFrame, model: Model | None = None, rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
     """``page_id, host, path, rule, verdict, block_probability`` of every row; the last is the classifier's."""
-    model = model or train(pages)
+    if model is None:
+        found = lexicon(pages)
+        urls = _urls(pages, found) if found.rest is None else staged(_urls(pages, found), "url-words-of-rows")
+        model = _train(urls, found)
+    else:
+        urls = _urls(pages, model.lexicon or Lexicon(model.words, sum(model.words.values()), None, ()))
+    prior, odds, unseen, sums = model.prior, model.odds, model.unseen, model.sums
+    if model.rest is None:
+        rows = urls.withColumn("more", F.lit(None).cast("array<struct<word: string, block: bigint, allow: bigint>>"))
+    else:
+        urls = staged(urls.withColumn("row", F.monotonically_increasing_id()), "urls-to-judge")
+
+        def outside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                pairs = [(r, w) for r, words in zip(*(c.to_pylist() for c in batch.columns)) for w in set(words) if w not in odds]
+                columns = [pa.array([r for r, _ in pairs], pa.int64()), pa.array([w for _, w in pairs], pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, ["row", "word"])
+
+        needed = map_batches(urls.select("row", "words"), outside, "row bigint, word string").join(model.rest, "word")
+        more = needed.groupBy("row").agg(F.collect_list(F.struct("word", "block", "allow")).alias("more"))
+        rows = urls.join(more, "row", "left").select("page_id", "host", "path", "words", "more")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segmenter = Segmenter(model.words)
         for batch in batches:
-            for part in slices(batch.select([1, 2, 0])):
+            for part in slices(batch):
                 out = []
-                for site, rest in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    odds = max(-700.0, min(700.0, model.log_odds(url_words(site, rest, segmenter))))
-                    out.append(1 / (1 + math.exp(-odds)))
-                columns = [part.column(2), part.column(0), part.column(1), pa.array(out, pa.float64())]
+                for words, more in zip(part.column(3).to_pylist(), part.column(4).to_pylist()):
+                    rare = {m["word"]: _log_odds(sums, m["block"], m["allow"]) for m in more or ()}
+                    total = prior + sum(rare[w] if w in rare else odds.get(w, unseen) for w in words)
+                    out.append(1 / (1 + math.exp(-max(-700.0, min(700.0, total)))))
+                columns = [part.column(0), part.column(1), part.column(2), pa.array(out, pa.float64())]
                 yield pa.RecordBatch.from_arrays(columns, ["page_id", "host", "path", "block_probability"])
 
-    scored = map_batches(_parts(pages), run, "page_id bigint, host string, path string, block_probability double")
+    scored = map_batches(rows, run, "page_id bigint, host string, path string, block_probability double")
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     learnt = F.when(F.col("block_probability") > 0.5, F.lit("block")).otherwise(F.lit("allow"))
     return scored.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, learnt).alias("verdict"), "block_probability")

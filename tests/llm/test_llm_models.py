@@ -143,6 +143,22 @@ def test_rules_and_classifier(spark):
     assert len(seen) == 4
 
 
+@pytest.mark.parametrize("lexicon, vocabulary", [(30, 1_000_000), (1_000_000, 30), (30, 30)])
+def test_words_below_the_most_frequent_count_too(spark, monkeypatch, lexicon, vocabulary):
+    pages = llm.table(spark, SF, "pages").select("page_id", "url", "html")
+    long = "a" + "bcdefgh" * 4
+    extra = [(-1, f"http://x{long}casino.org/{long}", f"<title>{long}</title>"), (-2, f"http://y.org/free{long}", "")]
+    pages = pages.union(spark.createDataFrame(extra, "page_id bigint, url string, html string"))
+    whole = {r["page_id"]: r for r in url_filter.judge(pages).collect()}
+    words = url_filter.url_words("", "/free" + long, url_filter.Segmenter(url_filter.train(pages).words))
+    assert words == ["p:free", "p:" + long]
+    monkeypatch.setattr(url_filter, "LEXICON", lexicon)
+    monkeypatch.setattr(url_filter, "VOCABULARY", vocabulary)
+    assert {r["page_id"]: r for r in url_filter.judge(pages).collect()} == whole
+    model = url_filter.train(pages)
+    assert {r["page_id"]: r for r in url_filter.judge(pages, model).collect()} == whole
+
+
 def test_segments_are_the_most_likely():
     counts = {"free": 5, "bets": 4, "bet": 3, "s": 1, "news": 9, "new": 2, "online": 7, "on": 8, "line": 2}
     segmenter = url_filter.Segmenter(counts)
