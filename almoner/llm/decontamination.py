@@ -1,15 +1,17 @@
 """Benchmark decontamination by spaced-seed hashing.
 
 A mask is laid over every run of ``SPAN`` tokens; the tokens at its 1s are hashed, those at its 0s may be anything. The
-first mask leaves out every third place; as it is laid at each place, changed tokens whose distances are multiples of
-three, so any single one, do not hide a run. The second leaves out three places in a row, so a phrase may be exchanged.
+first mask leaves out every third place, the second three places in a row, so a phrase may be exchanged. Both are laid at each place:
+in ``OVERLAP`` tokens no single changed one hides a run, and of the 78 pairs of changed ones 2 do.
+Items shorter than that have masks of their own length, over the whole item: for every choice of tokens that may
+be changed there is one that leaves them out, so all copies that are near enough are found, at any length.
 Hashes of documents are joined to those of the benchmark's items; every hit names an item and a shift.
 Along each shift document and item are laid over each other, and the hit counts when some
 ``OVERLAP`` neighbouring tokens (the whole item, if it is shorter) agree but for the share ``SUBSTITUTED``.
 
 Tokens are runs of letters and digits of the lower-cased text, so case and punctuation do not matter. The seeds of the benchmark are
-broadcast when they are measured to be small; otherwise the join is a shuffle. Items shorter than ``SPAN`` tokens hold no seed and are
-not looked for.
+broadcast when they are measured to be small; otherwise the join is a shuffle. Documents have seeds only for such lengths as the
+benchmark has. An item of one to four tokens is found wherever it stands as it is.
 
 Rows: null and empty texts match nothing, on either side; an empty benchmark finds nothing. Repeated items count once, repeated documents give a row
 each. One row is returned for each document and item found, with the best shift: most equal tokens, then the smallest
@@ -18,6 +20,9 @@ shift. Only ``doc_id``, ``item_id`` and ``text`` are read.
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from almoner.llm.common import staged, text_key
@@ -51,8 +56,32 @@ def _seeds(hashed: str) -> Column:
     )
 
 
+def short_masks(n: int) -> list[tuple[int, ...]]:
+    """The places that count in an item of ``n`` tokens, for each of its masks.
+
+    Places are dealt to groups in turn, and each mask leaves out as many groups as tokens may be changed."""
+    changed = n - -(-n * round(100 * (1 - SUBSTITUTED)) // 100)
+    groups = n if n < SPAN else changed + 2
+    return [tuple(p for p in range(n) if p % groups not in out) for out in combinations(range(groups), changed)]
+
+
+def _short_seeds(hashed: str, lengths: list[int]) -> Column:
+    """Places and seeds of a column of token hashes for short items of these lengths."""
+    every = []
+    for n in lengths:
+        seeds = (
+            f"struct(i AS place, xxhash64({n}, {m}, " + ", ".join(f"get({hashed}, i + {k})" for k in kept) + ") AS seed)"
+            for m, kept in enumerate(short_masks(n))
+        )
+        every.append(
+            f"IF(size({hashed}) < {n}, CAST(array() AS array<struct<place: int, seed: bigint>>),"
+            f" flatten(transform(sequence(0, size({hashed}) - {n}), i -> array({', '.join(seeds)}))))"
+        )
+    return F.expr(f"concat({', '.join(every)})")
+
+
 def _items(benchmark: DataFrame) -> DataFrame:
-    items = benchmark.select("item_id", _hashed(F.col("text")).alias("item")).where(F.size("item") >= SPAN)
+    items = benchmark.select("item_id", _hashed(F.col("text")).alias("item")).where(F.size("item") > 0)
     return staged(items.distinct().withColumn("item_key", F.xxhash64("item")), "benchmark")
 
 
@@ -62,15 +91,29 @@ def _placed(rows: DataFrame, hashed: str, others: list[str], place: str) -> Data
     return every.select(*others, F.expr(f"at div {len(MASKS)}").cast("int").alias(place), "seed")
 
 
+def _placed_short(rows: DataFrame, hashed: str, others: list[str], place: str, lengths: list[int]) -> DataFrame:
+    every = rows.select(*others, F.explode(_short_seeds(hashed, lengths)).alias("s"))
+    return every.select(*others, F.col("s.place").alias(place), "s.seed")
+
+
 def find_overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``doc_id, text_key, item_id, shift, equal_tokens, overlap_tokens`` for each document and item that overlap."""
     items = _items(benchmark)
-    seeds = _placed(items, "item", ["item_id", "item_key"], "item_at")
+    known = ["item_id", "item_key"]
+    seeds = _placed(items.where(F.size("item") >= OVERLAP), "item", known, "item_at")
     if fits_broadcast(seeds):
         seeds = F.broadcast(seeds)
+    sizes = items.where(F.size("item") < OVERLAP).select(F.size("item").alias("n")).distinct().collect()
     texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", text_key(F.col("text")).alias("text_key"))
     hashed = texts.select("doc_id", "text_key", F.struct(_hashed(F.col("text")).alias("w")).alias("t"))
     hits = _placed(hashed, "t.w", ["doc_id", "text_key"], "doc_at").join(seeds, "seed")
+    lengths = sorted(r["n"] for r in sizes)
+    if lengths:
+        # An item has masks of its own length only.
+        own = (_placed_short(items.where(F.size("item") == n), "item", known, "item_at", [n]) for n in lengths)
+        short = reduce(DataFrame.unionByName, own)
+        short = F.broadcast(short) if fits_broadcast(short) else short
+        hits = hits.unionByName(_placed_short(hashed, "t.w", ["doc_id", "text_key"], "doc_at", lengths).join(short, "seed"))
     hits = hits.select("doc_id", "text_key", "item_id", "item_key", (F.col("doc_at") - F.col("item_at")).alias("shift")).distinct()
     hits = staged(hits, "seed-hits")
     return _verified(texts, hits, items)

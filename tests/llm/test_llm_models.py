@@ -495,6 +495,22 @@ def test_substitutions_are_tolerated(spark):
     assert found == {1: 27, 3: 12, 4: 15, 5: 30}
 
 
+def test_short_items_are_found(spark):
+    draw = np.random.default_rng(6)
+    items = {n: [f"i{n}t{k}" for k in range(n)] for n in range(1, 14)}
+    docs = {}
+    for n, item in items.items():
+        changed = n - math.ceil(0.8 * n)
+        for places in itertools.combinations(range(n), changed) if n < 13 else [(k,) for k in range(n)]:
+            docs[len(docs)] = (n, True, ["x" if k in places else w for k, w in enumerate(item)])
+        over = set(draw.choice(n, changed + 1, replace=False).tolist())
+        docs[len(docs)] = (n, False, ["x" if k in over else w for k, w in enumerate(item)])
+    text = spark.createDataFrame([(i, "pre fix " + " ".join(w) + " after") for i, (_, _, w) in docs.items()], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id bigint, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontamination.find_overlaps(text, bench).collect()}
+    assert found == {(i, n) for i, (n, near, _) in docs.items() if near}
+
+
 # -- the pipeline
 
 
