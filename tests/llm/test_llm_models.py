@@ -464,6 +464,18 @@ def test_posterior_bounds():
     assert jaccard_join.survivors(left, right).tolist() == [0]
 
 
+def test_all_steps_together_prune_few_pairs_at_the_threshold():
+    alive, lost, p = {0: 1.0}, 0.0, jaccard_join.THRESHOLD
+    for _, needed in jaccard_join.NEEDED:
+        after = defaultdict(float)
+        for agreed, chance in alive.items():
+            for k in range(jaccard_join.STEP + 1):
+                after[agreed + k] += chance * math.comb(jaccard_join.STEP, k) * p**k * (1 - p) ** (jaccard_join.STEP - k)
+        lost += sum(c for m, c in after.items() if m < needed)
+        alive = {m: c for m, c in after.items() if m >= needed}
+    assert lost < 1e-4 and math.isclose(lost + sum(alive.values()), 1)
+
+
 # -- 9
 
 
