@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from almoner.llm import (
+    cover_tree,
     decontamination,
+    hard_negatives,
     html_consensus,
     jaccard_join,
     language_id,
@@ -17,6 +19,7 @@ from almoner.llm import (
     quality_rules,
     sentencepiece_codec,
     sharding,
+    spelling_groups,
     url_filter,
 )
 
@@ -74,6 +77,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.link_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
+def op13_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_groups.group_variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     every = (
         op1_sentencepiece,
@@ -86,6 +101,9 @@ def queries() -> dict[str, Query]:
         op8_jaccard_join,
         op9_decontamination,
         op10_language_id,
+        op11_embedding_dedup,
+        op12_hard_negatives,
+        op13_spelling_groups,
     )
     return {query.__name__: query for query in every}
 
