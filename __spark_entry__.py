@@ -4,6 +4,7 @@ must give the same rows."""
 from __future__ import annotations
 
 import sys
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 from datetime import date
@@ -41,7 +42,7 @@ from almoner.sources.sample import (  # noqa: E402
 )
 from almoner.sources.tables import load_tables  # noqa: E402
 from almoner.streaming.sync import DONOR_PAGES, GIFT_PAGES, Source  # noqa: E402
-from almoner.streaming.sync import sync as _sync, sync_stream as _sync_stream  # noqa: E402
+from almoner.streaming.sync import sync as _sync, sync_stream as _sync_stream, sync_streams as _sync_streams  # noqa: E402
 
 AS_OF = date.fromisoformat(LAST_DAY)
 DONOR_VALUES = {"segment_id": "BUILDING"}
@@ -112,15 +113,20 @@ def _land(pages: DataFrame, folder: str) -> None:
     pages.select("page").write.text(folder)
 
 
+def _store(spark: SparkSession) -> Store:
+    """An empty database of its own below the shared folder."""
+    return Store(spark, f"almoner_{uuid.uuid4().hex}", fresh_dir(spark, "store"))
+
+
 def _landed_store(spark: SparkSession, sf: str) -> tuple[Store, Source]:
     """A store with the known tables and a landing place with all pages."""
-    store = Store(spark, fresh_dir(spark, "store"))
+    store = _store(spark)
     tables = _with_all_donors(spark, sf)
     for table in TABLES:
         store.replace(table, tables[table])
     landing = fresh_dir(spark, "landing")
-    _land(donor_pages(spark, sf), f"{landing}/{DONOR_PAGES}")
-    _land(gift_pages(spark, sf), f"{landing}/{GIFT_PAGES}")
+    _land(donor_pages(spark, sf), f"{landing}/{DONOR_PAGES}/first")
+    _land(gift_pages(spark, sf), f"{landing}/{GIFT_PAGES}/first")
     source = Source("crm", landing, lines=True, donor_values=DONOR_VALUES, gift_values=GIFT_VALUES)
     return store, source
 
@@ -193,17 +199,22 @@ def replace_live_layer(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def replace_live_layer_stored(spark: SparkSession, sf: str) -> DataFrame:
-    calls = sample_tables(spark, sf).calls
-    store = Store(spark, fresh_dir(spark, "store"))
-    store.replace("calls", calls)
-    layer = calls.withColumns({"outcome": F.lit("missed"), "pledge": F.lit(0)})
-    store.replace_since("calls", layer, date(2024, 1, 15))
-    minute = F.date_format("call_time", "yyyy-MM-dd HH:mm").alias("call_time")
-    return store.read("calls").select("id", minute, "caller_name", "contact", "outcome", "pledge")
+    """Gifts and calls from a day on in one run; every column of both tables."""
+    store = _store(spark)
+    tables = sample_tables(spark, sf)
+    for table in ("donations", "calls"):
+        store.replace(table, tables[table])
+    gifts = store.read("donations").withColumn("amount", F.col("amount") * 2)
+    calls = store.read("calls").withColumns({"outcome": F.lit("missed"), "pledge": F.lit(0)})
+    store.replace_since({"donations": gifts, "calls": calls}, date(2001, 1, 15))
+    # The calls are all later than that; a second cut-off falls among them.
+    later = store.read("calls").withColumn("duration_sec", F.col("duration_sec") + 1)
+    store.replace_since({"calls": later}, date(2024, 1, 15))
+    return _all_rows(store.tables(), ("donations", "calls"))
 
 
 def copy_tables(spark: SparkSession, sf: str) -> DataFrame:
-    return _copy_tables(sample_tables(spark, sf), Store(spark, fresh_dir(spark, "store")))
+    return _copy_tables(sample_tables(spark, sf), _store(spark))
 
 
 def validate_tables(spark: SparkSession, sf: str) -> DataFrame:
@@ -255,13 +266,35 @@ def sync_stream_donors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sync_by_source_ref(spark: SparkSession, sf: str) -> DataFrame:
-    """Gifts after two runs on two days that go by the reference; undated gifts come in once."""
+    """Gifts after two pulls of all pages on two days, by the reference; undated gifts come in once."""
     store, source = _landed_store(spark, sf)
-    for as_of in (AS_OF, date(2031, 1, 1)):
-        _sync(store, [replace(source, key=("source_ref",))], as_of)
+    source = replace(source, key=("source_ref",))
+    _sync(store, [source], AS_OF)
+    _land(gift_pages(spark, sf), f"{source.landing}/{GIFT_PAGES}/second")
+    _sync(store, [source], date(2031, 1, 1))
     return store.read("donations").drop("id", "period_month")
 
 
+def sync_incremental(spark: SparkSession, sf: str) -> DataFrame:
+    """The counts of three runs: all pages, nothing new, and the pages of some more donors and gifts."""
+    store, source = _landed_store(spark, sf)
+    runs = [_sync(store, [source], AS_OF), _sync(store, [source], AS_OF)]
+    page = F.regexp_extract("path", r"(\d+)", 1).cast("bigint")
+    _land(donor_pages(spark, sf).where(page % 3 == 0), f"{source.landing}/{DONOR_PAGES}/second")
+    _land(gift_pages(spark, sf).where(page % 3 == 0), f"{source.landing}/{GIFT_PAGES}/second")
+    runs.append(_sync(store, [source], AS_OF))
+    numbered = [r.withColumn("run", F.lit(i)) for i, r in enumerate(runs, 1)]
+    return numbered[0].unionByName(numbered[1]).unionByName(numbered[2]).drop("error")
+
+
+def sync_stream_result(spark: SparkSession, sf: str) -> DataFrame:
+    """What streams over several sources report, one of which fails."""
+    store, source = _landed_store(spark, sf)
+    off = Source("off", "/nowhere", enabled=False)
+    found = _sync_streams(store, [Source("broken", "/nowhere"), off, source], fresh_dir(spark, "stream"), AS_OF)
+    return found.withColumn("failed", F.col("error").isNotNull()).drop("error")
+
+
 def crm_bad_pages(spark: SparkSession, sf: str) -> DataFrame:
     """Gifts of the pages that are JSON; every fifth page was cut short."""
     cut = F.regexp_extract("path", r"(\d+)", 1).cast("bigint") % 5 == 0
@@ -274,18 +307,26 @@ def crm_bad_pages(spark: SparkSession, sf: str) -> DataFrame:
 def replace_live_layer_undated(spark: SparkSession, sf: str) -> DataFrame:
     """A stored cut-off on gifts of which some have no date."""
     gifts = sample_tables(spark, sf).donations
-    store = Store(spark, fresh_dir(spark, "store"))
+    store = _store(spark)
     undated = F.when(F.col("id") % 9 != 0, F.col("gift_date"))
     store.replace("donations", gifts.withColumn("gift_date", undated))
-    store.replace_since("donations", gifts.withColumn("amount", F.col("amount") * 2), date(2001, 1, 15))
+    store.replace_since({"donations": gifts.withColumn("amount", F.col("amount") * 2)}, date(2001, 1, 15))
     return conform(store.read("donations"), "donations")
 
 
+def normalise_numeric_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """References of gifts when whole-number ids are taken too."""
+    pages = gift_pages(spark, sf)
+    return crm.normalise_donations(pages, "crm", AS_OF, accept_numeric_ids=True, **GIFT_VALUES).select("source_ref")
+
+
 def _reloaded(fmt: str, spark: SparkSession, sf: str) -> Tables:
     folder = fresh_dir(spark, "tables")
     tables = sample_tables(spark, sf)
+    # As text, Spark writes times to the millisecond unless told otherwise.
+    options = {"header": "true", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
     for table in TABLES:
-        tables[table].write.format(fmt).option("header", True).save(f"{folder}/{table}")
+        tables[table].write.format(fmt).options(**options).save(f"{folder}/{table}")
     return load_tables(spark, folder, fmt)
 
 
@@ -301,13 +342,12 @@ def load_json(spark: SparkSession, sf: str) -> DataFrame:
     return _reloaded("json", spark, sf).donors
 
 
-def _all_rows(tables: Tables) -> DataFrame:
-    """Every row of the seven tables as text."""
+def _all_rows(tables: Tables, names: tuple[str, ...] = tuple(oracles.CONTENT)) -> DataFrame:
+    """Every row of the tables, with all columns, as text."""
     found = None
-    for table, columns in oracles.CONTENT.items():
-        texts = (f"coalesce(CAST({c} AS string), '-')" for c in columns)
-        if table == "calls":
-            texts = ("date_format(call_time, 'yyyy-MM-dd HH:mm')", *texts)
+    for table in names:
+        times = {"call_time": "date_format(call_time, 'yyyy-MM-dd HH:mm:ss.SSSSSS')"}
+        texts = (f"coalesce(CAST({times.get(c, c)} AS string), '-')" for c in oracles.CONTENT[table])
         rows = tables[table].selectExpr(f"'{table}' AS `table`", f"concat_ws('|', {', '.join(texts)}) AS content")
         found = rows if found is None else found.unionByName(rows)
     return found
@@ -318,11 +358,26 @@ def _load_all(fmt: str, spark: SparkSession, sf: str) -> DataFrame:
 
 
 def copy_tables_content(spark: SparkSession, sf: str) -> DataFrame:
-    store = Store(spark, fresh_dir(spark, "store"))
+    store = _store(spark)
     _copy_tables(sample_tables(spark, sf), store)
     return _all_rows(store.tables())
 
 
+def copy_to_catalog(spark: SparkSession, sf: str) -> DataFrame:
+    """The seven tables copied into a database and read from the catalog by name."""
+    store = _store(spark)
+    _copy_tables(sample_tables(spark, sf), store)
+    return _all_rows(load_tables(spark, store.database, "table"))
+
+
+def load_catalog(spark: SparkSession, sf: str) -> DataFrame:
+    """Catalog tables that others wrote, with their columns in another order."""
+    store, tables = _store(spark), sample_tables(spark, sf)
+    for table in TABLES:
+        tables[table].select(*reversed(tables[table].columns)).write.format("orc").saveAsTable(store.name(table))
+    return _all_rows(load_tables(spark, store.database, "table"))
+
+
 def _csv(report: str, header: dict[str, str], spark: SparkSession, sf: str) -> DataFrame:
     folder = fresh_dir(spark, "csv")
     files.write_csv(REPORTS[report](sample_tables(spark, sf)), header, folder)
@@ -330,14 +385,19 @@ def _csv(report: str, header: dict[str, str], spark: SparkSession, sf: str) -> D
 
 
 def publish(spark: SparkSession, sf: str) -> DataFrame:
+    """Four published reports, read back whole."""
     folder = fresh_dir(spark, "published")
     tables = sample_tables(spark, sf)
     with donors.shared(tables) as kept:
-        wanted = ("channel_breakdown", "donor_segments", "donor_roster", "at_risk_donors")
-        reports = {name: REPORTS[name](kept) for name in wanted}
+        reports = {name: REPORTS[name](kept) for name in oracles.PUBLISHED}
         files.publish(reports, folder, "json")
-    schema = reports["channel_breakdown"].schema
-    return spark.read.schema(schema).json(f"{folder}/channel_breakdown")
+    found = None
+    for name, columns in oracles.PUBLISHED.items():
+        texts = ", ".join(f"coalesce(CAST({c} AS string), '-')" for c in columns)
+        back = spark.read.schema(reports[name].schema).json(f"{folder}/{name}")
+        rows = back.selectExpr(f"'{name}' AS report", f"concat_ws('|', {texts}) AS content")
+        found = rows if found is None else found.unionByName(rows)
+    return found
 
 
 # -- the contract -------------------------------------------------------------
@@ -359,6 +419,9 @@ def queries() -> dict[str, Query]:
         "scoped_channel_breakdown": partial(_scoped_report, REPORTS["channel_breakdown"], segment),
         "scoped_donor_segments": partial(_scoped_report, REPORTS["donor_segments"], SCOPE),
     }
+    for name, report in REPORTS.items():
+        given = partial(report, **_PARAMS.get(name, {}))
+        scoped_reports.setdefault(f"scoped_{name}", partial(_scoped_report, given, SCOPE))
     jobs: tuple[Query, ...] = (
         crm_items,
         normalise_donors,
@@ -375,11 +438,16 @@ def queries() -> dict[str, Query]:
         crm_bad_pages,
         copy_tables,
         copy_tables_content,
+        copy_to_catalog,
+        load_catalog,
+        normalise_numeric_ids,
         validate_tables,
         sync,
         sync_stream,
         sync_stream_donors,
         sync_by_source_ref,
+        sync_incremental,
+        sync_stream_result,
         load_parquet,
         load_csv,
         load_json,
@@ -413,7 +481,7 @@ def _corpus() -> tuple[dict[str, Query], dict[str, str]]:
     if _there("almoner.llm.queries"):
         part = import_module("almoner.llm.queries")
         found, sql = found | part.queries(), sql | part.oracle_sql()
-    if _there("corpus_pipeline"):
+    if _there("almoner.llm.queries") and _there("corpus_pipeline"):
         pipeline = import_module("corpus_pipeline")
         found["pipeline"] = pipeline.run
         if pipeline.ORACLE_SQL:

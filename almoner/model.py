@@ -11,6 +11,8 @@ from pyspark.sql.types import StructType
 # Month partition column of stored donations and calls; reports never need it,
 # period filters use it to prune folders.
 PERIOD_COLUMN = "period_month"
+# Hash bucket of a stored donor's name: a change rewrites the buckets it touches.
+BUCKET_COLUMN = "name_bucket"
 
 
 @dataclass(frozen=True)

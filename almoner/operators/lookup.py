@@ -7,10 +7,32 @@ join is a shuffle whose hot keys adaptive execution splits, however many they ar
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringType, StructType, VariantType
 
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 PROBE_ROWS = 1000
+# Words of the filter over a batch's keys: at most so many rows of two longs, whatever the batch.
+FILTER_WORDS = 1 << 20
+
+
+def _width(value: str, kind: DataType) -> str:
+    """SQL for the bytes of a value; longer kinds are measured with all that is in them."""
+    if isinstance(kind, (StringType, BinaryType)):
+        return f"16 + coalesce(octet_length({value}), 0)"
+    if isinstance(kind, VariantType):
+        return f"16 + coalesce(octet_length(to_json({value})), 0)"
+    if isinstance(kind, ArrayType):
+        inner = kind.elementType
+        if not isinstance(inner, (StringType, BinaryType, VariantType, ArrayType, MapType, StructType)):
+            return f"16 + 8 * greatest(coalesce(size({value}), 0), 0)"
+        return f"16 + coalesce(aggregate({value}, 0L, (total, x) -> total + {_width('x', inner)}), 0L)"
+    if isinstance(kind, MapType):
+        parts = ((f"map_keys({value})", kind.keyType), (f"map_values({value})", kind.valueType))
+        return " + ".join(_width(part, ArrayType(inner)) for part, inner in parts)
+    if isinstance(kind, StructType):
+        return " + ".join(["16", *(_width(f"{value}.`{f.name}`", f.dataType) for f in kind.fields)])
+    return "16"
 
 
 def fits_broadcast(
@@ -24,8 +46,7 @@ def fits_broadcast(
     """
     max_rows = BROADCAST_ROWS if max_rows is None else max_rows
     max_bytes = BROADCAST_BYTES if max_bytes is None else max_bytes
-    texts = [f"coalesce(octet_length({c}), 0)" for c, t in df.dtypes if t == "string"]
-    width = " + ".join([str(16 * len(df.columns)), *texts])
+    width = " + ".join(["0L", *(_width(f"`{f.name}`", f.dataType) for f in df.schema.fields)])
     widths = df.selectExpr(f"{width} AS width")
     few = [row.width for row in widths.head(PROBE_ROWS + 1)]
     if len(few) <= PROBE_ROWS:
@@ -45,17 +66,34 @@ def lookup(fact: DataFrame, dim: DataFrame, key: str, how: str = "inner") -> Dat
     return fact.join(F.broadcast(dim) if fits_broadcast(dim) else dim, key, how)
 
 
+def may_match(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows whose keys may be among those of ``wanted``, and few others, without a shuffle of ``rows``.
+
+    A Bloom filter with one bit for each key's hash is built in Spark, in ``FILTER_WORDS`` words of 64 bits, and broadcast.
+    It never has more words than that, so its size is bounded; very many keys only let more other rows through."""
+    word, bit = "pmod(xxhash64({0}), {1})", "shiftleft(1L, CAST(pmod(shiftright(xxhash64({0}), 40), 64) AS INT))"
+    given = ", ".join(f"`{k}`" for k in keys)
+    word, bit = word.format(given, FILTER_WORDS), bit.format(given)
+    words = wanted.selectExpr(f"{word} AS _word", f"{bit} AS _bit").groupBy("_word").agg(F.expr("bit_or(_bit) AS _bits"))
+    hashed = rows.withColumns({"_at": F.expr(word), "_mask": F.expr(bit)})
+    found = (F.col("_at") == F.col("_word")) & (F.col("_bits").bitwiseAND(F.col("_mask")) != 0)
+    return hashed.join(F.broadcast(words), found, "left_semi").drop("_at", "_mask")
+
+
 def without(
     rows: DataFrame, existing: DataFrame, keys: list[str], wanted: DataFrame | None = None
 ) -> DataFrame:
     """The rows whose keys are not in ``existing``. Runs a job to measure the keys.
 
     When the keys are few they are broadcast to ``existing``, which is then scanned but
-    not shuffled. Either way each key of ``existing`` leaves a task at most once.
+    not shuffled. Otherwise a Bloom filter over them is, so that the shuffle carries little but matches.
+    Either way each key of ``existing`` leaves a task at most once.
     ``wanted`` may give rows that hold all keys of ``rows`` and cost less to read.
     """
     known = existing.select(*keys)
     wanted = (rows if wanted is None else wanted).select(*keys)
     if fits_broadcast(wanted):
         known = known.join(F.broadcast(wanted), keys, "left_semi")
+    else:
+        known = may_match(known, wanted, keys)
     return rows.join(known.distinct(), keys, "left_anti")

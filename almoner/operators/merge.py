@@ -3,11 +3,12 @@ would give. Replaying a batch changes nothing."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from almoner.model import TABLES, Tables
+from almoner.model import BUCKET_COLUMN, TABLES, Tables
 from almoner.operators.ids import assign_ids, largest_id
 from almoner.operators.lookup import fits_broadcast, lookup, without
 from almoner.operators.periods import on_days_of
@@ -18,12 +19,19 @@ NATURAL_KEY = ("donor_name", "gift_date", "amount", "campaign_id", "channel_id")
 
 class Merge(NamedTuple):
     """``rows`` is the new table (or the rows to add), ``changed`` what of it differs
-    from the old one; ``rejected`` carries a reason."""
+    from the old one; ``checked`` is the batch, staged, with the ``reason`` for which a row is rejected."""
 
     rows: DataFrame
     changed: DataFrame
-    rejected: DataFrame
-    accepted: DataFrame
+    checked: DataFrame
+
+    @property
+    def rejected(self) -> DataFrame:
+        return self.checked.where(F.col("reason").isNotNull())
+
+    @property
+    def accepted(self) -> DataFrame:
+        return self.checked.where(F.col("reason").isNull()).drop("reason")
 
 
 def _broken_rule(table: str, skip: tuple[str, ...] = ()) -> str:
@@ -60,27 +68,32 @@ def first_per_key(rows: DataFrame, keys: list[str]) -> DataFrame:
     return first.select(*keys, "first.*").select(*rows.columns)
 
 
-def upsert_donors(tables: Tables, batch: DataFrame) -> Merge:
+def upsert_donors(tables: Tables, batch: DataFrame, bucket: Callable[[Column], Column] | None = None) -> Merge:
     """The donors after the batch: on a known name segment and lifecycle are taken
     from the last row, max_gift is the largest seen and first_gift stays.
 
-    Rows with an unknown segment or a broken rule are rejected. Runs jobs.
+    With ``bucket`` (a stored table's bucket of a name) only buckets that a batch's name falls into are read, and
+    ``rows`` holds those only. Rows with an unknown segment or a broken rule are rejected. Runs jobs.
     """
     target = tables.donors
     checked = checkpointed(_with_reason(batch, "donors", tables))
     accepted = checked.where(F.col("reason").isNull()).drop("reason")
     last, first = "max_by({0}, seq) AS new_{0}", "min_by({0}, seq) AS new_{0}"
-    incoming = checkpointed(
-        accepted.groupBy("name").agg(
-            F.expr(last.format("segment_id")),
-            F.expr("max(max_gift) AS new_max_gift"),
-            F.expr(first.format("first_gift")),
-            F.expr(last.format("lifecycle")),
-        )
+    incoming = accepted.groupBy("name").agg(
+        F.expr(last.format("segment_id")),
+        F.expr("max(max_gift) AS new_max_gift"),
+        F.expr(first.format("first_gift")),
+        F.expr(last.format("lifecycle")),
     )
-    if fits_broadcast(incoming):
+    if bucket is not None and BUCKET_COLUMN in target.columns:
+        # At most as many as there are buckets.
+        touched = [r[0] for r in accepted.select(bucket(F.col("name"))).distinct().collect()]
+        target = target.where(F.col(BUCKET_COLUMN).isin(touched))
+    target = target.select(*TABLES["donors"].schema.names)
+    if fits_broadcast(accepted.select("name", "segment_id", "first_gift", "lifecycle")):
         # The target is scanned twice but not shuffled.
-        added = without(incoming, target, ["name"])
+        names = target.select("name").join(F.broadcast(incoming.select("name")), "name", "left_semi")
+        added = incoming.join(F.broadcast(names), "name", "left_anti")
         merged = target.join(F.broadcast(incoming), "name", "left").unionByName(
             added, allowMissingColumns=True
         )
@@ -97,8 +110,7 @@ def upsert_donors(tables: Tables, batch: DataFrame) -> Merge:
         "new_segment_id <> segment_id OR new_lifecycle <> lifecycle OR new_max_gift > max_gift"
         " OR segment_id IS NULL"
     )
-    rejected = checked.where(F.col("reason").isNotNull())
-    return Merge(merged.selectExpr(*result), changed.selectExpr(*result), rejected, accepted)
+    return Merge(merged.selectExpr(*result), changed.selectExpr(*result), checked)
 
 
 def insert_new_donations(
@@ -127,8 +139,8 @@ def insert_new_donations(
     extra = ["source_ref"] if "source_ref" in target.columns else []
     new = without(fresh, existing, keys, wanted=accepted).select(*stored, *extra)
     rows = assign_ids(new, largest_id(target) if last_id is None else last_id)
-    rejected = checked.where(F.col("reason").isNotNull()).withColumn("amount", F.col("_given")).drop("_given")
-    return Merge(rows, rows, rejected, accepted)
+    given = F.when(F.col("reason").isNull(), F.col("amount")).otherwise(F.col("_given"))
+    return Merge(rows, rows, checked.withColumn("amount", given).drop("_given"))
 
 
 def insert_ignore(target: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:

@@ -12,8 +12,7 @@ from almoner.functions.labels import month_name
 from almoner.functions.order import sorted_few
 from almoner.model import Tables
 from almoner.operators import lookup as joins
-from almoner.operators.periods import newest_months, since
-from almoner.session import checkpointed
+from almoner.operators.periods import since
 
 # Fixed values of the reports.
 COMPLETED = "completed"
@@ -98,30 +97,40 @@ def monthly_trend(
 ) -> DataFrame:
     """One-time against recurring givers by calendar month, plus a pledge estimate.
 
-    Gifts are summed per donor and month before they meet the donors, so a donor with
-    very many gifts is at most twelve rows of that join.
+    Gifts are summed per donor into twelve months at once before they meet the donors, so the one shuffle of gifts is by
+    donor, a donor with very many gifts is one row per task in it, and the join needs no other.
     """
+    months = [*range(1, 13), None]
+    of = {m: "gift_date IS NULL" if m is None else f"month(gift_date) = {m}" for m in months}
     per_donor = (
         completed(tables)
-        .groupBy("donor_name", F.expr("month(gift_date) AS month"))
-        .agg(_raised("raised"))
+        .groupBy("donor_name")
+        # NULL for a month without gifts.
+        .agg(*(F.expr(f"sum(CASE WHEN {of[m]} THEN coalesce(amount, 0) END) AS raised_{m}") for m in months))
     )
     givers = tables.donors.select(
         F.col("name").alias("donor_name"), (F.col("segment_id") == recurring).alias("recurs")
     )
-    by_month = (
-        per_donor.join(givers, "donor_name")
-        .groupBy("month")
-        .agg(
-            F.expr("coalesce(sum(CASE WHEN NOT recurs THEN raised END), 0) AS one_time"),
-            F.expr("coalesce(sum(CASE WHEN recurs THEN raised END), 0) AS recurring"),
-            F.sum("raised").alias("total"),
-        )
-    )
+    sums = []
+    for m in months:
+        sums += [
+            f"sum(CASE WHEN NOT recurs THEN raised_{m} END) AS one_time_{m}",
+            f"sum(CASE WHEN recurs THEN raised_{m} END) AS recurring_{m}",
+            f"sum(raised_{m}) AS total_{m}",
+        ]
+    row = per_donor.join(givers, "donor_name").agg(*map(F.expr, sums))
+    listed = ", ".join(f"{m or 'CAST(NULL AS INT)'}, one_time_{m}, recurring_{m}, total_{m}" for m in months)
+    by_month = row.selectExpr(
+        f"stack({len(months)}, {listed}) AS (month, one_time, recurring, total)"
+    ).where("total IS NOT NULL")
     pledges = (F.col("total") * F.lit(pledge_factor)).cast("decimal(28,2)").cast("double")
     return sorted_few(
         by_month.select(
-            "month", month_name("month"), "one_time", "recurring", pledges.alias("pledges")
+            "month",
+            month_name("month"),
+            F.expr("coalesce(one_time, 0) AS one_time"),
+            F.expr("coalesce(recurring, 0) AS recurring"),
+            pledges.alias("pledges"),
         ),
         "month",
     )
@@ -199,43 +208,32 @@ def _labelled(tables: Tables, gifts: DataFrame) -> DataFrame:
 
 
 def donation_rows(tables: Tables, limit: int = DEFAULT_LIMIT) -> DataFrame:
-    """The newest gifts of any status. Runs jobs to find them."""
-    newest = [F.desc("gift_date"), F.desc("id")]
-    return (
-        _newest_with_parents(tables, newest, check_limit(limit))
-        .orderBy(*newest)
-        .limit(limit)
-        .select(
-            F.date_format("gift_date", "dd MMM").alias("gift_date"),
-            "donor_name",
-            "segment_id",
-            "campaign",
-            "channel",
-            "amount",
-            "status",
-        )
-    )
+    """The newest gifts of any status that have a donor, a campaign and a channel.
 
-
-def _newest_with_parents(tables: Tables, newest: list[Column], limit: int) -> DataFrame:
-    """Gifts joined to donor, campaign and channel, with at least the ``limit`` newest.
-
-    The newest gifts are taken first and only those are joined. Gifts without a parent
-    drop out, so more are taken until enough are left; past the broadcast bound all
-    gifts are joined.
+    One plan, and no job while it is made: narrow gifts that have their parents, the newest of them (each task keeps ``limit``
+    rows), and only then what is shown of the parents. Spark broadcasts a parent's keys when their size allows it.
     """
-    givers = tables.donors.selectExpr("name AS donor_name", "segment_id")
-    take = max(limit, 1)
-    while take <= joins.BROADCAST_ROWS:
-        recent = newest_months(tables.donations, take).orderBy(*newest).limit(take)
-        candidates = checkpointed(recent)
-        labelled = _labelled(tables, candidates)
-        few = F.broadcast(labelled) if joins.fits_broadcast(labelled) else labelled
-        matched = checkpointed(givers.join(few, "donor_name"))
-        if matched.count() >= limit or candidates.count() < take:
-            return matched
-        take *= 10
-    return joins.lookup(_labelled(tables, tables.donations), givers, "donor_name")
+    newest = [F.desc("gift_date"), F.desc("id")]
+    gifts = tables.donations
+    parents = {
+        "campaign_id": tables.campaigns.selectExpr("id AS campaign_id", "label AS campaign"),
+        "channel_id": tables.channels.selectExpr("id AS channel_id", "label AS channel"),
+        "donor_name": tables.donors.selectExpr("name AS donor_name", "segment_id"),
+    }
+    for key, parent in parents.items():
+        gifts = gifts.join(parent.select(key), key, "left_semi")
+    shown = gifts.orderBy(*newest).limit(check_limit(limit))
+    for key, parent in parents.items():
+        shown = shown.join(parent, key)
+    return shown.orderBy(*newest).select(
+        F.date_format("gift_date", "dd MMM").alias("gift_date"),
+        "donor_name",
+        "segment_id",
+        "campaign",
+        "channel",
+        "amount",
+        "status",
+    )
 
 
 def donations_export(tables: Tables) -> DataFrame:

@@ -7,7 +7,7 @@ VARIANT, because absent, null, number and string mean different things here.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import date
+from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -29,13 +29,17 @@ DATE_FORMATS = (
 _BLANKS = r"\p{IsWhite_Space}"
 
 
-def read_pages(spark: SparkSession, location: str, lines: bool = False) -> DataFrame:
+def read_pages(
+    spark: SparkSession, location: str, lines: bool = False, since: datetime | None = None
+) -> DataFrame:
     """path, page and the place in the file: block, line.
 
     A file is one page or, with ``lines``, holds a page on each line, which suits
-    very many pages.
+    very many pages. Files written before ``since`` are not opened.
     """
     files = spark.read.text(location, wholetext=not lines, recursiveFileLookup=True)
+    if since is not None:
+        files = files.where(F.col("_metadata.file_modification_time") >= F.lit(since))
     return number_lines(files.selectExpr(*PAGE_COLUMNS))
 
 

@@ -7,7 +7,6 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 
 from almoner.model import TABLES, Tables, conform
-from almoner.sinks.store import Versions
 
 # A wrong value in a text file fails the read: it must not turn into NULL.
 _FILE_OPTIONS = {
@@ -34,8 +33,6 @@ def load_table(
     """
     options = dict(options or {})
     if fmt in _FILE_OPTIONS:
-        if Versions(spark, f"{location}/{table}").numbers():
-            raise ValueError(f"{location} is a store: open it with Store(spark, location).tables()")
         reader = spark.read.schema(TABLES[table].schema)
         return reader.options(**(_FILE_OPTIONS[fmt] | options)).format(fmt).load(f"{location}/{table}")
     if fmt == "table":

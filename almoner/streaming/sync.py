@@ -1,16 +1,18 @@
 """CRM sync: landed pages into the stored donors and donations.
 
-``sync`` reads whole landing folders, on a schedule kept elsewhere;
-``sync_stream`` takes each landed file once.
+``sync`` runs on a schedule kept elsewhere, ``sync_stream`` is one run of a stream; both read each landed file once.
+Beside the seven tables the store then has, by source: ``pages_read`` (the ledger of ``sync``), ``waiting_donors`` and
+``waiting_donations`` (rows whose parent may still come), ``refused_donors`` and ``refused_donations`` (rows that can never
+pass), ``bad_pages`` (what is not JSON) and ``stream_results``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass, field
-from datetime import date, timedelta
+from datetime import date, datetime, timezone
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Row, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from almoner.operators.merge import (
@@ -21,7 +23,8 @@ from almoner.operators.merge import (
     insert_new_donations,
     upsert_donors,
 )
-from almoner.sinks.store import Store, Versions
+from almoner.session import checkpointed
+from almoner.sinks.store import Store
 from almoner.sources.crm import (
     PAGE_COLUMNS,
     bad_pages,
@@ -35,6 +38,8 @@ from almoner.sources.crm import (
 DONOR_PAGES = "constituents"
 GIFT_PAGES = "transactions"
 
+KINDS = {"donors": DONOR_PAGES, "donations": GIFT_PAGES}
+
 RESULT = "source string, donors bigint, donations bigint, rejected bigint, error string"
 
 
@@ -53,13 +58,11 @@ class Source:
     key: tuple[str, ...] = NATURAL_KEY
 
 
-def apply_donors(store: Store, donors: DataFrame) -> tuple[Merge, int]:
-    """Every accepted row counts as one upsert. The table is written again only when a
-    donor changes, and the version before stays for those who still read it."""
-    merge = upsert_donors(store.tables(), donors)
-    if merge.changed.head(1):
-        store.replace("donors", merge.rows)
-    return merge, merge.accepted.count()
+def apply_donors(store: Store, donors: DataFrame) -> Merge:
+    """Only buckets in which a donor changes are written."""
+    merge = upsert_donors(store.tables(), donors, store.bucket)
+    store.put_donors(merge.rows, merge.changed)
+    return merge
 
 
 def apply_gifts(
@@ -68,75 +71,97 @@ def apply_gifts(
     """Only rows really added count. Appending is safe to repeat: gifts written by
     an attempt that died are known to the next one."""
     merge = insert_new_donations(store.tables(), gifts, key, last_id=store.last_id("donations"))
-    count = merge.rows.count()
-    if count:
-        store.append("donations", merge.rows)
-    return merge, count
+    return merge, store.append("donations", merge.rows)
+
 
+def _apply(
+    store: Store, source: Source, kind: str, pages: DataFrame | None, batch: str, as_of: date | None
+) -> tuple[int, int]:
+    """Brings pages of one kind (none, if there are no new ones) and what waited of it into the store: rows that
+    counted, rows (and pages) that did not. Every accepted donor counts as one upsert, a gift when it is new.
 
-def _quarantine(store: Store, source: Source, kind: str) -> str:
-    return f"{store.root}/quarantine/{source.name}/{kind}"
+    Rows whose parent may still come wait and join the next batch; the others, and pages that are not JSON, are put aside
+    by the batch they came with, so that a repeated batch puts them there once.
+    """
+    part = {"source": source.name, "batch": batch}
+    waiting, waited, rejected, rows = f"waiting_{kind}", None, 0, None
+    if store.there(waiting):
+        waited = store.read(waiting).where(F.col("source") == source.name).drop("source", "reason")
+        waited = waited if waited.head(1) else None
+    if pages is None and waited is None:
+        return 0, 0
+    if pages is not None:
+        rejected += store.put_part("bad_pages", part | {"kind": kind}, bad_pages(pages).select("path", "page"))
+        if kind == "donors":
+            rows = normalise_donors(pages, **source.donor_values)
+        else:
+            rows = normalise_donations(pages, source.name, as_of, **source.gift_values)
+    if waited is not None:
+        rows = waited if rows is None else rows.unionByName(waited)
+    if kind == "donors":
+        merge, added = apply_donors(store, rows), None
+    else:
+        merge, added = apply_gifts(store, rows, source.key)
+    accepted, curables, others = merge.checked.agg(
+        F.count_if(F.col("reason").isNull()),
+        F.count_if(F.coalesce(curable(), F.lit(False))),
+        F.count_if(F.col("reason").isNotNull() & ~curable()),
+    ).first()
+    # Of rows that wait and come again one stays.
+    once = first_per_key(merge.rejected, [c for c in merge.checked.columns if c != "seq"])
+    if curables or waited is not None:
+        rejected += store.put_part(waiting, {"source": source.name}, once.where(curable()))
+    if others:
+        rejected += store.put_part(f"refused_{kind}", part, once.where(~curable()))
+    return accepted if added is None else added, rejected
+
+
+def _fresh(store: Store, source: Source, kind: str) -> DataFrame | None:
+    """Path and time of the landed files that the ledger does not have; None if there are none. Lists files
+    without reading them."""
+    files = store.spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    landed = files.load(f"{source.landing}/{KINDS[kind]}").selectExpr(*_FILE)
+    if store.there("pages_read"):
+        ledger = store.read("pages_read").where((F.col("source") == source.name) & (F.col("kind") == kind))
+        landed = landed.join(ledger.select("path", "modified"), ["path", "modified"], "left_anti")
+    fresh = checkpointed(landed)
+    return fresh if fresh.head(1) else None
+
+
+_FILE = ("_metadata.file_path AS path", "_metadata.file_modification_time AS modified")
+
+
+def _fresh_pages(store: Store, source: Source, kind: str, fresh: DataFrame) -> DataFrame:
+    """The pages of these files only. Files that are older than all of them are not opened."""
+    pages = read_pages(store.spark, f"{source.landing}/{KINDS[kind]}", source.lines, fresh.agg(F.min("modified")).first()[0])
+    return pages.join(fresh.select("path"), "path", "left_semi")
 
 
 def sync(store: Store, sources: Iterable[Source], as_of: date | None = None) -> DataFrame:
-    """One run over all enabled sources, donors before gifts. A source that fails
-    shows its error and does not stop the others. Rejected rows, and pages that are not
-    JSON, are kept under <store>/quarantine/<source>."""
+    """One run over all enabled sources, donors before gifts, over the files that landed since the last run: source,
+    donors, donations, rejected, error. A source that fails shows its error and does not stop the
+    others. Files are noted as read after their rows are in; a run that dies before that reads them again, which changes nothing."""
     spark = store.spark
     results = []
     for source in sources:
         if not source.enabled:
             continue
-        donors = gifts = rejected = 0
-        error = None
+        counts, rejected, error = dict.fromkeys(KINDS, 0), 0, None
+        run = f"{datetime.now(timezone.utc):%Y%m%dT%H%M%S%f}"
         try:
-            for kind, folder in (("donors", DONOR_PAGES), ("donations", GIFT_PAGES)):
-                pages = read_pages(spark, f"{source.landing}/{folder}", source.lines)
-                rejected += _kept(bad_pages(pages), _quarantine(store, source, f"{kind}-pages"))
-                if kind == "donors":
-                    merge, donors = apply_donors(store, normalise_donors(pages, **source.donor_values))
-                else:
-                    given = normalise_donations(pages, source.name, as_of, **source.gift_values)
-                    merge, gifts = apply_gifts(store, given, source.key)
-                rejected += _kept(merge.rejected, _quarantine(store, source, kind))
+            for kind in KINDS:
+                fresh = _fresh(store, source, kind)
+                pages = None if fresh is None else _fresh_pages(store, source, kind, fresh)
+                counts[kind], not_in = _apply(store, source, kind, pages, run, as_of)
+                rejected += not_in
+                if fresh is not None:
+                    store.put_part("pages_read", {"source": source.name, "kind": kind, "run": run}, fresh)
         except Exception as failure:  # noqa: BLE001 - one source must not stop the rest
             error = f"{type(failure).__name__}: {failure}"
-        results.append((source.name, donors, gifts, rejected, error))
-    store.versions("donors").expire()
+        results.append((source.name, *counts.values(), rejected, error))
     return spark.createDataFrame(results, RESULT)
 
 
-def _kept(rows: DataFrame, folder: str) -> int:
-    """Writes rows to the quarantine and counts them there."""
-    rows.write.mode("overwrite").parquet(folder)
-    return rows.sparkSession.read.schema(rows.schema).parquet(folder).count()
-
-
-class _Waiting:
-    """Rows of one kind that were rejected in a stream. Those whose parent may still come wait and
-    join the next batch; the others are put aside once, by the batch they came with."""
-
-    def __init__(self, store: Store, source: Source, kind: str):
-        self.versions = Versions(store.spark, _quarantine(store, source, f"{kind}-waiting"))
-        self.aside = _quarantine(store, source, f"{kind}-refused")
-
-    def joined(self, rows: DataFrame) -> DataFrame:
-        current = self.versions.current()
-        if current is None:
-            return rows
-        earlier = rows.sparkSession.read.parquet(current).drop("reason")
-        return rows.unionByName(earlier)
-
-    def keep(self, rejected: DataFrame, batch_id: int) -> int:
-        copies = [c for c in rejected.columns if c != "seq"]
-        once = first_per_key(rejected, copies)
-        number = self.versions.next()
-        once.where(curable()).write.mode("overwrite").parquet(self.versions.path(number))
-        self.versions.commit(number)
-        self.versions.expire(kept=timedelta(0))
-        return _kept(once.where(~curable()), f"{self.aside}/batch={batch_id}")
-
-
 def sync_stream(
     store: Store,
     source: Source,
@@ -148,9 +173,9 @@ def sync_stream(
     started for a source that is not enabled.
 
     A batch may hold rows whose segment, donor, campaign or channel comes later, and a file is not
-    read twice. Such donors and gifts wait in the quarantine and join the next batch, also
-    when no new page of their kind landed. Rows that can never pass, and pages that are
-    not JSON, are put aside there. A repeated batch changes nothing.
+    read twice. Such donors and gifts wait in the store and join the next batch, also
+    when no new page of their kind landed. A repeated batch changes nothing. Each batch leaves its counts
+    in ``stream_results``; of a batch that is repeated the last counts stay.
     """
     if not source.enabled:
         return None
@@ -163,25 +188,17 @@ def sync_stream(
         .load(source.landing)
         .selectExpr(*PAGE_COLUMNS)
     )
-    waiting = {kind: _Waiting(store, source, kind) for kind in ("donors", "donations")}
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         batch = number_lines(batch).persist()
         try:
-            _kept(bad_pages(batch), f"{_quarantine(store, source, 'pages')}/batch={batch_id}")
-            people = batch.where(F.col("path").contains(f"/{DONOR_PAGES}/"))
-            given = normalise_donors(people, **source.donor_values)
-            merge, _ = apply_donors(store, waiting["donors"].joined(given))
-            waiting["donors"].keep(merge.rejected, batch_id)
-            given = normalise_donations(
-                batch.where(F.col("path").contains(f"/{GIFT_PAGES}/")),
-                source.name,
-                as_of,
-                **source.gift_values,
-            )
-            merge, _ = apply_gifts(store, waiting["donations"].joined(given), source.key)
-            waiting["donations"].keep(merge.rejected, batch_id)
-            store.versions("donors").expire()
+            counts, rejected = {}, 0
+            for kind, folder in KINDS.items():
+                pages = batch.where(F.col("path").contains(f"/{folder}/"))
+                counts[kind], not_in = _apply(store, source, kind, pages, str(batch_id), as_of)
+                rejected += not_in
+            row = store.spark.createDataFrame([(*counts.values(), rejected)], "donors bigint, donations bigint, rejected bigint")
+            store.put_part("stream_results", {"source": source.name, "batch": str(batch_id)}, row)
         finally:
             batch.unpersist()
 
@@ -192,3 +209,34 @@ def sync_stream(
         .trigger(availableNow=True)
         .start()
     )
+
+
+def sync_streams(
+    store: Store, sources: Iterable[Source], checkpoints: str, as_of: date | None = None, max_files: int | None = None
+) -> DataFrame:
+    """One stream for each enabled source, one after the other (a store has one writer): source, donors,
+    donations, rejected, error. Counts are sums over this run's batches, so a row that waits through
+    several of them is rejected in each. A stream that fails shows its error, with what its batches had done, and the next one runs."""
+    results = []
+    for source in sources:
+        before = _batches(store, source)
+        error = None
+        try:
+            query = sync_stream(store, source, f"{checkpoints}/{source.name}", as_of, max_files)
+            if query is None:
+                continue
+            query.awaitTermination()
+        except Exception as failure:  # noqa: BLE001 - one source must not stop the rest
+            error = f"{type(failure).__name__}: {failure}"
+        new = [r for b, r in sorted(_batches(store, source).items()) if b not in before]
+        sums = (sum(r[c] for r in new) for c in ("donors", "donations"))
+        results.append((source.name, *sums, sum(r["rejected"] for r in new), error))
+    return store.spark.createDataFrame(results, RESULT)
+
+
+def _batches(store: Store, source: Source) -> dict[int, Row]:
+    """The counts of a source's batches: a row for each run of the schedule or less, so they are few."""
+    if not store.there("stream_results"):
+        return {}
+    rows = store.read("stream_results").where(F.col("source") == source.name).collect()
+    return {int(r["batch"]): r for r in rows}

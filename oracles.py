@@ -8,18 +8,18 @@ runs them on Spark as the plain form to compare with.
 from __future__ import annotations
 
 BASE = """
-WITH segments(id, label, color) AS (VALUES
-    ('AUTOMOBILE', 'Automobile', '#1B9E77'), ('BUILDING', 'Building', '#D95F02'),
-    ('FURNITURE', 'Furniture', '#7570B3'), ('HOUSEHOLD', 'Household', '#E7298A'),
-    ('MACHINERY', 'Machinery', '#66A61E'), ('EMPTY', 'Empty', '#666666')),
+WITH segments(id, label, avg_gift, donor_count, color, icon) AS (VALUES
+    ('AUTOMOBILE', 'Automobile', 500, 300, '#1B9E77', 'car'), ('BUILDING', 'Building', 400, 300, '#D95F02', 'house'),
+    ('FURNITURE', 'Furniture', 300, 300, '#7570B3', 'chair'), ('HOUSEHOLD', 'Household', 200, 300, '#E7298A', 'home'),
+    ('MACHINERY', 'Machinery', 100, 300, '#66A61E', 'gear'), ('EMPTY', 'Empty', 0, 0, '#666666', 'none')),
 campaigns(id, label, color, goal) AS (VALUES
     ('1-URGENT', 'Urgent', '#1F77B4', 250000000), ('2-HIGH', 'High', '#FF7F0E', 250000000),
     ('3-MEDIUM', 'Medium', '#2CA02C', 250000000),
     ('4-NOT SPECIFIED', 'Not specified', '#D62728', 250000000),
     ('5-LOW', 'Low', '#9467BD', 250000000), ('NONE', 'No gifts', '#8C564B', 1000)),
-channels(id, label, color) AS (VALUES
-    ('online', 'Online', '#4E79A7'), ('phone', 'Phone', '#F28E2B'), ('mail', 'Mail', '#E15759'),
-    ('event', 'Event', '#76B7B2'), ('text', 'Text', '#59A14F')),
+channels(id, label, color, base_pct) AS (VALUES
+    ('online', 'Online', '#4E79A7', 25), ('phone', 'Phone', '#F28E2B', 25), ('mail', 'Mail', '#E15759', 25),
+    ('event', 'Event', '#76B7B2', 25), ('text', 'Text', '#59A14F', 0)),
 donors AS (
     SELECT c_name AS name, c_mktsegment AS segment_id,
            CAST(round(c_acctbal) AS INT) AS max_gift,
@@ -42,7 +42,8 @@ callers AS (
     SELECT s_name AS name,
            CASE s_suppkey % 4 WHEN 0 THEN 'Senior caller' WHEN 1 THEN 'Caller II'
                               WHEN 2 THEN 'Caller I' ELSE 'Trainee' END AS role,
-           CASE s_suppkey % 3 WHEN 0 THEN '4y' WHEN 1 THEN '10mo' ELSE '3mo' END AS tenure
+           CASE s_suppkey % 3 WHEN 0 THEN '4y' WHEN 1 THEN '10mo' ELSE '3mo' END AS tenure,
+           CAST(1 AS DECIMAL(4, 2)) AS conv_boost
     FROM supplier),
 calls AS (
     SELECT event_id AS id, ts AS call_time, s_name AS caller_name, c_name AS contact,
@@ -50,7 +51,8 @@ calls AS (
            CASE event_type WHEN 'error' THEN 'missed' WHEN 'signup' THEN 'voicemail'
                            ELSE 'answered' END AS outcome,
            CASE WHEN event_type = 'purchase' THEN CAST(round(value) AS INT) ELSE 0 END AS pledge,
-           CASE WHEN event_id % 5 = 0 THEN 'note ' || CAST(event_id AS VARCHAR) END AS note_text
+           CASE WHEN event_id % 5 = 0 THEN 'note ' || CAST(event_id AS VARCHAR) END AS note_text,
+           CAST(NULL AS VARCHAR) AS note_context
     FROM events JOIN supplier ON s_suppkey = user_id % 9 JOIN customer ON c_custkey = user_id)
 """
 
@@ -251,6 +253,21 @@ SCOPED: dict[str, str] = {
     ),
 }
 
+# The same tables narrowed to a segment, a campaign and a channel, for every other report.
+_NARROWED = (
+    BASE.replace("donors AS (", "every_donor AS (").replace("donations AS (", "every_gift AS (").replace("calls AS (", "every_call AS (")
+    + """,
+donors AS (SELECT * FROM every_donor WHERE segment_id = 'BUILDING'),
+donations AS (SELECT * FROM every_gift WHERE donor_name IN (SELECT name FROM donors)
+              AND campaign_id = '1-URGENT' AND channel_id = 'online'),
+calls AS (SELECT * FROM every_call WHERE contact IN (SELECT name FROM donors))
+"""
+)
+SCOPED_REPORTS = (
+    "donation_summary monthly_donations monthly_trend daily_trend campaign_breakdown donation_rows donations_export call_summary"
+    " call_outcomes caller_leaderboard call_rows monthly_calls hour_heatmap calls_export donor_lifecycle donor_roster at_risk_donors"
+).split()
+
 # What the CRM pages made from customers and orders hold.
 _DONOR_ITEMS = """,
 donor_items AS (
@@ -354,13 +371,13 @@ JOBS: dict[str, str] = {
     UNION ALL
     SELECT id, gift_date, donor_name, campaign_id, channel_id, amount * 2, status FROM donations
     WHERE gift_date >= DATE '2001-01-15'""",
-    "replace_live_layer_stored": BASE + """
-    SELECT id, strftime(call_time, '%Y-%m-%d %H:%M') AS call_time, caller_name, contact, outcome,
-           pledge
-    FROM calls WHERE calls.call_time < DATE '2024-01-15'
+    "replace_live_layer_stored": """
+    SELECT 'donations' AS "table", {donations} AS content
+    FROM (SELECT * REPLACE (CASE WHEN gift_date >= DATE '2001-01-15' THEN amount * 2 ELSE amount END AS amount) FROM donations)
     UNION ALL
-    SELECT id, strftime(call_time, '%Y-%m-%d %H:%M'), caller_name, contact, 'missed', 0
-    FROM calls WHERE calls.call_time >= DATE '2024-01-15'""",
+    SELECT 'calls', {calls}
+    FROM (SELECT * REPLACE ('missed' AS outcome, 0 AS pledge,
+          CASE WHEN calls.call_time >= DATE '2024-01-15' THEN duration_sec + 1 ELSE duration_sec END AS duration_sec) FROM calls)""",
     "copy_tables": BASE + "".join(
         f"{' UNION ALL ' if i else ''}SELECT '{t}' AS \"table\", count(*) AS rows FROM {t}"
         for i, t in enumerate(
@@ -403,6 +420,21 @@ JOBS: dict[str, str] = {
     "crm_bad_pages": BASE + _GIFT_ITEMS + """
     SELECT source_ref AS found FROM gift_items WHERE number % 5 <> 0
     UNION ALL SELECT DISTINCT 'bad ' || (o_orderkey // 50) FROM orders WHERE o_orderkey // 50 % 5 = 0""",
+    "normalise_numeric_ids": """
+    SELECT 'crm:' || CAST(o_orderkey AS VARCHAR) AS source_ref FROM orders WHERE o_orderkey % 11 <> 3""",
+    "sync_stream_result": BASE + _DONOR_ITEMS + _GIFT_ITEMS + """
+    SELECT 'crm' AS source, (SELECT count(*) FROM donor_items) AS donors,
+           (SELECT count(*) FROM new_gifts) AS donations,
+           (SELECT count(*) FROM gift_items WHERE donor_name = 'Unknown') AS rejected,
+           false AS failed
+    UNION ALL SELECT 'broken', 0, 0, 0, true""",
+    # In the second run only what waits is tried again; in the third also the landed third, whose unknown donors wait already.
+    "sync_incremental": BASE + _DONOR_ITEMS + _GIFT_ITEMS + """,
+    unknown AS (SELECT count(*) AS n FROM gift_items WHERE donor_name = 'Unknown')
+    SELECT 1 AS run, 'crm' AS source, (SELECT count(*) FROM donor_items) AS donors,
+           (SELECT count(*) FROM new_gifts) AS donations, (SELECT n FROM unknown) AS rejected
+    UNION ALL SELECT 2, 'crm', 0, 0, (SELECT n FROM unknown)
+    UNION ALL SELECT 3, 'crm', (SELECT count(*) FROM donor_items WHERE number % 3 = 0), 0, (SELECT n FROM unknown)""",
     "replace_live_layer_undated": BASE + """
     SELECT id, CASE WHEN id % 9 <> 0 THEN gift_date END AS gift_date, donor_name, campaign_id, channel_id, amount, status
     FROM donations WHERE id % 9 = 0 OR gift_date < DATE '2001-01-15'
@@ -420,7 +452,6 @@ JOBS: dict[str, str] = {
     SELECT call_time AS "Time", caller_name AS "Caller", contact AS "Contact",
            duration_label AS "Duration", outcome AS "Outcome", CAST(pledge AS VARCHAR) AS "Pledge"
     FROM ({_CALLS_EXPORT}) AS e""",
-    "publish": BASE + REPORTS["channel_breakdown"],
 }
 
 # The same rule twice in the list above is one row of the report.
@@ -429,32 +460,52 @@ JOBS["validate_tables"] = JOBS["validate_tables"].replace(
 ) + ') AS found GROUP BY "table", rule'
 
 
-# The columns that ``BASE`` states of each table; the minute of a call comes first.
+# All columns of each table.
 CONTENT = {
-    "segments": ("id", "label", "color"),
+    "segments": ("id", "label", "avg_gift", "donor_count", "color", "icon"),
     "campaigns": ("id", "label", "color", "goal"),
-    "channels": ("id", "label", "color"),
-    "callers": ("name", "role", "tenure"),
+    "channels": ("id", "label", "color", "base_pct"),
+    "callers": ("name", "role", "tenure", "conv_boost"),
     "donors": ("name", "segment_id", "max_gift", "first_gift", "lifecycle"),
     "donations": ("id", "gift_date", "donor_name", "campaign_id", "channel_id", "amount", "status"),
-    "calls": ("id", "caller_name", "contact", "duration_sec", "outcome", "pledge", "note_text"),
+    "calls": (
+        "id", "call_time", "caller_name", "contact", "duration_sec", "outcome", "pledge", "note_text", "note_context"
+    ),
+}
+
+# The reports that ``publish`` writes, with their columns.
+PUBLISHED = {
+    "channel_breakdown": ("channel_id", "label", "color", "revenue", "gifts", "pct_of_total"),
+    "donor_segments": ("segment_id", "label", "color", "donors", "total_raised", "avg_gift"),
+    "donor_roster": ("name", "segment_id", "segment_label", "first_gift", "lifecycle", "gifts", "total", "avg_gift"),
+    "at_risk_donors": ("name", "segment_label", "first_gift", "lifetime_value", "gift_count"),
 }
 
 
-def _content() -> str:
-    parts = []
-    for table, columns in CONTENT.items():
-        texts = [f"coalesce(CAST({c} AS VARCHAR), '-')" for c in columns]
-        if table == "calls":
-            texts = ["strftime(call_time, '%Y-%m-%d %H:%M')", *texts]
-        parts.append(f"SELECT '{table}' AS \"table\", concat_ws('|', {', '.join(texts)}) AS content FROM {table}")
+def _text(columns: tuple[str, ...]) -> str:
+    times = {"call_time": "strftime(call_time, '%Y-%m-%d %H:%M:%S.%f')"}
+    return f"concat_ws('|', {', '.join(f"coalesce(CAST({times.get(c, c)} AS VARCHAR), '-')" for c in columns)})"
+
+
+def _content(tables: tuple[str, ...] = tuple(CONTENT)) -> str:
+    parts = (f"SELECT '{table}' AS \"table\", {_text(CONTENT[table])} AS content FROM {table}" for table in tables)
     return BASE + " UNION ALL ".join(parts)
 
 
-for _row in ("load_all_parquet", "load_all_csv", "load_all_json", "load_all_orc", "copy_tables_content"):
+JOBS["replace_live_layer_stored"] = BASE + JOBS["replace_live_layer_stored"].format(
+    donations=_text(CONTENT["donations"]), calls=_text(CONTENT["calls"])
+)
+JOBS["publish"] = BASE + " UNION ALL ".join(
+    f"SELECT '{name}' AS report, {_text(columns)} AS content FROM ({REPORTS[name]}) AS r_{name}"
+    for name, columns in PUBLISHED.items()
+)
+for _row in (
+    "load_all_parquet", "load_all_csv", "load_all_json", "load_all_orc", "copy_tables_content", "copy_to_catalog", "load_catalog"
+):
     JOBS[_row] = _content()
 
 
 def all_sql() -> dict[str, str]:
     reports = {name: BASE + body for name, body in (REPORTS | SCOPED).items()}
-    return reports | JOBS
+    narrowed = {f"scoped_{name}": _NARROWED + REPORTS[name] for name in SCOPED_REPORTS}
+    return reports | narrowed | JOBS

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import json
 import os
+import shutil
 import subprocess
 import sys
 from pathlib import Path
@@ -62,6 +63,40 @@ def test_scans_are_narrow_and_filtered(spark):
     assert plan_of(QUERIES["donor_segments"](spark, SF)).count("orders.parquet") == 1
 
 
+def test_monthly_trend_shuffles_gifts_by_donor_once(spark):
+    plan = plan_of(QUERIES["monthly_trend"](spark, SF))
+    by_donor = [line for line in plan.splitlines() if "Exchange hashpartitioning(donor_name" in line]
+    # Donors come as they are, or by the same key; the rest is one row.
+    assert len(by_donor) <= 2 and plan.count("Exchange hashpartitioning") == len(by_donor)
+
+
+def test_donation_rows_runs_no_job_while_it_is_planned(spark):
+    tracker, before = spark.sparkContext.statusTracker(), None
+    spark.sparkContext.setJobGroup("planning", "planning")
+    try:
+        df = QUERIES["donation_rows"](spark, SF)
+        before = tracker.getJobIdsForGroup("planning")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert list(before) == []
+    plan = plan_of(df)
+    assert plan.count("TakeOrderedAndProject") == 1 or plan.count("GlobalLimit") + plan.count("TakeOrdered") >= 1
+    assert "LeftSemi" in plan
+
+
+def test_the_rest_works_without_the_corpus_part(tmp_path):
+    root = Path(__file__).resolve().parents[1]
+    gone = shutil.ignore_patterns("llm", ".git", "corpus_pipeline.py", "__pycache__")
+    left = tmp_path / "bare"
+    shutil.copytree(root, left, ignore=gone)
+    code = "import __spark_entry__ as c; print(len(c.queries()), len(c.oracle_sql()), any(q.startswith('op') for q in c.queries()))"
+    for keep_pipeline in (False, True):
+        if keep_pipeline and (root / "corpus_pipeline.py").exists():
+            shutil.copy(root / "corpus_pipeline.py", left)
+        done = subprocess.run([sys.executable, "-c", code], cwd=left, capture_output=True, text=True, timeout=120)
+        assert done.stdout.split() == [str(len(QUERIES)), str(len(ORACLES)), "False"], done.stderr
+
+
 def test_gifts_are_summed_before_they_are_shuffled(spark):
     plan = plan_of(QUERIES["donor_segments"](spark, SF))
     lines = [line for line in plan.splitlines() if "Exchange" in line or "partial_sum" in line]

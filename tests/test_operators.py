@@ -347,3 +347,46 @@ def test_validation_of_a_hot_value(make_tables):
     assert rows(validate_tables(make_tables(**ROWS | {"donations": gifts}))) == [
         ("donations", "donor_name unknown", 200)
     ]
+
+
+# -- sizes and filters --------------------------------------------------------
+
+
+def test_sizes_count_what_is_inside(spark):
+    few = spark.range(20)
+    longs = few.selectExpr("id", "transform(sequence(1, 100000), x -> CAST(x AS BIGINT)) AS a")
+    texts = few.selectExpr("id", "transform(sequence(1, 1000), x -> repeat('x', 1000)) AS a")
+    nested = few.selectExpr("struct(map('k', array(repeat('x', 1000000))) AS m) AS s")
+    raw = few.selectExpr("CAST(repeat('x', 1000000) AS binary) AS b")
+    for wide in (longs, texts, nested, raw):
+        assert not joins.fits_broadcast(wide, max_bytes=10_000_000)
+        assert joins.fits_broadcast(wide.limit(5), max_bytes=10_000_000)
+    nulls = spark.sql("SELECT CAST(NULL AS array<string>) AS a, CAST(NULL AS map<string, int>) AS m, CAST(NULL AS struct<x: string>) AS s")
+    assert joins.fits_broadcast(nulls, max_bytes=1000) and joins.fits_broadcast(nulls.limit(0), max_bytes=0)
+
+
+def test_a_filter_lets_all_matches_through_and_little_else(spark):
+    stored = spark.range(100_000).selectExpr("concat('D', id) AS donor_name", "CAST(id % 7 AS INT) AS amount", "id")
+    wanted = spark.range(0, 3_000_000, 1000).selectExpr("concat('D', id) AS donor_name", "CAST(id % 7 AS INT) AS amount")
+    found = joins.may_match(stored, wanted, ["donor_name", "amount"])
+    assert found.columns == stored.columns
+    ids = {r.id for r in found.collect()}
+    assert ids >= set(range(0, 100_000, 1000)) and len(ids) < 300
+    assert joins.may_match(stored, wanted.limit(0), ["donor_name", "amount"]).count() == 0
+
+
+def test_many_new_rows_shuffle_matches_only(spark, monkeypatch):
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 10)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        stored = spark.range(5000).selectExpr("id AS k", "id AS other")
+        rows = spark.range(4000, 8000).selectExpr("id AS k")
+        left = joins.without(rows, stored, ["k"])
+        plan = left._jdf.queryExecution().executedPlan().toString()
+        # Below the exchange that the stored keys go through there is the filter's join.
+        below = plan[plan.index("SortMergeJoin") :]
+        assert "BroadcastHashJoin" in below and "LeftSemi" in below
+        assert below.index("Exchange hashpartitioning(k", below.index("LeftAnti")) < below.index("BroadcastHashJoin")
+        assert sorted(r.k for r in left.collect()) == list(range(5000, 8000))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -1,19 +1,20 @@
 from __future__ import annotations
 
-import shutil
-from datetime import date, datetime, timedelta
+import uuid
+from datetime import date, datetime
 from decimal import Decimal
 
 import pytest
 from hand_made import ROWS, call, gift
 from pyspark.sql import functions as F
 
-from almoner.model import TABLES, conform
+from almoner.model import BUCKET_COLUMN, TABLES, conform
+from almoner.operators.merge import upsert_donors
 from almoner.operators.periods import newest_months, on_days_of, since
 from almoner.plans import REPORTS
 from almoner.plans.donors import shared
 from almoner.sinks import files
-from almoner.sinks.store import Store, Versions, copy_tables
+from almoner.sinks.store import Store, copy_tables
 from almoner.sources.tables import load_tables
 
 
@@ -21,13 +22,26 @@ def rows(df):
     return sorted((tuple(r) for r in df.collect()), key=repr)
 
 
+def a_store(spark, folder, **options):
+    return Store(spark, f"store_{uuid.uuid4().hex}", str(folder), **options)
+
+
 @pytest.fixture
 def store(spark, tmp_path, make_tables):
-    store = Store(spark, str(tmp_path / "store"))
+    store = a_store(spark, tmp_path / "store", buckets=8)
     copy_tables(make_tables(**ROWS), store)
     return store
 
 
+def files_of(store, table):
+    """The files of each partition."""
+    found = {}
+    for path in store.read(table).inputFiles():
+        folder, name = path.rsplit("/", 1)
+        found.setdefault(folder.rsplit("/", 1)[1], set()).add(name)
+    return found
+
+
 def test_copy_counts_and_keeps_every_row(store, make_tables):
     source = make_tables(**ROWS)
     counts = {r.table: r["rows"] for r in copy_tables(source, store).collect()}
@@ -36,82 +50,120 @@ def test_copy_counts_and_keeps_every_row(store, make_tables):
         assert rows(conform(store.read(table), table)) == rows(source[table])
 
 
+def test_a_copy_scans_its_source_once(spark, tmp_path, make_tables):
+    """The counts come from the writes: no job reads a table a second time."""
+    store, read = a_store(spark, tmp_path / "once"), []
+    source = make_tables(**ROWS)
+    counting = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            counting.add(batch.num_rows)
+            yield batch
+
+    gifts = source.donations.mapInArrow(seen, source.donations.schema)
+    copied = copy_tables(source.with_(donations=gifts), store).collect()
+    assert {r.table: r["rows"] for r in copied}["donations"] == 5 == counting.value and not read
+
+
 def test_a_missing_table_is_refused(spark, tmp_path):
-    with pytest.raises(FileNotFoundError):
-        Store(spark, str(tmp_path)).read("calls")
-    Store(spark, str(tmp_path)).create()
-    assert Store(spark, str(tmp_path)).read("calls").count() == 0
-
-
-def test_a_store_is_not_read_as_plain_files(store, spark):
-    with pytest.raises(ValueError, match="store"):
-        load_tables(spark, store.root).donors
-
-
-def test_a_version_that_was_not_finished_is_not_read(store, tmp_path):
-    done = tmp_path / "store" / "donors" / "v=1"
-    # Spark's own mark does not make it one.
-    shutil.copytree(done, done.with_name("v=2"))
-    assert store.versions("donors").numbers() == [1]
-    # The table may be replaced by rows read from itself.
-    store.replace("donors", store.read("donors").where("name = 'D1'"))
-    assert store.versions("donors").numbers() == [1, 2]
-    assert [r.name for r in store.read("donors").collect()] == ["D1"]
-    store.versions("donors").expire(keep=1)
-    assert store.versions("donors").numbers() == [1, 2]
-    store.versions("donors").expire(keep=1, kept=timedelta(0))
-    assert store.versions("donors").numbers() == [2]
-    assert not done.exists() and [r.name for r in store.read("donors").collect()] == ["D1"]
-
-
-def test_no_marks_of_the_committer_are_needed(spark, tmp_path, make_tables):
-    setting = "mapreduce.fileoutputcommitter.marksuccessfuljobs"
-    conf = spark._jsc.hadoopConfiguration()
-    conf.set(setting, "false")
-    try:
-        store = Store(spark, str(tmp_path / "unmarked"))
-        copy_tables(make_tables(**ROWS), store)
-        store.replace("donors", store.read("donors"))
-    finally:
-        conf.unset(setting)
-    assert store.versions("donors").numbers() == [1, 2]
-    assert store.read("donors").count() == 3 and store.read("donations").count() == 5
+    store = a_store(spark, tmp_path)
+    with pytest.raises(Exception, match="TABLE_OR_VIEW_NOT_FOUND"):
+        store.read("calls")
+    store.create()
+    assert store.read("calls").count() == 0
+    assert {t: r for t, r in copy_tables(store.tables(), a_store(spark, tmp_path / "more")).collect()} == dict.fromkeys(TABLES, 0)
+
+
+def test_a_table_is_not_replaced_by_rows_read_from_it(store):
+    with pytest.raises(Exception, match="overwrite"):
+        store.replace("callers", store.read("callers").limit(1))
+    assert store.read("callers").count() == 3
 
 
 def test_rows_without_a_date_stay(store, make_tables):
     undated = make_tables(donations=[gift(77, "2026-06-11", "D1", "C1", "H1", 3)]).donations
     undated = undated.withColumn("gift_date", F.lit(None).cast("date"))
     store.append("donations", undated)
-    store.replace_since("donations", undated.limit(0), date(2026, 1, 1))
+    store.replace_since({"donations": undated.limit(0)}, date(2026, 1, 1))
     assert sorted(r.id for r in store.read("donations").collect()) == [1, 77]
 
 
-def test_a_cut_off_that_dies_changes_nothing(store, make_tables, monkeypatch):
-    before = rows(store.read("donations"))
+def test_a_cut_off_that_dies_is_finished_by_the_next(store, make_tables, monkeypatch):
+    before = rows(store.read("donations")), rows(store.read("calls"))
+    layers = make_tables(
+        donations=[gift(9, "2026-06-20", "D1", "C1", "H1", 3)], calls=[call(9, "2026-06-20 10:00", "A", 1, "missed", 0)]
+    )
+    both = {t: layers[t] for t in ("donations", "calls")}
+    with monkeypatch.context() as broken:
+        broken.setattr(Store, "_put_staged", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            store.replace_since(both, date(2026, 5, 31))
+    assert (rows(store.read("donations")), rows(store.read("calls"))) == before
+    # Now between the tables' months: gifts lose their months and do not get the new ones.
     with monkeypatch.context() as broken:
-        broken.setattr(Versions, "commit", lambda *_: 1 / 0)
+        broken.setattr(Store, "_layout", lambda *_: 1 / 0)
         with pytest.raises(ZeroDivisionError):
-            store.replace_since("donations", store.read("donations").limit(0), date(2026, 5, 31))
-    assert rows(store.read("donations")) == before
-    store.replace_since("donations", store.read("donations").limit(0), date(2026, 5, 31))
-    assert sorted(r.id for r in store.read("donations").collect()) == [1, 4]
-    # Months before the cut-off are listed where they were written, and survive an expiry.
-    store.versions("donations").expire(keep=1, kept=timedelta(0))
-    assert sorted(r.id for r in store.read("donations").collect()) == [1, 4]
+            store.replace_since(both, date(2026, 5, 31))
+    assert store.replace_since(both, date(2026, 5, 31)) == {"donations": 1, "calls": 1}
+    assert sorted(r.id for r in store.read("donations").collect()) == [1, 4, 9]
+    assert [r.id for r in store.read("calls").collect()] == [9]
+    assert [r.tableName for r in store.spark.sql(f"SHOW TABLES IN {store.database} LIKE '*since*'").collect()] == []
+
+
+def test_a_cut_off_leaves_the_files_of_earlier_months(store, make_tables):
+    before = files_of(store, "donations"), files_of(store, "calls")
+    layers = make_tables(
+        donations=[gift(9, "2026-06-20", "D1", "C1", "H1", 3)], calls=[call(9, "2026-06-02 10:00", "A", 1, "missed", 0)]
+    )
+    both = {t: layers[t] for t in ("donations", "calls")}
+    for _ in range(2):
+        assert store.replace_since(both, date(2026, 6, 2)) == {"donations": 1, "calls": 1}
+        assert sorted(r.id for r in store.read("donations").collect()) == [1, 3, 4, 9]
+        assert sorted(r.id for r in store.read("calls").collect()) == [1, 9]
+        after = files_of(store, "donations")
+        for month in ("period_month=2025-06-01", "period_month=2026-05-01"):
+            assert after[month] == before[0][month]
+        assert after["period_month=2026-06-01"] != before[0]["period_month=2026-06-01"]
 
 
 def test_source_refs_are_kept(store, make_tables):
     more = make_tables(donations=[gift(6, "2026-06-11", "D1", "C1", "H1", 3)]).donations
     store.append("donations", more.withColumn("source_ref", F.lit("crm:6")))
-    store.replace("donations", store.read("donations"))
+    store.replace_since({"donations": store.read("donations")}, date(2026, 6, 1))
     assert {r.id: r.source_ref for r in store.read("donations").collect()}[6] == "crm:6"
 
 
 def test_append(store, make_tables):
+    before = files_of(store, "donations")
     more = make_tables(donations=[gift(6, "2026-06-11", "D1", "C1", "H1", 3)]).donations
-    store.append("donations", more)
+    assert store.append("donations", more) == 1
     assert sorted(r.id for r in store.read("donations").collect()) == [1, 2, 3, 4, 5, 6]
-    assert store.versions("donations").numbers() == [1]
+    after = files_of(store, "donations")
+    assert all(files <= after[month] for month, files in before.items())
+    assert store.append("donations", more.limit(0)) == 0
+
+
+def test_only_buckets_that_change_are_written(store, spark):
+    many = spark.range(200).selectExpr(
+        "concat('N', id) AS name", "'S1' AS segment_id", "1 AS max_gift", "'Jan 2024' AS first_gift", "'new' AS lifecycle"
+    )
+    store.replace("donors", many)
+    before = files_of(store, "donors")
+    assert len(before) == 8
+    batch = [("N7", "S9", 0, "Feb 2024", "active", 1), ("N8", "S1", 1, "Mar 2024", "new", 2)]
+    schema = "name string, segment_id string, max_gift int, first_gift string, lifecycle string, seq int"
+    merge = upsert_donors(store.tables(), spark.createDataFrame(batch, schema), store.bucket)
+    # N8 stays as it was, so its bucket does too.
+    assert store.put_donors(merge.rows, merge.changed) == 1
+    after = files_of(store, "donors")
+    touched = [r[0] for r in store.read("donors").where("name = 'N7'").select(BUCKET_COLUMN).collect()]
+    assert {k for k in before if before[k] != after[k]} == {f"{BUCKET_COLUMN}={touched[0]}"}
+    found = {r.name: (r.segment_id, r.lifecycle) for r in store.read("donors").collect()}
+    assert len(found) == 200 and found["N7"] == ("S9", "active") and found["N8"] == ("S1", "new")
+    assert store.put_donors(merge.rows, merge.changed.limit(0)) == 0
+    # The batch's buckets only are read.
+    assert BUCKET_COLUMN in merge.rows._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1].split("]")[0]
 
 
 def test_replace_since(store, make_tables):
@@ -123,13 +175,13 @@ def test_replace_since(store, make_tables):
         ]
     ).donations
     for _ in range(2):
-        store.replace_since("donations", layer, date(2026, 5, 31))
+        assert store.replace_since({"donations": layer}, date(2026, 5, 31)) == {"donations": 2}
         assert sorted(r.id for r in store.read("donations").collect()) == [1, 4, 9, 10]
     # The month of the cut-off may end up empty too.
-    store.replace_since("donations", layer.where("false"), date(2026, 5, 1))
+    store.replace_since({"donations": layer.where("false")}, date(2026, 5, 1))
     assert [r.id for r in store.read("donations").collect()] == [1]
     calls = make_tables(calls=[call(9, "2026-06-02 00:00", "A", 1, "missed", 0)]).calls
-    store.replace_since("calls", calls, date(2026, 6, 2))
+    store.replace_since({"calls": calls}, date(2026, 6, 2))
     assert sorted(r.id for r in store.read("calls").collect()) == [1, 9]
 
 
@@ -158,13 +210,15 @@ def test_newest_months(store):
     assert kept(3) == kept(4) == [2, 3, 4, 5]
     assert kept(5) == kept(99) == [1, 2, 3, 4, 5]
     assert "period_month" in partition_filters(REPORTS["call_rows"](store.tables(), limit=1))
-    # Gifts without a donor make the search go on to older months.
+    # Gifts without a donor are not among the newest.
     tables = store.tables().with_(donors=store.read("donors").where("name = 'D1'"))
     assert [r.amount for r in REPORTS["donation_rows"](tables, limit=2).collect()] == [50, 100]
 
 
 def test_last_id(store, spark, tmp_path, make_tables):
-    assert Store(spark, str(tmp_path / "none")).last_id("donations") == 0
+    empty = a_store(spark, tmp_path / "none")
+    empty.create()
+    assert empty.last_id("donations") == 0
     assert store.last_id("donations") == 5
     more = make_tables(donations=[gift(70, "2026-06-11", "D1", "C1", "H1", 3)]).donations
     store.append("donations", more)
@@ -172,10 +226,10 @@ def test_last_id(store, spark, tmp_path, make_tables):
     store.append("donations", more.withColumn("id", F.lit(8).cast("bigint")))
     assert store.last_id("donations") == 70
     assert store.read("donations").count() == 7
-    store.replace_since("donations", more, date(2026, 6, 1))
+    store.replace_since({"donations": more}, date(2026, 6, 1))
     assert store.last_id("donations") == 70
     assert store.last_id("donations") == 70
-    store.replace("donations", store.read("donations").where("id < 4"))
+    store.replace("donations", make_tables(**ROWS).donations.where("id < 4"))
     assert store.last_id("donations") == 3
 
 

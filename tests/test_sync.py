@@ -1,15 +1,18 @@
 from __future__ import annotations
 
 import json
+import os
 import shutil
+import uuid
 from dataclasses import replace
-from datetime import date
+from datetime import date, datetime
 
 import pytest
 from hand_made import ROWS, TODAY
 
 from almoner.sinks.store import Store, copy_tables
-from almoner.streaming.sync import Source, sync, sync_stream
+from almoner.streaming import sync as module
+from almoner.streaming.sync import Source, sync, sync_stream, sync_streams
 
 DONOR_VALUES = {"segment_id": "S1"}
 GIFT_VALUES = {"campaign_id": "C1", "channel_id": "H1"}
@@ -17,7 +20,7 @@ GIFT_VALUES = {"campaign_id": "C1", "channel_id": "H1"}
 
 @pytest.fixture
 def store(spark, tmp_path, make_tables):
-    store = Store(spark, str(tmp_path / "store"))
+    store = Store(spark, f"store_{uuid.uuid4().hex}", str(tmp_path / "store"), buckets=8)
     copy_tables(make_tables(**ROWS), store)
     return store
 
@@ -70,10 +73,57 @@ def test_sync_counts_upserts_and_real_inserts(store, landing):
     assert gifts(store) == [("D1", 8), ("N1", 5)]
     d2 = store.read("donors").where("name = 'D2'").first()
     assert (d2.segment_id, d2.lifecycle, d2.max_gift, d2.first_gift) == ("S1", "active", 20, "Feb 2021")
-    assert store.versions("donors").numbers() == [1, 2]
     again = [tuple(r) for r in sync(store, [source(landing)], TODAY).collect()]
-    assert again == [("crm", 3, 0, 1, None)]
-    assert store.versions("donors").numbers() == [1, 2]
+    # No page is new; d is tried again.
+    assert again == [("crm", 0, 0, 1, None)]
+    assert gifts(store) == [("D1", 8), ("N1", 5)]
+
+
+def test_a_second_run_parses_new_pages_only(store, landing, monkeypatch):
+    parsed = []
+    normalise = module.normalise_donations
+
+    def seen(pages, *args, **values):
+        parsed.append(sorted(r.path.rsplit("/", 1)[1] for r in pages.collect()))
+        return normalise(pages, *args, **values)
+
+    monkeypatch.setattr(module, "normalise_donations", seen)
+    for old in (landing.root / "transactions").iterdir():
+        os.utime(old, (1_700_000_000, 1_700_000_000))
+    sync(store, [source(landing)], TODAY)
+    before = store.read("donors").inputFiles()
+    sync(store, [source(landing)], TODAY)
+    assert store.read("donors").inputFiles() == before
+    landing.page("transactions", 3, gift("n", "D2", 77))
+    landing.page("constituents", 3, {"FullName": "Nobody"})
+    (result,) = sync(store, [source(landing)], TODAY).collect()
+    # The new gift, and the one that had waited for its donor.
+    assert tuple(result) == ("crm", 1, 2, 0, None)
+    # A page that was landed again, in place of the old one, counts as new.
+    landing.page("transactions", 1, gift("a", "N1", 6))
+    assert sync(store, [source(landing)], TODAY).first().donations == 1
+    assert parsed == [["page-1.json", "page-2.json"], ["page-3.json"], ["page-1.json"]]
+    assert gifts(store) == [("D1", 8), ("D2", 77), ("N1", 5), ("N1", 6), ("Nobody", 5)]
+
+
+def test_files_older_than_the_new_ones_are_not_opened(store, landing, spark):
+    for old in (landing.root / "transactions").iterdir():
+        os.utime(old, (1_700_000_000, 1_700_000_000))
+    landing.page("transactions", 3, gift("n", "D2", 77))
+    pages = module.read_pages(spark, f"{landing.root}/transactions", since=datetime(2024, 1, 1))
+    assert len(pages.collect()) == 1
+    scan = pages._jdf.queryExecution().executedPlan().collectLeaves().head()
+    assert scan.metrics().apply("numFiles").value() == 1
+
+
+def test_a_run_that_dies_before_its_pages_are_noted_changes_nothing(store, landing, monkeypatch):
+    with monkeypatch.context() as broken:
+        put = Store.put_part
+        broken.setattr(Store, "put_part", lambda self, table, *a: 1 / 0 if table == "pages_read" else put(self, table, *a))
+        (failed,) = sync(store, [source(landing)], TODAY).collect()
+        assert failed.donors == 3 and failed.error.startswith("ZeroDivisionError")
+    (result,) = sync(store, [source(landing)], TODAY).collect()
+    assert tuple(result) == ("crm", 3, 2, 1, None)
     assert gifts(store) == [("D1", 8), ("N1", 5)]
 
 
@@ -99,9 +149,9 @@ def test_stream_takes_each_file_once(store, landing, tmp_path):
     run(store, landing, tmp_path)
     assert names(store) == ["D1", "D2", "D3", "N1"]
     assert gifts(store) == [("D1", 8), ("N1", 5)]
-    versions = store.versions("donors").numbers()
+    before = store.read("donors").inputFiles()
     run(store, landing, tmp_path)
-    assert store.versions("donors").numbers() == versions
+    assert store.read("donors").inputFiles() == before
     # The donor of a waiting gift lands later.
     landing.page("constituents", 3, {"FullName": "Nobody"})
     run(store, landing, tmp_path)
@@ -149,10 +199,9 @@ def test_a_bad_page_does_not_stop_its_source(store, landing, tmp_path, spark):
     (landing.root / "transactions" / "page-0.json").write_text("<html>")
     (result,) = sync(store, [source(landing)], TODAY).collect()
     assert (result.donors, result.donations, result.rejected, result.error) == (3, 2, 2, None)
-    kept = spark.read.parquet(f"{store.root}/quarantine/crm/donations-pages")
-    assert [r.page for r in kept.collect()] == ["<html>"]
+    assert [(r.page, r.kind) for r in store.read("bad_pages").collect()] == [("<html>", "donations")]
     run(store, landing, tmp_path)
-    assert spark.read.parquet(f"{store.root}/quarantine/crm/pages").count() == 1
+    assert store.read("bad_pages").where("batch = '0'").count() == 1
 
 
 def test_donors_wait_for_their_segment(store, landing, tmp_path, make_tables):
@@ -160,7 +209,7 @@ def test_donors_wait_for_their_segment(store, landing, tmp_path, make_tables):
     for _ in range(2):
         sync_stream(store, late, str(tmp_path / "progress"), TODAY).awaitTermination()
         assert names(store) == ["D1", "D2", "D3"]
-    segments = store.read("segments")
+    segments = make_tables(**ROWS).segments
     store.replace("segments", segments.unionByName(segments.limit(1).selectExpr("'S7' AS id", *segments.columns[1:])))
     landing.page("constituents", 9)
     sync_stream(store, late, str(tmp_path / "progress"), TODAY).awaitTermination()
@@ -172,12 +221,12 @@ def test_donors_wait_for_their_segment(store, landing, tmp_path, make_tables):
 def test_rows_that_can_never_pass_are_put_aside_once(store, landing, tmp_path, spark):
     landing.page("transactions", 3, gift("x", "D1", 1e30), gift("y", "D" * 99, 12.5))
     run(store, landing, tmp_path)
-    refused = spark.read.parquet(f"{store.root}/quarantine/crm/donations-refused")
+    refused = store.read("refused_donations")
     assert sorted(r.reason for r in refused.collect()) == ["amount missing", "donor_name too long"]
     assert sorted(float(r.amount or 0) for r in refused.collect()) == [0, 12.5]
     landing.page("transactions", 4)
     run(store, landing, tmp_path)
-    assert spark.read.parquet(f"{store.root}/quarantine/crm/donations-refused").count() == 2
+    assert store.read("refused_donations").count() == 2
 
 
 def test_a_source_that_is_off_is_not_run(store, landing, tmp_path):
@@ -192,3 +241,38 @@ def test_real_repeated_gifts_by_source_ref(store, landing):
         sync(store, [by_ref], date(2026, 7, day))
     # a and b are alike, c is like a stored gift without a reference, u has no date.
     assert gifts(store) == [("D1", 8), ("D1", 9), ("D1", 100), ("N1", 5), ("N1", 5)]
+
+
+def test_streams_report_their_sources(store, landing, tmp_path, monkeypatch):
+    other = Landing(tmp_path / "other")
+    other.page("constituents", 1, {"FullName": "P1"})
+    other.page("transactions", 1, gift("z", "P1", 4), gift("y", "Nobody", 4))
+    missing = Source("missing", str(tmp_path / "nowhere"))
+    off = replace(source(landing, "off"), enabled=False)
+    # One that fails in its second batch, after donors of the first are in.
+    failing = Landing(tmp_path / "failing")
+    failing.page("constituents", 1, {"FullName": "F1"})
+    apply = module._apply
+
+    def broken(store, source, kind, pages, batch, as_of):
+        if source.name == "failing" and kind == "donations":
+            raise ValueError("no gifts today")
+        return apply(store, source, kind, pages, batch, as_of)
+
+    monkeypatch.setattr(module, "_apply", broken)
+    sources = [missing, off, source(failing, "failing"), source(landing), source(other, "other")]
+    results = {r.source: r for r in sync_streams(store, sources, str(tmp_path / "progress"), TODAY).collect()}
+    assert list(results) == ["missing", "failing", "crm", "other"]
+    assert tuple(results["crm"]) == ("crm", 3, 2, 1, None)
+    assert tuple(results["other"]) == ("other", 1, 1, 1, None)
+    assert results["missing"].error and "no gifts today" in results["failing"].error
+    assert names(store) == ["D1", "D2", "D3", "F1", "N1", "P1"]
+    # Nothing landed since: no batch, no counts.
+    again = sync_streams(store, sources[-2:], str(tmp_path / "progress"), TODAY).collect()
+    assert [tuple(r) for r in again] == [("crm", 0, 0, 0, None), ("other", 0, 0, 0, None)]
+
+
+def test_stream_results_are_sums_of_batches(store, landing, tmp_path):
+    (result,) = sync_streams(store, [source(landing)], str(tmp_path / "progress"), TODAY, max_files=1).collect()
+    assert (result.donors, result.donations, result.error) == (3, 2, None)
+    assert store.read("stream_results").count() == 4
