@@ -21,9 +21,10 @@ CHANNEL = "online"
 STATUS = "completed"
 UNKNOWN_DONOR = "Unknown"
 
-# Date texts accepted next to ISO 8601.
-DATE_FORMATS = (
-    "M/d/yyyy", "M/d/yyyy H:mm:ss", "M/d/yyyy h:mm a", "M/d/yyyy h:mm:ss a", "yyyy/M/d", "d MMM yyyy", "MMM d, yyyy"
+# Date texts accepted next to ISO 8601, as ``_plain`` leaves them: with or without a time of day.
+_TIME = "[ h:mm:ss a][ h:mm a][ H:mm:ss][ H:mm]"
+DATE_FORMATS = tuple(
+    day + _TIME for day in ("M/d/yyyy", "M-d-yyyy", "yyyy/M/d", "d MMM yyyy", "d-MMM-yyyy", "MMM d yyyy")
 )
 
 _BLANKS = r"\p{IsWhite_Space}"
@@ -140,8 +141,18 @@ def normalise_donors(
     )
 
 
+def _plain(text: Column) -> Column:
+    """A date text without the day of the week, commas and GMT, its month in three letters."""
+    text = F.regexp_replace(text, r"(?i)^\s*(?:mon|tues?|wed(?:nes)?|thu(?:rs)?|fri|sat(?:ur)?|sun)(?:day)?\b[,.]?", "")
+    text = F.regexp_replace(text, r"(?i)\b(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?", "$1")
+    return F.trim(F.regexp_replace(F.regexp_replace(text, r"(?i)(?<=\d)\s*(?:GMT|UTC|Z)\s*$|,", " "), r"\s+", " "))
+
+
 def _parsed_date(text: Column, formats: Sequence[str]) -> Column:
-    parsed = [F.try_to_timestamp(text), *(F.try_to_timestamp(text, F.lit(f)) for f in formats)]
+    plain = _plain(text)
+    # Most texts that are no dates have no year, which is seen before all formats are tried.
+    dated = F.when(plain.rlike(r"\d{4}"), plain)
+    parsed = [F.try_to_timestamp(text), *(F.try_to_timestamp(dated, F.lit(f)) for f in formats)]
     return F.coalesce(*parsed).cast("date")
 
 

@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import json
 from datetime import date
+
+from pyspark.sql import functions as F
 from decimal import Decimal
 
 import pytest
@@ -144,3 +146,19 @@ def test_items_are_ordered_by_folder_page_and_position(spark, tmp_path):
         (place / f"people-{number}.json").write_text(text.replace(",", ",\n"))
     donors = crm.normalise_donors(crm.read_pages(spark, str(tmp_path)))
     assert in_order(donors, "name") == ["a", "b", "c", "d", "e"]
+
+
+def test_date_texts(spark):
+    same = [
+        "2026-05-31", "2026-05-31T23:30:00", "2026-05-31T23:30:00Z", "5/31/2026", "5/31/2026 23:30", "05/31/2026 11:30 PM",
+        "5/31/2026 11:30:05 pm", "2026/5/31", "31 May 2026", "May 31, 2026", "May 31, 2026 11:30 PM", "Sun, 31 May 2026 23:30:00 GMT",
+        "Sunday, May 31, 2026", "Sunday, May 31, 2026 11:30:00 PM", "31-May-2026", "5-31-2026", "may 31 2026",
+    ]
+    others = {"June 3, 2026": date(2026, 6, 3), "Sept 9, 2025 9:05": date(2025, 9, 9), "3 December 2024": date(2024, 12, 3)}
+    none = ["soon", "", "31/5/2026", "May 2026", "Sunday", None]
+    texts = [*same, *others, *none]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", crm._parsed_date(F.col("t"), crm.DATE_FORMATS).alias("d"))
+    found = {r.t: r.d for r in rows.collect()}
+    assert {t: found[t] for t in same} == dict.fromkeys(same, date(2026, 5, 31))
+    assert {t: found[t] for t in others} == others
+    assert {t: found[t] for t in none} == dict.fromkeys(none)
