@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,7 +29,7 @@ from almoner.llm.common import Remembered, map_batches, slices
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 PAIRS_KEPT = 250_000
-UNITS_KEPT = 200_000
+UNITS_KEPT = 400_000
 LONGEST_KEPT = 64
 
 
@@ -64,16 +63,27 @@ class Codec:
         self.automaton.make_automaton()
         self.size = len(self.pieces)
         self.plain = [p.replace(SPACE, " ") if k == NORMAL else None for p, k in zip(self.pieces, self.kinds)]
+        # Places in the order of merges, -1 for what is there before any, and for two neighbours that of their merge.
+        places = {score: i for i, score in enumerate(sorted({*self.scores.values()}, reverse=True))}
+        self.rank = [places[p.score] if p.type == NORMAL and len(p.piece) > 1 else -1 for p in proto.pieces]
+        self.joined = {
+            self.ids[piece[:k]] * self.size + self.ids[piece[k:]]: self.rank[i]
+            for piece, i in self.ids.items()
+            for k in range(1, len(piece))
+            if piece[:k] in self.ids and piece[k:] in self.ids
+        }
+        self.halves = Remembered(self._halves, 2 * self.size + 2)
         self.compatible = Remembered(self._compatible, PAIRS_KEPT)
         self.units = Remembered(self._unit, UNITS_KEPT)
+        self.odd = False  # whether a unit was met that does not decode to itself
         # A unit is a run of spaces with the other characters after it; line feeds stand alone.
         # Both cuts need that no piece goes over them.
         one_unit = any(re.search(f"[^{SPACE}]{SPACE}", p) or "\n" in p for p in self.ids)
         self.cut = re.compile("(?s).+" if one_unit else f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 
-    def merged(self, text: str) -> list[str]:
-        """Best merge first, leftmost among equals; for short texts only."""
-        parts = list(text)
+    def merged(self, text: str) -> tuple[list[str], tuple[str, str] | None]:
+        """The tokens of a piece, and the two parts that were joined last. Best merge first, leftmost among equals."""
+        parts, last = list(text), None
         while True:
             best, at = None, -1
             for i in range(len(parts) - 1):
@@ -81,15 +91,47 @@ class Codec:
                 if score is not None and (best is None or score > best):
                     best, at = score, i
             if at < 0:
-                return parts
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+                return parts, last
+            last = parts[at], parts[at + 1]
+            parts[at : at + 2] = ["".join(last)]
+
+    def _halves(self, token: int) -> tuple[int, int] | None:
+        """The tokens that a piece is joined from last (itself twice, if it is one character); None if merges never
+        give it."""
+        piece = self.pieces[token]
+        if len(piece) == 1:
+            return token, token
+        parts, last = self.merged(piece)
+        return tuple(self.ids.get(p, -1) for p in last) if parts == [piece] else None
 
     def _compatible(self, key: int) -> bool:
         """``key`` is last token * size + next token; a last token of 0 is none or an unknown
-        character, with which nothing merges."""
+        character, with which nothing merges.
+
+        The merges that gave the two tokens are undone from the latest on, along the right edge of the one and the left edge
+        of the other; they hold unless at some step the two parts that touch would have been joined earlier."""
         before, token = divmod(key, self.size)
-        pair = [self.pieces[before], self.pieces[token]] if before else [self.pieces[token]]
-        return self.merged("".join(pair)) == pair
+        halves, rank, joined, size = self.halves, self.rank, self.joined, self.size
+        if halves[token] is None or not before:
+            return halves[token] is not None
+        if halves[before] is None:
+            return False
+        limit = self.size
+        while True:
+            if before < 0 or token < 0:  # a character that is no piece: nothing knows its merges but replaying them
+                pair = [self.pieces[i] for i in divmod(key, size)]
+                return self.merged("".join(pair))[0] == pair
+            found = joined.get(before * size + token)
+            if found is not None and found < limit:
+                return False
+            if rank[before] > rank[token]:
+                limit = rank[before]
+                before = halves[before][1]
+            elif rank[token] >= 0:
+                limit = rank[token] + 1
+                token = halves[token][0]
+            else:
+                return True
 
     def encode_unit(self, text: str) -> list[int]:
         last = [0] * (len(text) + 1)
@@ -137,20 +179,36 @@ class Codec:
         spaced = first is not None and self.kinds[first] == NORMAL and text.startswith(" ")
         return text[1:] if self.dummy_prefix and spaced else text
 
-    def _unit(self, unit: str) -> tuple[bytes, bytes, str, int]:
+    def _unit(self, unit: str) -> bytes | tuple[bytes, str]:
+        """The ids as text; with the decoded text, if that is not the unit with its spaces."""
         ids = self.encode_unit(unit)
-        return ",".join(map(str, ids)).encode(), array("i", ids).tobytes(), self.decode_pieces(ids), len(ids)
-
-    def parts(self, text: str) -> list[tuple[bytes, bytes, str, int]]:
-        """For each unit: ids as text, ids as 32-bit numbers, decoded text, number of ids."""
+        text, decoded = ",".join(map(str, ids)).encode(), self.decode_pieces(ids)
+        if decoded == unit.replace(SPACE, " "):
+            return text
+        self.odd = True
+        return text, decoded
+
+    def whole(self, text: str) -> tuple[bytes, str]:
+        """The ids of a text, as decimal numbers with commas, and the text decoded from them."""
         if not text:
-            return []
+            return b"", ""
         text = (SPACE if self.dummy_prefix else "") + text.replace(" ", SPACE)
         known, fresh = self.units, self._unit
-        return [known[u] if len(u) <= LONGEST_KEPT else fresh(u) for u in self.cut.findall(text)]
+        cut = self.cut.findall(text)
+        units = [known[u] if len(u) <= LONGEST_KEPT else fresh(u) for u in cut]
+        if self.odd:
+            decoded = "".join(u[1] if type(u) is tuple else c.replace(SPACE, " ") for u, c in zip(units, cut))
+            units = [u[0] if type(u) is tuple else u for u in units]
+        else:
+            decoded = text.replace(SPACE, " ")
+        return b",".join(units), decoded[1:] if self.dummy_prefix and decoded.startswith(" ") else decoded
 
     def encode(self, text: str | None) -> list[int]:
-        return [int(i) for p in self.parts(text or "") for i in np.frombuffer(p[1], "i")]
+        return _numbers(self.whole(text or "")[0]).tolist()
+
+
+def _numbers(ids: bytes) -> np.ndarray:
+    return np.array(ids.split(b","), np.int32) if ids else np.zeros(0, np.int32)
 
 
 def _utf8(raw: bytearray) -> str:
@@ -189,23 +247,20 @@ def encode_documents(documents: DataFrame, model: bytes, with_ids: bool = False)
             for part in slices(batch):
                 texts = part.column(1).to_pylist()
                 rows = [], [], []
-                raw, ends = [], [0]
+                found, ends = [], [0]
                 for text in texts:
-                    units = tool.parts(text or "")
-                    n = sum(u[3] for u in units)
-                    decoded = "".join(u[2] for u in units)
-                    if tool.dummy_prefix and decoded.startswith(" "):
-                        decoded = decoded[1:]
+                    ids, decoded = tool.whole(text or "")
+                    n = ids.count(b",") + 1 if ids else 0
                     rows[0].append(n)
-                    rows[1].append(hashlib.sha256(b",".join([u[0] for u in units])).hexdigest())
+                    rows[1].append(hashlib.sha256(ids).hexdigest())
                     rows[2].append(hashlib.sha256(decoded.encode()).hexdigest())
                     if with_ids:
-                        raw.extend(u[1] for u in units)
+                        found.append(_numbers(ids))
                         ends.append(ends[-1] + n)
                 columns = [part.column(0), pa.array(rows[0], pa.int64()), pa.array(rows[1]), pa.array(rows[2])]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
-                    values = pa.array(np.frombuffer(b"".join(raw), "i"), pa.int32())
+                    values = pa.array(np.concatenate(found) if found else np.zeros(0, np.int32))
                     columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values))
                     names.append("token_ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
