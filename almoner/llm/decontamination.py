@@ -115,12 +115,26 @@ def find_overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
         short = F.broadcast(short) if fits_broadcast(short) else short
         hits = hits.unionByName(_placed_short(hashed, "t.w", ["doc_id", "text_key"], "doc_at", lengths).join(short, "seed"))
     hits = hits.select("doc_id", "text_key", "item_id", "item_key", (F.col("doc_at") - F.col("item_at")).alias("shift")).distinct()
+    # Of an item of one token only the first place is laid over.
+    single = items.where(F.size("item") == 1).select("item_key").distinct()
+    single = F.broadcast(single) if fits_broadcast(single) else single
+    hits = hits.join(single.withColumn("alone", F.lit(True)), "item_key", "left").withColumn("alone", F.coalesce("alone", F.lit(False)))
     hits = staged(hits, "seed-hits")
     return _verified(texts, hits, items)
 
 
+# For each shift of an item on a document: what is equal where they lie over each other, in all and in the best window. The
+# document is read only at the item's places, and nothing of its size is made for a shift.
+_LAID = """transform(shifts, s -> transform(
+    array(transform(sequence(greatest(0, s), least(size(doc), s + size(item)) - 1), p -> IF(get(doc, p) = get(item, p - s), 1, 0))),
+    e -> struct(aggregate(e, 0, (t, x) -> t + x) AS equal_tokens, -s AS minus, size(e) AS overlap_tokens,
+        IF(size(e) < {width}, 0, array_max(transform(sequence(1, size(e) - {width} + 1),
+            i -> aggregate(slice(e, i, {width}), 0, (t, x) -> t + x)))) AS most))[0])"""
+COPIES = 4096
+
+
 def _verified(texts: DataFrame, hits: DataFrame, items: DataFrame) -> DataFrame:
-    """Lays the texts with hits over the items."""
+    """Lays the texts with hits over the items, once for each document and item, at all their shifts."""
     listed = hits.select(F.col("doc_id").alias("id"), F.col("text_key").alias("key")).distinct()
     same = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("text_key"))
     chosen = texts.join(F.broadcast(listed) if fits_broadcast(listed) else listed, same, "left_semi")
@@ -130,43 +144,30 @@ def _verified(texts: DataFrame, hits: DataFrame, items: DataFrame) -> DataFrame:
     kept = kept.select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"), "copies", doc.alias("doc"))
     small = items.select(F.col("item_id").alias("known_id"), F.col("item_key").alias("known_key"), "item")
     small = F.broadcast(small) if fits_broadcast(small) else small
-    laid = hits.join(kept, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("text_key"))).join(
-        small, (F.col("known_key") == F.col("item_key")) & F.col("known_id").eqNullSafe(F.col("item_id"))
-    )
-    low, high = "greatest(0, shift)", "least(size(doc), shift + size(item)) - 1"
-    equal = F.expr(
-        f"struct(transform(sequence({low}, {high}), p -> IF(get(doc, p) = get(item, p - shift), 1, 0)) AS e,"
-        f" least({OVERLAP}, size(item)) AS width)"
-    )
-    laid = laid.select("doc_id", "text_key", "item_id", "shift", "copies", equal.alias("laid"))
-    most = F.expr(
-        "IF(size(laid.e) < laid.width, 0, array_max(transform(sequence(1, size(laid.e) - laid.width + 1),"
-        " i -> aggregate(slice(laid.e, i, laid.width), 0, (s, x) -> s + x))))"
+    # A text has at most as many shifts as tokens for an item; of an item of one token the first is the answer.
+    pairs = hits.groupBy("doc_id", "text_key", "item_id", "item_key").agg(
+        F.collect_list(F.when(~F.col("alone"), F.col("shift"))).alias("several"), F.min("shift").alias("least"), F.first("alone").alias("alone")
     )
-    laid = laid.select(
-        "doc_id",
-        "text_key",
-        "item_id",
-        "shift",
-        "copies",
-        F.expr("aggregate(laid.e, 0, (s, x) -> s + x)").alias("equal_tokens"),
-        F.size("laid.e").alias("overlap_tokens"),
-        most.alias("most"),
-        F.col("laid.width").alias("width"),
+    pairs = pairs.select(
+        "doc_id", "text_key", "item_id", "item_key", F.when(F.col("alone"), F.array("least")).otherwise(F.col("several")).alias("shifts")
     )
-    good = laid.where(F.col("most") * 100 >= F.col("width") * round(100 * (1 - SUBSTITUTED)))
-    best = good.groupBy("doc_id", "text_key", "item_id").agg(
-        F.max(F.struct("equal_tokens", (-F.col("shift")).alias("minus"), "overlap_tokens", "copies")).alias("best")
+    laid = pairs.join(kept, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("text_key"))).join(
+        small, (F.col("known_key") == F.col("item_key")) & F.col("known_id").eqNullSafe(F.col("item_id"))
     )
-    return best.select(
+    width = f"least({OVERLAP}, size(item))"
+    good = f"filter({_LAID.format(width=width)}, x -> x.most * 100 >= {width} * {round(100 * (1 - SUBSTITUTED))})"
+    found = laid.select("doc_id", "text_key", "item_id", "copies", F.array_max(F.expr(good)).alias("best")).where("best IS NOT NULL")
+    # Repeated rows are dealt out in blocks.
+    found = found.withColumn("block", F.explode(F.expr(f"sequence(0L, (copies - 1) div {COPIES})")))
+    found = found.withColumn("copy", F.explode(F.expr(f"sequence(1L, least({COPIES}, copies - block * {COPIES}))")))
+    return found.select(
         "doc_id",
         "text_key",
         "item_id",
         (-F.col("best.minus")).alias("shift"),
         "best.equal_tokens",
         "best.overlap_tokens",
-        F.explode(F.sequence(F.lit(1).cast("bigint"), "best.copies")).alias("copy"),
-    ).drop("copy")
+    )
 
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
