@@ -170,19 +170,23 @@ def train(documents: DataFrame, labels: DataFrame, folds: int = 5) -> Model:
 
 
 def _bounded(rows: DataFrame) -> list[tuple[str, int | None, int]]:
-    """The sampled texts in the order of a hash, at most 2 * SAMPLE_PER_LABEL of them (an id may
-    have several rows) and SAMPLE_CHARS characters in all; the sizes are measured first."""
-    most = 2 * SAMPLE_PER_LABEL
+    """The sampled texts in the order of a hash, at most SAMPLE_PER_LABEL of each label (an id may have several
+    rows) and half of SAMPLE_CHARS characters; sizes are measured first. A text that does not fit is left out, and
+    those after it still come in."""
     rows = staged(rows.withColumns({"h": F.xxhash64("doc_id", "text"), "size": F.char_length("text")}), "quality-sample")
-    sizes = rows.groupBy("h").agg(F.max("size").alias("size")).orderBy("h").limit(most).collect()
-    total, longest = 0, -(1 << 63)
-    for h, size in sizes:
-        total += size
-        if total > SAMPLE_CHARS:
-            break
-        longest = h
-    wanted = rows.where((F.col("h") <= longest) & (F.col("size") <= SAMPLE_CHARS)).dropDuplicates(["h"])
-    found = wanted.orderBy("h").limit(most).collect()
+    wanted: list[int] = []
+    for label in (0, 1):
+        sizes = rows.where(F.col("label") == label).groupBy("h").agg(F.max("size").alias("size"))
+        left = SAMPLE_CHARS // 2
+        for h, size in sizes.where(F.col("size") <= left).orderBy("h").limit(SAMPLE_PER_LABEL).collect():
+            if size <= left:
+                left -= size
+                wanted.append(h)
+    if not wanted:
+        return []
+    # At most 2 * SAMPLE_PER_LABEL numbers.
+    chosen = rows.sparkSession.createDataFrame([(h,) for h in wanted], "h bigint")
+    found = rows.join(F.broadcast(chosen), "h", "left_semi").dropDuplicates(["h"]).orderBy("h").collect()
     return [(r["text"], r["n_chars"], r["label"]) for r in found]
 
 
