@@ -180,8 +180,10 @@ class Model:
 
 
 def _log_odds(sums: tuple[int, int, int], blocked: int, allowed: int) -> float:
-    share = sums[0] / (sums[0] + sums[1])  # smoothing counts follow the classes' sizes, so a word that
-    distinct = sums[2] + 1  # was never seen speaks for neither verdict
+    # Smoothing counts follow the classes' sizes, so a word that was never seen speaks for neither verdict; a class
+    # without any words has a small share too.
+    share = (sums[0] + 1) / (sums[0] + sums[1] + 2)
+    distinct = sums[2] + 1
     block, allow = 2 * ALPHA * share, 2 * ALPHA * (1 - share)
     return math.log((blocked + block) / (sums[0] + block * distinct)) - math.log((allowed + allow) / (sums[1] + allow * distinct))
 
