@@ -28,6 +28,7 @@ import html as entities
 import re
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from zlib import crc32
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -110,7 +111,8 @@ class Page:
             self.scores = self._scored()
 
     def _start(self) -> None:
-        self.tags, self.parents, self.paths, self.skipped = ["html"], [-1], [""], [False]
+        self.tags, self.parents, self.steps, self.skipped = ["html"], [-1], [""], [False]
+        self.checks = [0]  # of each path, which is written out for few nodes only
         self.plus = [1.0]
         self.blocks: list[tuple[int, str, int]] = []  # node, text, characters in links
         self.marks: dict[int, tuple[bool, set[str]]] = {}  # whether a whole name says so, and the words
@@ -189,7 +191,9 @@ class Page:
         self.tags.append(name)
         self.parents.append(parent)
         step = ".".join([name, *sorted(re.sub(r"\d+", "#", c) for c in set(classes))])
-        self.paths.append(self.paths[parent] if name in ("html", "body") else f"{self.paths[parent]}/{step}")
+        step = "" if name in ("html", "body") else f"/{step}"
+        self.steps.append(step)
+        self.checks.append(crc32(step.encode(), self.checks[parent]))
         self.skipped.append(skipped)
         self.plus.append((1.5 if name in ("article", "main") else 1.0) * (1.25 if words & CONTENT else 1.0))
         if skipped and not self.skipped[parent] and name not in SEPARATE and self._muted is None:
@@ -328,6 +332,13 @@ class Page:
             node = up
         return node
 
+    def path(self, node: int) -> str:
+        steps = []
+        while node > 0:
+            steps.append(self.steps[node])
+            node = self.parents[node]
+        return "".join(reversed(steps))
+
     def best(self) -> int | None:
         best = max(self.scores, key=lambda n: (self.scores[n], -n), default=None)
         return None if best is None else self._whole(best)
@@ -339,7 +350,7 @@ class Page:
         for node, score in self.scores.items():
             share = score / most
             if share >= ALSO_VOTED:
-                path = self.paths[self._whole(node)]
+                path = self.path(self._whole(node))
                 found[path] = max(share, found.get(path, 0))
         return found
 
@@ -347,12 +358,15 @@ class Page:
         """The text of the containers on ``path``, or of the best container."""
         chosen: set[int] = set()
         if path is not None:
-            for node, own in enumerate(self.paths):
-                if own == path and not self.skipped[node] and (node == 0 or self.tags[node] in CONTAINERS):
+            check = crc32(path.encode())
+            for node, own in enumerate(self.checks):
+                if own == check and not self.skipped[node] and (node == 0 or self.tags[node] in CONTAINERS) and self.path(node) == path:
                     chosen.add(node)
         if not chosen:
             best = self.best()
             chosen = set() if best is None else {best}
+        if not chosen:  # all text is in links: that of the page's own main part, if it names one
+            chosen = {n for n, tag in enumerate(self.tags) if tag in ("main", "article") and not self.skipped[n]}
         if 0 in chosen:
             inside = [not s for s in self.skipped]
         else:

@@ -106,3 +106,53 @@ def test_und(spark):
     answers = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.identify(documents(spark)).where("doc_id IS NOT NULL").collect()}
     assert [i for i, (lang, _) in answers.items() if lang == "und"] == [5, 6, 7, 8]
     assert all(0 <= score <= 1 for _, score in answers.values())
+
+
+def test_a_short_item_repeated_in_a_long_text(spark):
+    """40,000 times one word, which is an item, and items of two and three of it: a row for each, not for each place."""
+    docs = spark.createDataFrame([(1, "the " * 40_000), (2, "of the sea"), (2, "of the sea"), (3, None)], "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, "the"), (2, "the the"), (3, "The, the: the"), (4, "sea")], "item_id bigint, text string")
+    found = decontamination.find_overlaps(docs, items).select("doc_id", "item_id", "shift", "equal_tokens").collect()
+    assert sorted(map(tuple, found)) == [(1, 1, 0, 1), (1, 2, 0, 2), (1, 3, 0, 3), (2, 1, 1, 1), (2, 1, 1, 1), (2, 4, 2, 1), (2, 4, 2, 1)]
+
+
+def test_an_over_long_labelled_text_does_not_change_the_model(spark, monkeypatch):
+    monkeypatch.setattr(quality_fm, "SAMPLE_CHARS", 20_000)
+    texts = [(i, f"{SENTENCE} number {i}" if i % 2 else f"zz ## {i} !! zz ## zz", "en", "a", 1) for i in range(200)]
+    texts += [(i, "very long " * 5_000, "en", "a", 1) for i in range(200, 230)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(230)], "doc_id bigint, quality int, toxic int")
+    model = quality_fm.train(docs, labels)
+    assert model.linear is not None
+    scores = [(i, model.score(t, None)) for i, t, *_ in texts[:200]]
+    assert min(s for i, s in scores if i % 2) > max(s for i, s in scores if not i % 2)
+
+
+def test_scores_are_sums_over_pairs():
+    """The margin in linear time is that of every pair of features."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    model = quality_fm.Model(0.3, rng.normal(size=50), rng.normal(size=(50, 4)))
+    for n in (0, 1, 2, 9):
+        index, value = rng.choice(50, n, replace=False), rng.normal(size=n)
+        pairs = sum(model.vectors[index[i]] @ model.vectors[index[j]] * value[i] * value[j] for i in range(n) for j in range(i))
+        assert np.isclose(model.margin(index, value), 0.3 + model.linear[index] @ value + pairs)
+
+
+def test_urls_of_one_class_without_words(spark):
+    pages = spark.createDataFrame([(1, "http://casino.net/", ""), (2, None, ""), (3, "x", "")], "page_id bigint, url string, html string")
+    assert sorted(r.page_id for r in url_filter.judge(pages).collect()) == [1, 2, 3]
+
+
+def test_deep_pages_and_pages_of_links_only():
+    import tracemalloc
+
+    linked = html_consensus.Page("<body><nav>x</nav><article><p><a href=x>All of it</a></p></article></body>")
+    assert linked.text(None) == "All of it"
+    for tag in ("div", "font"):
+        tracemalloc.start()
+        page = html_consensus.Page(f"<article><p>{SENTENCE}</p>" + f"<{tag} class='a b'>x " * 16_000)
+        text = page.text(max(page.votes(), key=page.votes().get))
+        assert text.startswith(SENTENCE) and tracemalloc.get_traced_memory()[1] < 60e6
+        tracemalloc.stop()
