@@ -8,7 +8,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from almoner.model import BUCKET_COLUMN, TABLES, Tables
+from almoner.model import BUCKET_COLUMN, PERIOD_COLUMN, TABLES, Tables
 from almoner.operators.ids import assign_ids, largest_id
 from almoner.operators.lookup import fits_broadcast, lookup, without
 from almoner.operators.periods import on_days_of
@@ -134,7 +134,9 @@ def insert_new_donations(
     checked = checkpointed(_with_reason(whole, "donations", tables, skip=("id",)))
     accepted = checked.where(F.col("reason").isNull()).drop("reason", "_given")
     fresh = first_per_key(accepted, keys)
-    existing = on_days_of(target, accepted, "gift_date") if "gift_date" in keys else target
+    # Months can be left out only where gifts are stored by month.
+    by_month = "gift_date" in keys and PERIOD_COLUMN in target.columns
+    existing = on_days_of(target, accepted, "gift_date") if by_month else target
     stored = [c for c in TABLES["donations"].schema.names if c != "id"]
     extra = ["source_ref"] if "source_ref" in target.columns else []
     new = without(fresh, existing, keys, wanted=accepted).select(*stored, *extra)
