@@ -2,6 +2,11 @@
 
 ``STAGES`` are functions of (spark, docs, sf_dir); each takes what the one before it kept. All but the last return the columns
 of ``documents``; the last returns the tokens.
+
+Rows: other columns, also such with names that the operators use, come through all stages but the last as they are. Null and empty texts are scored
+and judged like any (the rules reject them); rows without an id take part and are never learnt from. Repeated rows are copies, of which
+one stays. Without labels the classifier gives one score to all and rejects none, and with labels of one kind it
+keeps or rejects all; without a benchmark nothing leaks. A stage that keeps nothing, or an empty table, gives an empty result.
 """
 
 from __future__ import annotations
