@@ -210,21 +210,18 @@ def _labelled(tables: Tables, gifts: DataFrame) -> DataFrame:
 def donation_rows(tables: Tables, limit: int = DEFAULT_LIMIT) -> DataFrame:
     """The newest gifts of any status that have a donor, a campaign and a channel.
 
-    One plan, and no job while it is made: narrow gifts that have their parents, the newest of them (each task keeps ``limit``
-    rows), and only then what is shown of the parents. Spark broadcasts a parent's keys when their size allows it.
+    One plan, and no job while it is made: gifts get their short labels and are kept if their donor is known, each task keeps its
+    newest ``limit`` rows, and only the newest of all are joined to the donors for what is shown of them. Spark broadcasts what
+    its size allows.
     """
     newest = [F.desc("gift_date"), F.desc("id")]
-    gifts = tables.donations
-    parents = {
-        "campaign_id": tables.campaigns.selectExpr("id AS campaign_id", "label AS campaign"),
-        "channel_id": tables.channels.selectExpr("id AS channel_id", "label AS channel"),
-        "donor_name": tables.donors.selectExpr("name AS donor_name", "segment_id"),
-    }
-    for key, parent in parents.items():
-        gifts = gifts.join(parent.select(key), key, "left_semi")
-    shown = gifts.orderBy(*newest).limit(check_limit(limit))
-    for key, parent in parents.items():
-        shown = shown.join(parent, key)
+    givers = tables.donors.selectExpr("name AS donor_name", "segment_id")
+    gifts = (
+        tables.donations.join(tables.campaigns.selectExpr("id AS campaign_id", "label AS campaign"), "campaign_id")
+        .join(tables.channels.selectExpr("id AS channel_id", "label AS channel"), "channel_id")
+        .join(givers.select("donor_name"), "donor_name", "left_semi")
+    )
+    shown = gifts.orderBy(*newest).limit(check_limit(limit)).join(givers, "donor_name")
     return shown.orderBy(*newest).select(
         F.date_format("gift_date", "dd MMM").alias("gift_date"),
         "donor_name",
