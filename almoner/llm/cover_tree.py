@@ -494,3 +494,20 @@ def link_vectors(vectors: DataFrame) -> DataFrame:
     return rows.select("vec_id", n_links.alias("n_links"), component.alias("component_id")).withColumn(
         "kept", F.col("vec_id").eqNullSafe(F.col("component_id"))
     )
+
+
+ORACLE = f"""
+WITH RECURSIVE v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS w FROM embeddings
+    WHERE len(list_filter(embedding, lambda x: x <> 0)) > 0
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+near AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM v AS a JOIN v AS b ON a.vec_id <> b.vec_id AND len(a.w) = len(b.w)
+    WHERE list_cosine_similarity(a.w, b.w) >= {THRESHOLD}),
+reached AS (
+    SELECT vec_id, vec_id AS other FROM embeddings
+    UNION SELECT r.vec_id, n.b FROM reached AS r JOIN near AS n ON n.a = r.other),
+grouped AS (SELECT vec_id, min(other) AS component_id FROM reached GROUP BY vec_id)
+SELECT vec_id, (SELECT count(*) FROM near WHERE a = vec_id) AS n_links, component_id, vec_id = component_id AS kept
+FROM grouped
+"""

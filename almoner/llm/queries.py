@@ -109,4 +109,9 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_sharding": sharding.ORACLE, "op6_quality_rules": quality_rules.ORACLE}
+    return {
+        "op5_sharding": sharding.ORACLE,
+        "op6_quality_rules": quality_rules.ORACLE,
+        "op11_embedding_dedup": cover_tree.ORACLE,
+        "op12_hard_negatives": hard_negatives.ORACLE,
+    }
