@@ -28,8 +28,8 @@ from almoner.llm.common import Remembered, map_batches, slices
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
-PAIRS_KEPT = 250_000
-UNITS_KEPT = 400_000
+PAIRS_KEPT = 100_000
+UNITS_KEPT = 250_000
 LONGEST_KEPT = 64
 
 
