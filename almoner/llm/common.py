@@ -17,6 +17,8 @@ from almoner.session import fresh_dir
 
 # White space of a text: blank, tab, line feed, vertical tab, form feed, carriage return.
 SPACE_CHARS = " \t\n\x0b\x0c\r"
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def held_out(doc_id: Column, folds: int) -> Column:
@@ -66,8 +68,14 @@ def ship_package(spark: SparkSession) -> None:
 def map_batches(
     df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str
 ) -> DataFrame:
-    """``mapInArrow`` with this package at hand on the executors."""
-    ship_package(df.sparkSession)
+    """``mapInArrow`` with this package at hand on the executors.
+
+    A session without a bound of its own for the bytes of an Arrow batch gets ``BATCH_BYTES``, so that what a task
+    holds beside its heap does not hang on how long texts are."""
+    spark = df.sparkSession
+    ship_package(spark)
+    if _BATCH_SETTING not in spark.conf.getAll:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
     return df.mapInArrow(function, schema)
 
 

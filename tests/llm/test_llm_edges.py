@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 import pytest
 from fixtures import OTHER, ROWS, SENTENCE, documents, no_documents, rows, with_clashes
 
 from almoner.llm import decontamination, jaccard_join, language_id, lm_bloom, quality_fm, quality_rules, sharding
-from almoner.llm import html_consensus, sentencepiece_codec, url_filter
+from almoner.llm import common, html_consensus, sentencepiece_codec, url_filter
 from almoner.llm.queries import tokenizer_model
 
 
@@ -156,3 +157,20 @@ def test_deep_pages_and_pages_of_links_only():
         text = page.text(max(page.votes(), key=page.votes().get))
         assert text.startswith(SENTENCE) and tracemalloc.get_traced_memory()[1] < 60e6
         tracemalloc.stop()
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    def batch_sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    setting, texts = "spark.sql.execution.arrow.maxBytesPerBatch", [(i, "x" * 100_000) for i in range(120)]
+    before = spark.conf.getAll.get(setting)
+    documents = spark.createDataFrame(texts, "doc_id bigint, text string").coalesce(1)
+    try:
+        for given, largest in ((None, common.BATCH_BYTES), ("1000000", 1_000_000)):
+            spark.conf.unset(setting) if given is None else spark.conf.set(setting, given)
+            sizes = common.map_batches(documents, batch_sizes, "n bigint").collect()
+            assert len(sizes) > 1 and max(r.n for r in sizes) < largest + 200_000  # a session's own bound is left alone
+    finally:
+        spark.conf.unset(setting) if before is None else spark.conf.set(setting, before)
