@@ -9,7 +9,10 @@ and are joined to what needs them: title words to the distinct letter runs that
 not hang on either number, and no word is left out.
 
 No url is labelled. The listed words stand in: a url that holds one of ``RISKY`` counts as an example to block, any other
-as one to allow, over all rows. So the classifier also learns what comes along with them.
+as one to allow, over all rows. A word that alone made its url an example to block is no feature of that example. So what is learnt is
+what comes along with listed words, and a listed word weighs what other listed words say of it. What is known of it beforehand
+counts as little as being seen ``LISTED_SEEN`` times in an example to block: on a host without anything learnt, one listed word speaks
+for blocking and two often decide it. The rules label nothing: they speak of whole domains and languages, whatever their words.
 
 Rows: a null url, or one without ``://``, has an empty host and path, and no words; it gets the more frequent verdict. With no
 examples at all the verdict is allow, as it is for equal probabilities. Repeated rows count, and are judged, each time. Of a page
@@ -56,6 +59,7 @@ LISTED_COUNT = 1000
 LONGEST_WORD = 20
 VOCABULARY = 100_000
 ALPHA = 1.0
+LISTED_SEEN = 1
 
 
 def path(url: Column) -> Column:
@@ -180,9 +184,11 @@ class Model:
 
 
 def _log_odds(sums: tuple[int, int, int], blocked: int, allowed: int) -> float:
-    # Smoothing counts follow the classes' sizes, so a word that was never seen speaks for neither verdict; a class
-    # without any words has a small share too.
-    share = (sums[0] + 1) / (sums[0] + sums[1] + 2)
+    # Smoothing counts follow the classes' sizes, so a word that was never seen speaks for neither verdict. If a class has
+    # no words, no word tells the classes apart.
+    if not sums[0] or not sums[1]:
+        return 0.0
+    share = sums[0] / (sums[0] + sums[1])
     distinct = sums[2] + 1
     block, allow = 2 * ALPHA * share, 2 * ALPHA * (1 - share)
     return math.log((blocked + block) / (sums[0] + block * distinct)) - math.log((allowed + allow) / (sums[1] + allow * distinct))
@@ -266,6 +272,15 @@ def _divided(parts: DataFrame, lexicon: Lexicon) -> DataFrame:
     return found.groupBy("row").agg(F.collect_list(F.struct("run", "parts")).alias("known"))
 
 
+_RISKY = frozenset(RISKY)
+
+
+def example(words: Sequence[str]) -> tuple[bool, list[str]]:
+    """Whether the words of a url make it an example to block, and its features: all but a word that is the only reason."""
+    reasons = {w[2:] for w in words} & _RISKY
+    return bool(reasons), [w for w in words if len(reasons) > 1 or w[2:] not in reasons]
+
+
 def train(pages: DataFrame) -> Model:
     found = lexicon(pages)
     return _train(_urls(pages, found), found)
@@ -288,8 +303,8 @@ def _train(urls: DataFrame, found: Lexicon) -> Model:
 
         for batch in batches:
             for words in batch.column(0).to_pylist():
-                block = any(w[2:] in risky for w in words)
-                counts.update((w, block) for w in words)
+                block, kept = example(words)
+                counts.update((w, block) for w in kept)
                 counts[None, block] += 1  # a url
             if len(counts) > 100_000:
                 yield sent()
@@ -297,8 +312,9 @@ def _train(urls: DataFrame, found: Lexicon) -> Model:
         if counts:
             yield sent()
 
-    risky = frozenset(RISKY)
     partial = map_batches(urls.select("words"), run, "word string, block boolean, n bigint")
+    listed = [(mark + word, True, LISTED_SEEN) for mark, _ in _texts("", "") for word in RISKY]
+    partial = partial.unionByName(urls.sparkSession.createDataFrame(listed, "word string, block boolean, n bigint"))
     block, allow = F.when(F.col("block"), F.col("n")).otherwise(0), F.when(F.col("block"), 0).otherwise(F.col("n"))
     counts = staged(partial.groupBy("word").agg(F.sum(block).alias("block"), F.sum(allow).alias("allow")), "url-words")
     sums = counts.groupBy(F.col("word").isNull().alias("urls")).agg(F.sum("block"), F.sum("allow"), F.count("*")).collect()

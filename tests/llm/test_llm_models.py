@@ -16,6 +16,7 @@ import sentencepiece
 from compare import database, duckdb_rows, spark_rows
 from conftest import SF
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from almoner.llm import decontamination, html_consensus, jaccard_join, language_id, lm_bloom, quality_rules, url_filter
@@ -143,6 +144,55 @@ def test_rules_and_classifier(spark):
     assert len(seen) == 4
 
 
+def urls_by_hand(spark, model, sf=SF):
+    """Host, words and listed words of each url."""
+    segmenter, out = url_filter.Segmenter(model.words), []
+    for row in llm.table(spark, sf, "pages").collect():
+        host, path, _, _ = rule_by_hand(row["url"])
+        words = url_filter.url_words(host, path, segmenter)
+        out.append((row["page_id"], host, words, {w.split(":", 1)[1] for w in words} & set(url_filter.RISKY)))
+    return out
+
+
+def test_odds_are_those_of_a_recount(spark):
+    model = url_filter.train(llm.table(spark, SF, "pages"))
+    # Each listed word counts as seen once in an example to block.
+    urls, words = Counter(), {True: Counter(m + w for m in ("h:", "p:") for w in url_filter.RISKY), False: Counter()}
+    for _, _, found, listed in urls_by_hand(spark, model):
+        urls[bool(listed)] += 1
+        for word in found:
+            if not (len(listed) == 1 and word.split(":", 1)[1] in listed):  # the only reason of its label is no feature
+                words[bool(listed)][word] += 1
+    assert math.isclose(model.prior, math.log(urls[True] / urls[False]))
+    block, allow = (sum(words[b].values()) for b in (True, False))
+    vocabulary = {*words[True], *words[False]}
+    assert set(model.odds) == vocabulary
+    share, places = block / (block + allow), len(vocabulary) + 1
+    for word, odds in [*model.odds.items(), ("h:neverseen", model.unseen)]:
+        likely = [(words[b][word] + 2 * s) / (n + 2 * s * places) for b, s, n in ((True, share, block), (False, 1 - share, allow))]
+        assert math.isclose(odds, math.log(likely[0] / likely[1]), abs_tol=1e-9)
+    assert abs(model.unseen) < 1e-9
+
+
+def test_a_word_that_made_the_label_is_no_feature():
+    assert url_filter.example(["h:casino", "p:casino", "h:royal"]) == (True, ["h:royal"])
+    assert url_filter.example(["h:free", "h:bets", "p:en"]) == (True, ["h:free", "h:bets", "p:en"])
+    assert url_filter.example(["h:news"]) == (False, ["h:news"])
+    assert url_filter.example([]) == (False, [])
+
+
+def test_urls_of_held_out_hosts(spark):
+    """Verdicts on hosts that were not learnt from: no url without a listed word is blocked, and of those with two
+    listed words that no other host has all are."""
+    pages = llm.table(spark, SF.replace("0.001", "0.1"), "pages")
+    kept = F.crc32(url_filter.host(F.col("url"))) % 5 != 3
+    model = url_filter.train(pages.where(kept))
+    listed = {i: risky for i, _, _, risky in urls_by_hand(spark, model, SF.replace("0.001", "0.1"))}
+    said = {r["page_id"]: r["block_probability"] > 0.5 for r in url_filter.judge(pages.where(~kept), model).collect()}
+    assert len(said) > 600 and {said[i] for i in said if not listed[i]} == {False}
+    assert {said[i] for i in said if len(listed[i]) > 1} == {True}
+
+
 @pytest.mark.parametrize("lexicon, vocabulary", [(30, 1_000_000), (1_000_000, 30), (30, 30)])
 def test_words_below_the_most_frequent_count_too(spark, monkeypatch, lexicon, vocabulary):
     pages = llm.table(spark, SF, "pages").select("page_id", "url", "html")
