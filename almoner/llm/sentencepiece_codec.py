@@ -19,7 +19,6 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,7 +29,11 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 PAIRS_KEPT = 100_000
 UNITS_KEPT = 250_000
+STATES_KEPT = 100_000
+STEPS_KEPT = 200_000
 LONGEST_KEPT = 64
+# Marks behind a word, that is then looked up without them.
+MARKS = ".,;:!?"
 
 
 class Codec:
@@ -57,10 +60,12 @@ class Codec:
         self.byte_ids = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if self.kinds[i] == BYTE}
         self.byte_of = {i: b for b, i in self.byte_ids.items()}
         self.lengths = [len(p) for p in self.pieces]
-        self.automaton = ahocorasick.Automaton()
-        for piece, i in self.ids.items():
-            self.automaton.add_word(piece, (i, len(piece)))
-        self.automaton.make_automaton()
+        # The automaton, over pieces as they are in a text: its states are the starts of pieces, its steps are worked out
+        # when they are first taken.
+        self.in_text = {p.replace(SPACE, " "): i for p, i in self.ids.items() if " " not in p}
+        self.starts = {p[:k] for p in self.in_text for k in range(len(p) + 1)}
+        self.states = Remembered(self._state, STATES_KEPT)
+        self.steps = Remembered(self._step, STEPS_KEPT)
         self.size = len(self.pieces)
         self.plain = [p.replace(SPACE, " ") if k == NORMAL else None for p, k in zip(self.pieces, self.kinds)]
         # Places in the order of merges, -1 for what is there before any, and for two neighbours that of their merge.
@@ -77,9 +82,11 @@ class Codec:
         self.units = Remembered(self._unit, UNITS_KEPT)
         self.odd = False  # whether a unit was met that does not decode to itself
         # A unit is a run of spaces with the other characters after it; line feeds stand alone.
-        # Both cuts need that no piece goes over them.
+        # Both cuts need that no piece goes over them. Units keep plain spaces, which takes half the memory of the pieces' sign.
         one_unit = any(re.search(f"[^{SPACE}]{SPACE}", p) or "\n" in p for p in self.ids)
-        self.cut = re.compile("(?s).+" if one_unit else f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
+        self.cut = re.compile("(?s).+" if one_unit else "\n| *[^ \n]+| +")
+        # Two characters that stand together in no piece are never merged, so a unit is two there.
+        self.touching = {p[i - 1 : i + 1].replace(SPACE, " ") for p in self.ids for i in range(1, len(p))}
 
     def merged(self, text: str) -> tuple[list[str], tuple[str, str] | None]:
         """The tokens of a piece, and the two parts that were joined last. Best merge first, leftmost among equals."""
@@ -133,13 +140,26 @@ class Codec:
             else:
                 return True
 
+    def _state(self, start: str) -> tuple[str, tuple[tuple[int, int], ...]]:
+        """The start of a piece, and the pieces that end with it as token and length, longest first."""
+        ends = (start[k:] for k in range(len(start)))
+        return start, tuple((self.in_text[e], len(e)) for e in ends if e in self.in_text)
+
+    def _step(self, read: str) -> tuple[str, tuple[tuple[int, int], ...]]:
+        """The state after a state and one more character: the longest end of both that starts a piece."""
+        return self.states[next(read[k:] for k in range(len(read) + 1) if read[k:] in self.starts)]
+
     def encode_unit(self, text: str) -> list[int]:
         last = [0] * (len(text) + 1)
-        size, compatible = self.size, self.compatible
-        for end, (token, length) in self.automaton.iter(text):
+        size, compatible, steps = self.size, self.compatible, self.steps
+        state, end = "", 0
+        for char in text:
+            state, ending = steps[state + char]
             end += 1
-            if not last[end] and compatible[last[end - length] * size + token]:
-                last[end] = token
+            for token, length in ending:
+                if compatible[last[end - length] * size + token]:
+                    last[end] = token
+                    break
         ids, end = [], len(text)
         while end:
             token = last[end]
@@ -180,10 +200,14 @@ class Codec:
         return text[1:] if self.dummy_prefix and spaced else text
 
     def _unit(self, unit: str) -> bytes | tuple[bytes, str]:
-        """The ids as text; with the decoded text, if that is not the unit with its spaces."""
+        """The ids as text; with the decoded text, if that is not the unit."""
+        if unit[-1] in MARKS and 1 < len(unit) <= LONGEST_KEPT and unit[-2:] not in self.touching:
+            word, mark = self.units[unit[:-1]], self.units[unit[-1]]
+            if type(word) is bytes and type(mark) is bytes:
+                return word + b"," + mark
         ids = self.encode_unit(unit)
         text, decoded = ",".join(map(str, ids)).encode(), self.decode_pieces(ids)
-        if decoded == unit.replace(SPACE, " "):
+        if decoded == unit:
             return text
         self.odd = True
         return text, decoded
@@ -192,15 +216,15 @@ class Codec:
         """The ids of a text, as decimal numbers with commas, and the text decoded from them."""
         if not text:
             return b"", ""
-        text = (SPACE if self.dummy_prefix else "") + text.replace(" ", SPACE)
+        text = (" " if self.dummy_prefix else "") + text.replace(SPACE, " ")
         known, fresh = self.units, self._unit
         cut = self.cut.findall(text)
         units = [known[u] if len(u) <= LONGEST_KEPT else fresh(u) for u in cut]
         if self.odd:
-            decoded = "".join(u[1] if type(u) is tuple else c.replace(SPACE, " ") for u, c in zip(units, cut))
+            decoded = "".join(u[1] if type(u) is tuple else c for u, c in zip(units, cut))
             units = [u[0] if type(u) is tuple else u for u in units]
         else:
-            decoded = text.replace(SPACE, " ")
+            decoded = text
         return b",".join(units), decoded[1:] if self.dummy_prefix and decoded.startswith(" ") else decoded
 
     def encode(self, text: str | None) -> list[int]:

@@ -58,6 +58,16 @@ def test_encoding_of_any_text(text):
     assert CODEC.decode(ids) == LIBRARY.decode(ids)
 
 
+def test_a_word_with_a_mark_behind_it_is_encoded_once(monkeypatch):
+    codec = Codec(llm.tokenizer_model())
+    encoded, encode = [], codec.encode_unit
+    monkeypatch.setattr(codec, "encode_unit", lambda unit: encoded.append(unit) or encode(unit))
+    text = "zzquothe zzquothe, zzquothe. zzquothe; 😀, 😀. ... 3.5, 1,"
+    assert codec.encode(text) == LIBRARY.encode(text)
+    assert [u for u in encoded if "zzquothe" in u] == [" zzquothe"]
+    assert codec.whole(text)[1] == LIBRARY.decode(LIBRARY.encode(text))
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(0, 31_999), max_size=12))
 def test_decoding_of_any_ids(ids):
