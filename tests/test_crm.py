@@ -162,3 +162,24 @@ def test_date_texts(spark):
     assert {t: found[t] for t in same} == dict.fromkeys(same, date(2026, 5, 31))
     assert {t: found[t] for t in others} == others
     assert {t: found[t] for t in none} == dict.fromkeys(none)
+
+
+def test_the_place_of_a_page_is_worked_out_once_a_page(pages):
+    made = pages(**{"p9/page-7.json": page([{"FullName": "Ann"}, {"FullName": "Bo"}])})
+    items = crm.page_items(made)
+    plan = items._jdf.queryExecution().optimizedPlan().toString()
+    # No regular expression runs over the listed items.
+    assert "Generate" in plan and "regexp" not in plan.split("Generate")[0]
+    places = [(r.seq.folder, r.seq.number, r.seq.path, r.seq.pos) for r in items.collect()]
+    folder = f"/landing/p{'9':0>20}"
+    assert places == [(folder, 7, "/landing/p9/page-7.json", 0), (folder, 7, "/landing/p9/page-7.json", 1)]
+
+
+def test_kinds_and_dates_need_no_regular_expression_for_plain_items(pages):
+    made = pages(a=page([{"Id": "x", "Amount": 1.5, "Date": "Sat, 3 Jan 2026"}, {"Id": "y", "Amount": "1.5", "Date": "soon"}]))
+    gifts = crm.normalise_donations(made, "crm", TODAY)
+    assert [(r.amount, r.gift_date) for r in gifts.orderBy("seq").collect()] == [
+        (Decimal("1.5"), date(2026, 1, 3)),
+        (0, TODAY),
+    ]
+    assert "regexp" not in gifts.select("amount", "donor_name")._jdf.queryExecution().optimizedPlan().toString()

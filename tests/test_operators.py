@@ -12,7 +12,7 @@ from almoner.model import TABLES, Tables
 from almoner.operators import lookup as joins
 from almoner.operators.ids import assign_ids, largest_id
 from almoner.operators.layers import replace_live_layer
-from almoner.operators.merge import insert_ignore, insert_new_donations, upsert_donors
+from almoner.operators.merge import first_per_key, insert_ignore, insert_new_donations, upsert_donors
 from almoner.operators.validate import validate_tables
 
 
@@ -390,3 +390,13 @@ def test_many_new_rows_shuffle_matches_only(spark, monkeypatch):
         assert sorted(r.k for r in left.collect()) == list(range(5000, 8000))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_first_per_key_moves_seq_once(spark):
+    given = "VALUES ('a', 1, named_struct('at', 2)), ('a', 2, named_struct('at', 1)), ('b', 3, named_struct('at', 3)) AS t(k, v, seq)"
+    made = spark.sql(f"SELECT * FROM {given}")
+    assert rows(first_per_key(made, ["k"])) == [("a", 2, (1,)), ("b", 3, (3,))]
+    assert rows(first_per_key(made, ["k", "v"])) == [("a", 1, (2,)), ("a", 2, (1,)), ("b", 3, (3,))]
+    # Whoever asks for the values alone pays for one seq, which orders them.
+    plan = first_per_key(made, ["k"]).drop("seq")._jdf.queryExecution().optimizedPlan().toString()
+    assert "min(seq" not in plan and "min_by(struct(v" in plan.replace("named_struct(v, ", "struct(")
