@@ -184,8 +184,8 @@ def _bounded(rows: DataFrame) -> list[tuple[str, int | None, int]]:
                 wanted.append(h)
     if not wanted:
         return []
-    # At most 2 * SAMPLE_PER_LABEL numbers.
-    chosen = rows.sparkSession.createDataFrame([(h,) for h in wanted], "h bigint")
+    # At most 2 * SAMPLE_PER_LABEL numbers. As an Arrow table they need no Python worker; a list of rows would leave a second set of them.
+    chosen = rows.sparkSession.createDataFrame(pa.table({"h": pa.array(wanted, pa.int64())}))
     found = rows.join(F.broadcast(chosen), "h", "left_semi").dropDuplicates(["h"]).orderBy("h").collect()
     return [(r["text"], r["n_chars"], r["label"]) for r in found]
 
