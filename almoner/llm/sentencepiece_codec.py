@@ -6,6 +6,8 @@ filled from left to right: an automaton names the pieces that end at a place, an
 that holds is the one whose pair with the last token of the prefix before it is compatible,
 that is, the two together encode to just these two. Ids are then recovered from the end.
 Each place costs as many tests as pieces end there; no merges are replayed over a text.
+Units (words with the spaces before them) that are not known yet are encoded side by side, a character of each at a time;
+long ones, those with a character that the model lacks, and a few alone one by one.
 
 Rows: null and empty texts have no ids and decode to an empty text. Every row gives a row, also
 repeated ones. Only ``doc_id`` and ``text`` are read, so other columns cannot clash.
@@ -16,7 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -32,10 +34,55 @@ UNITS_KEPT = 250_000
 STATES_KEPT = 100_000
 STEPS_KEPT = 200_000
 LONGEST_KEPT = 64
+# Fresh units below which each is encoded alone, units encoded side by side, and units looked up at once.
+FEW, TOGETHER, AT_ONCE = 100, 8192, 50_000
+STEP_BITS, PAIR_BITS = 18, 19
+SPREAD = 0x9E3779B97F4A7C15
+SLICE_CHARS = 1 << 18
 # Marks behind a word, that is then looked up without them.
 MARKS = ".,;:!?"
 
 
+class Noted:
+    """Whole numbers for keys from 0 on, looked up for an array of keys at once, in a hash table with open places. What is
+    missing is worked out key by key; a table that is half full is emptied, so a worker's memory is bounded."""
+
+    def __init__(self, make: Callable[[int], int], bits: int):
+        self.make, self.bits = make, bits
+        self.keys = np.full(1 << bits, -1, np.int64)
+        self.values = np.zeros(1 << bits, np.int32)
+        self.free = 1 << (bits - 1)
+
+    def __getitem__(self, keys: np.ndarray) -> np.ndarray:
+        at = ((keys.view(np.uint64) * np.uint64(SPREAD)) >> np.uint64(64 - self.bits)).view(np.int64)
+        values = self.values[at]
+        left, missing = np.flatnonzero(self.keys[at] != keys), []
+        while len(left):
+            here, wanted = self.keys[at[left]], keys[left]
+            met = left[here == wanted]
+            values[met] = self.values[at[met]]
+            missing += left[here < 0].tolist()
+            left = left[(here >= 0) & (here != wanted)]
+            at[left] = (at[left] + 1) & len(self.keys) - 1
+        for i in missing:
+            values[i] = self._note(int(keys[i]))
+        return values
+
+    def _note(self, key: int) -> int:
+        if not self.free:
+            self.keys.fill(-1)
+            self.free = len(self.keys) // 2
+        at = (key * SPREAD & (1 << 64) - 1) >> 64 - self.bits
+        while self.keys[at] != key:
+            if self.keys[at] < 0:
+                self.values[at] = self.make(key)
+                self.keys[at] = key
+                self.free -= 1
+                break
+            at = (at + 1) & len(self.keys) - 1
+        return self.values[at]
+
+
 class Codec:
     """A BPE model with byte fallback and an identity normaliser."""
 
@@ -63,7 +110,7 @@ class Codec:
         # The automaton, over pieces as they are in a text: its states are the starts of pieces, its steps are worked out
         # when they are first taken.
         self.in_text = {p.replace(SPACE, " "): i for p, i in self.ids.items() if " " not in p}
-        self.starts = {p[:k] for p in self.in_text for k in range(len(p) + 1)}
+        self.starts = {s: i for i, s in enumerate(dict.fromkeys(p[:k] for p in self.in_text for k in range(len(p) + 1)))}
         self.states = Remembered(self._state, STATES_KEPT)
         self.steps = Remembered(self._step, STEPS_KEPT)
         self.size = len(self.pieces)
@@ -77,6 +124,18 @@ class Codec:
             for k in range(1, len(piece))
             if piece[:k] in self.ids and piece[k:] in self.ids
         }
+        # Both for many units at once: states are numbers in the order of starts, the first is the empty one; token 0 is
+        # none. The longest piece at the end of each state, the next shorter one at the end of each piece.
+        self.start_of = list(self.starts)
+        self.longest = np.array([self._at_end(s) for s in self.start_of], np.int32)
+        self.shorter = np.zeros(self.size, np.int32)
+        self.spans = np.zeros(self.size, np.int64)
+        for piece, i in self.in_text.items():
+            self.shorter[i], self.spans[i] = self._at_end(piece[1:]), len(piece)
+        self.next_states = Noted(lambda key: self.starts[self._end_of(self.start_of[key >> 21] + chr(key & 0x1FFFFF))], STEP_BITS)
+        self.fitting = Noted(lambda key: not key % self.size or self._compatible(key), PAIR_BITS)
+        # Ids as text, behind them those of a unit's last token.
+        self.names = [b"%d%b" % (i, end) for end in (b",", b"\n") for i in range(self.size)]
         self.halves = Remembered(self._halves, 2 * self.size + 2)
         self.compatible = Remembered(self._compatible, PAIRS_KEPT)
         self.units = Remembered(self._unit, UNITS_KEPT)
@@ -145,9 +204,17 @@ class Codec:
         ends = (start[k:] for k in range(len(start)))
         return start, tuple((self.in_text[e], len(e)) for e in ends if e in self.in_text)
 
+    def _at_end(self, text: str) -> int:
+        """The longest piece that a text ends with, 0 for none."""
+        return next((self.in_text[text[k:]] for k in range(len(text)) if text[k:] in self.in_text), 0)
+
+    def _end_of(self, read: str) -> str:
+        """The longest end of a text that starts a piece."""
+        return next(read[k:] for k in range(len(read) + 1) if read[k:] in self.starts)
+
     def _step(self, read: str) -> tuple[str, tuple[tuple[int, int], ...]]:
         """The state after a state and one more character: the longest end of both that starts a piece."""
-        return self.states[next(read[k:] for k in range(len(read) + 1) if read[k:] in self.starts)]
+        return self.states[self._end_of(read)]
 
     def encode_unit(self, text: str) -> list[int]:
         last = [0] * (len(text) + 1)
@@ -172,6 +239,41 @@ class Codec:
         ids.reverse()
         return ids
 
+    def encode_together(self, units: list[str]) -> dict[str, bytes]:
+        """The ids as text of units in the order of their lengths. Units with a character that the model lacks are left out,
+        and all, if one does not decode to itself."""
+        n, size = len(units), self.size
+        lengths = np.fromiter(map(len, units), np.int64, n)
+        width = int(lengths[-1])
+        chars = np.ascontiguousarray(np.array(units, f"<U{width}").view(np.uint32).reshape(n, width).T)
+        last = np.zeros((width + 1, n), np.int32)
+        table, rows, state, reached = last.reshape(-1), np.arange(n), np.zeros(n, np.int64), 0
+        for end, begin in enumerate(np.searchsorted(lengths, np.arange(width), side="right").tolist(), 1):
+            state, reached = state[begin - reached :], begin
+            state = self.next_states[state << 21 | chars[end - 1, begin:]].astype(np.int64)
+            row, token = rows[begin:], self.longest[state]
+            while len(row):
+                before = table[(end - self.spans[token]) * n + row].astype(np.int64)
+                fits = self.fitting[before * size + token] != 0
+                last[end, row[fits]] = token[fits]
+                row, token = row[~fits], self.shorter[token[~fits]]
+        lacking = ((last[1:] == 0) & (np.arange(width)[:, None] < lengths)).any(axis=0)
+        row = rows[~lacking]
+        end = lengths[row]
+        ends = np.zeros((n, width + 1), bool)
+        while len(row):
+            ends[row, end] = True
+            end = end - self.spans[table[end * n + row]]
+            row, end = row[end > 0], end[end > 0]
+        ids, counts = last.T[ends], ends.sum(axis=1)[~lacking]
+        whole = [u for u, without in zip(units, lacking.tolist()) if not without]
+        closing = np.cumsum(counts) - 1
+        covered = np.diff(np.cumsum(self.spans[ids])[closing], prepend=0)
+        if (covered != lengths[~lacking]).any() or "".join(map(self.plain.__getitem__, ids.tolist())) != "".join(whole):
+            return {}
+        ids[closing] += size
+        return dict(zip(whole, b"".join(map(self.names.__getitem__, ids.tolist())).split(b"\n")))
+
     def decode_pieces(self, ids) -> str:
         """The text of ids with its first space still there."""
         plain = [self.plain[i] for i in ids]
@@ -212,20 +314,53 @@ class Codec:
         self.odd = True
         return text, decoded
 
-    def whole(self, text: str) -> tuple[bytes, str]:
-        """The ids of a text, as decimal numbers with commas, and the text decoded from them."""
-        if not text:
-            return b"", ""
-        text = (" " if self.dummy_prefix else "") + text.replace(SPACE, " ")
+    def _learn(self, units: set[str]) -> None:
+        """Puts units that are not known yet into the table, if they are many enough to be encoded side by side."""
+        known, fresh = self.units, []
+        for unit in units:
+            value = known.older.get(unit)
+            if value is not None:
+                known[unit] = value
+            elif len(unit) <= LONGEST_KEPT:
+                fresh.append(unit)
+        if len(fresh) < FEW:
+            return
+        if len(known) + len(fresh) > known.half:
+            known.turn()
+        fresh.sort(key=len)
+        for at in range(0, len(fresh), TOGETHER):
+            known.update(self.encode_together(fresh[at : at + TOGETHER]))
+
+    def _looked_up(self, units: list[str]) -> list[bytes | tuple[bytes, str]]:
         known, fresh = self.units, self._unit
-        cut = self.cut.findall(text)
-        units = [known[u] if len(u) <= LONGEST_KEPT else fresh(u) for u in cut]
-        if self.odd:
-            decoded = "".join(u[1] if type(u) is tuple else c for u, c in zip(units, cut))
-            units = [u[0] if type(u) is tuple else u for u in units]
-        else:
-            decoded = text
-        return b",".join(units), decoded[1:] if self.dummy_prefix and decoded.startswith(" ") else decoded
+        found = list(map(known.get, units))
+        missing = [i for i, value in enumerate(found) if value is None]
+        self._learn({units[i] for i in missing})
+        for i in missing:
+            unit = units[i]
+            found[i] = known[unit] if len(unit) <= LONGEST_KEPT else fresh(unit)
+        return found
+
+    def wholes(self, texts: list[str]) -> Iterator[tuple[bytes, str]]:
+        """For each text its ids, as decimal numbers with commas, and the text decoded from them."""
+        texts = [(" " if self.dummy_prefix and text else "") + text.replace(SPACE, " ") for text in texts]
+        cut, ends = [], [0]
+        for text in texts:
+            cut += self.cut.findall(text)
+            ends.append(len(cut))
+        units = []
+        for at in range(0, len(cut), AT_ONCE):
+            units += self._looked_up(cut[at : at + AT_ONCE])
+        for i, text in enumerate(texts):
+            own = units[ends[i] : ends[i + 1]]
+            if self.odd:
+                text = "".join(u[1] if type(u) is tuple else c for u, c in zip(own, cut[ends[i] : ends[i + 1]]))
+                own = [u[0] if type(u) is tuple else u for u in own]
+            yield b",".join(own), text[1:] if self.dummy_prefix and text.startswith(" ") else text
+
+    def whole(self, text: str) -> tuple[bytes, str]:
+        """The same for one text."""
+        return next(self.wholes([text]))
 
     def encode(self, text: str | None) -> list[int]:
         return _numbers(self.whole(text or "")[0]).tolist()
@@ -268,12 +403,11 @@ def encode_documents(documents: DataFrame, model: bytes, with_ids: bool = False)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = codec(model)
         for batch in batches:
-            for part in slices(batch):
-                texts = part.column(1).to_pylist()
+            for part in slices(batch, chars=SLICE_CHARS):
+                texts = [text or "" for text in part.column(1).to_pylist()]
                 rows = [], [], []
                 found, ends = [], [0]
-                for text in texts:
-                    ids, decoded = tool.whole(text or "")
+                for ids, decoded in tool.wholes(texts):
                     n = ids.count(b",") + 1 if ids else 0
                     rows[0].append(n)
                     rows[1].append(hashlib.sha256(ids).hexdigest())
