@@ -14,11 +14,13 @@ The first token's v is the start of the text.
 
 Beside it stands the exact unigram base of the contract. The exact counts come back with the answers.
 
-1. Texts are turned into chunks of about ``TOKENS_AT_ONCE`` tokens, which are staged.
+1. Texts are turned into chunks of about ``TOKENS_AT_ONCE`` tokens, which are staged in pieces of about ``PIECE_TOKENS``: no row or batch is as large as a chunk.
 2. Each chunk sends its distinct n-grams, with their counts in its training texts, to their segments.
 3. Each segment adds the counts up, builds its part of the filter and answers every chunk with the levels (and counts) in the order they came.
 4. Each chunk puts the answers together and scores its texts.
 
+Where a chunk's pieces are read by more than one task, what a task has of it is a run, named by its first piece, and asks for itself.
+
 Tokens are the words of a text with A-Z lower-cased, and one end token. Tokens and n-grams are
 counted by 64-bit hashes. Rows: null texts count as empty, so they have one token, the end. Rows
 without an id are scored, not learnt from. Repeated rows count, and are scored, each time. With
@@ -46,6 +48,10 @@ LEVELS = 48
 TOKENS_PER_SEGMENT = 1 << 21
 MOST_SEGMENTS = 1 << 20
 TOKENS_AT_ONCE = 2_000_000
+PIECE_TOKENS = 1 << 17
+NGRAMS_AT_ONCE = 1 << 16
+# Spark reads a row group at once, and Parquet looks at a group's size after 100 rows if not told otherwise.
+SMALL_GROUPS = {"parquet.block.size": 8 << 20, "parquet.page.size.row.check.min": 4}
 BLOCK = 1 << 15
 END, START = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC3A5C85C97CB3127)
 _UP, _MIX1 = np.uint64(32), np.uint64(0x9E3779B97F4A7C15)
@@ -141,7 +147,7 @@ def _summed(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndar
     return hashes[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
-def _one(values: np.ndarray | pa.Array) -> pa.ListArray:
+def _one(values: pa.Array | np.ndarray) -> pa.ListArray:
     """A list column of one row."""
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values))
 
@@ -150,33 +156,52 @@ def _numpy(values: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return values.to_numpy() if isinstance(values, pa.ChunkedArray) else values.to_numpy(zero_copy_only=False)
 
 
-_CHUNK = "chunk bigint, doc_id array<bigint>, held_out array<boolean>, learnt array<boolean>, size array<bigint>, words array<bigint>, token array<int>"
+def _packed(values: np.ndarray, ends: np.ndarray) -> pa.BinaryArray:
+    """A row of bytes for the values from each place in ``ends`` to the next one."""
+    values = np.ascontiguousarray(values[ends[0] : ends[-1]])
+    offsets = ((ends - ends[0]) * values.itemsize).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(values)])
+
+
+def _unpacked(column: pa.ChunkedArray, dtype: type) -> tuple[np.ndarray, np.ndarray]:
+    """The values of all rows in turn, and how many each row has."""
+    lengths = _numpy(pa.compute.binary_length(column)).astype(np.int64) // np.dtype(dtype).itemsize
+    rows = [np.frombuffer(value.as_buffer(), dtype) for value in column]
+    return np.concatenate([np.zeros(0, dtype), *rows]), lengths
+
+
+_PIECE = ("doc_id", "held_out", "learnt", "size", "words", "token")
+_PIECES = "chunk bigint, piece int, doc_id array<bigint>, held_out array<boolean>, learnt array<boolean>, size array<bigint>, words binary, token binary"
 
 
 def _chunks(documents: DataFrame, folds: int) -> DataFrame:
-    """One row for each chunk: its rows in turn, its distinct tokens in the order of their hashes, and the place among them of every token."""
+    """A few rows for each chunk, its pieces: a piece has its rows in turn, its distinct tokens in the order of their hashes, and the place among them of every token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, pending = TaskContext.get().partitionId() << 32, 0
+        chunk, piece, pending, own_tokens = TaskContext.get().partitionId() << 32, 0, 0, 0
         rows: list[pa.RecordBatch] = []
         found: list[tuple[np.ndarray, np.ndarray]] = []
 
         def made() -> pa.RecordBatch:
             words, token = np.unique(np.concatenate([t for t, _ in found]), return_inverse=True)
-            size = np.concatenate([n for _, n in found])
-            own = [pa.concat_arrays([r.column(i) for r in rows]) for i in range(3)]
-            columns = [pa.array([chunk]), *map(_one, [*own, size, words.view(np.int64), token.astype(np.int32)])]
-            return pa.RecordBatch.from_arrays(columns, ["chunk", "doc_id", "held_out", "learnt", "size", "words", "token"])
+            token = token.astype(np.uint16 if len(words) <= 1 << 16 else np.int32)
+            lists = [_one(pa.concat_arrays([r.column(i) for r in rows])) for i in range(3)]
+            lists.append(_one(np.concatenate([n for _, n in found])))
+            packed = [_packed(values, np.array([0, len(values)])) for values in (words, token)]
+            columns = [pa.array([chunk]), pa.array([piece], pa.int32()), *lists, *packed]
+            return pa.RecordBatch.from_arrays(columns, ["chunk", "piece", *_PIECE])
 
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, chars=3 * PIECE_TOKENS):
                 tokens, starts = token_hashes(part.column(0).to_pylist())
                 rows.append(part.select([1, 2, 3]))
                 found.append((tokens, np.diff([*starts, len(tokens)])))
                 pending += len(tokens)
-                if pending >= TOKENS_AT_ONCE:
+                if pending >= min(PIECE_TOKENS, TOKENS_AT_ONCE - own_tokens):
                     yield made()
-                    chunk, pending = chunk + 1, 0
+                    piece, pending, own_tokens = piece + 1, 0, own_tokens + pending
+                    if own_tokens >= TOKENS_AT_ONCE:
+                        chunk, piece, own_tokens = chunk + 1, 0, 0
                     rows.clear()
                     found.clear()
         if rows:
@@ -186,47 +211,80 @@ def _chunks(documents: DataFrame, folds: int) -> DataFrame:
     given = documents.select(
         "text", doc_id.cast("bigint").alias("doc_id"), held_out(doc_id, folds).alias("held_out"), learnt(doc_id, folds).alias("learnt")
     )
-    return staged(map_batches(given, run, _CHUNK), "lm-chunks")
+    return staged(map_batches(given, run, _PIECES), "lm-chunks", SMALL_GROUPS)
+
+
+def _piece(table: pa.RecordBatch | pa.Table, i: int) -> dict[str, pa.Array | pa.Buffer]:
+    row = {name: table.column(name)[i] for name in _PIECE}
+    return {name: value.as_buffer() if name in ("words", "token") else value.values for name, value in row.items()}
 
 
-def _tokens(chunk: dict[str, pa.Array]) -> tuple[np.ndarray, np.ndarray]:
-    """The token hashes of a chunk and the places where its texts begin."""
-    tokens = _numpy(chunk["words"]).view(np.uint64)[_numpy(chunk["token"])]
-    return tokens, np.concatenate([[0], np.cumsum(_numpy(chunk["size"]))[:-1]])
+def _joined(pieces: list[dict[str, pa.Array | pa.Buffer]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct tokens of pieces that follow each other, the place among them of every token, and the size of every text."""
+    own = [np.frombuffer(p["words"], np.uint64) for p in pieces]
+    sizes = [_numpy(p["size"]) for p in pieces]
+    words = np.unique(np.concatenate(own))
+    places = []
+    for piece, known, size in zip(pieces, own, sizes):
+        token = np.frombuffer(piece["token"], np.uint16 if len(piece["token"]) == 2 * size.sum() else np.int32)
+        places.append(np.searchsorted(words, known)[token])
+    return words, np.concatenate(places), np.concatenate(sizes)
 
 
-def _row(table: pa.RecordBatch | pa.Table, i: int) -> dict[str, pa.Array]:
-    return {name: table.column(name)[i].values for name in ("doc_id", "held_out", "learnt", "size", "words", "token")}
+def _starts(size: np.ndarray) -> np.ndarray:
+    """The places where texts begin."""
+    return np.concatenate([[0], np.cumsum(size)[:-1]])
+
+
+_NGRAMS = "chunk bigint, run int, segment int, bigram boolean, h binary, n binary"
 
 
 def _ngrams(chunks: DataFrame, segments: int) -> DataFrame:
-    """The distinct n-grams of each chunk with their counts in its training texts: a row for each segment and order.
+    """The distinct n-grams of each run with their counts in its training texts: a row for each segment and order.
 
     There are so many segments that one holds about ``TOKENS_PER_SEGMENT`` tokens. Frequent n-grams leave a chunk once."""
     shift = np.uint64(64 - (segments.bit_length() - 1))
 
+    def sent(chunk: int, first: int, pieces: list[dict[str, pa.Array | pa.Buffer]]) -> Iterator[pa.RecordBatch]:
+        words, place, size = _joined(pieces)
+        counted = np.repeat(np.concatenate([_numpy(p["learnt"]) for p in pieces]).astype(bool), size)
+        pairs = bigram_hashes(words[place], _starts(size))
+        for bigram in (False, True):
+            if bigram:
+                hashes, counts = _summed(pairs, counted.astype(np.int64))
+            else:
+                hashes, counts = words, np.bincount(place[counted], minlength=len(words))
+            used, begin = np.unique(hashes >> shift, return_index=True)  # hashes are sorted, so segments are too
+            ends, at = np.append(begin, len(hashes)), 0
+            while at < len(used):
+                to = max(at + 1, int(np.searchsorted(ends, ends[at] + NGRAMS_AT_ONCE, "right")) - 1)
+                columns = [
+                    pa.array(np.full(to - at, chunk)),
+                    pa.array(np.full(to - at, first, np.int32)),
+                    pa.array(used[at:to].astype(np.int32)),
+                    pa.array(np.full(to - at, bigram)),
+                    _packed(hashes, ends[at : to + 1]),
+                    _packed(counts.astype(np.int32, copy=False), ends[at : to + 1]),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["chunk", "run", "segment", "bigram", "h", "n"])
+                at = to
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = first = None
+        pieces: list[dict[str, pa.Array | pa.Buffer]] = []
         for batch in batches:
             for i in range(batch.num_rows):
-                chunk = _row(batch, i)
-                tokens, starts = _tokens(chunk)
-                counted = np.repeat(_numpy(chunk["learnt"]).astype(np.int64), _numpy(chunk["size"]))
-                for bigram in (False, True):
-                    hashes, counts = _summed(bigram_hashes(tokens, starts) if bigram else tokens, counted)
-                    used, first = np.unique(hashes >> shift, return_index=True)  # hashes are sorted, so segments are too
-                    ends = pa.array([*first, len(hashes)], pa.int32())
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.full(len(used), batch.column(0)[i].as_py())),
-                            pa.array(used.astype(np.int32)),
-                            pa.array(np.full(len(used), bigram)),
-                            pa.ListArray.from_arrays(ends, pa.array(hashes.view(np.int64))),
-                            pa.ListArray.from_arrays(ends, pa.array(counts.astype(np.int32))),
-                        ],
-                        ["chunk", "segment", "bigram", "h", "n"],
-                    )
-
-    return map_batches(chunks, run, "chunk bigint, segment int, bigram boolean, h array<bigint>, n array<int>")
+                own, piece = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                if pieces and (own, piece) != (chunk, first + len(pieces)):
+                    yield from sent(chunk, first, pieces)
+                    pieces.clear()
+                if not pieces:
+                    chunk, first = own, piece
+                pieces.append(_piece(batch, i))
+        if pieces:
+            yield from sent(chunk, first, pieces)
+
+    return map_batches(chunks, run, _NGRAMS)
 
 
 def answers(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
@@ -245,36 +303,34 @@ def answers(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndar
     return Filter(1, size, data).read(hashes), exact, len(stored)
 
 
-_ANSWERS = "chunk bigint, segment int, bigram boolean, level array<tinyint>, n array<bigint>, tokens bigint, distinct bigint"
+_ANSWERS = "chunk bigint, run int, segment int, bigram boolean, level binary, n binary, tokens bigint, distinct bigint"
 
 
 def _answers(ngrams: DataFrame) -> DataFrame:
     """For each row of ``ngrams`` the levels, and for tokens the exact counts. The segment's sums stand in one of its rows."""
 
     def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        h, n = (group.column(c).combine_chunks() for c in ("h", "n"))
-        ends = np.concatenate([[0], np.cumsum(_numpy(h.value_lengths()))])
-        counts = _numpy(n.flatten()).astype(np.int64)
-        level, exact, distinct = answers(_numpy(h.flatten()).view(np.uint64), counts)
-        bigram, sums = key[1].as_py(), np.zeros((2, len(h)), np.int64)
+        hashes, lengths = _unpacked(group.column("h"), np.uint64)
+        counts = _unpacked(group.column("n"), np.int32)[0].astype(np.int64)
+        level, exact, distinct = answers(hashes, counts)
+        bigram, sums = key[1].as_py(), np.zeros((2, len(lengths)), np.int64)
         if not bigram:
             sums[:, 0] = counts.sum(), distinct
-        ends = pa.array(ends, pa.int32())
-        none = pa.array(np.zeros(len(h) + 1), pa.int32())
-        exact_lists = pa.ListArray.from_arrays(none, pa.array([], pa.int64())) if bigram else pa.ListArray.from_arrays(ends, pa.array(exact))
+        ends = np.concatenate([[0], np.cumsum(lengths)])
         return pa.table(
             {
                 "chunk": group.column("chunk"),
+                "run": group.column("run"),
                 "segment": group.column("segment"),
                 "bigram": group.column("bigram"),
-                "level": pa.ListArray.from_arrays(ends, pa.array(level.astype(np.int8))),
-                "n": exact_lists,
+                "level": _packed(level.astype(np.uint8, copy=False), ends),
+                "n": _packed(exact.astype(np.int64, copy=False), np.zeros_like(ends) if bigram else ends),
                 "tokens": pa.array(sums[0]),
                 "distinct": pa.array(sums[1]),
             }
         )
 
-    return staged(ngrams.groupBy("segment", "bigram").applyInArrow(run, _ANSWERS), "lm-answers")
+    return staged(ngrams.groupBy("segment", "bigram").applyInArrow(run, _ANSWERS), "lm-answers", SMALL_GROUPS)
 
 
 def _log_probability(count: np.ndarray, pair: np.ndarray, starts: np.ndarray, total: float) -> np.ndarray:
@@ -304,25 +360,20 @@ def score_corpus(documents: DataFrame, folds: int = 10) -> DataFrame:
     # The denominator of a unigram probability.
     total = learnt_tokens + SMOOTHING * (distinct + 1) if learnt_tokens else SMOOTHING
 
-    def run(own: pa.Table, parts: pa.Table) -> pa.Table:
-        chunk = _row(own, 0)
-        tokens, starts = _tokens(chunk)
-        place = _numpy(chunk["token"])
-        # Segments in turn hold the n-grams of a chunk in the order of their hashes.
-        order = np.lexsort((_numpy(parts.column("segment")), _numpy(parts.column("bigram"))))
-        parts = parts.take(pa.array(order))
-        level = np.concatenate([_numpy(c.flatten()) for c in parts.column("level").chunks])
-        exact = np.concatenate([_numpy(c.flatten()) for c in parts.column("n").chunks])
+    def scored(pieces: list[dict[str, pa.Array | pa.Buffer]], parts: pa.Table) -> pa.Table:
+        words, place, size = _joined(pieces)
+        starts = _starts(size)
+        level, exact = _unpacked(parts.column("level"), np.uint8)[0], _unpacked(parts.column("n"), np.int64)[0]
         of_token, of_pair = level[: len(exact)], level[len(exact) :]
         count = exact[place]
-        pair = LEVEL_COUNT[of_pair[np.unique(bigram_hashes(tokens, starts), return_inverse=True)[1]]]
+        pair = LEVEL_COUNT[of_pair[np.unique(bigram_hashes(words[place], starts), return_inverse=True)[1]]]
         base = np.log10((count + SMOOTHING) / total)
         score = _log_probability(LEVEL_COUNT[of_token][place], pair, starts, total)
         return pa.table(
             {
-                "doc_id": chunk["doc_id"],
-                "held_out": chunk["held_out"],
-                "n_tokens": chunk["size"],
+                "doc_id": pa.concat_arrays([p["doc_id"] for p in pieces]),
+                "held_out": pa.concat_arrays([p["held_out"] for p in pieces]),
+                "n_tokens": pa.array(size),
                 "n_known": pa.array(np.add.reduceat((count > 0).astype(np.int64), starts)),
                 "train_tokens": pa.array(np.full(len(starts), learnt_tokens, np.int64)),
                 "base_score": pa.array(np.add.reduceat(base, starts)),
@@ -330,4 +381,17 @@ def score_corpus(documents: DataFrame, folds: int = 10) -> DataFrame:
             }
         )
 
-    return chunks.groupBy("chunk").cogroup(found.select("chunk", "segment", "bigram", "level", "n").groupBy("chunk")).applyInArrow(run, _SCORES)
+    def run(own: pa.Table, parts: pa.Table) -> pa.Table:
+        order = np.argsort(_numpy(own.column("piece")))
+        pieces = [_piece(own, int(i)) for i in order]
+        # Segments in turn hold the n-grams of a run in the order of their hashes.
+        runs = _numpy(parts.column("run"))
+        order = np.lexsort((_numpy(parts.column("segment")), _numpy(parts.column("bigram")), runs))
+        first, begin = np.unique(runs[order], return_index=True)
+        found = []
+        for piece, after, at, to in zip(first, [*first[1:], len(pieces)], begin, [*begin[1:], len(runs)]):
+            found.append(scored(pieces[piece:after], parts.take(pa.array(order[at:to]))))
+        return pa.concat_tables(found)
+
+    asked = found.select("chunk", "run", "segment", "bigram", "level", "n")
+    return chunks.groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInArrow(run, _SCORES)

@@ -1,4 +1,4 @@
-"""What stays in a Python worker between the stages of the pipeline."""
+"""What stays in a Python worker between the stages of the pipeline, and how large the rows are that hold many tokens."""
 
 from __future__ import annotations
 
@@ -8,8 +8,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark import SparkContext
+from pyspark.sql import functions as F
 
-from almoner.llm import common, quality_fm
+from almoner.llm import common, lm_bloom, quality_fm
 
 
 def test_fit_starts_no_python_worker(spark, monkeypatch):
@@ -46,3 +47,38 @@ def test_hash_tables_are_small_and_pieces_do_not_matter(monkeypatch, lower):
     whole, again = common.word_hashes(texts, lower)
     assert len(found) > 60_000 and (long == whole).all() and (n == again).all()
     assert (whole[: len(found)] == found).all() and (again[:-1] == counts).all()
+
+
+def test_no_row_of_the_language_model_holds_a_whole_chunk(spark, monkeypatch):
+    """Spark and Arrow hold rows whole, and several of them at once."""
+    kept = {}
+
+    def staged(df, purpose, *options):
+        kept[purpose] = common.staged(df, purpose, *options)
+        return kept[purpose]
+
+    monkeypatch.setattr(lm_bloom, "staged", staged)
+    words = "array_join(transform(sequence(1, 10000), i -> concat('w', (i * (id + 1)) % 30011)), ' ')"
+    docs = spark.sql(f"SELECT id AS doc_id, {words} AS text FROM range(40)").coalesce(1)
+    scores = lm_bloom.score_corpus(docs).agg(F.sum("n_tokens"), F.count(F.lit(1))).first()
+    assert tuple(scores) == (400_040, 40)
+    tokens = [sum(r["size"]) for r in kept["lm-chunks"].select("size").collect()]
+    assert sum(tokens) == 400_040 and max(tokens) <= 1 << 18
+
+
+def test_a_chunk_read_by_many_tasks_scores_the_same(spark, monkeypatch):
+    text = "if(id % 17 = 3, null, array_join(transform(sequence(0, id % 13), i -> concat('W', (i * id) % 29)), ' '))"
+    docs = spark.sql(f"SELECT if(id % 19 = 5, null, id % 150) AS doc_id, {text} AS text FROM range(200)").coalesce(2).cache()
+    expected = sorted(map(repr, lm_bloom.score_corpus(docs).collect()))
+    kept = {}
+
+    def staged(df, purpose, *options):
+        kept[purpose] = common.staged(df, purpose, *options)
+        return kept[purpose].repartition(7) if purpose == "lm-chunks" else kept[purpose]
+
+    monkeypatch.setattr(lm_bloom, "staged", staged)
+    monkeypatch.setattr(lm_bloom, "PIECE_TOKENS", 40)
+    assert sorted(map(repr, lm_bloom.score_corpus(docs).collect())) == expected
+    chunks, pieces = kept["lm-chunks"].agg(F.countDistinct("chunk"), F.count(F.lit(1))).first()
+    runs = kept["lm-answers"].select("chunk", "run").distinct().count()
+    assert chunks == 2 < runs <= pieces
